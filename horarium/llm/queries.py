@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_qda, toxicity_pu
+from . import decontaminate, quality_qda, toxicity_pu
 from .common import load, stash
 
 
@@ -18,9 +18,14 @@ def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), keep=lambda df: stash(df, "op9-stats"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_pu": op1_toxicity_pu,
     "op9_quality_qda": op9_quality_qda,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
