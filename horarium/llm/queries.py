@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, quality_qda, toxicity_pu
+from . import decontaminate, jaccard, quality_qda, suffix_levels, toxicity_pu
 from .common import load, stash
 
 
@@ -14,6 +14,10 @@ def op1_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(load(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_pu": op1_toxicity_pu,
+    "op3_suffix_levels": op3_suffix_levels,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_qda": op9_quality_qda,
     "op10_decontaminate": op10_decontaminate,
