@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, quality_qda, suffix_levels, toxicity_pu
+from . import bpe_tree, decontaminate, jaccard, quality_qda, suffix_levels, toxicity_pu
 from .common import load, stash
 
 
@@ -18,6 +19,10 @@ def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_bpe_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return bpe_tree.round_trip(load(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(load(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_pu": op1_toxicity_pu,
     "op3_suffix_levels": op3_suffix_levels,
+    "op5_bpe_tree": op5_bpe_tree,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_qda": op9_quality_qda,
     "op10_decontaminate": op10_decontaminate,
