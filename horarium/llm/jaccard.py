@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import avalanche, drop_stash, row_blocks, span_hashes, stash, word_spans
+from .common import avalanche, row_blocks, span_hashes, stash, word_spans
 from .components import connected_components
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -77,11 +77,6 @@ def _key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def needed(a, b):
-    """Least overlap of two linked sets of these sizes."""
-    return -(-NUM * (a + b) // (NUM + DEN))
-
-
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
@@ -113,41 +108,41 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _multiply(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs of rows within columns of at most SMALL rows that pass the bounds, entries of larger columns)."""
+    """((a, b, n, m, overlap) of rows that share columns of at most SMALL rows, entries of larger columns)."""
     e = np.unique(entries)  # equal sets collapse; sorted by column, then row
     cut = np.flatnonzero(np.diff(e["col"])) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(e)]
     size = last - first
     large = np.repeat(size > SMALL, size)
-    pairs = [np.zeros((0, 2), np.int64)]
+    found = [np.zeros((0, 4), np.int64)]
     for g in range(2, SMALL + 1):
         at = first[size == g]
         if not len(at):
             continue
         i, j = np.triu_indices(g, 1)
-        x, y = e[(at[:, None] + i).ravel()], e[(at[:, None] + j).ravel()]
-        nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-        left = 1 + np.minimum(nx - x["pos"] - 1, ny - y["pos"] - 1)
-        ok = (left >= needed(nx, ny)) & (DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)) & (x["row"] != y["row"])
-        pairs.append(np.stack([x["row"][ok], y["row"][ok]], 1))
-    return np.unique(np.concatenate(pairs), axis=0), e[large]
+        x, y = e[(at[:, None] + i).ravel()], e[(at[:, None] + j).ravel()]  # rows ascend within a column
+        n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+        ok = (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (x["row"] != y["row"])
+        found.append(np.stack([x["row"][ok], y["row"][ok], n[ok], m[ok]], 1))
+    pairs, overlap = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return np.column_stack([pairs, overlap]), e[large]
 
 
-_PRODUCT = "kind int, a long, b long, n long, col long, pos int, rare int"
+_PRODUCT = "kind int, a long, b long, n long, m long, col long, pos int, rare int"
 
 
-def _product_batch(kind: int, a, b, n, col, pos, rare) -> pa.RecordBatch:
-    size = len(a)
-    arrays = [pa.array(np.full(size, kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(col.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(rare.astype(np.int32))]
-    return pa.record_batch(arrays, names=["kind", "a", "b", "n", "col", "pos", "rare"])
+def _product_batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2
+    arrays = [pa.array(np.ascontiguousarray(c).astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.record_batch([pa.array(np.full(len(columns[0]), kind, np.int32)), *arrays], names=["kind", "a", "b", "n", "m", "col", "pos", "rare"])
 
 
 def _entries_out(e: np.ndarray) -> pa.RecordBatch:
-    return _product_batch(1, e["row"], e["row"], e["n"], e["col"].view(np.int64) if e["col"].flags.c_contiguous else e["col"].copy().view(np.int64), e["pos"], e["rare"])
+    return _product_batch(1, e["row"], e["row"], e["n"], e["n"], e["col"].copy().view(np.int64), e["pos"], e["rare"])
 
 
 def candidate_product(docs: DataFrame, table: np.ndarray, blocks: int) -> DataFrame:
-    """kind 0: pairs (a, b) from the block product; kind 1: entries (row a, n, col, pos, rare) of frequent columns."""
+    """kind 0: pairs (a, b), their sizes (n, m) and overlap (pos) in a block; kind 1: entries (row a, n, col, pos, rare) of frequent columns."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,25 +177,25 @@ def candidate_product(docs: DataFrame, table: np.ndarray, blocks: int) -> DataFr
         read = lambda flag: np.frombuffer(b"".join(c for h, c in zip(t["hot"].to_pylist(), t["cells"].to_pylist(), strict=True) if h == flag), ENTRY)
         pairs, large = _multiply(read(0))
         zero = np.zeros(len(pairs), np.int64)
-        return pa.Table.from_batches([_product_batch(0, pairs[:, 0], pairs[:, 1], zero, zero, zero, zero), _entries_out(large), _entries_out(np.unique(read(1)))])
+        return pa.Table.from_batches([_product_batch(0, *pairs[:, :4].T, zero, pairs[:, 4], zero), _entries_out(large), _entries_out(np.unique(read(1)))])
 
     cells = docs.select("text").mapInArrow(emit, "block long, hot int, cells binary")
     return cells.groupBy("block").applyInArrow(product, _PRODUCT)
 
 
-def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """2**BITMAP_BITS bits (1 MB) of the keys in a column; the driver gets at most that."""
-    bit = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
-    words = rows.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits"))
+def _bitmap(pairs: DataFrame) -> np.ndarray:
+    """2**BITMAP_BITS bits (1 MB) of the rows in the pairs; the driver gets at most that."""
+    bit = F.pmod("row", F.lit(1 << BITMAP_BITS))
+    words = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits"))
     out = np.zeros(1 << (BITMAP_BITS - 5), np.int64)
     got = words.toPandas()
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out
 
 
-def _full_rows(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(row, n, cells) of the wanted rows of the matrix: sorted shingles, 40 bits each."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _full_rows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, n, cells) of the rows of the matrix in the pairs, and a few others: sorted shingles, 40 bits each."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -248,25 +243,35 @@ def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _star_pairs(entries: DataFrame) -> DataFrame:
-    """Each row with the pivots of its first few frequent columns."""
+    """Each row with the pivots of its first few frequent columns: (a, b, n, m)."""
     first = Window.partitionBy("a").orderBy("pos", "col")
-    some = entries.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= STAR_COLUMNS).select("col", "a", "rare")
-    pivots = some.groupBy("col").agg(F.min(F.struct("rare", "a")).alias("p")).select("col", F.col("p.a").alias("b"))
-    return some.select("col", "a").join(pivots, "col").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    some = entries.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= STAR_COLUMNS).select("col", "a", "n", "rare")
+    pivots = some.groupBy("col").agg(F.min(F.struct("rare", "a", "n")).alias("p")).select("col", F.col("p.a").alias("pa"), F.col("p.n").alias("pn"))
+    pairs = some.join(pivots, "col").filter("a <> pa")
+    return pairs.selectExpr("least(a, pa) a", "greatest(a, pa) b", "if(a < pa, n, pn) n", "if(a < pa, pn, n) m").distinct()
 
 
 def _open_pairs(entries: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs in a frequent column, of different components, that the bounds allow."""
+    """(a, b, n, m, shared) of rows of different components that share frequent columns, and how many."""
     own = F.coalesce("component", "a").alias("c")
-    e = entries.join(components.withColumnRenamed("node", "a"), "a", "left").select("col", "a", "n", "pos", own)
+    e = entries.join(components.withColumnRenamed("node", "a"), "a", "left").select("col", "a", "n", own)
     sizes = e.groupBy("col", "c").agg(F.count("*").alias("k"))
     main = sizes.groupBy("col").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("col", F.col("top.c").alias("main"))
     e = e.join(main, "col")
-    x = e.filter("c <> main").select("col", F.col("a").alias("xa"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"))
-    left = F.least(F.col("xn") - F.col("xp"), F.col("n") - F.col("pos"))
-    fits = (DEN * F.least("xn", "n") >= NUM * F.greatest("xn", "n")) & ((NUM + DEN) * left >= NUM * (F.col("xn") + F.col("n")))
-    pairs = x.join(e, "col").filter((F.col("xc") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("xa") < F.col("a"))) & fits)
-    return pairs.select(F.least("xa", "a").alias("a"), F.greatest("xa", "a").alias("b")).distinct()
+    x = e.filter("c <> main").selectExpr("col", "a as xa", "n as xn", "c as xc")
+    pairs = x.join(e, "col").filter(f"xc <> c and (c = main or xa < a) and {DEN} * least(xn, n) >= {NUM} * greatest(xn, n)")
+    pairs = pairs.selectExpr("least(xa, a) a", "greatest(xa, a) b", "if(xa < a, xn, n) n", "if(xa < a, n, xn) m")
+    return pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("shared"))
+
+
+def _reachable(pairs: DataFrame, frequent) -> DataFrame:
+    """The pairs whose overlap in the prefixes and all that is left of the rows can reach what the sizes need.
+
+    `overlap` counts the shared rare columns; `frequent` bounds the shared frequent ones.
+    A shared column lies in both prefixes, or behind the prefix that ends first.
+    """
+    left = f"greatest(({NUM} * n + {DEN - 1}) div {DEN}, ({NUM} * m + {DEN - 1}) div {DEN}) - 1"
+    return pairs.filter(F.expr(f"coalesce(overlap, 0L) + {left}") + frequent >= F.expr(f"({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}")).select("a", "b")
 
 
 def link_groups(docs: DataFrame) -> DataFrame:
@@ -281,17 +286,18 @@ def link_groups(docs: DataFrame) -> DataFrame:
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 3, total * (DEN - NUM) // DEN // 500_000)
     product = stash(candidate_product(docs, table, blocks), "jaccard-product")
     entries = product.filter("kind = 1").select("a", "n", "col", "pos", "rare")
-    pairs = stash(product.filter("kind = 0").select("a", "b").unionByName(_star_pairs(entries)).distinct(), "jaccard-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(entries.select(F.col("a").alias("row")))
-    rows = stash(_full_rows(docs, _bitmap(ends, "row")), "jaccard-rows")
-    links = stash(verify(pairs, rows), "jaccard-links")
+    overlaps = product.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("pos").alias("overlap"))
+    counted = entries.groupBy("a").agg(F.count("*").alias("k"))
+    both = overlaps.unionByName(_star_pairs(entries).join(overlaps.select("a", "b", "overlap"), ["a", "b"], "left"))
+    both = both.join(counted.withColumnRenamed("k", "ka"), "a", "left").join(counted.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
+    pairs = stash(_reachable(both, F.expr("least(coalesce(ka, 0L), coalesce(kb, 0L))")).distinct(), "jaccard-pairs")
+    links = stash(verify(pairs, _full_rows(docs, pairs)), "jaccard-links")
     components = stash(connected_components(links, "a", "b"), "jaccard-components")
-    more = stash(_open_pairs(entries, components).join(pairs, ["a", "b"], "left_anti"), "jaccard-open")
-    if not more.isEmpty():
-        links = stash(links.unionByName(verify(more, rows)), "jaccard-links")
+    rest = _open_pairs(entries, components).join(pairs, ["a", "b"], "left_anti").join(overlaps.select("a", "b", "overlap"), ["a", "b"], "left")
+    rest = stash(_reachable(rest, F.col("shared")), "jaccard-open")
+    if not rest.isEmpty():
+        links = stash(links.unionByName(verify(rest, _full_rows(docs, rest))), "jaccard-links")
         components = stash(connected_components(links, "a", "b"), "jaccard-components")
-    drop_stash(rows)
-    drop_stash(product)
     linked = base.filter("n > 0").groupBy("row").agg(F.min("doc_id").alias("least")).join(components.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "component").select("row", "component_id")
