@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship_code
+
 BLOCK_BYTES = 4 << 20
 _PAD = 16
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
@@ -24,6 +26,7 @@ _S32, _S29 = np.uint64(32), np.uint64(29)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

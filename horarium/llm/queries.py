@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, jaccard, quality_qda, suffix_levels, toxicity_pu
+from . import bpe_tree, decontaminate, jaccard, quality_qda, suffix_levels, token_counts, token_files, toxicity_pu
 from .common import load, stash
 
 
@@ -23,6 +23,14 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return bpe_tree.round_trip(load(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_files.read_token_files(*token_files.write_token_files(load(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_counts.document_counts(load(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), eod=50256)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(load(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_pu": op1_toxicity_pu,
     "op3_suffix_levels": op3_suffix_levels,
     "op5_bpe_tree": op5_bpe_tree,
+    "op6_token_files": op6_token_files,
+    "op8_token_counts": op8_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_qda": op9_quality_qda,
     "op10_decontaminate": op10_decontaminate,
