@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, jaccard, quality_qda, suffix_levels, token_counts, token_files, toxicity_pu
+from . import bpe_tree, decontaminate, fingerprint, jaccard, quality_qda, suffix_levels, token_counts, token_files, toxicity_pu
 from .common import load, stash
 
 
@@ -19,6 +19,10 @@ def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return bpe_tree.round_trip(load(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,6 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_pu": op1_toxicity_pu,
     "op3_suffix_levels": op3_suffix_levels,
+    "op4_fingerprints": op4_fingerprints,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_token_files": op6_token_files,
     "op8_token_counts": op8_token_counts,
