@@ -306,6 +306,13 @@ def link_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of each group with the group's smallest doc_id; columns unchanged."""
+    """One row of each group: of its smallest doc_id; columns unchanged.
+
+    Rows that share a doc_id stay or go together, but of equal texts under one
+    doc_id one row stays.  Rows without a doc_id stay.
+    """
     kept = link_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    text = F.xxhash64("text").alias("__text")
+    rows = docs.filter("doc_id is not null").select("*", text).join(kept, "doc_id", "left_semi")
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("__text"))).filter("__k = 1")
+    return rows.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

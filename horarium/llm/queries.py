@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, fingerprint, jaccard, quality_qda, suffix_levels, token_counts, token_files, toxicity_pu
+from . import bpe_tree, decontaminate, fingerprint, jaccard, pii_bootstrap, quality_qda, suffix_levels, token_counts, token_files, toxicity_pu
 from .common import load, stash
 
 
@@ -15,6 +15,10 @@ def op1_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.report(load(spark, sf_dir, "documents"))
+
+
 def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
 
@@ -49,6 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_pu": op1_toxicity_pu,
+    "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_suffix_levels": op3_suffix_levels,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_tree": op5_bpe_tree,

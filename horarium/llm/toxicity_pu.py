@@ -182,6 +182,19 @@ def score(docs: DataFrame, model: PuModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
 
 
+def keep_clean(docs: DataFrame, model: PuModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` that score below the threshold, unchanged."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for b in batches:
+            s = score_buckets(shared.value, [text_buckets(t.as_py(), cache) for t in b.column(at)])
+            yield b.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     scores = score(docs, train(docs, labels))
