@@ -45,7 +45,7 @@ _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 _LATIN = re.compile("[^\x00-ɏ]")
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -66,7 +66,7 @@ class TreeEncoder:
         self.library.no_padding()
         self.library.encode_special_tokens = not specials
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]} if specials else {}
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): k for token, k in spec["model"]["vocab"].items()}
         self.ranks = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         names = {k: t["content"].encode() for t in spec["added_tokens"] for k in [t["id"]]} | {k: b for b, k in ranks.items()}

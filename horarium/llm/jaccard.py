@@ -16,9 +16,8 @@ Skew.  Equal sets are one row of the matrix (keyed by a digest).  A column of
 at most ``SMALL`` rows gives all its pairs.  Frequent columns are spread over
 rows instead of being gathered: first every row is paired with the most central
 row (*pivot*) of its first few frequent columns, and verified links become
-components; then, for completeness, each frequent column's rows outside the
-column's main component are paired with its rows in other components, less the
-pairs that the bounds exclude.  Pairs within a component need no link of
+components; then, for completeness, rows of a frequent column that lie in
+different components are paired where the bounds allow a link.  Pairs within a component need no link of
 their own, so a group of copies costs a star, not a square.
 
 Edge cases: null, empty and wordless texts have no shingles and stay alone;
@@ -251,17 +250,28 @@ def _star_pairs(entries: DataFrame) -> DataFrame:
     return pairs.selectExpr("least(a, pa) a", "greatest(a, pa) b", "if(a < pa, n, pn) n", "if(a < pa, pn, n) m").distinct()
 
 
-def _open_pairs(entries: DataFrame, components: DataFrame) -> DataFrame:
-    """(a, b, n, m, shared) of rows of different components that share frequent columns, and how many."""
+def _open_pairs(entries: DataFrame, components: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components with a frequent column that may be the first one they share.
+
+    A row is the smaller of a linked pair only if the larger one's size lies in
+    a range: it must be small enough for what is left of the row after the
+    column, and large enough for the few columns that the row shares at all
+    (`shared`: a, s).  For a text that has a popular passage and nothing else
+    in common with others the range is empty, so such rows never meet.
+    """
+    t = NUM / DEN
+    q = t / (1 + t)
     own = F.coalesce("component", "a").alias("c")
-    e = entries.join(components.withColumnRenamed("node", "a"), "a", "left").select("col", "a", "n", own)
+    e = entries.join(components.withColumnRenamed("node", "a"), "a", "left").join(shared, "a", "left").select("col", "a", "n", "pos", own, F.coalesce("s", F.lit(0)).alias("s"))
     sizes = e.groupBy("col", "c").agg(F.count("*").alias("k"))
     main = sizes.groupBy("col").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("col", F.col("top.c").alias("main"))
-    e = e.join(main, "col")
-    x = e.filter("c <> main").selectExpr("col", "a as xa", "n as xn", "c as xc")
-    pairs = x.join(e, "col").filter(f"xc <> c and (c = main or xa < a) and {DEN} * least(xn, n) >= {NUM} * greatest(xn, n)")
-    pairs = pairs.selectExpr("least(xa, a) a", "greatest(xa, a) b", "if(xa < a, xn, n) n", "if(xa < a, n, xn) m")
-    return pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("shared"))
+    e = e.join(main, "col").withColumn("in_main", F.col("c") == F.col("main"))
+    low, high = F.expr(f"greatest(n, ({q} * n - s) / {t - q}) - 1e-6"), F.expr(f"(n - pos) / {q} - n + 1e-6")
+    x = e.withColumn("low", low).withColumn("high", high).filter("low <= high").selectExpr("col", "a as xa", "c as xc", "in_main as x_main", "low", "high")
+    y = e.selectExpr("col", "a", "n", "c", "in_main")
+    fits = "xc <> c and n between low and high and xa <> a"
+    pairs = x.join(y.filter("not in_main"), "col").filter(fits).select("xa", "a").unionByName(x.filter("not x_main").join(y.filter("in_main"), "col").filter(fits).select("xa", "a"))
+    return pairs.select(F.least("xa", "a").alias("a"), F.greatest("xa", "a").alias("b")).distinct()
 
 
 def _reachable(pairs: DataFrame, frequent) -> DataFrame:
@@ -293,8 +303,9 @@ def link_groups(docs: DataFrame) -> DataFrame:
     pairs = stash(_reachable(both, F.expr("least(coalesce(ka, 0L), coalesce(kb, 0L))")).distinct(), "jaccard-pairs")
     links = stash(verify(pairs, _full_rows(docs, pairs)), "jaccard-links")
     components = stash(connected_components(links, "a", "b"), "jaccard-components")
-    rest = _open_pairs(entries, components).join(pairs, ["a", "b"], "left_anti").join(overlaps.select("a", "b", "overlap"), ["a", "b"], "left")
-    rest = stash(_reachable(rest, F.col("shared")), "jaccard-open")
+    shared = overlaps.select("a", "overlap").unionByName(overlaps.select(F.col("b").alias("a"), "overlap")).unionByName(counted.select("a", F.col("k").alias("overlap")))
+    shared = shared.groupBy("a").agg(F.sum("overlap").alias("s"))
+    rest = stash(_open_pairs(entries, components, shared).join(pairs, ["a", "b"], "left_anti"), "jaccard-open")
     if not rest.isEmpty():
         links = stash(links.unionByName(verify(rest, _full_rows(docs, rest))), "jaccard-links")
         components = stash(connected_components(links, "a", "b"), "jaccard-components")

@@ -125,7 +125,8 @@ def read_document(uri: str, dictionary: bytes, doc_id: int) -> np.ndarray | None
 
 
 def _sampled(docs: DataFrame, tokenizer: str, sample_docs: int, sample_chars: int) -> list[bytes]:
-    rows = docs.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(sample_docs).select(F.substring("text", 1, sample_chars).alias("text")).collect()
+    least = docs.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(sample_docs)
+    rows = docs.join(F.broadcast(least.distinct()), "doc_id").select(F.substring("text", 1, sample_chars).alias("text")).limit(2 * sample_docs).collect()
     return [word_encoder(tokenizer).encode(r.text) for r in rows]
 
 

@@ -2,8 +2,8 @@
 
 Plain Latin text is normalised and split here by the vocabulary's own rules
 (lower case, the pattern below, white space dropped) and each distinct word is
-encoded once by the tokenizers library; every other text goes to the library
-whole.  Both give the library's ids.
+encoded once by the library's own merge model; every other text goes to the
+library whole.  Both give the library's ids.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
+from .bpe_tree import byte_alphabet
+
 CACHE_WORDS = 500_000
 _LIMIT = 0x250  # below: letters, and nothing that composes or folds in context
 _ODD = re.compile("[^\x00-ɏ]|İ|<\\|")
@@ -37,14 +39,22 @@ class WordEncoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return b"".join(k.to_bytes(4, "little") for k in self.library.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS:  # words in use move back from the older half one by one
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self._ids(word)
+        ids = self.older.get(word)
+        if ids is None:
+            plain = word if word.isascii() else "".join(map(self.stand_in.__getitem__, word.encode()))
+            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(plain))
+        self[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
