@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def pick(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """The documents whose doc_id is in `ids`, and a few others: by a bitmap of fixed size (1 MB), without a shuffle."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 5), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def wanted(bit: pd.Series) -> pd.Series:
+        b = bit.to_numpy()
+        return pd.Series((shared.value[b >> 5] >> (b & 31)) & 1 == 1)
+
+    return docs.filter(wanted(bit))
+
+
 def avalanche(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser, element-wise."""
     h = (h ^ (h >> _S32)) * _M1

@@ -27,17 +27,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import pick, stash
 
-BITMAP_BITS = 23
 _BLANKS = re.compile(r"\s+")
 
 
@@ -119,23 +116,6 @@ def successor_digests(docs: DataFrame, digits: int = 32) -> DataFrame:
     return done.unionByName(seams.select("doc_id", "text", "next_id", "following").mapInArrow(close, _DONE))
 
 
-def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents whose id is in `ids`, and a few others: by a bitmap, without a shuffle."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
-    words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).toPandas()
-    bits = np.zeros(1 << (BITMAP_BITS - 5), np.int64)
-    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def wanted(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy()
-        return pd.Series((shared.value[b >> 5] >> (b & 31)) & 1 == 1)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.filter(wanted(bit))
-
-
 def _variants(docs: DataFrame, pairs: DataFrame, digits: int) -> DataFrame:
     """(digest, doc_id, of_edited, canon) of the rows in buckets that several rows share; `pairs` from successor_digests."""
     own = pairs.select("digest", "doc_id", F.lit(None).cast("long").alias("next_id"), F.lit(False).alias("of_edited"))
@@ -143,7 +123,7 @@ def _variants(docs: DataFrame, pairs: DataFrame, digits: int) -> DataFrame:
     entries = own.unionByName(new)
     entries = entries.join(entries.groupBy("digest").agg(F.count("*").alias("rows")).filter("rows > 1").select("digest"), "digest")
     ids = entries.select("doc_id").unionByName(entries.select(F.col("next_id").alias("doc_id")).filter("doc_id is not null"))
-    texts = _picked(docs, ids)
+    texts = pick(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), ids)
     heads = texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("following"))
     both = entries.filter("not of_edited").join(texts, "doc_id").withColumn("following", F.lit(""))
     both = both.unionByName(entries.filter("of_edited").join(texts, "doc_id").join(heads, "next_id"))

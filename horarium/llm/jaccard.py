@@ -36,14 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import avalanche, row_blocks, span_hashes, stash, word_spans
+from .common import avalanche, pick, row_blocks, span_hashes, stash, word_spans
 from .components import connected_components
 
 WORDS, NUM, DEN = 5, 75, 100
+_T = NUM / DEN
+_Q = _T / (1 + _T)  # of the sum of two sizes, the overlap that a link needs
 TABLE_BITS = 20
 SMALL = 24
 STAR_COLUMNS = 4
-BITMAP_BITS = 23
+PRUNINGS = 3
 ENTRY = np.dtype([("col", "<u8"), ("row", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("rare", "<u2")])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -182,35 +184,57 @@ def candidate_product(docs: DataFrame, table: np.ndarray, blocks: int) -> DataFr
     return cells.groupBy("block").applyInArrow(product, _PRODUCT)
 
 
-def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """2**BITMAP_BITS bits (1 MB) of the rows in the pairs; the driver gets at most that."""
-    bit = F.pmod("row", F.lit(1 << BITMAP_BITS))
-    words = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.int64)
-    got = words.toPandas()
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out
+def _full_rows(docs: DataFrame, survey: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, n, cells) of the wanted rows of the matrix: sorted shingles, 40 bits each.
 
-
-def _full_rows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, n, cells) of the rows of the matrix in the pairs, and a few others: sorted shingles, 40 bits each."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))
+    A row's text is that of the smallest doc_id that has it; only those texts move.
+    """
+    ids = survey.join(wanted.distinct(), "row").groupBy("row").agg(F.min("doc_id").alias("doc_id"))
+    ids = stash(ids, "jaccard-wanted")
+    texts = pick(docs.select("doc_id", "text"), ids).join(ids, "doc_id").select("row", "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             rows, sizes, cells = [], [], []
-            for s in shingle_sets(b.column(0)):
-                key = _key(s)
-                bit = key % (1 << BITMAP_BITS)
-                if len(s) and key not in seen and shared.value[bit >> 5] >> (bit & 31) & 1:
+            for key, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
+                if len(s) and key not in seen and key == _key(s):
                     seen.add(key)
                     rows.append(key)
                     sizes.append(len(s))
                     cells.append(np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary())], names=["row", "n", "cells"])
 
-    return docs.select("text").mapInArrow(emit, "row long, n long, cells binary").dropDuplicates(["row"])
+    return stash(texts.mapInArrow(emit, "row long, n long, cells binary"), "jaccard-rows")
+
+
+def _common_columns(rows: DataFrame, blocks: int) -> DataFrame:
+    """(a, u): how many of a row's shingles another of these rows has, by blocks of columns."""
+    place = np.dtype([("col", "<u8"), ("row", "<i8")])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for key, cells in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = _unpack(cells.as_py())
+                part = np.zeros(len(s), place)
+                part["col"], part["row"] = s, key
+                parts.append(part)
+            if parts:
+                e = np.concatenate(parts)
+                e = e[np.argsort(e["col"] % np.uint64(blocks), kind="stable")]
+                block = (e["col"] % np.uint64(blocks)).astype(np.int64)
+                cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(e)]
+                yield pa.record_batch([pa.array(block[cut[:-1]]), pa.array([e[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["block", "cells"])
+
+    def count(t: pa.Table) -> pa.Table:
+        e = np.unique(np.frombuffer(b"".join(t["cells"].to_pylist()), place))
+        same = e["col"][1:] == e["col"][:-1]
+        row, u = np.unique(e["row"][np.r_[same, False] | np.r_[False, same]], return_counts=True)
+        return pa.Table.from_arrays([pa.array(row), pa.array(u.astype(np.int64))], names=["a", "u"])
+
+    cells = rows.select("row", "cells").mapInArrow(emit, "block long, cells binary")
+    return cells.groupBy("block").applyInArrow(count, "a long, u long").groupBy("a").agg(F.sum("u").alias("u"))
 
 
 def _unpack(cells: bytes) -> np.ndarray:
@@ -250,26 +274,41 @@ def _star_pairs(entries: DataFrame) -> DataFrame:
     return pairs.selectExpr("least(a, pa) a", "greatest(a, pa) b", "if(a < pa, n, pn) n", "if(a < pa, pn, n) m").distinct()
 
 
-def _open_pairs(entries: DataFrame, components: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components with a frequent column that may be the first one they share.
+def _open_columns(entries: DataFrame, components: DataFrame, shared: DataFrame) -> DataFrame:
+    """Entries of frequent columns in which rows of different components may meet.
 
     A row is the smaller of a linked pair only if the larger one's size lies in
     a range: it must be small enough for what is left of the row after the
     column, and large enough for the few columns that the row shares at all
     (`shared`: a, s).  For a text that has a popular passage and nothing else
-    in common with others the range is empty, so such rows never meet.
+    in common with others the range is empty.
     """
-    t = NUM / DEN
-    q = t / (1 + t)
     own = F.coalesce("component", "a").alias("c")
     e = entries.join(components.withColumnRenamed("node", "a"), "a", "left").join(shared, "a", "left").select("col", "a", "n", "pos", own, F.coalesce("s", F.lit(0)).alias("s"))
     sizes = e.groupBy("col", "c").agg(F.count("*").alias("k"))
     main = sizes.groupBy("col").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("col", F.col("top.c").alias("main"))
     e = e.join(main, "col").withColumn("in_main", F.col("c") == F.col("main"))
-    low, high = F.expr(f"greatest(n, ({q} * n - s) / {t - q}) - 1e-6"), F.expr(f"(n - pos) / {q} - n + 1e-6")
-    x = e.withColumn("low", low).withColumn("high", high).filter("low <= high").selectExpr("col", "a as xa", "c as xc", "in_main as x_main", "low", "high")
-    y = e.selectExpr("col", "a", "n", "c", "in_main")
-    fits = "xc <> c and n between low and high and xa <> a"
+    e = e.withColumn("low", F.expr(f"greatest(n, ({_Q} * n - s) / {_T - _Q}) - 1e-6")).withColumn("high", F.expr(f"(n - pos) / {_Q} - n + 1e-6"))
+    reach = e.filter("low <= high").groupBy("col").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    return e.join(reach, "col").filter("low <= high or n between least and most").select("col", "a", "n", "c", "in_main", "low", "high")
+
+
+def _open_pairs(open_entries: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+    """Pairs (a, b) of different components in an open column that sizes and common shingles allow.
+
+    A row needs so many shingles that other rows have too; rows that cannot be
+    in any link are left out and the others counted again, PRUNINGS times.
+    """
+    for _ in range(PRUNINGS):
+        common = _common_columns(rows, blocks).withColumn("most", F.col("u") / _Q)
+        e = open_entries.select("col", "a", "n").join(common, "a").withColumn("most", F.expr("most - n + 1e-6"))
+        e = e.join(e.groupBy("col").agg(F.min("n").alias("least")), "col").filter("most >= least")
+        able = e.groupBy("a").agg(F.first("u").alias("u")).withColumnRenamed("a", "row")
+        rows = stash(rows.drop("u").join(able, "row").select("row", "n", "cells", "u"), "jaccard-able")
+    e = open_entries.join(rows.select(F.col("row").alias("a"), "u"), "a").withColumn("most", F.expr(f"u / {_Q} - n + 1e-6"))
+    x = e.filter("low <= least(high, most)").selectExpr("col", "a as xa", "n as xn", "c as xc", "in_main as x_main", "low", "least(high, most) as high")
+    fits = "xc <> c and n between low and high and xn <= most and xa <> a"
+    y = e.select("col", "a", "n", "c", "in_main", "most")
     pairs = x.join(y.filter("not in_main"), "col").filter(fits).select("xa", "a").unionByName(x.filter("not x_main").join(y.filter("in_main"), "col").filter(fits).select("xa", "a"))
     return pairs.select(F.least("xa", "a").alias("a"), F.greatest("xa", "a").alias("b")).distinct()
 
@@ -301,13 +340,16 @@ def link_groups(docs: DataFrame) -> DataFrame:
     both = overlaps.unionByName(_star_pairs(entries).join(overlaps.select("a", "b", "overlap"), ["a", "b"], "left"))
     both = both.join(counted.withColumnRenamed("k", "ka"), "a", "left").join(counted.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
     pairs = stash(_reachable(both, F.expr("least(coalesce(ka, 0L), coalesce(kb, 0L))")).distinct(), "jaccard-pairs")
-    links = stash(verify(pairs, _full_rows(docs, pairs)), "jaccard-links")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("row"))
+    links = stash(verify(pairs, _full_rows(docs, base, ends(pairs))), "jaccard-links")
     components = stash(connected_components(links, "a", "b"), "jaccard-components")
     shared = overlaps.select("a", "overlap").unionByName(overlaps.select(F.col("b").alias("a"), "overlap")).unionByName(counted.select("a", F.col("k").alias("overlap")))
     shared = shared.groupBy("a").agg(F.sum("overlap").alias("s"))
-    rest = stash(_open_pairs(entries, components, shared).join(pairs, ["a", "b"], "left_anti"), "jaccard-open")
-    if not rest.isEmpty():
-        links = stash(links.unionByName(verify(rest, _full_rows(docs, rest))), "jaccard-links")
+    open_entries = stash(_open_columns(entries, components, shared), "jaccard-open")
+    if not open_entries.isEmpty():
+        rows = _full_rows(docs, base, open_entries.select(F.col("a").alias("row")))
+        more = stash(_open_pairs(open_entries, rows, blocks).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+        links = stash(links.unionByName(verify(more, rows)), "jaccard-links")
         components = stash(connected_components(links, "a", "b"), "jaccard-components")
     linked = base.filter("n > 0").groupBy("row").agg(F.min("doc_id").alias("least")).join(components.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
