@@ -46,6 +46,7 @@ TABLE_BITS = 20
 SMALL = 24
 STAR_COLUMNS = 4
 PRUNINGS = 3
+EMIT_ENTRIES = 500_000
 ENTRY = np.dtype([("col", "<u8"), ("row", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("rare", "<u2")])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -108,14 +109,16 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.nulls(len(heavy), kind), pa.array(counts[heavy]), pa.array(heavy)], names=["doc_id", "n", "row"])
 
 
-def _multiply(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """((a, b, n, m, overlap) of rows that share columns of at most SMALL rows, entries of larger columns)."""
+def _multiply(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """((a, b, n, m, overlap, first) of rows that share columns of at most SMALL rows, entries of larger columns, rows, their columns of 2 to SMALL rows)."""
     e = np.unique(entries)  # equal sets collapse; sorted by column, then row
     cut = np.flatnonzero(np.diff(e["col"])) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(e)]
     size = last - first
     large = np.repeat(size > SMALL, size)
-    found = [np.zeros((0, 4), np.int64)]
+    found = [np.zeros((0, 5), np.int64)]
+    met = np.repeat((size > 1) & (size <= SMALL), size)
+    rows, shared = np.unique(e["row"][met], return_counts=True)
     for g in range(2, SMALL + 1):
         at = first[size == g]
         if not len(at):
@@ -124,9 +127,11 @@ def _multiply(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = e[(at[:, None] + i).ravel()], e[(at[:, None] + j).ravel()]  # rows ascend within a column
         n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
         ok = (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (x["row"] != y["row"])
-        found.append(np.stack([x["row"][ok], y["row"][ok], n[ok], m[ok]], 1))
-    pairs, overlap = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    return np.column_stack([pairs, overlap]), e[large]
+        may = np.minimum(n - x["pos"], m - y["pos"]) * (NUM + DEN) >= NUM * (n + m)  # may be the first column that they share
+        found.append(np.stack([x["row"][ok], y["row"][ok], n[ok], m[ok], may[ok]], 1))
+    pairs, which, overlap = np.unique(np.concatenate(found)[:, :4], axis=0, return_inverse=True, return_counts=True)
+    first = np.bincount(which.ravel(), weights=np.concatenate(found)[:, 4], minlength=len(pairs)) > 0
+    return np.column_stack([pairs, overlap, first]), e[large], rows, shared
 
 
 _PRODUCT = "kind int, a long, b long, n long, m long, col long, pos int, rare int"
@@ -142,14 +147,29 @@ def _entries_out(e: np.ndarray) -> pa.RecordBatch:
     return _product_batch(1, e["row"], e["row"], e["n"], e["n"], e["col"].copy().view(np.int64), e["pos"], e["rare"])
 
 
+def _by_block(e: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The blocks in ascending order and the bytes of their entries."""
+    order = np.argsort(block, kind="stable")
+    e, block = e[order], block[order]
+    cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(e)]
+    return block[cut[:-1]], [e[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
 def candidate_product(docs: DataFrame, table: np.ndarray, blocks: int) -> DataFrame:
-    """kind 0: pairs (a, b), their sizes (n, m) and overlap (pos) in a block; kind 1: entries (row a, n, col, pos, rare) of frequent columns."""
+    """kind 0: pairs (a, b), their sizes (n, m), overlap (pos) in a block, and whether a column may be their first common one (rare); kind 1: entries (row a, n, col, pos, rare) of frequent columns; kind 2: rows a and how many other columns they share (pos)."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    def dealt(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        e, hot = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        # frequent columns are dealt by row and pass through; the others meet in the block of their column
+        block = np.where(hot, avalanche(e["row"].astype(np.uint64)), e["col"] >> np.uint64(8)) % np.uint64(blocks) * np.uint64(2) + hot.astype(np.uint64)
+        keys, cells = _by_block(e, block.astype(np.int64))
+        return pa.record_batch([pa.array(keys // 2), pa.array((keys % 2).astype(np.int32)), pa.array(cells, pa.binary())], names=["block", "hot", "cells"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         magnitude = shared.value
         for b in batches:
-            parts, seen = [], set()
+            parts, seen, size = [], set(), 0
             for s in shingle_sets(b.column(0)):
                 key = _key(s)
                 if not len(s) or key in seen:
@@ -162,23 +182,18 @@ def candidate_product(docs: DataFrame, table: np.ndarray, blocks: int) -> DataFr
                 e["pos"] = np.minimum(np.arange(len(order)), 65535)
                 e["rare"] = min(int((level == 0).sum()), 65535)
                 parts.append((e, level[order] > 0))
-            if not parts:
-                continue
-            e, hot = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            # frequent columns are dealt by row and pass through; the others meet in the block of their column
-            block = np.where(hot, avalanche(e["row"].astype(np.uint64)), e["col"] >> np.uint64(8)) % np.uint64(blocks) * np.uint64(2) + hot.astype(np.uint64)
-            order = np.argsort(block, kind="stable")
-            e, block = e[order], block[order].astype(np.int64)
-            cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(e)]
-            keys = block[cut[:-1]]
-            cells = [e[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            yield pa.record_batch([pa.array(keys // 2), pa.array((keys % 2).astype(np.int32)), pa.array(cells, pa.binary())], names=["block", "hot", "cells"])
+                size += len(e)
+                if size >= EMIT_ENTRIES:
+                    yield dealt(parts)
+                    parts, size = [], 0
+            if parts:
+                yield dealt(parts)
 
     def product(t: pa.Table) -> pa.Table:
         read = lambda flag: np.frombuffer(b"".join(c for h, c in zip(t["hot"].to_pylist(), t["cells"].to_pylist(), strict=True) if h == flag), ENTRY)
-        pairs, large = _multiply(read(0))
-        zero = np.zeros(len(pairs), np.int64)
-        return pa.Table.from_batches([_product_batch(0, *pairs[:, :4].T, zero, pairs[:, 4], zero), _entries_out(large), _entries_out(np.unique(read(1)))])
+        pairs, large, rows, met = _multiply(read(0))
+        zero, none = np.zeros(len(pairs), np.int64), np.zeros(len(rows), np.int64)
+        return pa.Table.from_batches([_product_batch(2, rows, rows, none, none, none, met, none), _product_batch(0, *pairs[:, :4].T, zero, pairs[:, 4], pairs[:, 5]), _entries_out(large), _entries_out(np.unique(read(1)))])
 
     cells = docs.select("text").mapInArrow(emit, "block long, hot int, cells binary")
     return cells.groupBy("block").applyInArrow(product, _PRODUCT)
@@ -212,20 +227,25 @@ def _common_columns(rows: DataFrame, blocks: int) -> DataFrame:
     """(a, u): how many of a row's shingles another of these rows has, by blocks of columns."""
     place = np.dtype([("col", "<u8"), ("row", "<i8")])
 
+    def dealt(parts: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.concatenate(parts)
+        keys, cells = _by_block(e, (e["col"] % np.uint64(blocks)).astype(np.int64))
+        return pa.record_batch([pa.array(keys), pa.array(cells, pa.binary())], names=["block", "cells"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
+            parts, size = [], 0
             for key, cells in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = _unpack(cells.as_py())
                 part = np.zeros(len(s), place)
                 part["col"], part["row"] = s, key
                 parts.append(part)
+                size += len(s)
+                if size >= EMIT_ENTRIES:
+                    yield dealt(parts)
+                    parts, size = [], 0
             if parts:
-                e = np.concatenate(parts)
-                e = e[np.argsort(e["col"] % np.uint64(blocks), kind="stable")]
-                block = (e["col"] % np.uint64(blocks)).astype(np.int64)
-                cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(e)]
-                yield pa.record_batch([pa.array(block[cut[:-1]]), pa.array([e[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["block", "cells"])
+                yield dealt(parts)
 
     def count(t: pa.Table) -> pa.Table:
         e = np.unique(np.frombuffer(b"".join(t["cells"].to_pylist()), place))
@@ -289,8 +309,18 @@ def _open_columns(entries: DataFrame, components: DataFrame, shared: DataFrame)
     main = sizes.groupBy("col").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("col", F.col("top.c").alias("main"))
     e = e.join(main, "col").withColumn("in_main", F.col("c") == F.col("main"))
     e = e.withColumn("low", F.expr(f"greatest(n, ({_Q} * n - s) / {_T - _Q}) - 1e-6")).withColumn("high", F.expr(f"(n - pos) / {_Q} - n + 1e-6"))
-    reach = e.filter("low <= high").groupBy("col").agg(F.min("low").alias("least"), F.max("high").alias("most"))
-    return e.join(reach, "col").filter("low <= high or n between least and most").select("col", "a", "n", "c", "in_main", "low", "high")
+    x = e.filter("low <= high").selectExpr("col as x_col", "a as xa", "c as xc", "in_main as x_main", "low as x_low", "high as x_high")
+    x = x.select("*", _size_classes("x_low", "x_high").alias("x_class"))
+    y = e.select("col", "a", "n", "c", "in_main", _size_classes("n", "n").alias("y_class"))
+    on = F.expr("x_col = col and x_class = y_class and xc <> c and not (x_main and in_main) and n between x_low and x_high and xa <> a")
+    ends = x.join(y, on, "left_semi").select(F.col("x_col").alias("col"), F.col("xa").alias("a")).unionByName(y.join(x, on, "left_semi").select("col", "a")).distinct()
+    return e.join(ends, ["col", "a"]).select("col", "a", "n", "c", "in_main", "low", "high")
+
+
+def _size_classes(low: str, high: str):
+    """Classes of sizes, a twentieth wide, from one size to another."""
+    at = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / math.log(1.05)).cast("int")
+    return F.explode(F.sequence(at(F.col(low).cast("double")), at(F.col(high).cast("double"))))
 
 
 def _open_pairs(open_entries: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
@@ -308,8 +338,10 @@ def _open_pairs(open_entries: DataFrame, rows: DataFrame, blocks: int) -> DataFr
     e = open_entries.join(rows.select(F.col("row").alias("a"), "u"), "a").withColumn("most", F.expr(f"u / {_Q} - n + 1e-6"))
     x = e.filter("low <= least(high, most)").selectExpr("col", "a as xa", "n as xn", "c as xc", "in_main as x_main", "low", "least(high, most) as high")
     fits = "xc <> c and n between low and high and xn <= most and xa <> a"
-    y = e.select("col", "a", "n", "c", "in_main", "most")
-    pairs = x.join(y.filter("not in_main"), "col").filter(fits).select("xa", "a").unionByName(x.filter("not x_main").join(y.filter("in_main"), "col").filter(fits).select("xa", "a"))
+    x = x.select("*", _size_classes("low", "high").alias("size_class"))
+    y = e.select("col", "a", "n", "c", "in_main", "most", _size_classes("n", "n").alias("size_class"))
+    on = ["col", "size_class"]
+    pairs = x.join(y.filter("not in_main"), on).filter(fits).select("xa", "a").unionByName(x.filter("not x_main").join(y.filter("in_main"), on).filter(fits).select("xa", "a"))
     return pairs.select(F.least("xa", "a").alias("a"), F.greatest("xa", "a").alias("b")).distinct()
 
 
@@ -335,16 +367,15 @@ def link_groups(docs: DataFrame) -> DataFrame:
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 3, total * (DEN - NUM) // DEN // 500_000)
     product = stash(candidate_product(docs, table, blocks), "jaccard-product")
     entries = product.filter("kind = 1").select("a", "n", "col", "pos", "rare")
-    overlaps = product.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("pos").alias("overlap"))
+    overlaps = product.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("pos").alias("overlap"), F.max("rare").alias("first"))
     counted = entries.groupBy("a").agg(F.count("*").alias("k"))
-    both = overlaps.unionByName(_star_pairs(entries).join(overlaps.select("a", "b", "overlap"), ["a", "b"], "left"))
+    both = overlaps.filter("first > 0").drop("first").unionByName(_star_pairs(entries).join(overlaps.select("a", "b", "overlap"), ["a", "b"], "left"))
     both = both.join(counted.withColumnRenamed("k", "ka"), "a", "left").join(counted.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
     pairs = stash(_reachable(both, F.expr("least(coalesce(ka, 0L), coalesce(kb, 0L))")).distinct(), "jaccard-pairs")
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("row"))
     links = stash(verify(pairs, _full_rows(docs, base, ends(pairs))), "jaccard-links")
     components = stash(connected_components(links, "a", "b"), "jaccard-components")
-    shared = overlaps.select("a", "overlap").unionByName(overlaps.select(F.col("b").alias("a"), "overlap")).unionByName(counted.select("a", F.col("k").alias("overlap")))
-    shared = shared.groupBy("a").agg(F.sum("overlap").alias("s"))
+    shared = product.filter("kind = 2").select("a", F.col("pos").cast("long").alias("k")).unionByName(counted).groupBy("a").agg(F.sum("k").alias("s"))
     open_entries = stash(_open_columns(entries, components, shared), "jaccard-open")
     if not open_entries.isEmpty():
         rows = _full_rows(docs, base, open_entries.select(F.col("a").alias("row")))
