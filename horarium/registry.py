@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries.timetable import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "flagship_times_near"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
