@@ -47,11 +47,14 @@ SMALL = 24
 STAR_COLUMNS = 4
 PRUNINGS = 3
 EMIT_ENTRIES = 500_000
+HEAD = 64
+BATCH_ROWS = 2000
 ENTRY = np.dtype([("col", "<u8"), ("row", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("rare", "<u2")])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+_LAST = np.uint64(2**64 - 1)
 
 
 def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -83,30 +86,36 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def _pack(s: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted shingles, which keep their order."""
+    return np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
 def _bucket(columns: np.ndarray) -> np.ndarray:
     return (columns >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, row) of each document, then (null, count, bucket) of the task's frequent buckets."""
+    """(doc_id, n, row, head) of each document, head being its least shingles, then (null, count, bucket) of the task's frequent buckets."""
     counts, kind = np.zeros(1 << TABLE_BITS, np.int64), None
     for b in batches:
         kind = b.column(0).type
-        sizes, keys, held = [], [], []
+        sizes, keys, heads, held = [], [], [], []
         for s in shingle_sets(b.column(1)):
             sizes.append(len(s))
             keys.append(_key(s))
+            heads.append(_pack(s[:HEAD]))
             held.append(s)
             if len(held) >= 512:
                 counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts))
                 held = []
         if held:
             counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts))
-        yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "row"])
+        yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "n", "row", "head"])
     mean = counts.mean()
     heavy = np.flatnonzero(counts > mean + 6 * math.sqrt(mean) + 8)
     if len(heavy):
-        yield pa.record_batch([pa.nulls(len(heavy), kind), pa.array(counts[heavy]), pa.array(heavy)], names=["doc_id", "n", "row"])
+        yield pa.record_batch([pa.nulls(len(heavy), kind), pa.array(counts[heavy]), pa.array(heavy), pa.nulls(len(heavy), pa.binary())], names=["doc_id", "n", "row", "head"])
 
 
 def _multiply(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +226,7 @@ def _full_rows(docs: DataFrame, survey: DataFrame, wanted: DataFrame) -> DataFra
                     seen.add(key)
                     rows.append(key)
                     sizes.append(len(s))
-                    cells.append(np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+                    cells.append(_pack(s))
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary())], names=["row", "n", "cells"])
 
     return stash(texts.mapInArrow(emit, "row long, n long, cells binary"), "jaccard-rows")
@@ -263,6 +272,33 @@ def _unpack(cells: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose heads leave a link possible: up to the smaller of their ends the heads are all of both rows, and neither may miss more of the other than the sizes allow."""
+    for b in batches:
+        keep = []
+        for k, (n, m, x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)):
+            x, y = _unpack(x.as_py()), _unpack(y.as_py())
+            end = min(x[-1] if n > HEAD else _LAST, y[-1] if m > HEAD else _LAST)
+            x, y = x[x <= end], y[y <= end]
+            common = len(np.intersect1d(x, y))
+            need = -(-NUM * (n + m) // (NUM + DEN))
+            if len(x) - common <= n - need and len(y) - common <= m - need:
+                keep.append(k)
+        at = pa.array(keep, pa.int64())
+        yield pa.record_batch([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
+
+
+def promising(pairs: DataFrame, survey: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their heads do not rule out; a few hundred bytes a row travel."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    heads = survey.join(ends, "row").groupBy("row").agg(F.first("n").alias("n"), F.first("head").alias("head"))
+    x = heads.select(F.col("row").alias("a"), "n", "head")
+    y = heads.select(F.col("row").alias("b"), F.col("n").alias("m"), F.col("head").alias("other"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "head", "other")
+    both = both.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)")
+    return both.mapInArrow(_promising, "a long, b long")
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, held = None, None
     for b in batches:
@@ -357,9 +393,19 @@ def _reachable(pairs: DataFrame, frequent) -> DataFrame:
 
 def link_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH_ROWS))  # rows of the matrix may be long
+    try:
+        return _link_groups(docs)
+    finally:
+        conf.set(name, before)
+
+
+def _link_groups(docs: DataFrame) -> DataFrame:
     spark, ids = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    survey = stash(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_survey, f"doc_id {ids}, n long, row long"), "jaccard-survey")
-    base = survey.filter("doc_id is not null")
+    survey = stash(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_survey, f"doc_id {ids}, n long, row long, head binary"), "jaccard-survey")
+    base = survey.filter("doc_id is not null")  # all that runs in Python is stored before this returns
     table = np.zeros(1 << TABLE_BITS, np.uint8)
     for r in survey.filter("doc_id is null").groupBy("row").agg(F.sum("n").alias("n")).toLocalIterator():
         table[r.row] = 1 + int(math.log2(r.n))
@@ -371,7 +417,8 @@ def link_groups(docs: DataFrame) -> DataFrame:
     counted = entries.groupBy("a").agg(F.count("*").alias("k"))
     both = overlaps.filter("first > 0").drop("first").unionByName(_star_pairs(entries).join(overlaps.select("a", "b", "overlap"), ["a", "b"], "left"))
     both = both.join(counted.withColumnRenamed("k", "ka"), "a", "left").join(counted.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
-    pairs = stash(_reachable(both, F.expr("least(coalesce(ka, 0L), coalesce(kb, 0L))")).distinct(), "jaccard-pairs")
+    pairs = stash(_reachable(both, F.expr("least(coalesce(ka, 0L), coalesce(kb, 0L))")).distinct(), "jaccard-reachable")
+    pairs = stash(promising(pairs, base), "jaccard-pairs")
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("row"))
     links = stash(verify(pairs, _full_rows(docs, base, ends(pairs))), "jaccard-links")
     components = stash(connected_components(links, "a", "b"), "jaccard-components")
@@ -380,6 +427,7 @@ def link_groups(docs: DataFrame) -> DataFrame:
     if not open_entries.isEmpty():
         rows = _full_rows(docs, base, open_entries.select(F.col("a").alias("row")))
         more = stash(_open_pairs(open_entries, rows, blocks).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+        more = stash(promising(more, base), "jaccard-more")
         links = stash(links.unionByName(verify(more, rows)), "jaccard-links")
         components = stash(connected_components(links, "a", "b"), "jaccard-components")
     linked = base.filter("n > 0").groupBy("row").agg(F.min("doc_id").alias("least")).join(components.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
