@@ -19,7 +19,7 @@ def con(sf_dir):
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
         if isinstance(x, float):
             return f"{x:.9g}"
