@@ -178,7 +178,8 @@ def _map_texts(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
         return pa.Table.from_batches([finish(enc, t["doc_id"].combine_chunks()[:1], iter([nodes[0][1]]))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {PIECE} as int))")).alias("k"))
+    numbered = long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # before the texts are cut
+    cut = numbered.select("row", "doc_id", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {PIECE} as int))")).alias("k"))
     cut = cut.select("row", "doc_id", "k", F.expr(f"substring(text, k * {PIECE} + 1, {PIECE})").alias("part")).repartition("row", "k")
     encoded = cut.mapInArrow(piece, f"row long, doc_id {kind}, k int, part string, ids binary")
     return short.select("doc_id", "text").mapInArrow(whole, schema).unionByName(encoded.groupBy("row").applyInArrow(joined, schema))
