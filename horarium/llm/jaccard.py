@@ -47,6 +47,7 @@ SMALL = 24
 STAR_COLUMNS = 4
 PRUNINGS = 3
 EMIT_ENTRIES = 500_000
+BLOCK_ENTRIES = 2_000_000
 HEAD = 64
 BATCH_ROWS = 2000
 ENTRY = np.dtype([("col", "<u8"), ("row", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("rare", "<u2")])
@@ -359,12 +360,13 @@ def _size_classes(low: str, high: str):
     return F.explode(F.sequence(at(F.col(low).cast("double")), at(F.col(high).cast("double"))))
 
 
-def _open_pairs(open_entries: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+def _open_pairs(open_entries: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in an open column that sizes and common shingles allow.
 
     A row needs so many shingles that other rows have too; rows that cannot be
     in any link are left out and the others counted again, PRUNINGS times.
     """
+    blocks = 1 + (rows.agg(F.sum("n")).first()[0] or 0) // BLOCK_ENTRIES
     for _ in range(PRUNINGS):
         common = _common_columns(rows, blocks).withColumn("most", F.col("u") / _Q)
         e = open_entries.select("col", "a", "n").join(common, "a").withColumn("most", F.expr("most - n + 1e-6"))
@@ -426,7 +428,7 @@ def _link_groups(docs: DataFrame) -> DataFrame:
     open_entries = stash(_open_columns(entries, components, shared), "jaccard-open")
     if not open_entries.isEmpty():
         rows = _full_rows(docs, base, open_entries.select(F.col("a").alias("row")))
-        more = stash(_open_pairs(open_entries, rows, blocks).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+        more = stash(_open_pairs(open_entries, rows).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
         more = stash(promising(more, base), "jaccard-more")
         links = stash(links.unionByName(verify(more, rows)), "jaccard-links")
         components = stash(connected_components(links, "a", "b"), "jaccard-components")
