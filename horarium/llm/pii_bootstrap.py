@@ -6,10 +6,10 @@ Only DataFrame and SQL functions are used.
    (leftmost, non-overlapping per kind; failing matches are dropped).  They are
    written so that the JVM's matcher runs in linear time and constant stack.
 2. *Patterns.*  The word before and the word after each seed are lexical
-   patterns of its kind.  A pattern needs ``MIN_SUPPORT`` distinct values and a
-   thousandth of the kind's seeds, so there are at most 8,000 patterns however
-   large the corpus is, few enough to broadcast.  Their occurrences are counted over
-   all words of all texts, so a common word never becomes a good pattern.
+   patterns of its kind.  A pattern needs ``MIN_SUPPORT`` distinct values and
+   nothing else: their number grows with the corpus, so they are met by shuffle
+   joins, dealt by a salt where a word may be frequent.  Their occurrences are counted
+   over all words of all texts, so a common word never becomes a good pattern.
 3. *Graph.*  Identifier-shaped strings that no expression accepts are instances
    where they stand next to a pattern.  Pattern and instance scores are
    recomputed in turn (a pattern: its seeds and scored instances over its
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 MIN_SUPPORT = 3
-SHARE = 0.001
+SALTS = 16
 CONFIDENCE = 0.6
 ROUNDS = 3
 KINDS = ("email", "ip", "card", "phone")
@@ -114,13 +114,18 @@ def _contexts(spans: DataFrame) -> DataFrame:
     return spans.withColumn("c", F.explode(sides)).select("*", "c.side", "c.word").drop("c").filter("word <> ''")
 
 
+def _dealt(rows: DataFrame, few: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """`rows` joined with `few`: the rows of a key are dealt to SALTS partitions by the columns `by`."""
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(copies, [*on, "salt"]).drop("salt")
+
+
 def induce_patterns(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(kind, side, word, seeds, total): supported patterns and how often their word stands in the corpus."""
-    size = F.broadcast(seeds.groupBy("kind").agg((F.count("*") * SHARE).alias("share")))  # one row a kind
     support = _contexts(seeds).groupBy("kind", "side", "word").agg(F.count("*").alias("seeds"), F.count_distinct("value").alias("distinct_values"))
-    patterns = stash(support.join(size, "kind").filter((F.col("distinct_values") >= MIN_SUPPORT) & (F.col("seeds") >= F.col("share"))).select("kind", "side", "word", "seeds"), "pii-patterns")
+    patterns = stash(support.filter(F.col("distinct_values") >= MIN_SUPPORT).select("kind", "side", "word", "seeds"), "pii-patterns")
     words = docs.filter("text is not null").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    totals = words.join(F.broadcast(patterns.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("total"))
+    totals = words.groupBy("word").agg(F.count("*").alias("total"))  # one row a word, so no word is frequent in the join
     return patterns.join(totals, "word").select("kind", "side", "word", "seeds", F.greatest("total", "seeds").alias("total"))
 
 
@@ -131,9 +136,9 @@ def score_graph(patterns: DataFrame, edges: DataFrame) -> DataFrame:
     """
     scores = patterns.select("kind", "side", "word", (F.col("seeds") / F.col("total")).alias("score"))
     for _ in range(ROUNDS):
-        at = edges.join(scores, ["kind", "side", "word"])
+        at = _dealt(edges, scores, ["kind", "side", "word"], ["value"])
         belief = at.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("belief"))
-        gained = edges.join(belief, ["kind", "value"]).groupBy("kind", "side", "word").agg(F.sum(F.col("n") * F.col("belief")).alias("gained"))
+        gained = _dealt(edges, belief, ["kind", "value"], ["side", "word"]).groupBy("kind", "side", "word").agg(F.sum(F.col("n") * F.col("belief")).alias("gained"))
         new = patterns.join(gained, ["kind", "side", "word"], "left")
         scores = stash(new.select("kind", "side", "word", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("total")).alias("score")), "pii-scores")
     return scores
@@ -142,14 +147,14 @@ def score_graph(patterns: DataFrame, edges: DataFrame) -> DataFrame:
 def discover(docs: DataFrame, found: DataFrame, seeds: DataFrame) -> DataFrame:
     """Spans (row, key, doc_id, kind, start, stop) that high-confidence patterns add."""
     patterns = stash(induce_patterns(docs, seeds), "pii-induced")
-    at = _contexts(_spans(found, "other")).join(F.broadcast(patterns.select(F.col("kind").alias("as_kind"), "side", "word")), ["side", "word"])
+    at = _dealt(_contexts(_spans(found, "other")), patterns.select(F.col("kind").alias("as_kind"), "side", "word"), ["side", "word"], ["row", "start"])
     at = at.filter(_suits(F.col("as_kind"), "value")).drop("kind").withColumnRenamed("as_kind", "kind")
     base = seeds.select("row", F.col("start").alias("a"), F.col("stop").alias("z"))
     at = stash(at.join(base, (at["row"] == base["row"]) & (F.col("start") < F.col("z")) & (F.col("a") < F.col("stop")), "left_anti"), "pii-instances")
     edges = stash(at.groupBy("kind", "side", "word", "value").agg(F.count("*").alias("n")), "pii-edges")
     good = score_graph(patterns, edges).filter(F.col("score") >= CONFIDENCE)
     best = Window.partitionBy("row", "start", "stop").orderBy(F.desc("score"), "kind")
-    named = at.join(good, ["kind", "side", "word"]).withColumn("k", F.row_number().over(best)).filter("k = 1")
+    named = _dealt(at, good, ["kind", "side", "word"], ["row", "start"]).withColumn("k", F.row_number().over(best)).filter("k = 1")
     return named.select("row", "key", "doc_id", "kind", "start", "stop")
 
 
