@@ -155,13 +155,19 @@ def calendar_cross(spark, d):
     return days.select("day", F.explode(F.array(*map(F.lit, SLOTS))).alias("slot"))
 
 
-@query(f"WITH {SRC}, m AS (SELECT unnest([0, 1, 2]) AS idx) SELECT source_id, idx, CAST(idx + 1 AS INT) AS month, url || '/2024/' || printf('%02d', idx + 1) AS url FROM src, m WHERE url IS NOT NULL AND source_id % 11 = 0")
-def paging_expand(spark, d):
-    source = A.source(spark, d).filter("url is not null and source_id % 11 = 0").select("source_id", F.concat("url", F.lit("/{year}/{month:02d}")).alias("template"))
+@query()
+def paging_expand_all(spark, d):
+    """Every source with a URL; the SQL of `paging_expand` has an eleventh of them."""
+    source = A.source(spark, d).filter("url is not null").select("source_id", F.concat("url", F.lit("/{year}/{month:02d}")).alias("template"))
     none = spark.createDataFrame([], "url string, html string")
     return materialize.expand_pages(source, none, "2024-01-05", 60).select("source_id", "idx", "month", "url")
 
 
+@query(f"WITH {SRC}, m AS (SELECT unnest([0, 1, 2]) AS idx) SELECT source_id, idx, CAST(idx + 1 AS INT) AS month, url || '/2024/' || printf('%02d', idx + 1) AS url FROM src, m WHERE url IS NOT NULL AND source_id % 11 = 0")
+def paging_expand(spark, d):
+    return paging_expand_all(spark, d).filter("source_id % 11 = 0")
+
+
 @query(f"WITH {SRC} SELECT coalesce(status, 'TOTAL') AS status, count(*) AS n FROM src GROUP BY ROLLUP (status)")
 def triage_breakdown(spark, d):
     return A.source(spark, d).rollup("status").agg(F.count("*").alias("n")).select(F.coalesce("status", F.lit("TOTAL")).alias("status"), "n")
