@@ -123,6 +123,23 @@ def by_city_size(venue: DataFrame) -> DataFrame:
     return venue.withColumn("city_size", F.count("*").over(Window.partitionBy("city")))
 
 
+def city_size_places(venue: DataFrame, span: int = 10_000) -> DataFrame:
+    """(venue_id, place) of every venue in the order of `by_city_size`, from 1.
+
+    Rows are numbered within ranges of `span` ids of a city size; a range's offset
+    is what stands before it.  The one window without a partition has a row for each
+    city size, of which n venues have at most the root of 2 n.
+    """
+    rows = by_city_size(venue).select("venue_id", "city_size", F.floor(F.col("venue_id") / span).alias("part"))
+    parts = rows.groupBy("city_size", "part").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("city_size").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    sizes = sizes.select("city_size", before(Window.orderBy(F.desc("city_size"))).alias("larger"))
+    parts = parts.withColumn("lower", before(Window.partitionBy("city_size").orderBy("part"))).join(sizes, "city_size")
+    within = F.row_number().over(Window.partitionBy("city_size", "part").orderBy("venue_id"))
+    return rows.withColumn("k", within).join(parts, ["city_size", "part"]).select("venue_id", (F.col("larger") + F.col("lower") + F.col("k")).alias("place"))
+
+
 def blocked(urls: DataFrame, hosts: DataFrame) -> DataFrame:
     """`urls` with host and blocked: the host, or a domain above it, is listed.
 
