@@ -175,6 +175,12 @@ def keyword_score(text: Column) -> Column:
     return (found + F.when(F.contains(t, F.lit(":")), 5).otherwise(0)).cast("double")
 
 
+def has_keyword(text: Column) -> Column:
+    """Whether any keyword occurs."""
+    t = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(t, F.lit(k)) for k in KEYWORDS))
+
+
 def media_kind(url: Column) -> Column:
     """pdf or image by extension, pdf for a download endpoint, else null."""
     path = F.lower(F.regexp_extract(url, r"^([^?]*)", 1))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pyudfs, scalars as S
-from ..operators import state, tables
+from ..operators import state, tables, venues
 from ..operators.ranking import last_wins
 from ..plans import gates, materialize
 from ..sources import adapters as A
 from ..sources import html
+from ..sources.seeds import read_hosts
 from .core import MIN, OCC, ORACLE_SQL, ORDER, QUERIES, SLOTS, SRC, VENUE, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -123,8 +124,8 @@ def richest_region(spark, d):
 def keyword_links(spark, d):
     pages = A.table(spark, d, "pages")
     links = html.anchors(pages, "page_id").join(pages.select("page_id", "url"), "page_id").withColumn("target", pyudfs.absolute_url("url", "href"))
-    same = S.url_host(F.col("target")) == S.url_host(F.col("url"))
-    return links.filter(same & (S.keyword_score(F.concat_ws(" ", "href", "text")) % 5 > 0)).groupBy("page_id", "target").agg(F.min("ordinal").alias("ordinal"))
+    links = links.withColumn("host", S.url_host(F.col("target"))).filter((F.col("host") == S.url_host(F.col("url"))) & S.has_keyword(F.concat_ws(" ", "href", "text")))
+    return venues.blocked(links, read_hosts(spark)).filter("not blocked").groupBy("page_id", "target").agg(F.min("ordinal").alias("ordinal"))
 
 
 @query()
