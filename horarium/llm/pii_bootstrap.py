@@ -9,7 +9,8 @@ Only DataFrame and SQL functions are used.
    patterns of its kind.  A pattern needs ``MIN_SUPPORT`` distinct values and
    nothing else: their number grows with the corpus, so they are met by shuffle
    joins, dealt by a salt where a word may be frequent.  Their occurrences are counted
-   over all words of all texts, so a common word never becomes a good pattern.
+   over all texts, alone or glued to other characters, so a common word or mark
+   never becomes a good pattern.
 3. *Graph.*  Identifier-shaped strings that no expression accepts are instances
    where they stand next to a pattern.  Pattern and instance scores are
    recomputed in turn (a pattern: its seeds and scored instances over its
@@ -120,13 +121,45 @@ def _dealt(rows: DataFrame, few: DataFrame, on: list[str], by: list[str]) -> Dat
     return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(copies, [*on, "salt"]).drop("salt")
 
 
-def induce_patterns(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+def _glued(found: DataFrame) -> DataFrame:
+    """(kind, side, word) of what stands between two matches of a kind without white space; it begins and ends inside a word."""
+    out = None
+    for kind in KINDS:
+        one = found.filter(F.size(kind) > 1).select(F.posexplode(kind).alias("k", "m")).filter("k > 0 and m.gap > 0 and length(m.before) = m.gap")
+        one = one.select(F.lit(kind).alias("kind"), F.explode(F.array(F.lit("before"), F.lit("after"))).alias("side"), F.col("m.before").alias("word"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(side, word, n): how often each string stands where a context could, alone or glued to what it leads or follows.
+
+    A word may be cut where its characters change between digits, letters and
+    others, and beside every punctuation mark: every match begins and ends at such
+    a place.  What comes before a cut is a string of side before, what follows it
+    one of side after; like contexts they have at most 64 characters.
+    """
+    words = docs.filter("text is not null").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    alone = "named_struct('side', 'before', 'word', right(w, 63)), named_struct('side', 'after', 'word', left(w, 63))"
+    one_run = r"^(?:[0-9]+|[a-z]+|[^\\x00-\\x7F]+)$"
+    chars = words.withColumn("one", F.expr(f"w rlike '{one_run}'")).withColumn("c", F.expr("if(one, array(), split(w, ''))"))
+    cuts = chars.withColumn("cuts", F.expr(f"if(size(c) < 2, array(), filter(sequence(1, greatest(1, size(c) - 1)), p -> not concat(c[p - 1], c[p]) rlike '{one_run}'))"))
+    forms = cuts.select("n", F.explode(F.expr(
+        f"concat(array({alone}), transform(cuts, p -> named_struct('side', 'before', 'word', array_join(slice(c, greatest(1, p - 63), least(p, 64)), ''))), "
+        "transform(cuts, p -> named_struct('side', 'after', 'word', array_join(slice(c, p + 1, 64), ''))))"
+    )).alias("f"))
+    return forms.groupBy("f.side", "f.word").agg(F.sum("n").alias("n"))
+
+
+def induce_patterns(docs: DataFrame, found: DataFrame, seeds: DataFrame) -> DataFrame:
     """(kind, side, word, seeds, total): supported patterns and how often their word stands in the corpus."""
     support = _contexts(seeds).groupBy("kind", "side", "word").agg(F.count("*").alias("seeds"), F.count_distinct("value").alias("distinct_values"))
     patterns = stash(support.filter(F.col("distinct_values") >= MIN_SUPPORT).select("kind", "side", "word", "seeds"), "pii-patterns")
-    words = docs.filter("text is not null").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    totals = words.groupBy("word").agg(F.count("*").alias("total"))  # one row a word, so no word is frequent in the join
-    return patterns.join(totals, "word").select("kind", "side", "word", "seeds", F.greatest("total", "seeds").alias("total"))
+    glued = _glued(found).groupBy("kind", "side", "word").agg(F.count("*").alias("glued"))
+    # one row a string on either side, so no string is frequent in the joins
+    both = patterns.join(occurrences(docs), ["side", "word"], "left").join(glued, ["kind", "side", "word"], "left")
+    total = F.coalesce("n", F.lit(0)) + F.coalesce("glued", F.lit(0))
+    return both.select("kind", "side", "word", "seeds", F.greatest(total, "seeds").alias("total"))
 
 
 def score_graph(patterns: DataFrame, edges: DataFrame) -> DataFrame:
@@ -146,7 +179,7 @@ def score_graph(patterns: DataFrame, edges: DataFrame) -> DataFrame:
 
 def discover(docs: DataFrame, found: DataFrame, seeds: DataFrame) -> DataFrame:
     """Spans (row, key, doc_id, kind, start, stop) that high-confidence patterns add."""
-    patterns = stash(induce_patterns(docs, seeds), "pii-induced")
+    patterns = stash(induce_patterns(docs, found, seeds), "pii-induced")
     at = _dealt(_contexts(_spans(found, "other")), patterns.select(F.col("kind").alias("as_kind"), "side", "word"), ["side", "word"], ["row", "start"])
     at = at.filter(_suits(F.col("as_kind"), "value")).drop("kind").withColumnRenamed("as_kind", "kind")
     base = seeds.select("row", F.col("start").alias("a"), F.col("stop").alias("z"))

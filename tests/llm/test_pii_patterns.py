@@ -13,3 +13,18 @@ def test_a_hot_source_hides_no_pattern(spark):
     hot = ["office +49 30 1234567 berlin"] * 4000
     got = spans(spark, [*cued, "please ring helpline: 425-555-0199 today", *hot])
     assert got[3] == "phone:22:34" and got[0] == "phone:22:39" and got[4] == "phone:7:21"
+
+
+def test_glued_patterns_are_counted(spark):
+    cued = [f"w{k}w tel:+4930123456{k}" for k in range(3)]
+    marked = [f"v{k}v 10.0.0.{k}!!" for k in range(3)]
+    got = spans(spark, [*cued, "u tel:030-1234567", *marked, "t 999.1.1.1.1!!", "so !! it", *[f"wow{k}!!" for k in range(20)]])
+    assert got[3] == "phone:6:17"  # never stands alone
+    assert got[7] == ""  # stands alone once, and glued to many words that are no identifiers
+
+
+def test_occurrences(spark):
+    docs = spark.createDataFrame([("tel:1 Tel:x tel: the there", ), ("😀!! a!!",), (None,), ("x" * 70,)], "text string")
+    n = {(r.side, r.word): r.n for r in pii_bootstrap.occurrences(docs).collect()}
+    assert n["before", "tel:"] == 3 and n["before", "tel"] == 3 and n["before", "the"] == 1
+    assert n["after", "!!"] == 2 and n["before", "😀"] == 1 and n["after", "😀!!"] == 1 and n["before", "x" * 63] == 1
