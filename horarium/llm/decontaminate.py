@@ -280,11 +280,12 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
-    """`docs` with the hit spans cut out of the texts in which they cover at least one word in `one_in`."""
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, longest: int = 50) -> DataFrame:
+    """`docs` without hit spans: all those of a text in which they cover at least one word in `one_in`, elsewhere runs of more than `longest` words."""
     found = scan(docs, benchmark, window)
     over = (F.size("runs") > 0) & (one_in * _n_hit() >= F.col("n_words"))
-    found = found.withColumn("cut", F.when(over, F.col("byte_runs")).otherwise(F.array().cast("array<long>")))
+    long = F.expr(f"flatten(transform(filter(sequence(0, size(runs) div 2 - 1), i -> runs[2 * i + 1] - runs[2 * i] > {longest}), i -> array(byte_runs[2 * i], byte_runs[2 * i + 1])))")
+    found = found.withColumn("cut", F.when(over, F.col("byte_runs")).when(F.size("runs") > 0, long).otherwise(F.array().cast("array<long>")))
     clean = found.filter(F.size("cut") == 0).select(*_columns(docs))
     cut = found.filter(F.size("cut") > 0).select("row", "text", "cut")
     kept = cut.mapInArrow(_without, f"row {cut.schema['row'].dataType.simpleString()}, text string")
