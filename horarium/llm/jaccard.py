@@ -1,37 +1,44 @@
 """Exact n-gram Jaccard join by a blocked sparse product.
 
 The document x shingle incidence matrix is multiplied with its transpose in
-blocks of columns.  Only the columns of a row's *prefix* take part: with the
-columns in one global order, two sets that reach the similarity must share a
-column among the first ``n - ceil(t n) + 1`` of each (the size-derived bound),
-and a pair is dropped at a shared column if the sizes, or what is left of both
-rows after it, cannot reach the overlap that the sizes require.  Whatever
-remains is verified on the full rows, so links are exact.
-
-Order of columns: rare ones first.  A table of 2**20 counters (1 MB, whatever
-the corpus) holds the magnitude of frequent columns; it steers the order and
-never the result.
-
-Skew.  Equal sets are one row of the matrix (keyed by a digest).  A column of
-at most ``SMALL`` rows gives all its pairs.  Frequent columns are spread over
-rows instead of being gathered: first every row is paired with the most central
-row (*pivot*) of its first few frequent columns, and verified links become
-components; then, for completeness, rows of a frequent column that lie in
-different components are paired where the bounds allow a link.  Pairs within a component need no link of
-their own, so a group of copies costs a star, not a square.
+blocks of columns, and rows and pairs leave as soon as the sizes forbid a link.
+A row of n shingles can link only if others hold at least ``ceil(t n)`` of them.
+
+1. *Half of the columns.*  The columns in the lower half of the hash space meet
+   in their blocks; each row learns how many of them another row holds.  It may
+   miss ``n - ceil(t n)`` in all, so a row that misses more here leaves.
+2. *All columns of the rows left.*  Each row learns which of its shingles others
+   hold, and how many rows hold each.  It leaves if they are too few.
+3. *Prefixes.*  With the columns in one global order, rare ones first, two rows
+   that link share a column among the first ``n - ceil(t n) + 1`` of each, and at
+   the first one that they share what is left of both still suffices.  Every
+   row is paired with one *pivot* of each such column; overlaps are counted over
+   the whole rows, and links become components.
+4. *The rest.*  For completeness, rows of a column that lie in different
+   components are paired where sizes and positions allow a link.  Within a
+   component no further link is needed, so a group of copies costs a star, not a square.
+
+Links are decided on whole sets of 64-bit shingle hashes; equal sets (by a
+128-bit digest) are one row of the matrix.
+
+Skew.  A task counts a column once for itself before anything travels, so a
+frequent column reaches its block once a batch.  Joins on frequent columns are
+dealt by a salt or left to adaptive splitting.
 
 Edge cases: null, empty and wordless texts have no shingles and stay alone;
-one to four words are one shingle; repeated rows are copies; an empty table
-gives an empty result; other columns are ignored.
+one to four words are one shingle; a row without a doc_id is returned with a
+null component and links nothing; repeated rows are copies, and rows that share
+a doc_id are told apart by their texts; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,22 +47,18 @@ from .common import avalanche, pick, row_blocks, span_hashes, stash, word_spans
 from .components import connected_components
 
 WORDS, NUM, DEN = 5, 75, 100
-_T = NUM / DEN
-_Q = _T / (1 + _T)  # of the sum of two sizes, the overlap that a link needs
-TABLE_BITS = 20
-SMALL = 24
-STAR_COLUMNS = 4
-PRUNINGS = 3
-EMIT_ENTRIES = 500_000
-BLOCK_ENTRIES = 2_000_000
-HEAD = 64
-BATCH_ROWS = 2000
-ENTRY = np.dtype([("col", "<u8"), ("row", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("rare", "<u2")])
+BATCH_ROWS = 2000  # rows of an Arrow batch, as texts may be long
+BATCH_ENTRIES = 1_000_000  # entries of the matrix that a task gathers before it deals them out
+BLOCK_ENTRIES = 1_000_000  # about as many entries meet in one block of columns
+SPLIT = 4096  # rows of a frequent column that one task pairs with the rows outside its main component
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
-_LAST = np.uint64(2**64 - 1)
+_HALF = np.uint64(1 << 63)
+_CELL = "batch long, block long, kind int, cells binary"
+#: of cells: unique columns of a batch, entries of columns that several of its rows hold, its rows
+_COLUMNS, _ENTRIES, _ROWS = 0, 1, 2
 
 
 def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -78,365 +81,289 @@ def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _key(s: np.ndarray) -> int:
-    """The row of the matrix that equal sets share, as a signed long."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """Two signed longs that equal sets share."""
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
     return n - -(-NUM * n // DEN) + 1
 
 
-def _pack(s: np.ndarray) -> bytes:
-    """The upper 40 bits of sorted shingles, which keep their order."""
-    return np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _dtype(whole: bool) -> np.dtype:
+    """A column of a batch: what is left of it in its block, the rows of the batch that hold it, and the row if it is one."""
+    return np.dtype([("col", "<u8" if whole else "<u4"), ("n", "<u2"), ("row", "<u2")])
+
+
+class _Batch:
+    """Gathers rows of the matrix and deals their columns out to blocks."""
+
+    def __init__(self, blocks: int, whole: bool, limit: int) -> None:
+        from pyspark import TaskContext
+
+        self.blocks, self.whole, self.limit = blocks, whole, limit
+        self.serial = TaskContext.get().partitionId() << 32  # of the batch: unique, and the same when a task is run again
+        self.clear()
+
+    def clear(self) -> None:
+        self.sets: list[np.ndarray] = []
+        self.rows: list[tuple] = []
+        self.size = 0
+        self.seen: dict[tuple[int, int], int] = {}
+
+    def full(self) -> bool:
+        return self.size >= self.limit or len(self.sets) >= 60_000 or len(self.rows) >= 120_000
+
+    def place(self, digest: tuple[int, int], s: np.ndarray) -> int:
+        """The row of a set in this batch; equal sets share one."""
+        at = self.seen.setdefault(digest, len(self.sets))
+        if at == len(self.sets):
+            self.sets.append(s if self.whole else s[s < _HALF])
+            self.size += len(self.sets[-1])
+        return at
+
+    def deal(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        """The messages of the batch; `rows` is what the last step shall know of its rows."""
+        batch, self.serial = self.serial, self.serial + 1
+        cols = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
+        row = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets]).astype(np.uint16)
+        order = np.argsort(cols, kind="stable")
+        cols, row = cols[order], row[order]
+        first = np.r_[True, cols[1:] != cols[:-1]] if len(cols) else np.zeros(0, bool)
+        at = np.flatnonzero(first)
+        n = np.diff(np.r_[at, len(cols)])
+        e = np.zeros(len(at), _dtype(self.whole))
+        e["col"] = cols[at] if self.whole else cols[at] & np.uint64(0xFFFFFFFF)
+        e["n"], e["row"] = n, row[at]
+        block = ((cols[at] >> np.uint64(32)) % np.uint64(self.blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        e, block = e[order], block[order]
+        cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(e)] if len(e) else np.zeros(1, np.int64)
+        cells = [e[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        several = np.repeat(n > 1, n)
+        held = np.zeros(int(several.sum()), np.dtype([("col", "<u8"), ("row", "<u2")]))
+        held["col"], held["row"] = cols[several], row[several]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(rows)
+        own = xxhash.xxh3_64_intdigest(str(batch)) % self.blocks
+        blocks = np.r_[block[cut[:-1]], own, own].astype(np.int64)
+        kinds = np.r_[np.zeros(len(cells)), _ENTRIES, _ROWS].astype(np.int32)
+        return pa.record_batch([pa.array(np.full(len(blocks), batch)), pa.array(blocks), pa.array(kinds), pa.array([*cells, held.tobytes(), sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "block", "kind", "cells"])
+
+
+def _count(whole: bool):
+    """The step of a block: columns that one row of the whole table holds are left out; the others learn how many rows do."""
 
-
-def _bucket(columns: np.ndarray) -> np.ndarray:
-    return (columns >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, row, head) of each document, head being its least shingles, then (null, count, bucket) of the task's frequent buckets."""
-    counts, kind = np.zeros(1 << TABLE_BITS, np.int64), None
-    for b in batches:
-        kind = b.column(0).type
-        sizes, keys, heads, held = [], [], [], []
-        for s in shingle_sets(b.column(1)):
-            sizes.append(len(s))
-            keys.append(_key(s))
-            heads.append(_pack(s[:HEAD]))
-            held.append(s)
-            if len(held) >= 512:
-                counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts))
-                held = []
-        if held:
-            counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts))
-        yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "n", "row", "head"])
-    mean = counts.mean()
-    heavy = np.flatnonzero(counts > mean + 6 * math.sqrt(mean) + 8)
-    if len(heavy):
-        yield pa.record_batch([pa.nulls(len(heavy), kind), pa.array(counts[heavy]), pa.array(heavy), pa.nulls(len(heavy), pa.binary())], names=["doc_id", "n", "row", "head"])
-
-
-def _multiply(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """((a, b, n, m, overlap, first) of rows that share columns of at most SMALL rows, entries of larger columns, rows, their columns of 2 to SMALL rows)."""
-    e = np.unique(entries)  # equal sets collapse; sorted by column, then row
-    cut = np.flatnonzero(np.diff(e["col"])) + 1
-    first, last = np.r_[0, cut], np.r_[cut, len(e)]
-    size = last - first
-    large = np.repeat(size > SMALL, size)
-    found = [np.zeros((0, 5), np.int64)]
-    met = np.repeat((size > 1) & (size <= SMALL), size)
-    rows, shared = np.unique(e["row"][met], return_counts=True)
-    for g in range(2, SMALL + 1):
-        at = first[size == g]
-        if not len(at):
-            continue
-        i, j = np.triu_indices(g, 1)
-        x, y = e[(at[:, None] + i).ravel()], e[(at[:, None] + j).ravel()]  # rows ascend within a column
-        n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-        ok = (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (x["row"] != y["row"])
-        may = np.minimum(n - x["pos"], m - y["pos"]) * (NUM + DEN) >= NUM * (n + m)  # may be the first column that they share
-        found.append(np.stack([x["row"][ok], y["row"][ok], n[ok], m[ok], may[ok]], 1))
-    pairs, which, overlap = np.unique(np.concatenate(found)[:, :4], axis=0, return_inverse=True, return_counts=True)
-    first = np.bincount(which.ravel(), weights=np.concatenate(found)[:, 4], minlength=len(pairs)) > 0
-    return np.column_stack([pairs, overlap, first]), e[large], rows, shared
-
-
-_PRODUCT = "kind int, a long, b long, n long, m long, col long, pos int, rare int"
-
-
-def _product_batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2
-    arrays = [pa.array(np.ascontiguousarray(c).astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.record_batch([pa.array(np.full(len(columns[0]), kind, np.int32)), *arrays], names=["kind", "a", "b", "n", "m", "col", "pos", "rare"])
-
-
-def _entries_out(e: np.ndarray) -> pa.RecordBatch:
-    return _product_batch(1, e["row"], e["row"], e["n"], e["n"], e["col"].copy().view(np.int64), e["pos"], e["rare"])
-
-
-def _by_block(e: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The blocks in ascending order and the bytes of their entries."""
-    order = np.argsort(block, kind="stable")
-    e, block = e[order], block[order]
-    cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(e)]
-    return block[cut[:-1]], [e[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-
-
-def candidate_product(docs: DataFrame, table: np.ndarray, blocks: int) -> DataFrame:
-    """kind 0: pairs (a, b), their sizes (n, m), overlap (pos) in a block, and whether a column may be their first common one (rare); kind 1: entries (row a, n, col, pos, rare) of frequent columns; kind 2: rows a and how many other columns they share (pos)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def dealt(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        e, hot = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        # frequent columns are dealt by row and pass through; the others meet in the block of their column
-        block = np.where(hot, avalanche(e["row"].astype(np.uint64)), e["col"] >> np.uint64(8)) % np.uint64(blocks) * np.uint64(2) + hot.astype(np.uint64)
-        keys, cells = _by_block(e, block.astype(np.int64))
-        return pa.record_batch([pa.array(keys // 2), pa.array((keys % 2).astype(np.int32)), pa.array(cells, pa.binary())], names=["block", "hot", "cells"])
+    def count(t: pa.Table) -> pa.Table:
+        kind = t["kind"].to_numpy()
+        at = np.flatnonzero(kind == _COLUMNS)
+        parts = [np.frombuffer(c, _dtype(whole)) for c in t["cells"].take(pa.array(at)).to_pylist()]
+        size = np.array([len(p) for p in parts], np.int64)
+        e = np.concatenate([*parts, np.zeros(0, _dtype(whole))])
+        _, which = np.unique(e["col"], return_inverse=True)
+        total = np.bincount(which, weights=e["n"])[which].astype(np.uint32) if len(e) else np.zeros(0, np.uint32)
+        # half of the columns: rows of the batch that hold the column alone there, all that is still to be known
+        keep = total > 1 if whole else (total > 1) & (e["n"] == 1)
+        ends = np.r_[0, np.cumsum(keep)][np.cumsum(size)] if len(size) else size
+        if whole:
+            out = np.zeros(int(keep.sum()), np.dtype([("col", "<u8"), ("n", "<u4"), ("row", "<u2"), ("local", "<u2")]))
+            out["col"], out["n"], out["row"], out["local"] = e["col"][keep], total[keep], e["row"][keep], e["n"][keep]
+        else:
+            out = e["row"][keep]
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        cells = [out[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+        other = pa.array(np.flatnonzero(kind != _COLUMNS))
+        columns = pa.table([t["batch"].take(pa.array(at)), t["kind"].take(pa.array(at)), pa.array(cells, pa.binary())], names=["batch", "kind", "cells"])
+        return pa.concat_tables([columns, t.select(["batch", "kind", "cells"]).take(other)])
+
+    return count
+
+
+def _of(t: pa.Table, kind: int) -> list[bytes]:
+    return t["cells"].filter(pc.equal(t["kind"], kind)).to_pylist()
+
+
+def _blocks(docs: DataFrame, share: float, entries: int) -> int:
+    """Blocks of about so many entries, a word taken as six bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, int(size * share / 6 / entries))
+
+
+def survey(docs: DataFrame, batch: int = BATCH_ENTRIES, block: int = BLOCK_ENTRIES) -> DataFrame:
+    """(doc_id, text_hash, n, hi, lo, able) of every row: its set's size and digest, and whether half of the columns leave a link possible."""
+    blocks, kind = _blocks(docs, 0.5, block), docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "n", "hi", "lo"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        magnitude = shared.value
-        for b in batches:
-            parts, seen, size = [], set(), 0
-            for s in shingle_sets(b.column(0)):
-                key = _key(s)
-                if not len(s) or key in seen:
-                    continue
-                seen.add(key)
-                level = magnitude[_bucket(s)]
-                order = np.argsort(level, kind="stable")[: prefix_length(len(s))]
-                e = np.zeros(len(order), ENTRY)
-                e["col"], e["row"], e["n"] = s[order], key, len(s)
-                e["pos"] = np.minimum(np.arange(len(order)), 65535)
-                e["rare"] = min(int((level == 0).sum()), 65535)
-                parts.append((e, level[order] > 0))
-                size += len(e)
-                if size >= EMIT_ENTRIES:
-                    yield dealt(parts)
-                    parts, size = [], 0
-            if parts:
-                yield dealt(parts)
-
-    def product(t: pa.Table) -> pa.Table:
-        read = lambda flag: np.frombuffer(b"".join(c for h, c in zip(t["hot"].to_pylist(), t["cells"].to_pylist(), strict=True) if h == flag), ENTRY)
-        pairs, large, rows, met = _multiply(read(0))
-        zero, none = np.zeros(len(pairs), np.int64), np.zeros(len(rows), np.int64)
-        return pa.Table.from_batches([_product_batch(2, rows, rows, none, none, none, met, none), _product_batch(0, *pairs[:, :4].T, zero, pairs[:, 4], pairs[:, 5]), _entries_out(large), _entries_out(np.unique(read(1)))])
-
-    cells = docs.select("text").mapInArrow(emit, "block long, hot int, cells binary")
-    return cells.groupBy("block").applyInArrow(product, _PRODUCT)
-
-
-def _full_rows(docs: DataFrame, survey: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, n, cells) of the wanted rows of the matrix: sorted shingles, 40 bits each.
-
-    A row's text is that of the smallest doc_id that has it; only those texts move.
+        b, ids = _Batch(blocks, False, batch), None
+        for part in batches:
+            ids = part.column(0).type
+            for doc, mark, s in zip(part.column(0), part.column(2).to_pylist(), shingle_sets(part.column(1)), strict=True):
+                d = _digest(s)
+                b.rows.append((doc.as_py(), mark, len(s), *d, b.place(d, s) if len(s) and doc.is_valid else -1))
+                if b.full():
+                    yield dealt(b, ids)
+        if b.rows:
+            yield dealt(b, ids)
+
+    def dealt(b: _Batch, ids: pa.DataType) -> pa.RecordBatch:
+        kinds = [ids, *[pa.int64()] * 5]
+        half = np.array([len(s) for s in b.sets] + [0], np.int64)
+        columns = [pa.array(c, k) for c, k in zip(zip(*b.rows, strict=True), kinds, strict=True)]
+        rows = pa.record_batch([*columns, pa.array(half[columns[5].to_numpy()])], names=[*names, "row", "half"])
+        out = b.deal(rows)
+        b.clear()
+        return out
+
+    def decide(t: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(_of(t, _ROWS)[0]).read_all()
+        shared = np.frombuffer(b"".join(_of(t, _COLUMNS)), np.uint16)
+        shared = np.r_[shared, np.frombuffer(_of(t, _ENTRIES)[0], np.dtype([("col", "<u8"), ("row", "<u2")]))["row"]]
+        shared = np.bincount(shared.astype(np.int64), minlength=1 << 16)
+        n, row, half = (rows[c].to_numpy() for c in ("n", "row", "half"))
+        able = (row >= 0) & (half - shared[row] <= n - -(-NUM * n // DEN))
+        return rows.select(names).append_column("able", pa.array(able))
+
+    cells = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(emit, _CELL)
+    met = cells.groupBy("block").applyInArrow(_count(False), "batch long, kind int, cells binary")
+    return met.groupBy("batch").applyInArrow(decide, f"doc_id {kind}, text_hash long, n long, hi long, lo long, able boolean")
+
+
+def able_rows(texts: DataFrame, batch: int = BATCH_ENTRIES, block: int = BLOCK_ENTRIES) -> DataFrame:
+    """Of (row, text): (row, n, u, cells, prefix) of the rows that may link.
+
+    `cells` are the u shingles that other rows hold, rare ones first; `prefix`
+    those of them that lie in the row's prefix, behind its n - u own shingles.
     """
-    ids = survey.join(wanted.distinct(), "row").groupBy("row").agg(F.min("doc_id").alias("doc_id"))
-    ids = stash(ids, "jaccard-wanted")
-    texts = pick(docs.select("doc_id", "text"), ids).join(ids, "doc_id").select("row", "text")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            rows, sizes, cells = [], [], []
-            for key, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
-                if len(s) and key not in seen and key == _key(s):
-                    seen.add(key)
-                    rows.append(key)
-                    sizes.append(len(s))
-                    cells.append(_pack(s))
-            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary())], names=["row", "n", "cells"])
-
-    return stash(texts.mapInArrow(emit, "row long, n long, cells binary"), "jaccard-rows")
-
-
-def _common_columns(rows: DataFrame, blocks: int) -> DataFrame:
-    """(a, u): how many of a row's shingles another of these rows has, by blocks of columns."""
-    place = np.dtype([("col", "<u8"), ("row", "<i8")])
-
-    def dealt(parts: list[np.ndarray]) -> pa.RecordBatch:
-        e = np.concatenate(parts)
-        keys, cells = _by_block(e, (e["col"] % np.uint64(blocks)).astype(np.int64))
-        return pa.record_batch([pa.array(keys), pa.array(cells, pa.binary())], names=["block", "cells"])
+    blocks = _blocks(texts, 1.0, block)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts, size = [], 0
-            for key, cells in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = _unpack(cells.as_py())
-                part = np.zeros(len(s), place)
-                part["col"], part["row"] = s, key
-                parts.append(part)
-                size += len(s)
-                if size >= EMIT_ENTRIES:
-                    yield dealt(parts)
-                    parts, size = [], 0
-            if parts:
-                yield dealt(parts)
-
-    def count(t: pa.Table) -> pa.Table:
-        e = np.unique(np.frombuffer(b"".join(t["cells"].to_pylist()), place))
-        same = e["col"][1:] == e["col"][:-1]
-        row, u = np.unique(e["row"][np.r_[same, False] | np.r_[False, same]], return_counts=True)
-        return pa.Table.from_arrays([pa.array(row), pa.array(u.astype(np.int64))], names=["a", "u"])
-
-    cells = rows.select("row", "cells").mapInArrow(emit, "block long, cells binary")
-    return cells.groupBy("block").applyInArrow(count, "a long, u long").groupBy("a").agg(F.sum("u").alias("u"))
-
-
-def _unpack(cells: bytes) -> np.ndarray:
-    wide = np.zeros((len(cells) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(cells, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
-
-
-def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose heads leave a link possible: up to the smaller of their ends the heads are all of both rows, and neither may miss more of the other than the sizes allow."""
-    for b in batches:
-        keep = []
-        for k, (n, m, x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)):
-            x, y = _unpack(x.as_py()), _unpack(y.as_py())
-            end = min(x[-1] if n > HEAD else _LAST, y[-1] if m > HEAD else _LAST)
-            x, y = x[x <= end], y[y <= end]
-            common = len(np.intersect1d(x, y))
-            need = -(-NUM * (n + m) // (NUM + DEN))
-            if len(x) - common <= n - need and len(y) - common <= m - need:
-                keep.append(k)
-        at = pa.array(keep, pa.int64())
-        yield pa.record_batch([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
-
-
-def promising(pairs: DataFrame, survey: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their heads do not rule out; a few hundred bytes a row travel."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    heads = survey.join(ends, "row").groupBy("row").agg(F.first("n").alias("n"), F.first("head").alias("head"))
-    x = heads.select(F.col("row").alias("a"), "n", "head")
-    y = heads.select(F.col("row").alias("b"), F.col("n").alias("m"), F.col("head").alias("other"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "head", "other")
-    both = both.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)")
-    return both.mapInArrow(_promising, "a long, b long")
+        b = _Batch(blocks, True, batch)
+        for part in batches:
+            for row, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
+                at = b.place(_digest(s), s)
+                if at == len(b.rows):  # a row that comes twice counts once
+                    b.rows.append((row, len(s)))
+                if b.full():
+                    yield dealt(b)
+        if b.rows:
+            yield dealt(b)
+
+    def dealt(b: _Batch) -> pa.RecordBatch:
+        rows = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*b.rows, strict=True)], names=["row", "n"])
+        out = b.deal(rows)
+        b.clear()
+        return out
+
+    def decide(t: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(_of(t, _ROWS)[0]).read_all()
+        ids, n = rows["row"].to_numpy(), rows["n"].to_numpy()
+        e = np.frombuffer(b"".join(_of(t, _COLUMNS)), np.dtype([("col", "<u8"), ("n", "<u4"), ("row", "<u2"), ("local", "<u2")]))
+        held = np.frombuffer(_of(t, _ENTRIES)[0], np.dtype([("col", "<u8"), ("row", "<u2")]))
+        one, more = e[e["local"] == 1], e[e["local"] > 1]
+        more = more[np.argsort(more["col"])]
+        col, row = np.r_[one["col"], held["col"]], np.r_[one["row"], held["row"]]
+        count = np.r_[one["n"], more["n"][np.searchsorted(more["col"], held["col"])]] if len(held) else one["n"]
+        order = np.lexsort((col, count, row))
+        col, row = col[order], row[order]
+        u = np.bincount(row.astype(np.int64), minlength=len(ids))
+        end = np.cumsum(u)
+        keep = np.flatnonzero(DEN * u >= NUM * n)
+        length = np.clip(prefix_length(n) - (n - u), 0, u)
+        cells = [col[end[k] - u[k] : end[k]] for k in keep.tolist()]
+        prefix = [c[:m].view(np.int64) for c, m in zip(cells, length[keep].tolist(), strict=True)]
+        columns = [pa.array(ids[keep]), pa.array(n[keep]), pa.array(u[keep]), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+        return pa.table(columns, names=["row", "n", "u", "cells", "prefix"])
+
+    met = texts.select("row", "text").mapInArrow(emit, _CELL).groupBy("block").applyInArrow(_count(True), "batch long, kind int, cells binary")
+    return met.groupBy("batch").applyInArrow(decide, "row long, n long, u long, cells binary, prefix array<long>")
+
+
+def _may_link(x: str, y: str):
+    """Whether two entries of one column leave a link possible, if it is the first column that the rows share."""
+    return F.expr(
+        f"{x}.row <> {y}.row AND {DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n) "
+        f"AND {NUM + DEN} * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {NUM} * ({x}.n + {y}.n)"
+    )
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, held = None, None
     for b in batches:
         keep = []
-        for k, (a, n, m, x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)):
-            if a != last:
-                last, held = a, _unpack(x.as_py())
-            common = len(np.intersect1d(held, _unpack(y.as_py()), assume_unique=True))
+        for k, (n, m, x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+            common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
             if DEN * common >= NUM * (n + m - common):
                 keep.append(k)
-        yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+        at = pa.array(keep, pa.int64())
+        yield pa.record_batch([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link; b's row travels to a's."""
-    y = rows.select(F.col("row").alias("b"), F.col("n").alias("m"), F.col("cells").alias("other"))
+def links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link; the row of `a` travels to that of `b`, which many pairs may share."""
     x = rows.select(F.col("row").alias("a"), "n", "cells")
-    both = pairs.join(y, "b").filter("other is not null").join(x, "a").select("a", "b", "n", "m", "cells", "other")
-    both = both.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)")
+    y = rows.select(F.col("row").alias("b"), F.col("n").alias("m"), F.col("cells").alias("other"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "cells", "other")
     return both.mapInArrow(_verified, "a long, b long")
 
 
-def _star_pairs(entries: DataFrame) -> DataFrame:
-    """Each row with the pivots of its first few frequent columns: (a, b, n, m)."""
-    first = Window.partitionBy("a").orderBy("pos", "col")
-    some = entries.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= STAR_COLUMNS).select("col", "a", "n", "rare")
-    pivots = some.groupBy("col").agg(F.min(F.struct("rare", "a", "n")).alias("p")).select("col", F.col("p.a").alias("pa"), F.col("p.n").alias("pn"))
-    pairs = some.join(pivots, "col").filter("a <> pa")
-    return pairs.selectExpr("least(a, pa) a", "greatest(a, pa) b", "if(a < pa, n, pn) n", "if(a < pa, pn, n) m").distinct()
-
-
-def _open_columns(entries: DataFrame, components: DataFrame, shared: DataFrame) -> DataFrame:
-    """Entries of frequent columns in which rows of different components may meet.
-
-    A row is the smaller of a linked pair only if the larger one's size lies in
-    a range: it must be small enough for what is left of the row after the
-    column, and large enough for the few columns that the row shares at all
-    (`shared`: a, s).  For a text that has a popular passage and nothing else
-    in common with others the range is empty.
+def _components(rows: DataFrame, split: int) -> DataFrame:
+    """(node, component) of the rows that link."""
+    entries = rows.select("row", "n", (F.col("n") - F.col("u")).alias("own"), F.posexplode("prefix").alias("k", "col")).withColumn("pos", F.col("own") + F.col("k")).drop("k")
+    entries = stash(entries, "jaccard-entries")
+    central = entries.groupBy("col").agg(F.min(F.struct("own", "row", "n", "pos")).alias("p"), F.count("*").alias("rows")).filter("rows > 1")
+    pivots = stash(central.select("col", "p.row", "p.n", "p.pos"), "jaccard-pivots")
+    star = entries.alias("x").join(pivots.alias("p"), "col").filter(_may_link("x", "p")).select(F.col("x.row").alias("a"), F.col("p.row").alias("b"))
+    star = stash(star.distinct(), "jaccard-star")
+    found = stash(links(star, rows), "jaccard-links")
+    first = stash(connected_components(found, "a", "b"), "jaccard-components")
+
+    named = entries.join(first.withColumnRenamed("node", "row"), "row", "left").select("col", "row", "n", "pos", F.coalesce("component", "row").alias("c"))
+    sizes = named.groupBy("col", "c").agg(F.count("*").alias("rows"))
+    mixed = sizes.groupBy("col").agg(F.max(F.struct("rows", "c")).alias("top"), F.count("*").alias("cs"), F.sum("rows").alias("rows")).filter("cs > 1")
+    mixed = stash(mixed.select("col", F.col("top.c").alias("main"), F.expr(f"cast(1 + rows div {split} as int)").alias("salts")), "jaccard-mixed")
+    there = stash(named.join(mixed, "col"), "jaccard-open")
+    x = there.filter("c <> main").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).alias("x")
+    y = there.withColumn("salt", F.expr("cast(pmod(xxhash64(row), salts) as int)")).alias("y")
+    pairs = x.join(y, F.expr("x.col = y.col AND x.salt = y.salt AND x.c <> y.c") & _may_link("x", "y"))
+    pairs = pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stash(links(stash(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-more"), rows), "jaccard-links")
+    if more.isEmpty():
+        return first
+    return stash(connected_components(more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "jaccard-components")
+
+
+def link_groups(docs: DataFrame, batch: int = BATCH_ENTRIES, block: int = BLOCK_ENTRIES, split: int = SPLIT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row.
+
+    `batch`, `block` and `split` size the work, never the result.
     """
-    own = F.coalesce("component", "a").alias("c")
-    e = entries.join(components.withColumnRenamed("node", "a"), "a", "left").join(shared, "a", "left").select("col", "a", "n", "pos", own, F.coalesce("s", F.lit(0)).alias("s"))
-    sizes = e.groupBy("col", "c").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("col").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("col", F.col("top.c").alias("main"))
-    e = e.join(main, "col").withColumn("in_main", F.col("c") == F.col("main"))
-    e = e.withColumn("low", F.expr(f"greatest(n, ({_Q} * n - s) / {_T - _Q}) - 1e-6")).withColumn("high", F.expr(f"(n - pos) / {_Q} - n + 1e-6"))
-    x = e.filter("low <= high").selectExpr("col as x_col", "a as xa", "c as xc", "in_main as x_main", "low as x_low", "high as x_high")
-    x = x.select("*", _size_classes("x_low", "x_high").alias("x_class"))
-    y = e.select("col", "a", "n", "c", "in_main", _size_classes("n", "n").alias("y_class"))
-    on = F.expr("x_col = col and x_class = y_class and xc <> c and not (x_main and in_main) and n between x_low and x_high and xa <> a")
-    ends = x.join(y, on, "left_semi").select(F.col("x_col").alias("col"), F.col("xa").alias("a")).unionByName(y.join(x, on, "left_semi").select("col", "a")).distinct()
-    return e.join(ends, ["col", "a"]).select("col", "a", "n", "c", "in_main", "low", "high")
-
-
-def _size_classes(low: str, high: str):
-    """Classes of sizes, a twentieth wide, from one size to another."""
-    at = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / math.log(1.05)).cast("int")
-    return F.explode(F.sequence(at(F.col(low).cast("double")), at(F.col(high).cast("double"))))
-
-
-def _open_pairs(open_entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in an open column that sizes and common shingles allow.
-
-    A row needs so many shingles that other rows have too; rows that cannot be
-    in any link are left out and the others counted again, PRUNINGS times.
-    """
-    blocks = 1 + (rows.agg(F.sum("n")).first()[0] or 0) // BLOCK_ENTRIES
-    for _ in range(PRUNINGS):
-        common = _common_columns(rows, blocks).withColumn("most", F.col("u") / _Q)
-        e = open_entries.select("col", "a", "n").join(common, "a").withColumn("most", F.expr("most - n + 1e-6"))
-        e = e.join(e.groupBy("col").agg(F.min("n").alias("least")), "col").filter("most >= least")
-        able = e.groupBy("a").agg(F.first("u").alias("u")).withColumnRenamed("a", "row")
-        rows = stash(rows.drop("u").join(able, "row").select("row", "n", "cells", "u"), "jaccard-able")
-    e = open_entries.join(rows.select(F.col("row").alias("a"), "u"), "a").withColumn("most", F.expr(f"u / {_Q} - n + 1e-6"))
-    x = e.filter("low <= least(high, most)").selectExpr("col", "a as xa", "n as xn", "c as xc", "in_main as x_main", "low", "least(high, most) as high")
-    fits = "xc <> c and n between low and high and xn <= most and xa <> a"
-    x = x.select("*", _size_classes("low", "high").alias("size_class"))
-    y = e.select("col", "a", "n", "c", "in_main", "most", _size_classes("n", "n").alias("size_class"))
-    on = ["col", "size_class"]
-    pairs = x.join(y.filter("not in_main"), on).filter(fits).select("xa", "a").unionByName(x.filter("not x_main").join(y.filter("in_main"), on).filter(fits).select("xa", "a"))
-    return pairs.select(F.least("xa", "a").alias("a"), F.greatest("xa", "a").alias("b")).distinct()
-
-
-def _reachable(pairs: DataFrame, frequent) -> DataFrame:
-    """The pairs whose overlap in the prefixes and all that is left of the rows can reach what the sizes need.
-
-    `overlap` counts the shared rare columns; `frequent` bounds the shared frequent ones.
-    A shared column lies in both prefixes, or behind the prefix that ends first.
-    """
-    left = f"greatest(({NUM} * n + {DEN - 1}) div {DEN}, ({NUM} * m + {DEN - 1}) div {DEN}) - 1"
-    return pairs.filter(F.expr(f"coalesce(overlap, 0L) + {left}") + frequent >= F.expr(f"({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}")).select("a", "b")
-
-
-def link_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
-    conf.set(name, str(BATCH_ROWS))  # rows of the matrix may be long
+    conf.set(name, str(BATCH_ROWS))
     try:
-        return _link_groups(docs)
+        return _link_groups(docs.select("doc_id", "text"), batch, block, split)
     finally:
         conf.set(name, before)
 
 
-def _link_groups(docs: DataFrame) -> DataFrame:
-    spark, ids = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    survey = stash(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_survey, f"doc_id {ids}, n long, row long, head binary"), "jaccard-survey")
-    base = survey.filter("doc_id is not null")  # all that runs in Python is stored before this returns
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    for r in survey.filter("doc_id is null").groupBy("row").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[r.row] = 1 + int(math.log2(r.n))
-    total = base.agg(F.sum("n")).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 3, total * (DEN - NUM) // DEN // 500_000)
-    product = stash(candidate_product(docs, table, blocks), "jaccard-product")
-    entries = product.filter("kind = 1").select("a", "n", "col", "pos", "rare")
-    overlaps = product.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("pos").alias("overlap"), F.max("rare").alias("first"))
-    counted = entries.groupBy("a").agg(F.count("*").alias("k"))
-    both = overlaps.filter("first > 0").drop("first").unionByName(_star_pairs(entries).join(overlaps.select("a", "b", "overlap"), ["a", "b"], "left"))
-    both = both.join(counted.withColumnRenamed("k", "ka"), "a", "left").join(counted.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
-    pairs = stash(_reachable(both, F.expr("least(coalesce(ka, 0L), coalesce(kb, 0L))")).distinct(), "jaccard-reachable")
-    pairs = stash(promising(pairs, base), "jaccard-pairs")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("row"))
-    links = stash(verify(pairs, _full_rows(docs, base, ends(pairs))), "jaccard-links")
-    components = stash(connected_components(links, "a", "b"), "jaccard-components")
-    shared = product.filter("kind = 2").select("a", F.col("pos").cast("long").alias("k")).unionByName(counted).groupBy("a").agg(F.sum("k").alias("s"))
-    open_entries = stash(_open_columns(entries, components, shared), "jaccard-open")
-    if not open_entries.isEmpty():
-        rows = _full_rows(docs, base, open_entries.select(F.col("a").alias("row")))
-        more = stash(_open_pairs(open_entries, rows).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
-        more = stash(promising(more, base), "jaccard-more")
-        links = stash(links.unionByName(verify(more, rows)), "jaccard-links")
-        components = stash(connected_components(links, "a", "b"), "jaccard-components")
-    linked = base.filter("n > 0").groupBy("row").agg(F.min("doc_id").alias("least")).join(components.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+def _link_groups(docs: DataFrame, batch: int, block: int, split: int) -> DataFrame:
+    base = stash(survey(docs, batch, block), "jaccard-survey")  # all that runs in Python is stored before this returns
+    linkable = base.filter("n > 0 AND doc_id IS NOT NULL")
+    one = linkable.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.max("able").alias("able"))
+    sets = stash(one.select("hi", "lo", "d.doc_id", "d.text_hash", "able", F.monotonically_increasing_id().alias("row")), "jaccard-sets")
+    able = sets.filter("able").select("doc_id", "text_hash", "row")
+    texts = pick(docs, able).withColumn("text_hash", F.xxhash64("text")).join(able, ["doc_id", "text_hash"]).select("row", "text")
+    rows = stash(able_rows(stash(texts, "jaccard-texts"), batch, block), "jaccard-rows")
+    components = _components(rows, split).withColumnRenamed("node", "row")
+    linked = sets.select("hi", "lo", "row", F.col("doc_id").alias("least")).join(components, "row", "left").withColumn("component", F.coalesce("component", "row"))
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = linked.join(names, "component").select("row", "component_id")
-    alone = base.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return base.filter("n > 0").join(named, "row").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    named = stash(linked.join(names, "component").select("hi", "lo", "component_id"), "jaccard-named")
+    n = F.col("n").alias("n_shingles")
+    alone = base.filter("n = 0 OR doc_id IS NULL").select("doc_id", n, F.col("doc_id").alias("component_id"))
+    return linkable.join(named, ["hi", "lo"]).select("doc_id", n, "component_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

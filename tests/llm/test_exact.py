@@ -55,23 +55,62 @@ def shingles(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("small", [24, 2])
-def test_jaccard(docs, monkeypatch, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    got = table(jaccard.link_groups(docs))
+def brute_components(sets):
+    """Least id of each class by fixed-point iteration over all pairs."""
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) > 0]
+    least, changed = {k: k for k in sets}, True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
+
+
+def family(size):
+    """Edits of one text at random places: many just reach the similarity, many just miss it; and texts that share a passage only."""
+    rng, words = np.random.default_rng(7), [f"w{k}" for k in range(60)]
+    for k in range(size):
+        own = list(words)
+        for at in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            own[at] = f"e{k}x{at}"
+        yield " ".join(own)
+    for k in range(size):
+        yield " ".join([*words[:20], *(f"p{k}y{j}" for j in range(12))])
+
+
+@pytest.mark.parametrize("sizes", [{}, {"batch": 50, "block": 40, "split": 2}])
+def test_jaccard(docs, sizes):
+    got = table(jaccard.link_groups(docs, **sizes))
     sets = {k: shingles(t) for k, t in all_texts(docs)}
-    least = {k: k for k in sets}
-    for _ in range(4):
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                    least[a] = least[b] = min(least[a], least[b])
+    least = brute_components(sets)
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == {k: (len(sets[k]), least[k]) for k in sets}
+    if sizes:
+        return
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(k for k in sets if least[k] == k)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"batch": 60, "block": 100, "split": 2}])
+def test_jaccard_of_a_large_family(spark, sizes):
+    docs = spark.createDataFrame(list(enumerate(family(60))), "doc_id long, text string").repartition(5)
+    sets = {k: shingles(t) for k, t in all_texts(docs)}
+    got = {r.doc_id: r.component_id for r in jaccard.link_groups(docs, **sizes).collect()}
+    least = brute_components(sets)
+    assert got == least and 1 < len({least[k] for k in range(60)}) < 60
+
+
+def test_jaccard_ids(spark):
+    """No id, one id with several texts, and ids that are strings."""
+    base, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(None, base), (None, None), ("b", base), ("a", base + " x"), ("c", other), ("c", base), ("d", other + " y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id or "", r.n_shingles, r.component_id) for r in jaccard.link_groups(docs).collect()), key=str)
+    assert got == [("", 0, None), ("", 36, None), ("a", 37, "a"), ("b", 36, "a"), ("c", 36, "a"), ("c", 36, "c"), ("d", 37, "c")]
+    assert jaccard.keep_one(docs).count() == 5
+
+
 def windows(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
     return w, {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} if w else set()
