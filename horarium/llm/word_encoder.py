@@ -20,6 +20,7 @@ from .bpe_tree import byte_alphabet
 CACHE_WORDS = 500_000
 _LIMIT = 0x250  # below: letters, and nothing that composes or folds in context
 _ODD = re.compile("[^\x00-ɏ]|İ|<\\|")
+_PLAIN = re.compile("[!-~]*")  # bytes that stand for themselves; controls have stand-ins too
 
 
 def _class(kind: str) -> str:
@@ -52,7 +53,7 @@ class WordEncoder(dict):
             self.clear()
         ids = self.older.get(word)
         if ids is None:
-            plain = word if word.isascii() else "".join(map(self.stand_in.__getitem__, word.encode()))
+            plain = word if _PLAIN.fullmatch(word) else "".join(map(self.stand_in.__getitem__, word.encode()))
             ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(plain))
         self[word] = ids
         return ids
@@ -61,9 +62,10 @@ class WordEncoder(dict):
         """Ids of a whole text as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
-        if _ODD.search(text):
+        lower = text.lower()
+        if _ODD.search(text) or (not text.isascii() and _ODD.search(lower)):  # some capitals below the limit have their small letter above it
             return self._ids(text)
-        return b"".join(map(self.__getitem__, WORD.findall(text.lower())))
+        return b"".join(map(self.__getitem__, WORD.findall(lower)))
 
 
 @lru_cache(maxsize=2)
