@@ -4,19 +4,26 @@ Only DataFrame and SQL functions are used.
 
 1. *Seeds.*  Four expressions find e-mail addresses, IPs, card and phone numbers
    (leftmost, non-overlapping per kind; failing matches are dropped).  They are
-   written so that the JVM's matcher runs in linear time and constant stack.
-2. *Patterns.*  The word before and the word after each seed are lexical
-   patterns of its kind.  A pattern needs ``MIN_SUPPORT`` distinct values and
-   nothing else: their number grows with the corpus, so they are met by shuffle
-   joins, dealt by a salt where a word may be frequent.  Their occurrences are counted
-   over all texts, alone or glued to other characters, so a common word or mark
-   never becomes a good pattern.
-3. *Graph.*  Identifier-shaped strings that no expression accepts are instances
-   where they stand next to a pattern.  Pattern and instance scores are
-   recomputed in turn (a pattern: its seeds and scored instances over its
-   occurrences; an instance: noisy-or of its patterns) for ``ROUNDS`` rounds.
-4. Instances at patterns of at least ``CONFIDENCE`` whose shape suits the kind
-   are added; base spans stay, and additions never overlap them.
+   written so that the JVM's matcher runs in linear time and constant stack, and
+   run only on texts that hold a character without which they cannot match.
+   Seeds of a fifth kind, secret, are runs of at least ``SECRET_LENGTH`` ASCII
+   letters and digits with four of each: keys, tokens and digests.
+2. *Instances.*  Every other run of letters and digits with a digit in it, digit
+   group, and string with an at-sign or colons is an instance of no kind yet.
+3. *Patterns.*  What stands around a seed or instance, lower-cased and without
+   white space, is a lexical pattern: the word before with the marks in between
+   (``password=``, ``helpline:``), the two words before, and the word after.
+4. *Graph.*  A pattern's score for a kind is the share of the seeds and accepted
+   instances of that kind among all seeds and instances beside it, if they have
+   ``MIN_SUPPORT`` distinct values.  An instance whose shape suits the kind
+   believes the noisy-or of its patterns of at least ``CONFIDENCE``; instances
+   that believe as much are accepted with all their occurrences, and so induce
+   patterns in the next of ``ROUNDS`` rounds.
+5. Secrets and accepted instances are added; base spans stay, and additions never
+   overlap them.
+
+The numbers of patterns, instances and values grow with the corpus, so all are
+met by shuffle joins on counted edges, dealt by a salt where a key may be frequent.
 
 Edge cases: null and empty texts have no spans; repeated rows are reported one
 by one and equal rows alike; an empty table gives an empty result; other
@@ -34,7 +41,10 @@ MIN_SUPPORT = 3
 SALTS = 16
 CONFIDENCE = 0.6
 ROUNDS = 3
+SECRET_LENGTH = 16
+CONTEXT = 64  # characters on either side in which a pattern must lie
 KINDS = ("email", "ip", "card", "phone")
+ADDED = "secret"
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 EXPRESSIONS = {
@@ -43,10 +53,11 @@ EXPRESSIONS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?=[0-9](?:[\x20-]?[0-9]){12})[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "other": r"[0-9(][0-9()./\x20-]{5,}[0-9]|[^\s@<>]++@[^\s@<>]++|[^\s<>\[\]()]++[\[(]at[\])][^\s<>\[\]()]++|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}",
+    "other": r"[0-9(][0-9()./\x20-]{5,}[0-9](?![A-Za-z0-9])|[^\s@<>]++@[^\s@<>]++|[^\s<>\[\]()]++[\[(]at[\])][^\s<>\[\]()]++|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}|(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]++",
 }
-_SCREENS = {"email": "instr(text, '@') > 0", "phone": "instr(text, '+') > 0"}
-_RANK = {k: n for n, k in enumerate((*KINDS, "other"))}
+_DIGIT = "text RLIKE '[0-9]'"
+_SCREENS = {"email": "instr(text, '@') > 0", "ip": _DIGIT, "card": _DIGIT, "phone": "instr(text, '+') > 0", "other": "text RLIKE '[0-9@]|[(\\\\[]at[\\\\])]'"}
+_RANK = {k: n for n, k in enumerate((*KINDS, ADDED))}
 
 
 def _digits(value: str) -> Column:
@@ -71,48 +82,60 @@ def _valid(kind: str, value: str) -> Column:
     return F.lit(True)
 
 
-def _suits(kind: Column, value: str) -> Column:
+def _suits(kind: str, value: str) -> Column:
     """Whether the shape of an instance allows the kind."""
-    n = F.length(_digits(value))
+    kind, n, letters = F.col(kind), F.length(_digits(value)), F.col(value).rlike("[A-Za-z]")
     at, colons = F.col(value).rlike(r"@|[\[(]at[\])]"), F.col(value).rlike(":")
-    return F.when(kind == "email", at).when(kind == "ip", colons | F.col(value).rlike(r"^[0-9]+(?:\.[0-9]+){3,}$")).when(kind == "card", ~at & ~colons & n.between(12, 19)).otherwise(~at & ~colons & n.between(7, 15))
+    plain = ~at & ~colons & ~letters
+    return (
+        F.when(kind == "email", at)
+        .when(kind == "ip", colons | F.col(value).rlike(r"^[0-9]+(?:\.[0-9]+){3,}$"))
+        .when(kind == "card", plain & n.between(12, 19))
+        .when(kind == "phone", plain & n.between(7, 15))
+        .otherwise(~at & ~colons & letters & (F.length(value) >= 6) & F.col(value).rlike("^[A-Za-z0-9]+$"))
+    )
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """One row a document: row number, key, doc_id and the raw matches of each expression.
+    """One row a document: row number, doc_id, the raw matches of each expression and, if there are any, the text.
 
-    A match array has (gap, value, before, after): the characters between the
-    match and the one before it, the matched text and the words around it.
+    A match array has (gap, value, before, label, after): the characters between
+    the match and the one before it, the matched text, and the word, the two
+    words and the next word around it, with the marks between.
     """
-    out = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for kind, rule in EXPRESSIONS.items():
         rule = rule.replace("\\", "\\\\")
-        screen = f"{_SCREENS.get(kind, 'true')} AND text RLIKE '{rule}'"
-        out = out.withColumn(f"{kind}_gaps", F.expr(f"if({screen}, split(text, '{rule}', -1), array(''))"))
+        out = out.withColumn(f"{kind}_gaps", F.expr(f"if({_SCREENS[kind]}, split(text, '{rule}', -1), array(''))"))
         out = out.withColumn(f"{kind}_values", F.expr(f"if(size({kind}_gaps) > 1, regexp_extract_all(text, '{rule}', 0), array())"))
+    word, marks = r"[\\p{L}_]+", r"[^\\p{L}\\p{N}_]{0,4}"
+    near = lambda x, rule: f"lower(regexp_replace(regexp_extract({x}, '{rule}', 0), '\\\\s', ''))"
     row = []
     for kind in EXPRESSIONS:
+        left, right = f"right({kind}_gaps[i], {CONTEXT})", f"left({kind}_gaps[i + 1], {CONTEXT})"
         row.append(F.expr(
-            f"transform({kind}_values, (v, i) -> named_struct('gap', length({kind}_gaps[i]), 'value', v, "
-            f"'before', lower(regexp_extract(right({kind}_gaps[i], 64), '(\\\\S+)\\\\s*$', 1)), "
-            f"'after', lower(regexp_extract(left({kind}_gaps[i + 1], 64), '^\\\\s*(\\\\S+)', 1))))"
+            f"transform({kind}_values, (v, i) -> named_struct('gap', length({kind}_gaps[i]), 'value', v, 'before', {near(left, word + marks + '$')}, "
+            f"'label', {near(left, word + marks + word + marks + '$')}, 'after', {near(right, '^' + marks + word)}))"
         ).alias(kind))
-    return out.select("row", "key", "doc_id", *row)
+    any_match = F.greatest(*[F.size(k) for k in EXPRESSIONS]) > 0
+    return out.select("row", "doc_id", *row, F.when(any_match, F.col("text")).alias("text"))
+
+
+_SPAN = ["row", "kind", "start", "stop", "value", "before", "label", "after"]
 
 
 def _spans(found: DataFrame, kind: str) -> DataFrame:
-    """(row, key, doc_id, kind, start, stop, value, before, after) of the valid matches of an expression."""
-    one = found.filter(F.size(kind) > 0).select("row", "key", "doc_id", F.posexplode(kind).alias("k", "m")).select("row", "key", "doc_id", "k", "m.*")
+    """(row, kind, start, stop, value, before, label, after) of the valid matches of an expression."""
+    one = found.filter(F.size(kind) > 0).select("row", F.posexplode(kind).alias("k", "m")).select("row", "k", "m.*")
     so_far = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     one = one.withColumn("stop", F.sum(F.col("gap") + F.length("value")).over(so_far))
     one = one.withColumn("start", F.col("stop") - F.length("value"))
-    return one.filter(_valid(kind, "value")).select("row", "key", "doc_id", F.lit(kind).alias("kind"), "start", "stop", "value", "before", "after")
+    return one.filter(_valid(kind, "value")).withColumn("kind", F.lit(kind)).select(*_SPAN)
 
 
-def _contexts(spans: DataFrame) -> DataFrame:
-    """Each span with its patterns: (side, word)."""
-    sides = F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))
-    return spans.withColumn("c", F.explode(sides)).select("*", "c.side", "c.word").drop("c").filter("word <> ''")
+def _secret(value: str) -> Column:
+    count = lambda marks: F.length(F.regexp_replace(value, f"[^{marks}]", ""))
+    return F.col(value).rlike(f"^[A-Za-z0-9]{{{SECRET_LENGTH},}}$") & (count("0-9") >= 4) & (count("A-Za-z") >= 4)
 
 
 def _dealt(rows: DataFrame, few: DataFrame, on: list[str], by: list[str]) -> DataFrame:
@@ -121,74 +144,42 @@ def _dealt(rows: DataFrame, few: DataFrame, on: list[str], by: list[str]) -> Dat
     return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(copies, [*on, "salt"]).drop("salt")
 
 
-def _glued(found: DataFrame) -> DataFrame:
-    """(kind, side, word) of what stands between two matches of a kind without white space; it begins and ends inside a word."""
-    out = None
-    for kind in KINDS:
-        one = found.filter(F.size(kind) > 1).select(F.posexplode(kind).alias("k", "m")).filter("k > 0 and m.gap > 0 and length(m.before) = m.gap")
-        one = one.select(F.lit(kind).alias("kind"), F.explode(F.array(F.lit("before"), F.lit("after"))).alias("side"), F.col("m.before").alias("word"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(side, word, n): how often each string stands where a context could, alone or glued to what it leads or follows.
-
-    A word may be cut where its characters change between digits, letters and
-    others, and beside every punctuation mark: every match begins and ends at such
-    a place.  What comes before a cut is a string of side before, what follows it
-    one of side after; like contexts they have at most 64 characters.
-    """
-    words = docs.filter("text is not null").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    alone = "named_struct('side', 'before', 'word', right(w, 63)), named_struct('side', 'after', 'word', left(w, 63))"
-    one_run = r"^(?:[0-9]+|[a-z]+|[^\\x00-\\x7F]+)$"
-    chars = words.withColumn("one", F.expr(f"w rlike '{one_run}'")).withColumn("c", F.expr("if(one, array(), split(w, ''))"))
-    cuts = chars.withColumn("cuts", F.expr(f"if(size(c) < 2, array(), filter(sequence(1, greatest(1, size(c) - 1)), p -> not concat(c[p - 1], c[p]) rlike '{one_run}'))"))
-    forms = cuts.select("n", F.explode(F.expr(
-        f"concat(array({alone}), transform(cuts, p -> named_struct('side', 'before', 'word', array_join(slice(c, greatest(1, p - 63), least(p, 64)), ''))), "
-        "transform(cuts, p -> named_struct('side', 'after', 'word', array_join(slice(c, p + 1, 64), ''))))"
-    )).alias("f"))
-    return forms.groupBy("f.side", "f.word").agg(F.sum("n").alias("n"))
-
-
-def induce_patterns(docs: DataFrame, found: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(kind, side, word, seeds, total): supported patterns and how often their word stands in the corpus."""
-    support = _contexts(seeds).groupBy("kind", "side", "word").agg(F.count("*").alias("seeds"), F.count_distinct("value").alias("distinct_values"))
-    patterns = stash(support.filter(F.col("distinct_values") >= MIN_SUPPORT).select("kind", "side", "word", "seeds"), "pii-patterns")
-    glued = _glued(found).groupBy("kind", "side", "word").agg(F.count("*").alias("glued"))
-    # one row a string on either side, so no string is frequent in the joins
-    both = patterns.join(occurrences(docs), ["side", "word"], "left").join(glued, ["kind", "side", "word"], "left")
-    total = F.coalesce("n", F.lit(0)) + F.coalesce("glued", F.lit(0))
-    return both.select("kind", "side", "word", "seeds", F.greatest(total, "seeds").alias("total"))
-
-
-def score_graph(patterns: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, side, word, score) after ROUNDS rounds over the pattern-instance graph.
-
-    `edges` has kind, side, word, value and n (how often the value stands there).
-    """
-    scores = patterns.select("kind", "side", "word", (F.col("seeds") / F.col("total")).alias("score"))
-    for _ in range(ROUNDS):
-        at = _dealt(edges, scores, ["kind", "side", "word"], ["value"])
+def context_edges(spans: DataFrame) -> DataFrame:
+    """(side, word, value, seed, n) of spans with kind: how often a value, a seed of that kind or of none, stands at a pattern."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("word")) for s in ("before", "label", "after")])
+    one = spans.select("value", F.col("kind").alias("seed"), F.explode(sides).alias("c")).select("value", "seed", "c.side", "c.word").filter("word <> ''")
+    return one.groupBy("side", "word", "value", "seed").agg(F.count("*").alias("n"))
+
+
+def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """((kind, side, word, score) of the last round's good patterns, (kind, value, belief) of the instances accepted in any)."""
+    total = stash(edges.groupBy("side", "word").agg(F.sum("n").alias("total")), "pii-totals")
+    seeds = edges.filter("seed IS NOT NULL").select("side", "word", "value", F.col("seed").alias("kind"), "n")
+    open_edges = edges.filter("seed IS NULL").select("side", "word", "value", "n")
+    accepted = good = None
+    for _ in range(rounds):
+        known = seeds if accepted is None else seeds.unionByName(_dealt(open_edges, accepted.select("value", "kind"), ["value"], ["side", "word"]))
+        support = known.groupBy("kind", "side", "word").agg(F.sum("n").alias("mine"), F.count_distinct("value").alias("distinct_values")).filter(F.col("distinct_values") >= MIN_SUPPORT)
+        score = support.join(total, ["side", "word"]).select("kind", "side", "word", (F.col("mine") / F.col("total")).alias("score"))
+        good = stash(score.filter(F.col("score") >= CONFIDENCE), "pii-patterns")
+        at = _dealt(open_edges, good, ["side", "word"], ["value"]).filter(_suits("kind", "value"))
         belief = at.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("belief"))
-        gained = _dealt(edges, belief, ["kind", "value"], ["side", "word"]).groupBy("kind", "side", "word").agg(F.sum(F.col("n") * F.col("belief")).alias("gained"))
-        new = patterns.join(gained, ["kind", "side", "word"], "left")
-        scores = stash(new.select("kind", "side", "word", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("total")).alias("score")), "pii-scores")
-    return scores
+        best = belief.groupBy("value").agg(F.max(F.struct("belief", F.col("kind"))).alias("b")).select("value", "b.kind", "b.belief").filter(F.col("belief") >= CONFIDENCE)
+        accepted = stash(best if accepted is None else best.unionByName(accepted).groupBy("value").agg(F.max_by("kind", "belief").alias("kind"), F.max("belief").alias("belief")), "pii-accepted")
+    return good, accepted
 
 
-def discover(docs: DataFrame, found: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Spans (row, key, doc_id, kind, start, stop) that high-confidence patterns add."""
-    patterns = stash(induce_patterns(docs, found, seeds), "pii-induced")
-    at = _dealt(_contexts(_spans(found, "other")), patterns.select(F.col("kind").alias("as_kind"), "side", "word"), ["side", "word"], ["row", "start"])
-    at = at.filter(_suits(F.col("as_kind"), "value")).drop("kind").withColumnRenamed("as_kind", "kind")
+def discover(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Spans (row, kind, start, stop) that secrets and accepted instances add to the base seeds."""
     base = seeds.select("row", F.col("start").alias("a"), F.col("stop").alias("z"))
-    at = stash(at.join(base, (at["row"] == base["row"]) & (F.col("start") < F.col("z")) & (F.col("a") < F.col("stop")), "left_anti"), "pii-instances")
-    edges = stash(at.groupBy("kind", "side", "word", "value").agg(F.count("*").alias("n")), "pii-edges")
-    good = score_graph(patterns, edges).filter(F.col("score") >= CONFIDENCE)
-    best = Window.partitionBy("row", "start", "stop").orderBy(F.desc("score"), "kind")
-    named = _dealt(at, good, ["kind", "side", "word"], ["row", "start"]).withColumn("k", F.row_number().over(best)).filter("k = 1")
-    return named.select("row", "key", "doc_id", "kind", "start", "stop")
+    other = _spans(found, "other")
+    free = other.join(base, (other["row"] == base["row"]) & (F.col("start") < F.col("z")) & (F.col("a") < F.col("stop")), "left_anti")
+    free = stash(free.withColumn("kind", F.when(_secret("value"), ADDED)), "pii-instances")
+    edges = stash(context_edges(seeds.unionByName(free)), "pii-edges")
+    _, accepted = score_graph(edges)
+    columns = ["row", "kind", "start", "stop"]
+    named = _dealt(free.filter("kind IS NULL").drop("kind"), accepted.select("value", "kind"), ["value"], ["row", "start"])
+    return free.filter("kind IS NOT NULL").select(*columns).unionByName(named.select(*columns))
 
 
 def _span_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -198,8 +189,8 @@ def _span_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for kind in KINDS[1:]:
         seeds = seeds.unionByName(_spans(found, kind))
     seeds = stash(seeds, "pii-seeds")
-    columns = ["row", "key", "doc_id", "kind", "start", "stop"]
-    added = discover(docs, found, seeds)
+    columns = ["row", "kind", "start", "stop"]
+    added = discover(found, seeds)
     return found, seeds.select(*columns, F.lit(True).alias("base")).unionByName(added.select(*columns, F.lit(False).alias("base")))
 
 
@@ -209,7 +200,7 @@ def _listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row; kinds that are added (secret) come after the listed ones."""
     found, spans = _span_lists(docs)
     rank = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in _RANK.items()]).alias("rank")
     span = F.struct(rank, "start", "stop", "kind")
@@ -222,17 +213,20 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with every span replaced by its kind in angle brackets; other columns unchanged."""
-    _, spans = _span_lists(docs)
-    by_start = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "kind"))).alias("found"))
+    """`docs` with every span replaced by its kind in angle brackets; other columns unchanged.
+
+    Spans go back to their rows by doc_id and the whole text, not by a digest.
+    """
+    found, spans = _span_lists(docs)
+    by_row = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "kind"))).alias("__found"))
+    by_text = found.select("row", F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(by_row, "row").drop("row").dropDuplicates(["__id", "__text"])
     # spans of different kinds may overlap: a piece starts where all spans before it have ended
-    by_start = by_start.withColumn("reach", F.expr("transform(found, (s, i) -> if(i = 0, 0L, array_max(transform(slice(found, 1, i), x -> x.stop))))"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    marked = keyed.join(by_start.withColumnRenamed("key", "__key"), "__key", "left")
+    by_text = by_text.withColumn("__reach", F.expr("transform(__found, (s, i) -> if(i = 0, 0L, array_max(transform(slice(__found, 1, i), x -> x.stop))))"))
+    marked = docs.join(by_text, docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["text"] == F.col("__text")), "left")
     pieces = F.expr(
-        "concat(array_join(transform(found, (s, i) -> concat("
-        "if(s.start >= reach[i], substring(text, cast(reach[i] + 1 as int), cast(s.start - reach[i] as int)), ''), "
-        "if(s.start >= reach[i], concat('<', s.kind, '>'), ''))), ''), "
-        "substring(text, cast(array_max(transform(found, s -> s.stop)) + 1 as int)))"
+        "concat(array_join(transform(__found, (s, i) -> concat("
+        "if(s.start >= __reach[i], substring(__text, cast(__reach[i] + 1 as int), cast(s.start - __reach[i] as int)), ''), "
+        "if(s.start >= __reach[i], concat('<', s.kind, '>'), ''))), ''), "
+        "substring(__text, cast(array_max(transform(__found, s -> s.stop)) + 1 as int)))"
     )
-    return marked.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(pieces)).select(*docs.columns)
+    return marked.withColumn("text", F.when(F.col("__found").isNull(), docs["text"]).otherwise(pieces)).select(*docs.columns)

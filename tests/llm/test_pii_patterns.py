@@ -1,5 +1,8 @@
 """Patterns of personal data: which are kept and how often they are counted to occur."""
 
+import re
+from collections import Counter, defaultdict
+
 from horarium.llm import pii_bootstrap
 
 
@@ -23,8 +26,62 @@ def test_glued_patterns_are_counted(spark):
     assert got[7] == ""  # stands alone once, and glued to many words that are no identifiers
 
 
-def test_occurrences(spark):
-    docs = spark.createDataFrame([("tel:1 Tel:x tel: the there", ), ("😀!! a!!",), (None,), ("x" * 70,)], "text string")
-    n = {(r.side, r.word): r.n for r in pii_bootstrap.occurrences(docs).collect()}
-    assert n["before", "tel:"] == 3 and n["before", "tel"] == 3 and n["before", "the"] == 1
-    assert n["after", "!!"] == 2 and n["before", "😀"] == 1 and n["after", "😀!!"] == 1 and n["before", "x" * 63] == 1
+def brute_scores(edges, rounds):
+    """The pattern-instance graph in plain Python: (good patterns with scores, accepted instances with beliefs)."""
+    accepted = {}
+    for _ in range(rounds):
+        total, mine, values = Counter(), Counter(), defaultdict(set)
+        for side, word, value, seed, n in edges:
+            total[side, word] += n
+            kind = seed or accepted.get(value, (None,))[0]
+            if kind:
+                mine[kind, side, word] += n
+                values[kind, side, word].add(value)
+        good = {p: mine[p] / total[p[1:]] for p in mine if len(values[p]) >= pii_bootstrap.MIN_SUPPORT and mine[p] / total[p[1:]] >= pii_bootstrap.CONFIDENCE}
+        doubt = defaultdict(lambda: 1.0)
+        for side, word, value, seed, _ in edges:
+            for (kind, *at), score in good.items():
+                if not seed and at == [side, word] and suits(kind, value):
+                    doubt[value, kind] *= 1 - min(score, 0.999)
+        for (value, kind), d in doubt.items():
+            if 1 - d >= pii_bootstrap.CONFIDENCE and 1 - d > accepted.get(value, ("", 0))[1]:
+                accepted[value] = (kind, 1 - d)
+    return good, accepted
+
+
+def suits(kind, value):
+    digits, plain = len(re.sub("[^0-9]", "", value)), not re.search(r"[A-Za-z@:]|[\[(]at[\])]", value)
+    if kind == "secret":
+        return bool(re.fullmatch("(?=.*[A-Za-z])[A-Za-z0-9]{6,}", value))
+    return {"email": "@" in value, "ip": ":" in value, "card": plain and 12 <= digits <= 19, "phone": plain and 7 <= digits <= 15}[kind]
+
+
+def test_graph_against_plain_python(spark):
+    """Accepted instances induce a pattern that no seed has, in a later round."""
+    rows = [("before", "password=", f"{k}a1b2c3d4e5f6a7b8", "secret", 2) for k in range(4)] + [("before", "password=", f"hunter{k}x", None, 1) for k in range(4)]
+    rows += [("after", "rotated", f"hunter{k}x", None, 3) for k in range(4)] + [("after", "rotated", "s3cret", None, 1), ("after", "rotated", "1999", None, 1)]
+    rows += [("before", "the", f"10.0.0.{k}", "ip", 1) for k in range(3)] + [("before", "the", str(k), None, 1) for k in range(9)] + [("label", "atthe", "2024", None, 5)]
+    rows += [("before", "tel:", f"+49301234{k}", "phone", 1) for k in range(3)] + [("before", "tel:", "0301234567", None, 1), ("after", "now", "0301234567", None, 1)]
+    edges = spark.createDataFrame(rows, "side string, word string, value string, seed string, n long")
+    for rounds in (1, 3):
+        good, accepted = pii_bootstrap.score_graph(edges, rounds)
+        want_good, want = brute_scores(rows, rounds)
+        assert {(r.kind, r.side, r.word): round(r.score, 9) for r in good.collect()} == {p: round(s, 9) for p, s in want_good.items()}
+        assert {r.value: (r.kind, round(r.belief, 9)) for r in accepted.collect()} == {v: (k, round(b, 9)) for v, (k, b) in want.items()}
+        assert ("s3cret" in want) == (rounds == 3) and "0301234567" in want and "1999" not in want
+
+
+def test_secrets_and_labels(spark):
+    texts = [f"login password={k}e3621ce1642afe0{k} ok" for k in range(4)] + ["login password=tiger7 ok", "the year 2024 was 12 ok", 'x token = "ab12cd34ef56ab12cd34" y']
+    got = spans(spark, texts)
+    assert got[0] == "secret:15:32" and got[4] == "secret:15:21" and got[5] == "" and got[6] == "secret:11:31"
+
+
+def test_edges(spark):
+    """Null and empty texts, null ids, a clashing column and a very long text."""
+    rows = [(None, "a@b.co", 1), (1, None, 2), (2, "", 3), (3, "w 1 " * 40_000 + "10.0.0.1", 4), (3, "a@b.co", 5), (3, "a@b.co", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = pii_bootstrap.report(docs).collect()
+    assert len(got) == 6 and sum(r.n_email for r in got) == 3 and sum(r.n_ip for r in got) == 1
+    red = sorted(map(tuple, pii_bootstrap.redact(docs).collect()), key=lambda r: r[2])
+    assert [r[2] for r in red] == [1, 2, 3, 4, 5, 5] and red[0][1] == red[4][1] == "<email>" and red[3][1].endswith(" <ip>") and red[1][1] is None
