@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship_code
@@ -32,9 +32,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is named (tests)."""
+    """The folder all executors share; one of our own only where none is named and the driver is the only executor (tests)."""
+    ship_code(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="horarium-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -68,20 +71,39 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def pick(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """The documents whose doc_id is in `ids`, and a few others: by a bitmap of fixed size (1 MB), without a shuffle."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).toPandas()
-    table = np.zeros(1 << (bits - 5), np.int64)
+def bitmap(marks: DataFrame, least: int = 20, most: int = 27) -> tuple[np.ndarray, int]:
+    """(words, bits): a bitmap of the lower `bits` bits of the distinct longs in the one column of `marks`.
+
+    It has about 16 bits a mark, at most 2**`most` (16 MB, whatever the corpus).
+    Beyond some 90 million marks it lets more of the others through, which costs
+    work and never a result.
+    """
+    marks = marks.toDF("mark")
+    n = marks.agg(F.approx_count_distinct("mark")).first()[0]
+    bits = min(most, max(least, (16 * n).bit_length()))
+    low = F.pmod("mark", F.lit(1 << bits))
+    words = marks.select(low.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return table.view(np.uint64), bits
+
+
+def may_be_in(column: Column, marks: DataFrame) -> Column:
+    """Whether a long column is among `marks`; true for a few others too (see `bitmap`)."""
+    table, bits = bitmap(marks)
+    shared = marks.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def wanted(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy()
-        return pd.Series((shared.value[b >> 5] >> (b & 31)) & 1 == 1)
+        b = bit.to_numpy().astype(np.uint64)
+        return pd.Series((shared.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)) == 1)
+
+    return wanted(F.pmod(column, F.lit(1 << bits)))
+
 
-    return docs.filter(wanted(bit))
+def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in `ids`, and a few others, without a shuffle."""
+    return docs.filter(may_be_in(F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id"))))
 
 
 def avalanche(h: np.ndarray) -> np.ndarray:
