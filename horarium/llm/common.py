@@ -66,6 +66,14 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def integer_ids(docs: DataFrame) -> DataFrame:
+    """`docs`, whose ids must have the order of numbers."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be an integer column, not {kind}")
+    return docs
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows whose labels may not be learned from: crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -7,17 +7,19 @@ the canonical bytes are compared, and should different texts ever share a
 digest, the later ones (in byte order) get a suffix, so equal fingerprints mean
 equal canonical texts and the other way round.
 
-The comparison is a grouping by digest and canonical text, which is
-pre-aggregated where the rows are: a popular text costs a row a task.  Only
-buckets that several rows share are compared.  Their texts are picked out of
-the documents by a bitmap of fixed size (1 MB), not by a join of all texts.
+A bucket holds one text only if the least and the greatest of its canonical
+texts are equal bytes; both are pre-aggregated where the rows are, so a popular
+text costs a row a task.  Only buckets that several rows share are compared.
+Their rows and texts are picked out by bitmaps of bounded size, not by a join of
+all.
 
 Likeness of two fingerprints is 1.0 if they are equal, else 0.0: an exact
 digest knows no degrees.
 
 Edge cases: null and empty texts, and texts of white space alone, share the
 fingerprint of the empty text; repeated rows are ordered by text and each gets
-its own row; an empty table gives an empty result; other columns are ignored.
+its own row; doc_id must be an integer column (TypeError), and rows without one
+come first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stash
+from .common import integer_ids, may_be_in, pick, stash
 
 _BLANKS = re.compile(r"\s+")
 
@@ -99,7 +101,7 @@ def _pair_up(digits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def successor_digests(docs: DataFrame, digits: int = 32) -> DataFrame:
     """Every document with its digest, that of its edited text and that of the next document by doc_id."""
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = integer_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     paired = stash(ranged.mapInArrow(lambda it: _pair_up(digits, it), _PAIRED), "fingerprint-pairs")
     firsts = paired.filter("edge = 1").select("part", F.col("doc_id").alias("next_id"), F.col("text").alias("following"))
     by_part = Window.orderBy("part")  # one row a partition, without its text
@@ -117,11 +119,12 @@ def successor_digests(docs: DataFrame, digits: int = 32) -> DataFrame:
 
 
 def _variants(docs: DataFrame, pairs: DataFrame, digits: int) -> DataFrame:
-    """(digest, doc_id, of_edited, canon) of the rows in buckets that several rows share; `pairs` from successor_digests."""
+    """(digest, doc_id, of_edited, canon) of the rows in buckets that several rows share, and a few others; `pairs` from successor_digests."""
     own = pairs.select("digest", "doc_id", F.lit(None).cast("long").alias("next_id"), F.lit(False).alias("of_edited"))
     new = pairs.select(F.col("edited_digest").alias("digest"), "doc_id", "next_id", F.lit(True).alias("of_edited"))
     entries = own.unionByName(new)
-    entries = entries.join(entries.groupBy("digest").agg(F.count("*").alias("rows")).filter("rows > 1").select("digest"), "digest")
+    several = stash(entries.groupBy("digest").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.xxhash64("digest")), "fingerprint-buckets")
+    entries = entries.filter(may_be_in(F.xxhash64("digest"), several))
     ids = entries.select("doc_id").unionByName(entries.select(F.col("next_id").alias("doc_id")).filter("doc_id is not null"))
     texts = pick(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), ids)
     heads = texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("following"))
@@ -145,7 +148,7 @@ def fingerprints(docs: DataFrame, digits: int = 32) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     pairs = stash(successor_digests(docs, digits), "fingerprint-digests")
     variants = _variants(docs, pairs, digits)
-    clashes = variants.select("digest", "canon").distinct().groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
+    clashes = variants.groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("greatest")).filter("least <> greatest").select("digest")
     clashes = stash(clashes, "fingerprint-clashes")
     names = pairs.withColumn("fingerprint", F.col("digest")).withColumn("edited_fingerprint", F.col("edited_digest")).withColumn("next_fingerprint", F.col("next_digest"))
     if not clashes.isEmpty():

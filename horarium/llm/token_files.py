@@ -18,8 +18,8 @@ that Spark commits, says which shards count; a lost executor leaves at most an
 orphan.
 
 Edge cases: null and empty texts hold the end id alone; repeated rows and equal
-doc_ids are stored one after another (ordered by text); null doc_ids come first
-and are stored as the least long; an empty table gives no shard; other columns
+doc_ids are stored one after another (ordered by text); doc_id must be an
+integer column (TypeError); null doc_ids come first and are stored as the least long; an empty table gives no shard; other columns
 are ignored.
 """
 
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stash
+from .common import integer_ids, scratch_path, stash
 from .shards import open_in, write_file
 from .word_encoder import word_encoder
 
@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sam
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "seq", "uri", "n_docs", "n_tokens"])
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = integer_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = stash(ranged.mapInArrow(write, "part int, seq int, uri string, n_docs long, n_tokens long"), "tokens-manifest")
     return manifest, dictionary
 

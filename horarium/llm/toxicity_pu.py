@@ -14,13 +14,17 @@ sample is described by weights from the other half), so the network is not
 fooled by cues that are only seen in the texts that produced them.
 
 Bounds: the learner is fitted on a bounded sample (``max_positive`` and
-``max_unlabelled`` texts, those of least hash); the prior uses every labelled
-row, and every whole text is scored.  The model (1 MB) is the only broadcast.
+``max_unlabelled`` distinct ids, those of least hash, one text an id); the prior
+uses every labelled row, and every whole text is scored.  Spark counts and
+describes the sample; the driver receives at most ``4 * 2**BITS`` counts and
+seven numbers a text.  The model (1 MB) is the only broadcast.
 
 Edge cases: null and empty texts are scored like any text, from no words; an
 empty table gives an empty result; without positive examples every score is
-0.0; repeated rows and repeated doc_ids are scored one by one; columns other
-than the id and the text are ignored.
+0.0; repeated rows and repeated doc_ids are scored one by one, and count once
+in the sample (the least text of an id); equal texts have equal scores; a
+doc_id that is labelled twice counts as toxic if any label says so; columns
+other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, stash
 
 BITS = 18
 PREFIXES = (4, 5, 6)
@@ -75,12 +79,10 @@ def _describe(cues: np.ndarray, buckets: np.ndarray) -> list[float]:
     return [strong / root, np.log1p(strong), certain / root, np.log1p(certain), np.log1p(n), float(v.sum()) / root, float(v[v > 0].sum()) / root]
 
 
-def _cue_weights(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
-    d, a = 1 << BITS, 1.0
-    count = lambda xs: np.bincount(np.concatenate(xs), minlength=d) if xs else np.zeros(d)
-    cp, cu = count(pos), count(unl)
-    r = np.log((cp + 0.5 * a) / (len(pos) + a)) - np.log((cu + 0.5 * a) / (len(unl) + a))
-    expected = cu * (len(pos) / max(len(unl), 1))
+def _cue_weights(cp: np.ndarray, n_pos: int, cu: np.ndarray, n_unl: int) -> np.ndarray:
+    """Weights from the numbers of P and U texts that hold each bucket."""
+    r = np.log((cp + 0.5) / (n_pos + 1)) - np.log((cu + 0.5) / (n_unl + 1))
+    expected = cu * (n_pos / max(n_unl, 1))
     sure = np.abs(cp - expected) > 3.5 * np.sqrt(expected + 0.5)
     return np.where(sure & (np.abs(r) > 0.7), r, 0).astype(np.float32)
 
@@ -116,21 +118,6 @@ def fit_nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 8, s
     return layers
 
 
-def fit_model(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> PuModel:
-    """Cross-fitted cue weights, then the network, from bucket lists of P and U texts."""
-    cues = _cue_weights(pos, unl)
-    if len(pos) < 2 or len(unl) < 2 or not 0 < prior < 1:
-        return PuModel(cues, np.zeros(7), np.ones(7), [])
-    xp, xu = [], []
-    for half in (0, 1):
-        other = _cue_weights(pos[1 - half :: 2], unl[1 - half :: 2])
-        xp += [_describe(other, b) for b in pos[half::2]]
-        xu += [_describe(other, b) for b in unl[half::2]]
-    xp, xu = np.array(xp), np.array(xu)
-    centre, scale = xu.mean(0), xu.std(0) + 1e-9
-    return PuModel(cues, centre, scale, fit_nn_pu((xp - centre) / scale, (xu - centre) / scale, prior))
-
-
 def score_buckets(model: PuModel, buckets: list[np.ndarray]) -> np.ndarray:
     if not model.layers or not buckets:
         return np.zeros(len(buckets))
@@ -138,17 +125,26 @@ def score_buckets(model: PuModel, buckets: list[np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_forward(model.layers, x)[1], -500, 500)))
 
 
-def _sample(docs: DataFrame, rows: int) -> DataFrame:
-    """The `rows` texts of least hash: the same ones on every run."""
-    return docs.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(rows)
+def _sample(ids: DataFrame, rows: int) -> DataFrame:
+    """The `rows` distinct ids of least hash: the same ones on every run."""
+    return ids.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict = {}
     for b in batches:
-        flags = b.column(1).to_pylist()
-        found = [text_buckets(t.as_py(), cache).astype(np.int32).tobytes() for t in b.column(0)]
-        yield pa.record_batch([pa.array(flags, pa.int32()), pa.array(found, pa.binary())], names=["positive", "buckets"])
+        found = [text_buckets(t.as_py(), cache).astype(np.int32).tobytes() for t in b.column(2)]
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["positive", "half", "buckets"])
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(positive, half, bucket, n) of a task: at most four times 2**BITS rows."""
+    total = np.zeros((2, 2, 1 << BITS), np.int64)
+    for b in batches:
+        for positive, half, cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            total[positive, half][np.frombuffer(cells, np.int32)] += 1
+    positive, half, bucket = np.nonzero(total)
+    yield pa.record_batch([pa.array(positive.astype(np.int32)), pa.array(half.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[positive, half, bucket])], names=["positive", "half", "bucket", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 6000) -> PuModel:
@@ -160,12 +156,32 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     known = labels.filter(~held_out()).filter(F.col("toxic").isNotNull()).select("doc_id", "toxic")
     n, n_pos = known.agg(F.count("*"), F.sum("toxic")).first()
     prior = min(max((n_pos or 0) / n if n else 0.0, 0.0), 0.99)
-    ids_p = _sample(known.filter("toxic = 1").select("doc_id").distinct(), max_positive).withColumn("positive", F.lit(1))
-    ids_u = _sample(docs.filter(~held_out()).select("doc_id"), max_unlabelled).withColumn("positive", F.lit(0))
+    ids_p = _sample(known.filter("toxic = 1"), max_positive).withColumn("positive", F.lit(1))
+    ids_u = _sample(docs.filter(~held_out()), max_unlabelled).withColumn("positive", F.lit(0))
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids_p.unionByName(ids_u)), "doc_id")
-    rows = chosen.orderBy("doc_id", "positive").select("text", "positive").mapInArrow(_bucket_rows, "positive int, buckets binary").collect()
-    split = {k: [np.frombuffer(r.buckets, np.int32) for r in rows if r.positive == k] for k in (0, 1)}
-    return fit_model(split[1], split[0], prior)
+    half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)).cast("int")
+    chosen = chosen.groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select("positive", half.alias("half"), "text")
+    chosen = stash(chosen.mapInArrow(_bucket_rows, "positive int, half int, buckets binary"), "pu-sample")
+    size, count = np.zeros((2, 2), np.int64), np.zeros((2, 2, 1 << BITS))
+    for r in chosen.groupBy("positive", "half").count().collect():
+        size[r.positive, r.half] = r["count"]
+    held = chosen.mapInArrow(_bucket_counts, "positive int, half int, bucket int, n long").groupBy("positive", "half", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    count[held["positive"], held["half"], held["bucket"]] = held["n"]
+    cues = _cue_weights(count[1].sum(0), size[1].sum(), count[0].sum(0), size[0].sum())
+    if size[1].sum() < 2 or size[0].sum() < 2 or not 0 < prior < 1:
+        return PuModel(cues, np.zeros(7), np.ones(7), [])
+    crossed = np.stack([_cue_weights(count[1, 1 - h], size[1, 1 - h], count[0, 1 - h], size[0, 1 - h]) for h in (0, 1)])
+    shared = docs.sparkSession.sparkContext.broadcast(crossed)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [_describe(shared.value[h], np.frombuffer(c, np.int32)) for h, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["positive", "x"])
+
+    rows = chosen.mapInArrow(described, "positive int, x array<double>").orderBy("positive", "x").toPandas()
+    x, positive = np.array(rows["x"].tolist()), rows["positive"].to_numpy() == 1
+    centre, scale = x[~positive].mean(0), x[~positive].std(0) + 1e-9
+    return PuModel(cues, centre, scale, fit_nn_pu((x[positive] - centre) / scale, (x[~positive] - centre) / scale, prior))
 
 
 def score(docs: DataFrame, model: PuModel) -> DataFrame:

@@ -181,11 +181,27 @@ def test_fingerprints(docs, digits):
             continue
         new = fingerprint.edited(t, order[(n + 1) % len(order)][1])
         assert (got[k].n_chars, got[k].edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        same = lambda a, b: float(fingerprint.canonical(a) == fingerprint.canonical(b))
+        assert (got[k].near_edited, got[k].near_next) == (same(t, new), same(t, order[(n + 1) % len(order)][1]))
         for mark, text in ((got[k].fingerprint, t), (got[k].edited_fingerprint, new)):
             assert canon.setdefault(mark, fingerprint.canonical(text)) == fingerprint.canonical(text)
     assert len(set(canon.values())) == len(canon)
 
 
+def test_fingerprints_of_equal_neighbours(spark):
+    """White space and case alone do not tell texts apart; the last document is followed by the first."""
+    docs = spark.createDataFrame([(1, "Ab  c"), (2, "aB c"), (3, "x"), (4, "ab c ")], "doc_id int, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    assert [got[k].near_next for k in (1, 2, 3, 4)] == [1, 0, 0, 1] and got[3].near_edited == 1 and got[4].edited_sha256 == hashlib.sha256(b"ab cA").hexdigest()
+
+
+def test_ids_must_be_integers(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for f in (fingerprint.fingerprints, lambda d: token_files.write_token_files(d, WORD)):
+        with pytest.raises(TypeError):
+            f(docs)
+
+
 def test_bpe(docs, monkeypatch):
     monkeypatch.setattr(bpe_tree, "PIECE", 700)
     monkeypatch.setattr(bpe_tree, "LEAF", 64)

@@ -1,9 +1,11 @@
 """Learned operators: held-out accuracy, edge cases, and the pipeline against a brute-force version."""
 
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
 from horarium.llm import quality_qda, toxicity_pu
@@ -51,6 +53,52 @@ def test_edge_cases(spark, docs, empty):
             assert f(empty, labels).count() == 0
 
 
+def test_one_id_many_times(spark):
+    """A repeated id is one example; the sample keeps its bound."""
+    rows = [(k % 3, f"word{k % 7} idiot") for k in range(600)] + [(k, f"word{k % 7} fine") for k in range(3, 203)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(3)] + [(k, 0) for k in range(3, 203)], "doc_id long, toxic int")
+    assert len(toxicity_pu.toxicity_scores(docs, labels).collect()) == 800
+
+
+def test_toxicity_scores_against_plain_numpy(spark):
+    """Every score from the model's numbers alone: buckets by hand, the network written out."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity_pu.train(docs, labels)
+    w1, b1, w2, b2 = model.layers
+    got = {r.doc_id: r.score for r in toxicity_pu.score(docs, model).collect()}
+    for r in docs.collect():
+        words = set(re.findall(rb"[a-z0-9\x80-\xff]+", (r.text or "").lower().encode()))
+        keys = {b"=" + w for w in words} | {b"%d:" % k + w[:k] for w in words for k in (4, 5, 6) if len(w) > k}
+        cells = sorted({xxhash.xxh32_intdigest(k) % 2**18 for k in keys})
+        v, n = model.cues[cells], len(cells)
+        strong, certain = sum(x > 1.2 for x in v), sum(x > 1.8 for x in v)
+        x = np.array([strong / (n + 1) ** 0.5, np.log(1 + strong), certain / (n + 1) ** 0.5, np.log(1 + certain), np.log(1 + n), v.sum() / (n + 1) ** 0.5, v[v > 0].sum() / (n + 1) ** 0.5])
+        z = np.tanh((x - model.centre) / model.scale @ w1 + b1) @ w2 + b2[0]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_quality_scores_against_dense_gaussians(spark):
+    """Densities from inverted covariances instead of Cholesky factors."""
+    g = np.random.default_rng(3)
+    x = np.concatenate([g.normal(0, 1, (200, quality_qda.DIM)), g.normal(0.6, 2, (300, quality_qda.DIM))])
+    y = np.r_[np.zeros(200, int), np.ones(300, int)]
+    one = np.c_[np.ones(len(x)), x]
+    model = quality_qda.fit(np.array([one[y == k].T @ one[y == k] for k in (0, 1)]))
+    logs = []
+    pooled = sum(((x[y == k] - x[y == k].mean(0)).T @ (x[y == k] - x[y == k].mean(0)) for k in (0, 1))) / len(x)
+    pooled = 0.95 * pooled + 0.05 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled))
+    for k in (0, 1):
+        own, n = x[y == k], (y == k).sum()
+        lam = max(0.1, quality_qda.DIM / (n + quality_qda.DIM))
+        cov = (1 - lam) * np.cov(own.T, bias=True) + lam * pooled
+        d = x - own.mean(0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]))
+    assert np.allclose(quality_qda.log_density_difference(model, x), logs[1] - logs[0], atol=1e-6)
+    assert np.allclose(quality_qda.scores(model, x), 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + np.log(1.5), -500, 500))))
+
+
 def test_nn_pu_recovers_a_boundary():
     g = np.random.default_rng(0)
     pos, neg = g.normal(2, 1, (300, 2)), g.normal(-2, 1, (700, 2))
@@ -88,7 +136,13 @@ def test_pipeline(spark, sf_dir):
         if hit and 20 * len(hit) >= len(words):
             del kept[k]
     for k, t in kept.items():
-        for span in sorted(base_spans(t), key=lambda s: -int(s.split(":")[1])):
+        found, taken = list(base_spans(t)), set()
+        for span in found:
+            taken |= set(range(*map(int, span.split(":")[1:])))
+        for m in re.finditer("(?<![A-Za-z0-9])[A-Za-z0-9]{16,}(?![A-Za-z0-9])", t):
+            if len(re.findall("[0-9]", m.group())) >= 4 <= len(re.findall("[A-Za-z]", m.group())) and not taken & set(range(*m.span())):
+                found.append(f"secret:{m.start()}:{m.end()}")
+        for span in sorted(found, key=lambda s: -int(s.split(":")[1])):
             kind, a, z = span.split(":")
             t = t[: int(a)] + f"<{kind}>" + t[int(z) :]
         kept[k] = t
