@@ -1,11 +1,14 @@
 """Scalar functions as native column expressions.
 
-Everything here stays inside whole-stage code generation; the few functions
-that Spark cannot express are in `pyudfs`.
+The parsers match each rule once a row: the parts of the matches are bound to a
+variable (`bind`), from which the value is chosen.  Bound expressions are
+evaluated in the JVM outside the generated code; all others are part of it.
+The few functions that Spark cannot express are in `pyudfs`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +22,7 @@ WEEKLY = "jumuah"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
+# A clock time as pages write it.
 _CLOCK = r"([0-9]{1,2})\s*[:.٫]\s*([0-9]{2})\s*([ap]\.?m\.?)?"
 
 
@@ -31,12 +35,17 @@ def clean(text: Column) -> Column:
     return F.lower(F.trim(ascii_digits(text)))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clock(hour: Column, minute: Column, mark: Column, prefer_pm: Column | None) -> Column:
     """HH:MM of matched parts, null if out of range."""
     hh, mm, m = hour.cast("int"), minute.cast("int"), F.substring(mark, 1, 1)
     pm = prefer_pm if prefer_pm is not None else F.lit(None).cast("boolean")
     hh = (
-        F.when(m == "p", F.when(hh < 12, hh + 12).otherwise(hh))
+        F.when(m == "p", F.when(hh == 12, hh).otherwise(hh + 12))
         .when(m == "a", F.when(hh == 12, 0).otherwise(hh))
         .when(pm & hh.between(1, 11), hh + 12)
         .when(~pm & (hh == 12), 0)
@@ -45,17 +54,21 @@ def clock(hour: Column, minute: Column, mark: Column, prefer_pm: Column | None)
     return F.when((mm <= 59) & (hh <= 23), F.format_string("%02d:%02d", hh, mm))
 
 
+def _clock_parts(text: Column) -> Column:
+    """Hour, minute and half-day mark of the first clock time."""
+    part = [F.nullif(F.regexp_extract(text, _CLOCK, k), F.lit("")).alias(n) for k, n in ((1, "h"), (2, "m"))]
+    return F.struct(*part, F.regexp_extract(text, _CLOCK, 3).alias("mark"))
+
+
 def parse_time(text: Column, prefer_pm: Column | None = None) -> Column:
     """The first clock time in a text as HH:MM; a bad first hit gives null, later ones are not tried."""
-    t = clean(text)
-    part = [F.nullif(F.regexp_extract(t, _CLOCK, k), F.lit("")) for k in (1, 2)] + [F.regexp_extract(t, _CLOCK, 3)]
-    return clock(*part, prefer_pm)
+    return bind(_clock_parts(clean(text)), lambda x: clock(x["h"], x["m"], x["mark"], prefer_pm))
 
 
 def parse_times(text: Column, prefer_pm: Column | None = None) -> Column:
     """All valid clock times in order, duplicates kept."""
-    hits = F.regexp_extract_all(clean(text), F.lit(_CLOCK), F.lit(0))
-    return F.filter(F.transform(hits, lambda h: clock(*[F.regexp_extract(h, _CLOCK, k) for k in (1, 2, 3)], prefer_pm)), lambda x: x.isNotNull())
+    hits = F.transform(F.regexp_extract_all(clean(text), F.lit(_CLOCK), F.lit(0)), _clock_parts)
+    return F.filter(F.transform(hits, lambda x: clock(x["h"], x["m"], x["mark"], prefer_pm)), lambda x: x.isNotNull())
 
 
 def time_values(text: Column) -> Column:
@@ -90,6 +103,15 @@ def month_from_text(text: Column) -> Column:
     return month_number(F.regexp_extract(clean(text), r"^([a-z]+)(?:\s+[0-9]{4})?$", 1))
 
 
+# The forms of a date, in the order in which they are tried.
+_ISO = r"([0-9]{4})-([0-9]{2})-([0-9]{2})"
+_DAY_MONTH = r"\b([0-9]{1,2})[/.\-]([0-9]{1,2})(?:[/.\-]([0-9]{2,4}))?\b"
+_DAY_WORD = r"\b([0-9]{1,2})(?:st|nd|rd|th)?\s+([a-z]{3,})\b"
+_WORD_DAY = r"\b([a-z]{3,})\s+([0-9]{1,2})(?:st|nd|rd|th)?\b"
+_WEEK = r"(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?"
+_BARE = (r"^([0-9]{1,2})(?:st|nd|rd|th)?$", rf"^{_WEEK}\s+([0-9]{{1,2}})(?:st|nd|rd|th)?$", rf"^([0-9]{{1,2}})(?:st|nd|rd|th)?\s*{_WEEK}$")
+
+
 def parse_date(text: Column, year: Column, month: Column | None = None) -> Column:
     """A date by ordered rules; a numeric hit decides even if there is no such day.
 
@@ -97,24 +119,29 @@ def parse_date(text: Column, year: Column, month: Column | None = None) -> Colum
     day, "weekday d" and "d weekday".  Only the first hit of a rule counts.
     """
     t = clean(text)
-    get = lambda rule, k: F.nullif(F.regexp_extract(t, rule, k), F.lit(""))
-    number = lambda rule, k: get(rule, k).cast("int")
-    iso, dm = r"([0-9]{4})-([0-9]{2})-([0-9]{2})", r"\b([0-9]{1,2})[/.\-]([0-9]{1,2})(?:[/.\-]([0-9]{2,4}))?\b"
-    d_word, word_d = r"\b([0-9]{1,2})(?:st|nd|rd|th)?\s+([a-z]{3,})\b", r"\b([a-z]{3,})\s+([0-9]{1,2})(?:st|nd|rd|th)?\b"
-    week = r"(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?"
-    y = number(dm, 3)
-    steps = [
-        (get(iso, 1).isNotNull(), day_of(number(iso, 1), number(iso, 2), number(iso, 3))),
-        (get(dm, 1).isNotNull(), day_of(F.when(y < 100, y + 2000).otherwise(F.coalesce(y, year)), number(dm, 2), number(dm, 1))),
-        (month_number(get(d_word, 2)).isNotNull(), day_of(year, month_number(get(d_word, 2)), number(d_word, 1))),
-    ]
-    if month is not None:
-        steps.append((month.isNotNull() & get(d_word, 2).rlike(f"^{week}$"), day_of(year, month, number(d_word, 1))))
-    steps.append((month_number(get(word_d, 1)).isNotNull(), day_of(year, month_number(get(word_d, 1)), number(word_d, 2))))
+    get = lambda rule, k, name: F.nullif(F.regexp_extract(t, rule, k), F.lit("")).alias(name)
+    parts = [get(_ISO, k, f"iso{k}") for k in (1, 2, 3)] + [get(_DAY_MONTH, k, f"dm{k}") for k in (1, 2, 3)]
+    parts += [get(_DAY_WORD, 1, "dw1"), get(_DAY_WORD, 2, "dw2"), get(_WORD_DAY, 1, "wd1"), get(_WORD_DAY, 2, "wd2"), year.alias("year")]
     if month is not None:
-        for rule in (r"^([0-9]{1,2})(?:st|nd|rd|th)?$", rf"^{week}\s+([0-9]{{1,2}})(?:st|nd|rd|th)?$", rf"^([0-9]{{1,2}})(?:st|nd|rd|th)?\s*{week}$"):
-            steps.append((get(rule, 1).isNotNull() & month.isNotNull(), day_of(year, month, number(rule, 1))))
-    return reduce(lambda chain, s: chain.when(*s), steps[1:], F.when(*steps[0]))
+        parts += [month.alias("month"), F.coalesce(*[F.nullif(F.regexp_extract(t, rule, 1), F.lit("")) for rule in _BARE]).alias("bare")]
+
+    def chosen(x: Column) -> Column:
+        number = lambda name: x[name].cast("int")
+        ymd = lambda y, m, d: F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
+        y, first, second = number("dm3"), month_number(x["dw2"]), month_number(x["wd1"])
+        chain = (
+            F.when(x["iso1"].isNotNull(), ymd(x["iso1"], x["iso2"], x["iso3"]))
+            .when(x["dm1"].isNotNull(), ymd(F.when(y < 100, y + 2000).otherwise(F.coalesce(y, x["year"])), x["dm2"], x["dm1"]))
+            .when(first.isNotNull(), ymd(x["year"], first, x["dw1"]))
+        )
+        if month is not None:
+            chain = chain.when(x["month"].isNotNull() & x["dw2"].rlike(f"^{_WEEK}$"), ymd(x["year"], x["month"], x["dw1"]))
+        chain = chain.when(second.isNotNull(), ymd(x["year"], second, x["wd2"]))
+        if month is not None:
+            chain = chain.when(x["month"].isNotNull() & x["bare"].isNotNull(), ymd(x["year"], x["month"], x["bare"]))
+        return chain
+
+    return bind(bind(F.struct(*parts), chosen), lambda d: day_of(d["y"], d["m"], d["d"]))
 
 
 def minutes(hhmm: Column) -> Column:
@@ -235,3 +262,15 @@ def none_match(tags: Column, header: Column) -> Column:
     """If-None-Match: one of a comma list equals the tag, or a star."""
     given = F.transform(F.split(header, ","), lambda x: F.trim(x))
     return F.array_contains(given, tags) | F.array_contains(given, F.lit("*"))
+
+
+# Providers of embedded timetables, in the order of the test, with what tells them.
+PROVIDERS = (("mawaqit", ("mawaqit",)), ("masjidbox", ("masjidbox",)), ("mylocalmasjid", ("mylocalmasjid", "my-local-masjid", "my-masjid", "mymasjid")))
+
+
+def provider_hint(url: Column) -> Column:
+    """The first provider of embedded timetables that a URL names, else null."""
+    u, chain = F.lower(url), F
+    for name, marks in PROVIDERS:
+        chain = chain.when(reduce(lambda a, b: a | b, (F.contains(u, F.lit(m)) for m in marks)), name)
+    return chain

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,17 +69,22 @@ def self_match(row: DataFrame, text: DataFrame, exempt: Column | None = None) ->
 def lint(config: DataFrame) -> DataFrame:
     """`config` with the list of its problems.
 
-    Columns: shape, columns (array of kind, slot), template, single_day, month_sections.
+    Columns: shape, columns (array of kind, slot), template, single_day,
+    month_sections and, optionally, label_index (the layout with slots down a
+    label column, whose columns name no slot).
     """
+    label = F.col("label_index").isNotNull() if "label_index" in config.columns else F.lit(False)
     main = F.filter("columns", lambda c: c["kind"] == "jamaah")
-    paged = F.col("template").isNotNull()
+    paged, rest = F.col("template").isNotNull(), F.regexp_replace("template", r"\{(?:year|month)(?::0?[0-9]*d)?\}", "")
     checks = [
-        F.when((F.col("shape") == "html_table") & (F.size(main) == 0), "no columns"),
-        F.when(F.exists(main, lambda c: c["slot"].isNull()), "column without slot"),
+        F.when(F.col("shape").isin("html_table", "html_repeated") & (F.size("columns") == 0), "no columns"),
+        F.when(~label & F.exists(main, lambda c: c["slot"].isNull()), "column without slot"),
         F.when(paged & (F.col("shape") == "rules"), "paging with rules"),
         F.when(paged & F.col("single_day"), "paging with a single day"),
+        F.when(paged & label, "paging with a label column"),
         F.when(paged & F.col("month_sections"), "paging with month sections"),
         F.when(paged & ~F.contains("template", F.lit("{month")), "template without month"),
+        F.when(paged & rest.rlike("[{}]"), "template cannot be filled"),
     ]
     return config.withColumn("problems", F.array_compact(F.array(*checks)))
 
@@ -85,25 +92,43 @@ def lint(config: DataFrame) -> DataFrame:
 def lanes(source: DataFrame, row: DataFrame, text: DataFrame, exempt: Column | None = None) -> DataFrame:
     """(source_id, lane, confidence, reason, flags): the first gate that fails decides.
 
-    `source` has source_id and, optionally, problems (from `lint`).
+    `source` has source_id and, optionally, problems (from `lint`).  The rows are
+    grouped by source and day, and these by source; times that must stand in the
+    text are a set of at most 1,440 a source.
     """
     if "problems" not in source.columns:
         source = source.withColumn("problems", F.array().cast("array<string>"))
-    made = in_window(row).groupBy("source_id").agg(F.count("*").alias("rows"), F.bool_and("plausible").alias("plausible"), F.count_if(F.col("slot") != "jumuah").alias("daily"), F.count_if(F.col("slot") == "jumuah").alias("weekly"))
-    per_day = monotonic(row).groupBy("source_id").agg(F.bool_and("monotonic").alias("monotonic"))
-    week = sessions(row).groupBy("source_id").agg(F.bool_and("ordered").alias("ordered"))
-    both = source.select("source_id", "problems")
-    for part in (made, per_day, week, self_match(row, text, exempt), missing_slots(row.filter(F.col("slot") != "jumuah")), constant_columns(row)):
-        both = both.join(part, "source_id", "left")
-    yes = lambda c: F.coalesce(c, F.lit(True))
+    none = F.array().cast("array<string>")
+    daily, weekly = F.col("slot").isin(*DAILY), F.col("slot") == "jumuah"
+    free = F.col("derived") | (exempt if exempt is not None else F.lit(False))
+    rising = lambda c, strict: F.forall(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda k: F.coalesce(F.get(c, k)["m"] > F.get(c, k - 1)["m"] if strict else F.get(c, k)["m"] >= F.get(c, k - 1)["m"], F.lit(True)))
+    place = lambda key: F.struct(key.cast("int").alias("k"), minutes(F.col("time")).alias("m"))
+    low, high = WINDOWS["jumuah"]
+    per_day = in_window(row).groupBy("source_id", "day").agg(
+        F.count("*").alias("rows"), F.bool_and("plausible").alias("plausible"), F.count_if(~weekly).alias("daily"), F.count_if(weekly).alias("weekly"), F.count_if(daily & F.col("begin").isNotNull()).alias("begins"),
+        F.array_sort(F.collect_list(F.when(daily, place(slot_order(F.col("slot")))))).alias("of_day"), F.array_sort(F.collect_list(F.when(weekly, place(F.col("session"))))).alias("of_week"),
+        F.collect_set(F.when(~weekly, F.col("slot"))).alias("have"), F.collect_set(F.when(~free, F.col("time"))).alias("claimed"),
+        *[f("time").alias(f"{n}_{s}") for s in DAILY for n, f in (("least", lambda c, s=s: F.min(F.when(F.col("slot") == s, F.col(c)))), ("most", lambda c, s=s: F.max(F.when(F.col("slot") == s, F.col(c)))))],
+    )
+    has = F.col("daily") > 0
+    per_day = per_day.withColumn("lack", F.when(has, F.array_except(F.array(*map(F.lit, DAILY)), "have"))).withColumn("known_day", F.size("of_day") > 0)
+    ordered = rising(F.col("of_week"), True) & F.forall("of_week", lambda x: x["m"].between(low, high)) & (F.size("of_week") <= 4)
+    constant = [F.coalesce(F.min(f"least_{s}") == F.max(f"most_{s}"), F.lit(False)) for s in DAILY]
+    made = per_day.groupBy("source_id").agg(
+        F.sum("rows").alias("rows"), F.bool_and("plausible").alias("plausible"), F.sum("daily").alias("daily"), F.sum("weekly").alias("weekly"), F.bool_and(rising(F.col("of_day"), False)).alias("monotonic"),
+        F.bool_and(ordered).alias("ordered"), F.array_distinct(F.flatten(F.collect_set("lack"))).alias("missing"), F.array_distinct(F.flatten(F.collect_set("claimed"))).alias("claimed"),
+        (reduce(lambda a, b: a & b, constant) & (F.sum("begins") == 0) & (F.count_if("known_day") >= 7)).alias("constant"),
+    )
+    both = source.select("source_id", "problems").join(made, "source_id", "left").join(text.select("source_id", time_values(F.col("text")).alias("values")), "source_id", "left")
+    lied = F.size(F.array_except(F.coalesce("claimed", none), F.coalesce("values", none))) > 0
     rules = [
         (F.size("problems") > 0, "reject", 0.0, "lint"), (F.col("rows").isNull(), "reject", 0.0, "no occurrences produced"),
-        (~F.col("plausible") | ~yes(F.col("monotonic")), "reject", 0.0, "implausible"), (~yes(F.col("matched")), "reject", 0.0, "self-match failed"),
-        (~yes(F.col("ordered")), "reject", 0.0, "jumuah"), (F.col("daily") == 0, "review", 0.5, "only jumuah"),
-        (F.size(F.coalesce("missing", F.array().cast("array<string>"))) > 0, "review", 0.7, "incomplete"), (F.coalesce("constant", F.lit(False)), "review", 0.7, "constant"),
+        (~F.col("plausible") | ~F.col("monotonic"), "reject", 0.0, "implausible"), (lied, "reject", 0.0, "self-match failed"),
+        (~F.col("ordered"), "reject", 0.0, "jumuah"), (F.col("daily") == 0, "review", 0.5, "only jumuah"),
+        (F.size(F.coalesce("missing", none)) > 0, "review", 0.7, "incomplete"), (F.coalesce("constant", F.lit(False)), "review", 0.7, "constant"),
     ]
     pick = lambda k, last: _chain([(r[0], F.lit(r[k])) for r in rules], last)
-    flags = F.when((pick(1, "auto_accept") == "auto_accept") & (F.coalesce("weekly", F.lit(0)) == 0), F.array(F.lit("jumuah_missing"))).otherwise(F.array().cast("array<string>"))
+    flags = F.when((pick(1, "auto_accept") == "auto_accept") & (F.coalesce("weekly", F.lit(0)) == 0), F.array(F.lit("jumuah_missing"))).otherwise(none)
     return both.select("source_id", pick(1, "auto_accept").alias("lane"), pick(2, 1.0).alias("confidence"), pick(3, None).alias("reason"), flags.alias("flags"))
 
 

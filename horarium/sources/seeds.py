@@ -34,13 +34,22 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
-    """A seed file; a record without id, name, lat or lng is an error."""
-    rows = spark.read.schema(SEED).option("multiLine", True).json(path)
-    bad = F.col("id").isNull() | F.col("name").isNull() | F.col("lat").isNull() | F.col("lng").isNull()
-    return rows.withColumn("id", F.when(bad, F.raise_error(F.lit("record without id, name, lat or lng"))).otherwise(F.col("id")))
+    """A seed, either one JSON array a file or one record a line (as `write_seed` writes).
+
+    A record without id, name, lat or lng is an error that names its place in
+    its file, whichever columns are read later.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
+    text = text.withColumn("value", F.when(F.startswith("value", F.lit("[")), F.col("value")).otherwise(F.concat(F.lit("["), F.regexp_replace("value", r"\}\s*\n\s*\{", "},\n{"), F.lit("]"))))
+    records = text.select("file", F.posexplode(F.from_json("value", f"array<struct<{SEED.replace(' ', ':').replace(',:', ',')}>>", {"mode": "FAILFAST"})).alias("k", "r"))
+    lacks = F.filter(F.array(*[F.when(F.col("r")[c].isNull(), c) for c in ("id", "name", "lat", "lng")]), lambda x: x.isNotNull())
+    why = F.format_string("%s: record %d has no %s", "file", "k", F.array_join(lacks, ", "))
+    # the check is part of every column, so none can be read around it
+    return records.select(F.when(F.size(lacks) > 0, F.raise_error(why)).otherwise(F.col("r")).alias("r")).select("r.*")
 
 
 def write_seed(rows: DataFrame, path: str) -> None:
+    """One JSON record a line; non-ASCII characters are kept."""
     rows.write.json(path)
 
 

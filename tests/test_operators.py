@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from horarium.operators import state, tables, venues
@@ -90,3 +91,25 @@ def test_entry_without_the_corpus_package(monkeypatch):
     assert "flagship_times_near" in entry.queries() and "pipeline" not in entry.queries()
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_lint_layouts(spark):
+    """Label columns name no slot; repeated items need columns; a template must be fillable."""
+    kinds = "source_id string, shape string, columns array<struct<kind:string,slot:string>>, template string, single_day boolean, month_sections boolean, label_index int"
+    asr, bare = [("jamaah", "asr")], [("jamaah", None)]
+    data = [
+        ("rows", "html_table", bare, None, True, False, 0), ("rows paged", "html_table", bare, "https://x/{year}/{month:02d}", False, False, 0), ("items", "html_repeated", [], None, False, False, None),
+        ("bare", "html_table", bare, None, False, False, None), ("odd", "html_table", asr, "https://x/{month}/{week}", False, False, None), ("good", "html_table", asr, "https://x/{year}-{month:02d}", False, False, None),
+    ]
+    got = {r.source_id: r.problems for r in gates.lint(spark.createDataFrame(data, kinds)).collect()}
+    assert got == {"rows": [], "rows paged": ["paging with a label column"], "items": ["no columns"], "bare": ["column without slot"], "odd": ["template cannot be filled"], "good": []}
+
+
+def test_seed_round_trip(spark, tmp_path):
+    data = [(str(k), f"Zähl {{{k}}}", ["a", "b"], None, "x", None, "GB", 1.0 * k, 2.0, None) for k in range(5)]
+    seed = spark.createDataFrame(data, seeds.SEED).coalesce(1)
+    seeds.write_seed(seed, f"{tmp_path}/seed")
+    assert sorted(map(tuple, seeds.read_seed(spark, f"{tmp_path}/seed").collect())) == data
+    (tmp_path / "one.json").write_text('[{"id": "1", "name": "n", "lat": 1, "lng": 2},\n {"id": "2", "name": "m", "lat": 1}]')
+    with pytest.raises(Exception, match="record 1 has no lng"):
+        seeds.read_seed(spark, f"{tmp_path}/one.json").select("name").collect()

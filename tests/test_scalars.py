@@ -15,7 +15,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(("text", "pm", "want"), [
     ("1:30", None, "01:30"), ("1:30", True, "13:30"), ("11:45", True, "23:45"), ("12:05", False, "00:05"), ("1.30 pm", None, "13:30"), ("12:10am", None, "00:10"),
-    ("25:00", None, None), ("123:45", None, "23:45"), ("10:75 9:00", None, None), ("٠٥:٣٠", None, "05:30"), ("", None, None), (None, None, None), ("soon", True, None),
+    ("25:00", None, None), ("13:30 pm", None, None), ("12:30 pm", None, "12:30"), ("123:45", None, "23:45"), ("10:75 9:00", None, None), ("٠٥:٣٠", None, "05:30"), ("", None, None), (None, None, None), ("soon", True, None),
 ])
 def test_parse_time(spark, text, pm, want):
     assert one(spark, S.parse_time(F.lit(text).cast("string"), None if pm is None else F.lit(pm))) == want
