@@ -40,6 +40,11 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def given(value: Column) -> Column:
+    """A generator of the value, for select: rows where it is null go, and later filters do not compute it anew."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def clock(hour: Column, minute: Column, mark: Column, prefer_pm: Column | None) -> Column:
     """HH:MM of matched parts, null if out of range."""
     hh, mm, m = hour.cast("int"), minute.cast("int"), F.substring(mark, 1, 1)

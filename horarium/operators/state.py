@@ -35,12 +35,32 @@ def merge_rows(occurrence: DataFrame, pairs: DataFrame) -> DataFrame:
     A dropped venue's row goes if the survivor, or a dropped venue of smaller id,
     has its day, slot and session.
     """
-    moved = occurrence.join(F.broadcast(pairs.withColumnRenamed("dropped", "venue_id")), "venue_id", "left")
+    moved = occurrence.join(pairs.withColumnRenamed("dropped", "venue_id"), "venue_id", "left")
     moved = moved.withColumn("__own", F.coalesce("survivor", "venue_id"))
     best = moved.groupBy("__own", "day", "slot", "session").agg(F.min_by(F.struct(*occurrence.columns), F.struct(F.col("survivor").isNotNull(), "venue_id")).alias("r"))
     return best.select(*[F.col("__own").alias(c) if c == "venue_id" else F.col(f"r.{c}").alias(c) for c in occurrence.columns])
 
 
+def merge_venues(venue: DataFrame, source: DataFrame, occurrence: DataFrame, run: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """All four tables after merges; pairs whose venues are not both there change nothing, so a second run is the same.
+
+    Dropped venues, their sources and the runs of these go; occurrences of these
+    sources stay without a source.
+    """
+    ids = venue.select("venue_id")
+    pairs = pairs.join(ids.withColumnRenamed("venue_id", "dropped"), "dropped", "left_semi").join(ids.withColumnRenamed("venue_id", "survivor"), "survivor", "left_semi")
+    gone = pairs.select(F.col("dropped").alias("venue_id"))
+    lost = source.join(gone, "venue_id", "left_semi").select("source_id").withColumn("__lost", F.lit(True))
+    named = pairs.join(venue.withColumnRenamed("venue_id", "dropped"), "dropped").select("survivor", F.col("dropped").alias("ordinal"), "name", "aliases")
+    freed = occurrence.join(lost, "source_id", "left").withColumn("source_id", F.when(F.col("__lost").isNull(), F.col("source_id"))).select(occurrence.columns)
+    return {
+        "venue": merge_aliases(venue.join(gone, "venue_id", "left_anti"), named).select(venue.columns),
+        "source": source.join(gone, "venue_id", "left_anti").select(source.columns),
+        "occurrence": merge_rows(freed, pairs.select("dropped", "survivor")),
+        "run": run.join(lost, "source_id", "left_anti").select(run.columns),
+    }
+
+
 def merge_aliases(survivor: DataFrame, dropped: DataFrame) -> DataFrame:
     """Survivors with the names and aliases of the venues they take over, in order, without their own name.
 

@@ -1,4 +1,4 @@
-"""From long-form table cells to slot cells, and the inference of a table's columns."""
+"""From long-form table cells to slot cells."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ def grid_cells(cells: DataFrame, columns: DataFrame, key: str, date_index: int,
     """
     when = parse_date(F.col("text"), F.lit(year), None if month is None else F.lit(month))
     day = cells.filter(F.col("col_no") == date_index).select(key, "table_no", "row_no", when.alias("day")).filter("day is not null")
-    both = cells.join(day, [key, "table_no", "row_no"]).join(F.broadcast(columns), [key, "col_no"])
+    both = cells.join(day, [key, "table_no", "row_no"]).join(columns, [key, "col_no"])
     pm = F.col("slot") != "fajr"
     time = F.when(F.col("time_index").isNotNull(), F.get(parse_times(F.col("text"), pm), F.col("time_index"))).otherwise(parse_time(F.col("text"), pm))
     offset = F.when(F.col("value_kind") == "offset", parse_offset(F.col("text")))
@@ -25,20 +25,6 @@ def grid_cells(cells: DataFrame, columns: DataFrame, key: str, date_index: int,
     return out.filter("time is not null or offset is not null")
 
 
-def column_profile(cells: DataFrame, key: str, year: int, sample: int = 12) -> DataFrame:
-    """Share of times, offsets and dates among the first cells of each column."""
-    head = cells.filter(F.col("row_no").between(1, sample))
-    share = lambda c: F.avg(c.isNotNull().cast("double"))
-    return head.groupBy(key, "table_no", "col_no").agg(
-        share(F.coalesce(parse_time(F.col("text")), parse_offset(F.col("text")).cast("string"))).alias("times"),
-        share(F.when(parse_time(F.col("text")).isNull(), parse_date(F.col("text"), F.lit(year), F.lit(1)))).alias("dates"),
-    )
-
-
-def transpose(cells: DataFrame) -> DataFrame:
-    return cells.withColumnsRenamed({"row_no": "col_no", "col_no": "row_no"}).select(cells.columns)
-
-
 def wide_to_long(record: DataFrame, slots: tuple[str, ...]) -> DataFrame:
     """venue_id, day, slot, time of the given columns of day records."""
     return record.unpivot(["venue_id", "day"], list(slots), "slot", "time").filter("time is not null")

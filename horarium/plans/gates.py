@@ -127,21 +127,9 @@ def lanes(source: DataFrame, row: DataFrame, text: DataFrame, exempt: Column | N
         (~F.col("ordered"), "reject", 0.0, "jumuah"), (F.col("daily") == 0, "review", 0.5, "only jumuah"),
         (F.size(F.coalesce("missing", none)) > 0, "review", 0.7, "incomplete"), (F.coalesce("constant", F.lit(False)), "review", 0.7, "constant"),
     ]
-    pick = lambda k, last: _chain([(r[0], F.lit(r[k])) for r in rules], last)
-    flags = F.when((pick(1, "auto_accept") == "auto_accept") & (F.coalesce("weekly", F.lit(0)) == 0), F.array(F.lit("jumuah_missing"))).otherwise(none)
-    return both.select("source_id", pick(1, "auto_accept").alias("lane"), pick(2, 1.0).alias("confidence"), pick(3, None).alias("reason"), flags.alias("flags"))
-
-
-def _chain(rules: list[tuple[Column, Column]], last) -> Column:
-    out = F
-    for condition, value in rules:
-        out = out.when(condition, value)
-    return out.otherwise(F.lit(last))
-
-
-def evaluate(source: DataFrame, cell: DataFrame, session: DataFrame, text: DataFrame, today: str, days: int = 60) -> tuple[DataFrame, DataFrame]:
-    """Rows and verdicts of captured documents: materialise, then gate; nothing is written."""
-    from .materialize import grid_rows, weekly_rows
-
-    rows = grid_rows(cell, today, days).unionByName(weekly_rows(session, today, days))
-    return rows, lanes(source, rows, text, F.col("slot") == "jumuah")
+    lane = F.array(*[F.when(c, F.struct(F.lit(x).alias("lane"), F.lit(y).alias("confidence"), F.lit(w).alias("reason"))) for c, x, y, w in rules])
+    fine = F.struct(F.lit("auto_accept").alias("lane"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("reason"))
+    # the verdict is one value, and what follows reads its fields
+    both = both.select("source_id", F.explode(F.array(F.coalesce(F.get(F.array_compact(lane), F.lit(0)), fine))).alias("v"), F.coalesce("weekly", F.lit(0)).alias("weekly"))
+    flags = F.when((F.col("v.lane") == "auto_accept") & (F.col("weekly") == 0), F.array(F.lit("jumuah_missing"))).otherwise(none)
+    return both.select("source_id", "v.*", flags.alias("flags"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import apply_offset, horizon_days, is_friday, parse_time, season
+from ..functions.scalars import apply_offset, given, horizon_days, is_friday, parse_time, season
 
 ROW = ("source_id", "day", "slot", "session", "time", "begin", "label", "derived")
 
@@ -32,9 +32,8 @@ def grid_rows(cell: DataFrame, today: str, days: int) -> DataFrame:
     base = slots.select("source_id", "day", F.col("slot").alias("base_slot"), F.col("begin").alias("base_begin"))
     both = slots.withColumn("base_slot", F.coalesce("base_slot", "slot")).join(base, ["source_id", "day", "base_slot"], "left")
     time = F.coalesce("time", apply_offset(F.col("base_begin"), F.col("offset")))
-    derived = F.col("time").isNull()
-    out = both.select("source_id", "day", "slot", F.lit(0).alias("session"), time.alias("time"), "begin", F.lit(None).cast("string").alias("label"), derived.alias("derived"))
-    return out.filter("time is not null")
+    out = both.select("source_id", "day", "slot", F.lit(0).alias("session"), given(time).alias("__time"), "begin", F.lit(None).cast("string").alias("label"), F.col("time").isNull().alias("derived"))
+    return out.withColumnRenamed("__time", "time").select(*ROW)
 
 
 def weekly_rows(session: DataFrame, today: str, days: int) -> DataFrame:
@@ -44,8 +43,8 @@ def weekly_rows(session: DataFrame, today: str, days: int) -> DataFrame:
     """
     friday = F.filter(horizon_days(F.lit(today).cast("date"), days), is_friday)
     out = session.withColumn("day", F.explode(friday)).filter(F.col("season").isNull() | (F.col("season") == season(F.col("day"))))
-    row = out.select("source_id", "day", F.lit("jumuah").alias("slot"), F.col("idx").alias("session"), parse_time(F.col("text")).alias("time"), F.lit(None).cast("string").alias("begin"), "label", F.lit(True).alias("derived"))
-    return row.filter("time is not null")
+    row = out.select("source_id", "day", F.lit("jumuah").alias("slot"), F.col("idx").alias("session"), given(parse_time(F.col("text"))).alias("time"), F.lit(None).cast("string").alias("begin"), "label", F.lit(True).alias("derived"))
+    return row
 
 
 def rule_rows(rule: DataFrame, today: str, days: int, begins: DataFrame | None = None) -> DataFrame:
@@ -56,8 +55,7 @@ def rule_rows(rule: DataFrame, today: str, days: int, begins: DataFrame | None =
     out = rule.withColumn("day", F.explode(horizon_days(F.lit(today).cast("date"), days)))
     out = out.join(begins, ["source_id", "day", "slot"], "left") if begins is not None else out.withColumn("begin", F.lit(None).cast("string"))
     time = F.coalesce(parse_time(F.col("fixed"), F.col("slot") != "fajr"), apply_offset(F.col("begin"), F.col("offset")))
-    row = out.select("source_id", "day", "slot", F.lit(0).alias("session"), time.alias("time"), "begin", F.lit(None).cast("string").alias("label"), F.lit(True).alias("derived"))
-    return row.filter("time is not null")
+    return out.select("source_id", "day", "slot", F.lit(0).alias("session"), given(time).alias("time"), "begin", F.lit(None).cast("string").alias("label"), F.lit(True).alias("derived"))
 
 
 def expand_pages(source: DataFrame, fetched: DataFrame, today: str, days: int) -> DataFrame:

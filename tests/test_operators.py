@@ -14,11 +14,6 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]
 
 
-def test_dense_spans():
-    table = html.read("<table><tr><td rowspan=2>a<td colspan=2>b<tr><td>c<td>d<tr><td>e</table>").tables[0]
-    assert html.dense(table) == [["a", "b", "b"], ["a", "c", "d"], ["e", "", ""]]
-
-
 def test_page_to_occurrences(spark):
     page = "<script>var x = '9:99'</script><table><tr><th>Date<th>Begins<th>Asr</tr>" + "".join(f"<tr><td>{d}/6/2026<td>4:0{d}<td>+15</tr>" for d in (1, 2)) + "</table>"
     pages = spark.createDataFrame([("s", page), ("t", None)], "source_id string, html string")
