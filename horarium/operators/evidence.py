@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pyudfs import absolute_url, normalise_token, resolve_tokens
+from ..functions.pyudfs import absolute_url, names_of, normalise_token, resolve_tokens
 from ..functions.scalars import PROVIDERS, keyword_score, media_kind, media_score, month_from_text, provider_hint
 from ..sources.html import cells_of, page_items
+from ..sources.scratch import stored
 from .grids import header_depth
 from .schema import table_evidence
 
@@ -64,7 +65,7 @@ def slots_in_text(texts: DataFrame, key: str) -> DataFrame:
 def empty_grids(items: DataFrame, key: str) -> DataFrame:
     """(key, table_no) of tables whose first row names two slots and whose body has one row at most."""
     cells = cells_of(items, key)
-    first = resolve_tokens(cells.filter("row_no = 0"), "text").filter(F.col("name").isNotNull() & ~F.col("fuzzy")).groupBy(key, "table_no").agg(F.count("*").alias("slots"))
+    first = cells.filter("row_no = 0").withColumn("n", names_of("text")).filter(F.col("n.slot").isNotNull() & ~F.col("n.fuzzy")).groupBy(key, "table_no").agg(F.count("*").alias("slots"))
     data = items.filter("kind = 'row' AND col > 0").groupBy(key, F.col("n").alias("table_no")).agg(F.count_if(~F.col("flag")).alias("data"))
     return first.filter("slots >= 2").join(data.filter("data <= 1"), [key, "table_no"]).select(key, "table_no")
 
@@ -127,12 +128,13 @@ def classify(page: DataFrame) -> DataFrame:
 def page_evidence(pages: DataFrame, key: str, year: int, items: DataFrame | None = None) -> DataFrame:
     """One row a page (`pages`: key, url, html) with SIGNALS, title, score, needs_render, page_class and terminal_hints.
 
-    `items` is `page_items(pages)`, where the caller keeps it; it is read several times.
+    `items` is `page_items(pages)`, where the caller keeps it.  It is read several
+    times, so it is stored here otherwise: pages are parsed once.
     """
-    items = page_items(pages, key) if items is None else items
+    items = stored(page_items(pages, key), "page-items") if items is None else items
     cells = cells_of(items, key)
     table = items.filter("kind = 'table'").select(key, F.col("n").alias("table_no"), F.col("row").alias("thead_rows"))
-    depth = header_depth(table, items.filter("kind = 'row'").select(key, F.col("n").alias("table_no"), F.col("row").alias("row_no"), F.col("flag").alias("heading")), cells, key)
+    depth = stored(header_depth(table, items.filter("kind = 'row'").select(key, F.col("n").alias("table_no"), F.col("row").alias("row_no"), F.col("flag").alias("heading")), cells, key), "page-headers")
     tables = table_evidence(cells, depth, key, year).groupBy(key).agg(F.count_if(F.size("prayers") > 0).alias("named_tables"), F.count_if((F.size("prayers") > 0) & (F.col("times") > 0)).alias("timed_tables"), F.sum("times").alias("table_times"))
     blob = F.lower(F.concat_ws(" ", "link", "text"))
     kind = lambda k: F.col("kind") == k

@@ -1,8 +1,9 @@
 """Inference of a table's layout from its header and the first rows of its body.
 
 Tables are long: `header` has (key, table_no, col_no, header), `body` has (key,
-table_no, row_no from 0, col_no, text).  Names are resolved for distinct texts
-only; everything else is counted and ranked natively.
+table_no, row_no from 0, col_no, text).  Names are resolved in Arrow batches;
+everything else is counted and ranked natively.  `cells` and `depth` are read
+several times: keep them.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pyudfs import normalise_token, resolve_tokens
-from ..functions.scalars import DAILY, parse_date, parse_offset, parse_time
+from ..functions.pyudfs import names_of
+from ..functions.scalars import DAILY, bind, parse_date, parse_offset, parse_time
+from ..sources.scratch import stored
 from .grids import combined_header, leading_run, transpose
 
 # Rows that are sampled, the least share of them, the least number of slots, and the layouts' names.
@@ -34,42 +36,56 @@ def profile(body: DataFrame, key: str, today: str) -> DataFrame:
 
 
 def _named(header: DataFrame) -> DataFrame:
-    """`header` with slot, fuzzy and kind_name."""
-    slots = resolve_tokens(header, "header").withColumnsRenamed({"name": "slot"}).drop("confidence")
-    return resolve_tokens(slots.withColumnRenamed("fuzzy", "near"), "header", "kind").withColumnsRenamed({"name": "kind_name"}).drop("confidence", "fuzzy").withColumnRenamed("near", "fuzzy")
+    """`header` with slot, fuzzy, kind_name and plain."""
+    return header.withColumn("__n", names_of("header")).select("*", "__n.slot", "__n.fuzzy", F.col("__n.kind").alias("kind_name"), "__n.plain").drop("__n")
+
+
+def _daily(text: str) -> Column:
+    """The daily slot that a text names exactly, else null."""
+    return bind(names_of(text), lambda x: F.when(x["slot"].isin(*DAILY) & ~x["fuzzy"], x["slot"]))
 
 
 def _offset(kind: Column) -> Column:
     return (kind == "jamaah") & (F.col("offsets") >= SHARE) & (F.col("offsets") >= F.col("times"))
 
 
-def detect_columns(header: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
-    """(key, table_no, col_no, slot, kind, value_kind, header): the columns whose header names a daily slot.
+def detect_columns(named: DataFrame, key: str) -> DataFrame:
+    """`named` with slot_column, value_kind: the columns whose header names a daily slot.
 
-    A close spelling counts if half of the sampled cells are times or offsets;
-    a column of offsets needs a begin column of its slot; the first column of a
-    slot and kind wins.
+    `named` is a header with names and the shares of its columns.  A close
+    spelling counts if half of the sampled cells are times or offsets; a column
+    of offsets needs a begin column of its slot; the first column of a slot and
+    kind wins.
     """
     at = Window.partitionBy(key, "table_no", "slot")
-    both = _named(header).filter(F.col("slot").isin(*DAILY)).join(profiles, [key, "table_no", "col_no"], "left").fillna(0.0, ["times", "offsets", "dates"])
-    both = both.filter(~F.col("fuzzy") | (F.greatest("times", "offsets") >= SHARE)).withColumn("kind", F.coalesce("kind_name", F.lit("jamaah")))
-    both = both.withColumn("is_offset", _offset(F.col("kind"))).withColumn("has_begin", F.bool_or(F.col("kind") == "begin").over(at))
-    first = F.row_number().over(Window.partitionBy(key, "table_no", "slot", "kind").orderBy("col_no"))
-    kept = both.filter(~F.col("is_offset") | F.col("has_begin")).withColumn("k", first).filter("k = 1")
-    return kept.select(key, "table_no", "col_no", "slot", "kind", F.when(F.col("is_offset"), "offset").alias("value_kind"), "header")
+    sure = F.col("slot").isin(*DAILY) & (~F.col("fuzzy") | (F.greatest("times", "offsets") >= SHARE))
+    both = named.withColumn("kind", F.coalesce("kind_name", F.lit("jamaah"))).withColumn("sure", F.coalesce(sure, F.lit(False)))
+    both = both.withColumn("is_offset", _offset(F.col("kind"))).withColumn("has_begin", F.bool_or(F.col("sure") & (F.col("kind") == "begin")).over(at))
+    both = both.withColumn("fit", F.col("sure") & (~F.col("is_offset") | F.col("has_begin")))
+    first = F.min(F.when(F.col("fit"), F.col("col_no"))).over(Window.partitionBy(key, "table_no", "slot", "kind"))
+    return both.withColumn("slot_column", F.coalesce(F.col("fit") & (F.col("col_no") == first), F.lit(False))).withColumn("value_kind", F.when(F.col("is_offset"), "offset"))
+
 
+def _grid(header: DataFrame, body: DataFrame, key: str, today: str) -> DataFrame:
+    """(key, table_no, columns, date_col) of tables with at least SLOTS slot columns.
 
-def detect_date(header: DataFrame, profiles: DataFrame, columns: DataFrame, key: str) -> DataFrame:
-    """(key, table_no, date_col): the free column with the largest share of dates, at least half, else the first with a header that says so."""
-    free = profiles.select(key, "table_no", "col_no", "dates").join(header, [key, "table_no", "col_no"], "full").join(columns.select(key, "table_no", "col_no"), [key, "table_no", "col_no"], "left_anti")
-    said = normalise_token(F.coalesce("header", F.lit(""))).isin("date", "day")
-    best = free.withColumn("said", said).groupBy(key, "table_no").agg(F.max(F.struct(F.coalesce("dates", F.lit(0.0)).alias("dates"), (-F.col("col_no")).alias("at"))).alias("m"), F.min(F.when(F.col("said"), F.col("col_no"))).alias("named"))
-    return best.select(key, "table_no", F.when(F.col("m.dates") >= SHARE, -F.col("m.at")).otherwise(F.col("named")).alias("date_col")).filter("date_col is not null")
+    The date column is the free one with the largest share of dates, at least
+    half, else the first whose header says so.
+    """
+    named = _named(header).join(profile(body, key, today), [key, "table_no", "col_no"], "left").fillna(0.0, ["times", "offsets", "dates"])
+    found = detect_columns(named, key)
+    column = F.struct("col_no", "slot", "kind", "value_kind", "header").cast(COLUMN)
+    free = ~F.col("slot_column")
+    per = found.groupBy(key, "table_no").agg(
+        F.array_sort(F.collect_list(F.when(F.col("slot_column"), column))).alias("columns"), F.max(F.when(free, F.struct("dates", (-F.col("col_no")).alias("at")))).alias("m"),
+        F.min(F.when(free & F.col("plain").isin("date", "day"), F.col("col_no"))).alias("said"),
+    ).filter(F.size("columns") >= SLOTS)
+    return per.select(key, "table_no", "columns", F.when(F.col("m.dates") >= SHARE, -F.col("m.at")).otherwise(F.col("said")).alias("date_col"))
 
 
 def detect_labels(header: DataFrame, body: DataFrame, key: str) -> DataFrame:
     """(key, table_no, label_col, columns) of tables with the slots down one column and kinds in the others."""
-    cells = resolve_tokens(body, "text").withColumn("daily", F.when(F.col("name").isin(*DAILY) & ~F.col("fuzzy"), F.col("name"))).drop("name", "confidence", "fuzzy")
+    cells = body.withColumn("daily", _daily("text"))
     best = cells.filter(F.col("row_no") < SAMPLE).groupBy(key, "table_no", "col_no").agg(F.count_distinct("daily").alias("slots"))
     best = best.groupBy(key, "table_no").agg(F.max(F.struct("slots", (-F.col("col_no")).alias("at"))).alias("m")).filter(F.col("m.slots") >= SLOTS).select(key, "table_no", (-F.col("m.at")).alias("label_col"))
     labelled = cells.join(best, [key, "table_no"]).filter("col_no = label_col and daily is not null").select(key, "table_no", "row_no", "label_col")
@@ -81,15 +97,6 @@ def detect_labels(header: DataFrame, body: DataFrame, key: str) -> DataFrame:
     return named.groupBy(key, "table_no", "label_col").agg(F.array_sort(F.collect_list(column)).alias("columns"))
 
 
-def _grid(header: DataFrame, body: DataFrame, key: str, today: str) -> DataFrame:
-    """(key, table_no, columns, date_col) of tables with at least SLOTS slot columns."""
-    stats = profile(body, key, today)
-    columns = detect_columns(header, stats, key)
-    column = F.struct("col_no", "slot", "kind", "value_kind", "header").cast(COLUMN)
-    many = columns.groupBy(key, "table_no").agg(F.array_sort(F.collect_list(column)).alias("columns")).filter(F.size("columns") >= SLOTS)
-    return many.join(detect_date(header, stats, columns, key), [key, "table_no"], "left")
-
-
 def table_layouts(cells: DataFrame, depth: DataFrame, key: str, today: str) -> DataFrame:
     """(key, table_no, layout, date_col, label_col, columns): the first layout that fits each table.
 
@@ -98,14 +105,16 @@ def table_layouts(cells: DataFrame, depth: DataFrame, key: str, today: str) -> D
     """
     from .grids import body as body_of
 
-    header, body = combined_header(cells, depth, key), body_of(cells, depth, key)
-    across = _grid(header, body, key, today)
-    used = across.select(key, "table_no", F.explode("columns").alias("c")).select(key, "table_no", F.col("c.col_no").alias("col_no"))
-    timed = body.join(used, [key, "table_no", "col_no"]).filter(parse_time(F.col("text")).isNotNull()).groupBy(key, "table_no").agg(F.count_distinct("row_no").alias("timed"))
+    header, body = stored(combined_header(cells, depth, key), "layout-headers"), stored(body_of(cells, depth, key), "layout-bodies")
+    # a table and its transpose, headed by its first column, are judged together
+    flat = cells.groupBy(key, "table_no").agg(F.max("row_no").alias("r"), F.max("col_no").alias("c")).filter("r >= 1 and c >= 1").select(key, "table_no", F.lit(1).alias("depth"))
     flipped = transpose(cells)
-    one = cells.select(key, "table_no").distinct().withColumn("depth", F.lit(1))
-    enough = cells.groupBy(key, "table_no").agg(F.max("row_no").alias("r"), F.max("col_no").alias("c")).filter("r >= 1 and c >= 1").select(key, "table_no")
-    down = _grid(combined_header(flipped, one, key), body_of(flipped, one, key), key, today).filter("date_col is not null").join(enough, [key, "table_no"], "left_semi")
+    as_seen = lambda df, turned: df.withColumn("table_no", F.struct("table_no", F.lit(turned).alias("turned")))
+    both = _grid(as_seen(header, False).unionByName(as_seen(combined_header(flipped, flat, key), True)), as_seen(body, False).unionByName(as_seen(body_of(flipped, flat, key), True)), key, today)
+    both = stored(both.select(key, "table_no.table_no", "table_no.turned", "columns", "date_col"), "layout-grids")
+    across, down = both.filter("not turned"), both.filter("turned and date_col is not null")
+    used = across.filter("date_col is null").select(key, "table_no", F.explode("columns").alias("c")).select(key, "table_no", F.col("c.col_no").alias("col_no"))
+    timed = body.join(used, [key, "table_no", "col_no"]).filter(parse_time(F.col("text")).isNotNull()).groupBy(key, "table_no").agg(F.count_distinct("row_no").alias("timed"))
     labels = detect_labels(header, body, key)
     null = F.lit(None).cast("int")
     fit = lambda df, rank, name, date, label: df.select(key, "table_no", F.lit(rank).alias("rank"), F.lit(name).alias("layout"), date.alias("date_col"), label.alias("label_col"), "columns")
@@ -138,11 +147,10 @@ def section_layouts(sections: DataFrame, key: str, today: str) -> DataFrame:
 def table_evidence(cells: DataFrame, depth: DataFrame, key: str, year: int) -> DataFrame:
     """(key, table_no, prayers, times, date_columns): distinct slots named in first-seen order, clock times in the body, columns of which half are dates."""
     spot = F.when(F.col("row_no") < F.col("depth"), 0).otherwise(1)
-    named = resolve_tokens(cells.join(depth, [key, "table_no"]), "text").withColumn("timed", F.when(spot == 1, parse_time(F.col("text"))))
-    slot = F.when(F.col("name").isNotNull() & ~F.col("fuzzy"), F.struct("row_no", "col_no", F.col("name").alias("slot")))
+    named = cells.join(depth, [key, "table_no"]).withColumn("timed", F.when(spot == 1, parse_time(F.col("text")))).withColumn("name", bind(names_of("text"), lambda x: F.when(~x["fuzzy"], x["slot"])))
     # the header is read column by column, the body row by row
     order = F.when(spot == 0, F.struct(spot.alias("p"), F.col("col_no").alias("x"), F.col("row_no").alias("y"))).otherwise(F.struct(spot.alias("p"), F.col("row_no").alias("x"), F.col("col_no").alias("y")))
-    per_slot = named.filter(slot.isNotNull()).groupBy(key, "table_no", "name").agg(F.min(order).alias("seen"))
+    per_slot = named.filter("name is not null").groupBy(key, "table_no", "name").agg(F.min(order).alias("seen"))
     prayers = per_slot.groupBy(key, "table_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "name"))), lambda x: x["name"]).alias("prayers"))
     when = parse_date(F.col("text"), F.lit(year), F.lit(1))
     columns = named.filter(spot == 1).filter(F.trim("text") != "").groupBy(key, "table_no", "col_no").agg((F.count(when) * 2 >= F.count("*")).alias("dates"))

@@ -1,4 +1,4 @@
-"""A source's captured documents to rows and a verdict; nothing is fetched and nothing is written.
+"""A source's captured documents to rows and a verdict; nothing is fetched.
 
 collect → extract → materialise → gate, for all sources at once.
 """
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import horizon_months
 from ..operators.state import coalesce_update, drift_guard
 from ..sources.html import cells_of, page_items
+from ..sources.scratch import stored
 from .extract import extract
 from .gates import lanes, sessions
 from .materialize import ROW, grid_rows, rule_rows, weekly_rows
@@ -46,16 +47,17 @@ def evaluate(source: DataFrame, document: DataFrame, layout: DataFrame, session:
     `source` has source_id, shape and optionally problems; `layout` source_id and
     the columns of `plans.extract`; `session` as in `weekly_rows`.  A source of
     fewer documents than the horizon has months is flagged; one that is read
-    later (an image) needs plausible weekly sessions only.  Both results are read
-    more than once by what follows: store or cache them.
+    later (an image) needs plausible weekly sessions only.  What is read more
+    than once is stored in the shared folder; the tables of record are not touched.
     """
+    document = stored(document, "evaluated-documents")
     keyed = document.withColumn("doc", F.struct("source_id", "idx"))
-    cells = cells_of(page_items(keyed, "doc"), "doc")
-    of_doc = layout.join(keyed.select("source_id", "doc"), "source_id").drop("source_id")
+    cells = stored(cells_of(page_items(keyed, "doc"), "doc"), "evaluated-cells")
+    of_doc = stored(layout.join(keyed.select("source_id", "doc"), "source_id").drop("source_id"), "evaluated-layouts")
     cell = extract(cells, of_doc, "doc", today, keyed.select("doc", "year", "month"))
     cell = cell.withColumn("source_id", F.col("doc.source_id")).withColumn("seq", F.struct(F.col("doc.idx").alias("idx"), "seq")).drop("doc")
     media = F.col("shape").isin(*MEDIA)
-    rows = materialize(cell, session, rule, today, days)
+    rows = stored(materialize(cell, session, rule, today, days), "evaluated-rows")
     text = document.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "html"))), lambda d: d["html"]), "\n").alias("text"), F.count("*").alias("documents"))
     gated = lanes(source.filter(~media), rows, text, F.col("slot") == "jumuah").join(text.select("source_id", "documents"), "source_id", "left")
     expected = F.size(horizon_months(F.lit(today).cast("date"), days))
@@ -70,7 +72,8 @@ def evaluate(source: DataFrame, document: DataFrame, layout: DataFrame, session:
     good = F.coalesce("ordered", F.lit(True))
     later = source.filter(media).join(week, "source_id", "left").select("source_id", F.when(good, "deferred").otherwise("reject").alias("lane"), F.lit(0.0).alias("confidence"), F.when(~good, "jumuah").alias("reason"), F.array().cast("array<string>").alias("flags"))
     states = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
-    return rows, gated.unionByName(later).withColumn("status", F.coalesce(states[F.col("lane")], F.lit("needs_reauthor")))
+    verdicts = gated.unionByName(later).withColumn("status", F.coalesce(states[F.col("lane")], F.lit("needs_reauthor")))
+    return rows, stored(verdicts, "verdicts")
 
 
 def persist(occurrence: DataFrame, source: DataFrame, rows: DataFrame, verdict: DataFrame) -> tuple[DataFrame, DataFrame]:

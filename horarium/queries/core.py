@@ -74,9 +74,9 @@ def times_by_prayer(spark, d):
     return venues.times_on(A.venue(spark, d), A.occurrence(spark, d), DAY, "isha").select("venue_id", "city", "slot", "time")
 
 
-@query(f"WITH {VENUE} SELECT venue_id, name FROM venue WHERE contains(lower(name), 'an') OR contains(lower(city), 'an')")
+@query(f"WITH {VENUE} SELECT venue_id, name FROM venue WHERE contains(lower(name), 'ion_1') OR contains(lower(city), 'ion_1')")
 def search_substring(spark, d):
-    return venues.search(A.venue(spark, d), "AN").select("venue_id", "name")
+    return venues.search(A.venue(spark, d), "ION_1").select("venue_id", "name")
 
 
 @query(f"WITH {SRC} SELECT source_id, status FROM src WHERE status IN ('authored', 'review') AND url IS NOT NULL")
@@ -155,19 +155,13 @@ def calendar_cross(spark, d):
     return days.select("day", F.explode(F.array(*map(F.lit, SLOTS))).alias("slot"))
 
 
-@query()
-def paging_expand_all(spark, d):
-    """Every source with a URL; the SQL of `paging_expand` has an eleventh of them."""
+@query(f"WITH {SRC}, m AS (SELECT unnest([0, 1, 2]) AS idx) SELECT source_id, idx, CAST(idx + 1 AS INT) AS month, url || '/2024/' || printf('%02d', idx + 1) AS url FROM src, m WHERE url IS NOT NULL")
+def paging_expand(spark, d):
     source = A.source(spark, d).filter("url is not null").select("source_id", F.concat("url", F.lit("/{year}/{month:02d}")).alias("template"))
     none = spark.createDataFrame([], "url string, html string")
     return materialize.expand_pages(source, none, "2024-01-05", 60).select("source_id", "idx", "month", "url")
 
 
-@query(f"WITH {SRC}, m AS (SELECT unnest([0, 1, 2]) AS idx) SELECT source_id, idx, CAST(idx + 1 AS INT) AS month, url || '/2024/' || printf('%02d', idx + 1) AS url FROM src, m WHERE url IS NOT NULL AND source_id % 11 = 0")
-def paging_expand(spark, d):
-    return paging_expand_all(spark, d).filter("source_id % 11 = 0")
-
-
 @query(f"WITH {SRC} SELECT coalesce(status, 'TOTAL') AS status, count(*) AS n FROM src GROUP BY ROLLUP (status)")
 def triage_breakdown(spark, d):
     return A.source(spark, d).rollup("status").agg(F.count("*").alias("n")).select(F.coalesce("status", F.lit("TOTAL")).alias("status"), "n")
@@ -212,15 +206,9 @@ def rank_candidates(spark, d):
     return ranking.rank_candidates(c, "l_orderkey").filter("rank = 1").select("l_orderkey", "l_linenumber")
 
 
-@query()
-def order_by_group_size_all(spark, d):
-    """Every venue; the SQL of `order_by_group_size` has the first hundred."""
-    return venues.city_size_places(A.venue(spark, d))
-
-
-@query(f"WITH {VENUE} SELECT venue_id, row_number() OVER (ORDER BY n DESC, venue_id) AS place FROM (SELECT *, count(*) OVER (PARTITION BY city) AS n FROM venue) ORDER BY place LIMIT 100")
+@query(f"WITH {VENUE} SELECT venue_id, row_number() OVER (ORDER BY n DESC, venue_id) AS place FROM (SELECT *, count(*) OVER (PARTITION BY city) AS n FROM venue)")
 def order_by_group_size(spark, d):
-    return order_by_group_size_all(spark, d).filter("place <= 100")
+    return venues.city_size_places(A.venue(spark, d))
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marker FROM events")

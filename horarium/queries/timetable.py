@@ -133,26 +133,6 @@ def visible_text(spark, d):
     return html.visible_text(A.table(spark, d, "pages"), "page_id")
 
 
-@query()
-def page_class(spark, d):
-    pages = A.table(spark, d, "pages")
-    text = html.visible_text(pages, "page_id")
-    cells = html.table_cells(pages, "page_id").groupBy("page_id").agg(F.count_distinct("table_no").alias("tables"))
-    both = text.join(cells, "page_id", "left").withColumn("clocks", F.size(S.parse_times(F.col("text"))))
-    kind = F.when(F.col("clocks") >= 5, "timetable").when(F.col("tables") > 0, "table").when(F.contains(F.lower("text"), F.lit("under construction")), "under_construction").when(F.length("text") < 40, "empty").otherwise("irrelevant")
-    return both.select("page_id", kind.alias("page_class"))
-
-
-@query()
-def terminal_verdict(spark, d):
-    # Classes that end a search, in the order of their weight.
-    order = F.array(*map(F.lit, ("under_construction", "parked", "irrelevant", "empty")))
-    pages = A.table(spark, d, "pages").select("page_id", S.url_host(F.col("url")).alias("host"))
-    both = page_class(spark, d).join(pages, "page_id").withColumn("weight", F.array_position(order, F.col("page_class")))
-    best = both.groupBy("host").agg(F.bool_and(F.col("weight") > 0).alias("all_end"), F.min(F.struct("weight", "page_class")).alias("m"))
-    return best.select("host", F.when(F.col("all_end"), F.col("m.page_class")).alias("verdict"))
-
-
 @query("SELECT user_id, event_type AS hint, value AS strength FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1")
 def max_by_hint(spark, d):
     e = A.table(spark, d, "events").filter("value is not null")
@@ -171,33 +151,21 @@ def materialize_grid(spark, d):
     return materialize.grid_rows(cell, "2024-01-03", 20).select("source_id", "day", "slot", "begin", "derived", "time")
 
 
-@query()
-def materialize_fridays_all(spark, d):
-    """Every source; the SQL of `materialize_fridays` has a fiftieth of them."""
+@query(f"WITH {SRC}, f AS (SELECT CAST(unnest(generate_series(DATE '2024-03-01', DATE '2024-03-01' + 60, INTERVAL 1 DAY)) AS DATE) AS day) SELECT source_id, day, k AS session, CASE k WHEN 1 THEN '13:15' ELSE '14:00' END AS time FROM src, f, (SELECT unnest([1, 3]) AS k) WHERE isodow(day) = 5")
+def materialize_fridays(spark, d):
     texts = spark.createDataFrame([(1, "13:15"), (2, "after zuhr"), (3, "2.00 pm")], "idx int, text string")
     session = A.source(spark, d).select("source_id").join(F.broadcast(texts)).select("source_id", "idx", F.lit(None).cast("string").alias("label"), "text", F.lit(None).cast("string").alias("season"))
     return materialize.weekly_rows(session, "2024-03-01", 60).select("source_id", "day", "session", "time")
 
 
-@query(f"WITH {SRC}, f AS (SELECT CAST(unnest(generate_series(DATE '2024-03-01', DATE '2024-03-01' + 60, INTERVAL 1 DAY)) AS DATE) AS day) SELECT source_id, day, k AS session, CASE k WHEN 1 THEN '13:15' ELSE '14:00' END AS time FROM src, f, (SELECT unnest([1, 3]) AS k) WHERE isodow(day) = 5 AND source_id % 50 = 0")
-def materialize_fridays(spark, d):
-    return materialize_fridays_all(spark, d).filter("source_id % 50 = 0")
-
-
-@query()
-def materialize_rules_all(spark, d):
-    """Every source; the SQL of `materialize_rules` has a fiftieth of them."""
+@query(f"WITH {SRC}, f AS (SELECT CAST(unnest(generate_series(DATE '2024-03-01', DATE '2024-03-01' + 30, INTERVAL 1 DAY)) AS DATE) AS day) SELECT source_id, day, slot, time FROM src, f, (VALUES ('dhuhr', '13:30'), ('maghrib', '18:10')) v(slot, time)")
+def materialize_rules(spark, d):
     rules = spark.createDataFrame([("dhuhr", "1:30", None), ("maghrib", None, 10), ("isha", None, 5)], "slot string, fixed string, offset int")
     rule = A.source(spark, d).select("source_id").join(F.broadcast(rules))
     begins = rule.filter("slot = 'maghrib'").select("source_id", F.explode(S.horizon_days(F.lit("2024-03-01").cast("date"), 30)).alias("day"), "slot", F.lit("18:00").alias("begin"))
     return materialize.rule_rows(rule, "2024-03-01", 30, begins).select("source_id", "day", "slot", "time")
 
 
-@query(f"WITH {SRC}, f AS (SELECT CAST(unnest(generate_series(DATE '2024-03-01', DATE '2024-03-01' + 30, INTERVAL 1 DAY)) AS DATE) AS day) SELECT source_id, day, slot, time FROM src, f, (VALUES ('dhuhr', '13:30'), ('maghrib', '18:10')) v(slot, time) WHERE source_id % 50 = 0")
-def materialize_rules(spark, d):
-    return materialize_rules_all(spark, d).filter("source_id % 50 = 0")
-
-
 @query(f"WITH {SRC} SELECT source_id, CASE WHEN source_id % 3 = 0 THEN 'no columns' WHEN source_id % 3 = 1 THEN 'column without slot,template without month' ELSE '' END AS problems FROM src")
 def lint(spark, d):
     columns = F.when(F.col("source_id") % 3 == 0, F.array().cast("array<struct<kind:string,slot:string>>")).when(F.col("source_id") % 3 == 1, F.array(F.struct(F.lit("jamaah").alias("kind"), F.lit(None).cast("string").alias("slot")))).otherwise(F.array(F.struct(F.lit("jamaah").alias("kind"), F.lit("asr").alias("slot"))))

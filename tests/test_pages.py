@@ -182,7 +182,7 @@ def test_evaluate(spark):
     column = "array<struct<col_no:int,slot:string,kind:string,value_kind:string,header:string>>"
     layout = spark.createDataFrame([(s, 0, "horizontal_multiday", 0, None, [(k + 1, x.lower(), "jamaah", None, x) for k, x in enumerate(SLOTS)]) for s in ("dated", "paged")], f"source_id string, table_no int, layout string, date_col int, label_col int, columns {column}")
     session = spark.createDataFrame([("dated", 1, None, "13:15", None), ("image", 1, None, "13:15", None)], "source_id string, idx int, label string, text string, season string")
-    rows, verdicts = (df.cache() for df in evaluate.evaluate(source, docs, layout, session, TODAY, 35))
+    rows, verdicts = evaluate.evaluate(source, docs, layout, session, TODAY, 35)
     got = {r.source_id: (r.lane, r.status, r.reason, r.flags) for r in verdicts.collect()}
     assert got["image"] == ("deferred", "deferred_media", None, []) and got["gone"] == ("reject", "needs_reauthor", "empty body", [])
     assert got["dated"] == ("auto_accept", "authored", None, ["partial_horizon"])

@@ -1,25 +1,4 @@
-"""Queries over all rows against the SQL of their slice, with its limit taken out."""
-
-import pytest
-
-from horarium import registry
-
-from .test_queries import con, plain  # noqa: F401
-
-LIMITS = {
-    "materialize_fridays": " AND source_id % 50 = 0",
-    "materialize_rules": " WHERE source_id % 50 = 0",
-    "paging_expand": " AND source_id % 11 = 0",
-    "order_by_group_size": " LIMIT 100",
-}
-
-
-@pytest.mark.parametrize("name", LIMITS)
-def test_all_rows(spark, sf_dir, con, name):  # noqa: F811
-    sql = registry.ORACLE_SQL[name]
-    assert sql.count(LIMITS[name]) == 1
-    want = con.execute(sql.replace(LIMITS[name], "")).df()
-    assert plain(registry.QUERIES[f"{name}_all"](spark, sf_dir).toPandas()) == plain(want)
+"""Places over range partitions."""
 
 
 def test_places_across_ranges(spark):
