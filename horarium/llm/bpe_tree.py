@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ..deploy import ship_code
+
 LEAF = 8192  # characters that are encoded in one go
 PIECE = 65_536  # characters of a very long text that one task encodes
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -154,6 +156,7 @@ def _report(enc: TreeEncoder, doc_ids: pa.Array, all_ids: Iterator[list[int]]) -
 
 def _map_texts(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
     """finish(encoder, doc_ids, ids of each row) over all rows, very long texts in pieces."""
+    ship_code(docs.sparkSession)
     short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= PIECE)
     long = docs.filter(F.length("text") > PIECE)
 
@@ -203,6 +206,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and text from doc_id and the array of ids."""
+    ship_code(encoded.sparkSession)
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

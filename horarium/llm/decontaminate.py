@@ -11,7 +11,8 @@ match of at least ``k`` words needs every k-gram in it to occur in the items, so
 only runs of such k-grams, long enough for a window, reach the automaton.  The
 screen drops nothing that the automaton could report.
 
-Size bound: items are broadcast in blocks of at most ``block_chars`` characters.
+Size bound: items are broadcast in blocks of about ``block_chars`` characters (an
+automaton takes some hundred bytes a character: 200 MB at most).
 One block is the usual case; with more, the texts pass once through each block
 and the findings are carried along in two columns, with no shuffle.
 
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..deploy import ship_code
 from .common import avalanche, row_blocks, span_hashes, stash, word_spans
 
 WINDOW = 13
@@ -216,12 +218,13 @@ def _hash_items(items: list[Row]) -> list[tuple[str, np.ndarray]]:
 _FOUND = "n_words long, runs array<long>, byte_runs array<long>, items array<string>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 16 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 2 << 20) -> DataFrame:
     """(row, text, n_words, runs, byte_runs, items): `row` is a struct of the input's other columns.
 
     runs and byte_runs are flat lists of starts and ends of the maximal hit
     runs, in words and in UTF-8 bytes; items are the ids with occurring windows.
     """
+    ship_code(docs.sparkSession)
     state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
     state = state.selectExpr("row", "text", "0L AS n_words", "array(cast(null as long)) AS runs", "array(cast(null as long)) AS byte_runs", "array('') AS items")
     schema = f"row {state.schema['row'].dataType.simpleString()}, text string, {_FOUND}"

@@ -9,7 +9,9 @@ documents before each block and the length carried into its first one.
 
 Edge cases: a document may span any number of blocks; ids after the last
 separator form an unfinished document, reported with ``finished`` false; empty
-documents count zero ids; an empty file or table gives no rows.
+documents (null and empty texts) count zero ids; repeated rows are counted one by
+one and equal texts alike, also under one doc_id; other columns are ignored; ids
+must fit the width (ValueError); an empty file or table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ def write_flat_files(docs: DataFrame, tokenizer: str, eod: int, width: int = 2)
     Special-token strings in a text are plain text here, so that `eod` only
     stands after documents.
     """
+    if max(eod, encoder(tokenizer, specials=False).library.get_vocab_size(with_added_tokens=True) - 1) >> (8 * width):
+        raise ValueError(f"ids of this vocabulary do not fit {width} bytes")
     folder, kind = scratch_path(docs.sparkSession, "flat"), docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship_code
 from .common import held_out, stash
 
 BITS = 18
@@ -186,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
 
 def score(docs: DataFrame, model: PuModel) -> DataFrame:
     """doc_id and score for every row of `docs`; text may be null."""
+    ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +202,7 @@ def score(docs: DataFrame, model: PuModel) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: PuModel, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` that score below the threshold, unchanged."""
+    ship_code(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -253,6 +253,11 @@ def test_token_counts(docs, block):
     assert {k: r.n_tokens for k, r in got.items()} == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in all_texts(docs)}
 
 
+def test_ids_must_fit(docs):
+    with pytest.raises(ValueError):
+        token_counts.write_flat_files(docs, BYTE, 50256, width=1)
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id string, text string")
     for df in (suffix_levels.remove_repeats(empty), jaccard.link_groups(empty), decontaminate.report(empty, bench), pii_bootstrap.report(empty), fingerprint.fingerprints(empty), bpe_tree.round_trip(empty, BYTE), token_files.read_token_files(*token_files.write_token_files(empty, WORD)), token_counts.document_counts(empty, BYTE, 50256)):

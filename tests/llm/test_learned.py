@@ -107,6 +107,20 @@ def test_nn_pu_recovers_a_boundary():
     assert ((z > 0) == np.r_[np.ones(300, bool), np.zeros(700, bool)]).mean() > 0.97
 
 
+def test_pipeline_stages_on_odd_tables(spark, docs, empty, sf_dir):
+    """Nulls, repeated rows, columns with the stages' own names, and no rows at all."""
+    import corpus_pipeline as P
+
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.schema["n_words"] == docs.schema["n_words"], name
+        left = {r.doc_id for r in out.collect()}
+        assert left <= set(range(len(docs.collect()))) and {2, 3, 6} & left, name
+        assert stage(spark, empty, sf_dir).count() == 0, name
+    tokens = P.STAGES[-1][1]
+    assert tokens(spark, docs, sf_dir).count() == docs.count() and tokens(spark, empty, sf_dir).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage on the one before it, by plain Python over the few documents."""
     import corpus_pipeline as P
