@@ -137,9 +137,9 @@ def _cut_kind(text: bytes, p: int) -> int:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, specials: bool = True) -> TreeEncoder:
+def encoder(path: str, specials: bool = True, leaf: int = LEAF) -> TreeEncoder:
     """One encoder a worker process."""
-    return TreeEncoder(path, specials=specials)
+    return TreeEncoder(path, leaf, specials)
 
 
 _OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -154,25 +154,25 @@ def _report(enc: TreeEncoder, doc_ids: pa.Array, all_ids: Iterator[list[int]]) -
     return pa.record_batch([doc_ids, pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _map_texts(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
+def _map_texts(docs: DataFrame, path: str, finish, schema: str, leaf: int, size: int) -> DataFrame:
     """finish(encoder, doc_ids, ids of each row) over all rows, very long texts in pieces."""
     ship_code(docs.sparkSession)
-    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= PIECE)
-    long = docs.filter(F.length("text") > PIECE)
+    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= size)
+    long = docs.filter(F.length("text") > size)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, leaf=leaf)
         for b in batches:
             yield finish(enc, b.column(0), (enc.encode(t.as_py()) for t in b.column(1)))
 
     def piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, leaf=leaf)
         for b in batches:
             ids = [np.array(enc.encode(t.as_py()), np.int32).tobytes() for t in b.column(3)]
             yield pa.record_batch([*b.columns, pa.array(ids, pa.binary())], names=["row", "doc_id", "k", "part", "ids"])
 
     def joined(t: pa.Table) -> pa.Table:
-        enc = encoder(path)
+        enc = encoder(path, leaf=leaf)
         parts = sorted(zip(t["k"].to_pylist(), t["part"].to_pylist(), t["ids"].to_pylist(), strict=True))
         nodes = [(p.encode(), np.frombuffer(i, np.int32).tolist()) for _, p, i in parts]
         while len(nodes) > 1:
@@ -182,26 +182,26 @@ def _map_texts(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # before the texts are cut
-    cut = numbered.select("row", "doc_id", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {PIECE} as int))")).alias("k"))
-    cut = cut.select("row", "doc_id", "k", F.expr(f"substring(text, k * {PIECE} + 1, {PIECE})").alias("part")).repartition("row", "k")
+    cut = numbered.select("row", "doc_id", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {size} as int))")).alias("k"))
+    cut = cut.select("row", "doc_id", "k", F.expr(f"substring(text, k * {size} + 1, {size})").alias("part")).repartition("row", "k")
     encoded = cut.mapInArrow(piece, f"row long, doc_id {kind}, k int, part string, ids binary")
     return short.select("doc_id", "text").mapInArrow(whole, schema).unionByName(encoded.groupBy("row").applyInArrow(joined, schema))
 
 
-def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text, for every row."""
+def round_trip(docs: DataFrame, tokenizer: str, leaf: int = LEAF, piece: int = PIECE) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded text, for every row; `leaf` and `piece` size the work only."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _map_texts(docs.select("doc_id", "text"), tokenizer, _report, f"doc_id {kind}, {_OUT}")
+    return _map_texts(docs.select("doc_id", "text"), tokenizer, _report, f"doc_id {kind}, {_OUT}", leaf, piece)
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, leaf: int = LEAF, piece: int = PIECE) -> DataFrame:
     """doc_id and the array of ids of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def listed(enc: TreeEncoder, doc_ids: pa.Array, all_ids: Iterator[list[int]]) -> pa.RecordBatch:
         return pa.record_batch([doc_ids, pa.array(list(all_ids), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _map_texts(docs.select("doc_id", "text"), tokenizer, listed, f"doc_id {kind}, ids array<int>")
+    return _map_texts(docs.select("doc_id", "text"), tokenizer, listed, f"doc_id {kind}, ids array<int>", leaf, piece)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:

@@ -202,11 +202,10 @@ def test_ids_must_be_integers(spark):
             f(docs)
 
 
-def test_bpe(docs, monkeypatch):
-    monkeypatch.setattr(bpe_tree, "PIECE", 700)
-    monkeypatch.setattr(bpe_tree, "LEAF", 64)
+@pytest.mark.parametrize("sizes", [{}, {"leaf": 64, "piece": 700}])
+def test_bpe(docs, sizes):
     library = Tokenizer.from_file(BYTE)
-    got, ids = table(bpe_tree.round_trip(docs, BYTE)), bpe_tree.encode(docs, BYTE)
+    got, ids = table(bpe_tree.round_trip(docs, BYTE, **sizes)), bpe_tree.encode(docs, BYTE, **sizes)
     for k, t in all_texts(docs):
         want = library.encode(t, add_special_tokens=False).ids
         assert (got[k].n_tokens, got[k].ids_sha256) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
