@@ -133,3 +133,34 @@ def lanes(source: DataFrame, row: DataFrame, text: DataFrame, exempt: Column | N
     both = both.select("source_id", F.explode(F.array(F.coalesce(F.get(F.array_compact(lane), F.lit(0)), fine))).alias("v"), F.coalesce("weekly", F.lit(0)).alias("weekly"))
     flags = F.when((F.col("v.lane") == "auto_accept") & (F.col("weekly") == 0), F.array(F.lit("jumuah_missing"))).otherwise(none)
     return both.select("source_id", "v.*", flags.alias("flags"))
+
+
+# Shapes whose cells come from a grid of columns.
+GRIDS = ("html_table", "html_repeated", "dom_records")
+
+
+def authoring_problems(config: DataFrame) -> DataFrame:
+    """`config` with the list of what would make its extraction give nothing, worded for whoever wrote it.
+
+    Columns: shape, row_selector, columns (array of kind, slot, index, selector,
+    time_index), label_index, date (index, selector), single_day,
+    month_sections, template.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    grid, repeated = F.col("shape").isin(*GRIDS), F.col("shape") == "html_repeated"
+    columns = F.coalesce("columns", F.array().cast(config.schema["columns"].dataType))
+
+    def of_column(c: Column, k: Column) -> Column:
+        who = F.concat(F.lit("column "), k.cast("string"), F.lit(" ("), c["kind"], F.lit(" "), F.coalesce(c["slot"], F.lit("label")), F.lit(")"))
+        place = F.when(repeated, F.when(blank(c["selector"]), " needs a selector")).when(c["index"].isNull(), " needs an index from 0").when(c["index"] < 0, " has a negative index")
+        return F.array(F.concat(who, place), F.concat(who, F.when(c["time_index"] < 0, " has a negative time index")))
+
+    dated = F.col("date").isNotNull()
+    checks = [
+        F.when(repeated & blank(F.col("row_selector")), "no row selector"), F.when(F.size(columns) == 0, "no columns"), F.when(F.col("label_index") < 0, "negative label index"),
+        F.when(~dated & ~yes("single_day") & ~yes("month_sections") & F.col("template").isNull(), "no date axis"),
+        F.when(dated & ~yes("single_day") & ~yes("month_sections") & F.when(repeated, blank(F.col("date.selector"))).otherwise(F.col("date.index").isNull()), "date without its place"),
+    ]
+    found = F.array_compact(F.concat(F.array(*checks[:2]), F.flatten(F.transform(columns, of_column)), F.array(*checks[2:])))
+    return config.withColumn("problems", F.when(grid, found).otherwise(F.array().cast("array<string>")))

@@ -108,3 +108,19 @@ def test_seed_round_trip(spark, tmp_path):
     (tmp_path / "one.json").write_text('[{"id": "1", "name": "n", "lat": 1, "lng": 2},\n {"id": "2", "name": "m", "lat": 1}]')
     with pytest.raises(Exception, match="record 1 has no lng"):
         seeds.read_seed(spark, f"{tmp_path}/one.json").select("name").collect()
+
+
+def test_authoring_problems(spark):
+    kinds = "source_id string, shape string, row_selector string, columns array<struct<kind:string,slot:string,index:int,selector:string,time_index:int>>, label_index int, date struct<index:int,selector:string>, single_day boolean, month_sections boolean, template string"
+    asr = ("jamaah", "asr", 1, None, None)
+    data = [
+        ("good", "html_table", None, [asr], None, (0, None), None, None, None), ("rules", "rules", None, None, None, None, None, None, None), ("bare", "html_table", None, None, -1, None, None, None, None),
+        ("column", "html_table", None, [("jamaah", None, None, None, -1), ("begin", "isha", -2, None, None)], None, (None, None), None, None, None), ("items", "html_repeated", " ", [asr], None, (0, None), False, None, None),
+        ("today", "html_table", None, [asr], None, None, True, None, None), ("paged", "html_table", None, [asr], None, None, None, None, "t/{month}"),
+    ]
+    got = {r.source_id: r.problems for r in gates.authoring_problems(spark.createDataFrame(data, kinds)).collect()}
+    assert got == {
+        "good": [], "rules": [], "today": [], "paged": [], "bare": ["no columns", "negative label index", "no date axis"],
+        "column": ["column 0 (jamaah label) needs an index from 0", "column 0 (jamaah label) has a negative time index", "column 1 (begin isha) has a negative index", "date without its place"],
+        "items": ["no row selector", "column 0 (jamaah asr) needs a selector", "date without its place"],
+    }
