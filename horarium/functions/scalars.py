@@ -78,7 +78,10 @@ def parse_times(text: Column, prefer_pm: Column | None = None) -> Column:
 
 def time_values(text: Column) -> Column:
     """Every reading of every clock time in a text, distinct."""
-    return F.array_distinct(F.flatten(F.array(parse_times(text), parse_times(text, F.lit(True)), parse_times(text, F.lit(False)))))
+    hits = F.array_distinct(F.transform(F.regexp_extract_all(clean(text), F.lit(_CLOCK), F.lit(0)), _clock_parts))
+    modes = (None, F.lit(True), F.lit(False))
+    read = F.flatten(F.transform(hits, lambda x: F.array(*[clock(x["h"], x["m"], x["mark"], pm) for pm in modes])))
+    return F.array_distinct(F.array_compact(read))
 
 
 def parse_offset(text: Column) -> Column:
@@ -92,7 +95,8 @@ def parse_offset(text: Column) -> Column:
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
     """A date, or null where there is no such day."""
-    return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
+    first = F.when(month.between(1, 12) & year.between(1, 9999), F.make_date(year, month, F.lit(1)))
+    return F.when(day.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
 
 
 def month_number(name: Column, short: bool = True) -> Column:
@@ -124,24 +128,26 @@ def parse_date(text: Column, year: Column, month: Column | None = None) -> Colum
     day, "weekday d" and "d weekday".  Only the first hit of a rule counts.
     """
     t = clean(text)
-    get = lambda rule, k, name: F.nullif(F.regexp_extract(t, rule, k), F.lit("")).alias(name)
-    parts = [get(_ISO, k, f"iso{k}") for k in (1, 2, 3)] + [get(_DAY_MONTH, k, f"dm{k}") for k in (1, 2, 3)]
-    parts += [get(_DAY_WORD, 1, "dw1"), get(_DAY_WORD, 2, "dw2"), get(_WORD_DAY, 1, "wd1"), get(_WORD_DAY, 2, "wd2"), year.alias("year")]
+    # one match a rule; its parts are read off the short hit
+    hit = lambda rule, name, k=0: F.nullif(F.regexp_extract(t, rule, k), F.lit("")).alias(name)
+    parts = [hit(_ISO, "iso"), F.split(hit(_DAY_MONTH, "dm"), r"[/.\-]").alias("dm"), hit(_DAY_WORD, "dw"), hit(_WORD_DAY, "wd"), year.alias("year")]
     if month is not None:
-        parts += [month.alias("month"), F.coalesce(*[F.nullif(F.regexp_extract(t, rule, 1), F.lit("")) for rule in _BARE]).alias("bare")]
+        parts += [month.alias("month"), F.coalesce(*[hit(rule, "bare", 1) for rule in _BARE]).alias("bare")]
 
     def chosen(x: Column) -> Column:
-        number = lambda name: x[name].cast("int")
         ymd = lambda y, m, d: F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
-        y, first, second = number("dm3"), month_number(x["dw2"]), month_number(x["wd1"])
+        number, word = (lambda c: F.regexp_extract(c, "[0-9]+", 0)), (lambda c: F.regexp_extract(c, "[a-z]{3,}", 0))
+        y = F.try_element_at(x["dm"], F.lit(3)).cast("int")
+        day_word = F.regexp_extract(x["dw"], "[a-z]+$", 0)
+        first, second = month_number(day_word), month_number(word(x["wd"]))
         chain = (
-            F.when(x["iso1"].isNotNull(), ymd(x["iso1"], x["iso2"], x["iso3"]))
-            .when(x["dm1"].isNotNull(), ymd(F.when(y < 100, y + 2000).otherwise(F.coalesce(y, x["year"])), x["dm2"], x["dm1"]))
-            .when(first.isNotNull(), ymd(x["year"], first, x["dw1"]))
+            F.when(x["iso"].isNotNull(), ymd(F.substring(x["iso"], 1, 4), F.substring(x["iso"], 6, 2), F.substring(x["iso"], 9, 2)))
+            .when(x["dm"].isNotNull(), ymd(F.when(y < 100, y + 2000).otherwise(F.coalesce(y, x["year"])), x["dm"][1], x["dm"][0]))
+            .when(first.isNotNull(), ymd(x["year"], first, number(x["dw"])))
         )
         if month is not None:
-            chain = chain.when(x["month"].isNotNull() & x["dw2"].rlike(f"^{_WEEK}$"), ymd(x["year"], x["month"], x["dw1"]))
-        chain = chain.when(second.isNotNull(), ymd(x["year"], second, x["wd2"]))
+            chain = chain.when(x["month"].isNotNull() & day_word.rlike(f"^{_WEEK}$"), ymd(x["year"], x["month"], number(x["dw"])))
+        chain = chain.when(second.isNotNull(), ymd(x["year"], second, number(x["wd"])))
         if month is not None:
             chain = chain.when(x["month"].isNotNull() & x["bare"].isNotNull(), ymd(x["year"], x["month"], x["bare"]))
         return chain
