@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, fingerprint, jaccard, pii_bootstrap, quality_qda, suffix_levels, token_counts, token_files, toxicity_pu
+from . import bpe_tree, conversation_repair, decontaminate, fingerprint, jaccard, line_runs, periodic_runs, pii_bootstrap, quality_qda, suffix_levels, token_counts, token_files, toxicity_pu
 from .common import load, stash
 
 
@@ -51,6 +51,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damage(load(spark, sf_dir, "conversations")))
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(load(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(load(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_pu": op1_toxicity_pu,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -62,7 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_qda": op9_quality_qda,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_line_runs": op12_line_runs,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_line_runs": line_runs.ORACLE}
