@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pyudfs import names_of
-from ..functions.scalars import DAILY, given, parse_date, parse_offset, parse_time, parse_times, year_for_month
+from ..functions.scalars import DAILY, day_of, given, parse_date, parse_offset, parse_time, parse_times, year_for_month
 from ..operators.grids import transpose
 from ..operators.schema import LABELLED, MULTIDAY, SINGLE_DAY, TRANSPOSED
 
@@ -97,7 +97,7 @@ def extract(cells: DataFrame, layout: DataFrame, key: str, today: str, documents
 CALENDAR = "struct<calendar:array<map<string,array<string>>>,iqamaCalendar:array<map<string,array<string>>>>"
 _DAY_FIELDS = {"fajr": ("fajr", "iqamah_Fajr"), "dhuhr": ("zuhr", "iqamah_Zuhr"), "asr": ("asr", "iqamah_Asr"), "maghrib": ("maghrib", "iqamah_Maghrib"), "isha": ("isha", "iqamah_Isha")}
 TIMINGS = (
-    "struct<model:struct<salahTimings:array<struct<day:int,month:int," + ",".join(f"{x}:string" for pair in _DAY_FIELDS.values() for x in pair) + ">>,"
+    "struct<model:struct<salahTimings:array<struct<day:string,month:string," + ",".join(f"{x}:string" for pair in _DAY_FIELDS.values() for x in pair) + ">>,"
     "jumahSalahIqamahTimings:array<struct<time:string,iqamahTime:string,isPrimary:boolean>>>>"
 )
 
@@ -114,14 +114,16 @@ def calendar_cells(payload: DataFrame, key: str, year: int, month: int) -> DataF
     value = F.struct(parse_time(F.col("text"), pm).alias("time"), parse_offset(F.col("text")).alias("offset"))
     cell = cell.select("*", F.explode(F.filter(F.array(value), lambda v: v["time"].isNotNull() | v["offset"].isNotNull())).alias("__v"))
     cell = cell.select("*", F.col("__v.time").alias("time"), F.when(F.col("__v.time").isNull(), F.col("__v.offset")).alias("offset"))
-    day_of = F.make_date(F.lit(year), F.lit(month), F.col("d"))
-    return cell.select(key, F.struct("d", "i").alias("seq"), day_of.alias("day"), "slot", "kind", "time", "offset", F.when(F.col("offset").isNotNull(), F.col("slot")).alias("base_slot"))
+    cell = cell.withColumn("day", day_of(F.lit(year), F.lit(month), F.col("d"))).filter("day is not null")
+    return cell.select(key, F.struct("d", "i").alias("seq"), "day", "slot", "kind", "time", "offset", F.when(F.col("offset").isNotNull(), F.col("slot")).alias("base_slot"))
 
 
 def timings_cells(payload: DataFrame, key: str, year: int) -> DataFrame:
     """Cells of a year of day rows in a JSON object, and the primary weekly session on every Friday of the months seen."""
     model = payload.select(key, F.from_json("json", TIMINGS).alias("j")).select(key, "j.model.*")
-    rows = model.select(key, F.posexplode("salahTimings").alias("n", "r")).select(key, "n", "r.*").withColumn("day_of", F.expr(f"try_to_date(format_string('%04d-%02d-%02d', {year}, month, day))")).filter("day_of is not null")
+    rows = model.select(key, F.posexplode("salahTimings").alias("n", "r")).select(key, "n", "r.*")
+    number = lambda c: F.expr(f"try_cast({c} as int)")  # noqa: E731  numbers also come as strings
+    rows = rows.withColumn("day_of", day_of(F.lit(year), number("month"), number("day"))).filter("day_of is not null")
     pairs = [F.struct(F.lit(s).alias("slot"), F.lit(k).alias("kind"), F.col(f).alias("text")) for s, fields in _DAY_FIELDS.items() for k, f in zip(("begin", "jamaah"), fields, strict=True)]
     daily = rows.select(key, F.col("day_of").alias("day"), "n", F.posexplode(F.array(*pairs)).alias("i", "p")).select(key, F.struct("n", "i").alias("seq"), "day", "p.slot", "p.kind", "p.text")
     primary = F.coalesce(F.get(F.filter("jumahSalahIqamahTimings", lambda s: s["isPrimary"]), F.lit(0)), F.get("jumahSalahIqamahTimings", F.lit(0)))

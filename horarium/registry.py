@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries.pages import ORACLE_SQL, QUERIES
+from .queries.elements import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_times_near"
 
