@@ -188,6 +188,15 @@ def test_fingerprints(docs, digits):
     assert len(set(canon.values())) == len(canon)
 
 
+@pytest.mark.parametrize("digits", [2, 32])
+def test_fingerprints_of_one_repeated_id(spark, digits):
+    """Linear in the rows of an id; every row is reported."""
+    rows = [(7, f"text {k % 5}") for k in range(20_000)] + [(8, "text 1")]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), digits).collect()
+    assert len(got) == 20_001 and len({r.fingerprint for r in got}) == 5
+    assert sum(r.near_next == 1.0 for r in got) >= 19_990  # rows of one id stand beside their equals
+
+
 def test_fingerprints_of_equal_neighbours(spark):
     """White space and case alone do not tell texts apart; the last document is followed by the first."""
     docs = spark.createDataFrame([(1, "Ab  c"), (2, "aB c"), (3, "x"), (4, "ab c ")], "doc_id int, text string")
