@@ -3,6 +3,9 @@
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts
 somewhere else.  Documents are byte strings; matches never cross them.
 
+Rows are named by 128 bits of their doc_id and text; rows of one name are copies
+and are hit alike.
+
 1. *Anchors.*  Every window of LENGTH bytes owns the position of its least
    32-byte hash (leftmost on ties), so equal windows own equal anchors, and the
    windows of one anchor are consecutive: a *span*.  A key that occurs once in
@@ -13,10 +16,14 @@ somewhere else.  Documents are byte strings; matches never cross them.
    against the existing levels for matches of LENGTH bytes (bytes are
    compared), and equal-sized levels merge geometrically.  As only matches of
    LENGTH bytes count, an array is ordered by a fingerprint of that prefix.
-3. *Hot keys.*  A key with more than ``HOT`` occurrences is dealt by key and
-   document, and the distinct windows of its parts meet in a second exchange
-   by fingerprint, at most one a part, so no task gathers a popular passage.
-4. The hit intervals go back to their documents.
+   A family ends at a key once it holds ``FAMILY`` bytes, as no other key can
+   match what it has: a task's memory is bounded whatever it is dealt.
+3. *Hot keys.*  A key with ``HOT`` occurrences or more is dealt by key and
+   document, and the distinct windows of its parts meet in a second exchange by
+   128 bits of fingerprint, at most one a part, so no task gathers a popular
+   passage.  Up to ``MOST_HOT`` hot keys are broadcast; more are joined.
+4. The hit intervals go back to their documents; the texts of documents that have
+   none (by a bitmap of their names) do not travel.
 
 Edge cases: null and empty texts have no bytes; texts shorter than LENGTH lose
 nothing; repeated rows are copies of each other, also with the same doc_id; an
@@ -34,18 +41,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import avalanche, drop_stash, row_blocks, stash
+from .common import avalanche, drop_stash, may_be_in, row_blocks, stash
 
 LENGTH = 200
 GRAM = 32
 BITMAP_BITS = 26
 HOT = 1000
+MOST_HOT = 100_000
+FAMILY = 8 << 20
 PIECE = 4 << 20
 _REACH = LENGTH - GRAM + 1  # positions of a gram within a window
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _BASE = 0x5851F42D4C957F2D
-OCCURRENCE = np.dtype([("uid", "<i8"), ("start", "<i8")])
-WINDOW_REF = np.dtype([("fp", "<u8"), ("uid", "<i8"), ("start", "<i8")])
+_BASE2 = 0x2545F4914F6CDD1D
+OCCURRENCE = np.dtype([("uid", "<i8"), ("uid2", "<i8"), ("start", "<i8")])
+WINDOW_REF = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("uid", "<i8"), ("uid2", "<i8"), ("start", "<i8")])
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -111,24 +121,41 @@ def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
+_SPANS = "key long, salt long, part long, hot boolean, cells binary, occ binary"
+
+
 def _emit_spans(bits: np.ndarray, hot: np.ndarray, parts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans with a repeated key: (key, part, hot, cells, occurrences); equal spans of a batch share a row."""
+    """Spans with a repeated key; equal spans of a batch share a row.  `hot` and `parts` are the hot keys in order, as far as they are known here."""
     for b in batches:
-        uids = b.column(0).to_numpy(zero_copy_only=False)
+        uids, others = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         found: dict[bytes, list] = {}
-        for row, start, buf, first, last, keys in column_spans(b.column(1)):
+        for row, start, buf, first, last, keys in column_spans(b.column(2)):
             bit = keys & np.uint64((1 << BITMAP_BITS) - 1)
             again = np.flatnonzero(bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
             raw = buf.tobytes()
             for k, a, z, r, s in zip(keys[again].view(np.int64).tolist(), first[again].tolist(), last[again].tolist(), row[again].tolist(), start[again].tolist(), strict=True):
-                found.setdefault(raw[a : z + LENGTH], [k]).append((uids[r], s))
+                found.setdefault(raw[a : z + LENGTH], [k]).append((uids[r], others[r], s))
         keys = np.array([v[0] for v in found.values()], np.int64)
-        at = np.searchsorted(hot, keys)
-        is_hot = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == keys) if len(hot) else np.zeros(len(keys), bool)
-        salt = np.array([v[1][0] for v in found.values()], np.int64).astype(np.uint64)
-        part = np.where(is_hot, avalanche(salt) % np.maximum(parts[np.minimum(at, len(parts) - 1)], 1).astype(np.uint64) if len(parts) else 0, 0)
+        salt = avalanche(np.array([v[1][0] for v in found.values()], np.int64).view(np.uint64)).view(np.int64)
+        at = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
+        is_hot = hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
+        part = np.where(is_hot, salt % parts[at], 0) if len(hot) else np.zeros(len(keys), np.int64)
         occ = [np.array(v[1:], OCCURRENCE).tobytes() for v in found.values()]
-        yield pa.record_batch([pa.array(keys), pa.array(part.astype(np.int64)), pa.array(is_hot), pa.array(list(found), pa.binary()), pa.array(occ, pa.binary())], names=["key", "part", "hot", "cells", "occ"])
+        yield pa.record_batch([pa.array(keys), pa.array(salt), pa.array(part), pa.array(is_hot), pa.array(list(found), pa.binary()), pa.array(occ, pa.binary())], names=["key", "salt", "part", "hot", "cells", "occ"])
+
+
+def _dealt(docs: DataFrame, bits: np.ndarray, hot: DataFrame, per_part: int, most_hot: int) -> DataFrame:
+    """The spans of all documents; those of a hot key (key, n) are dealt to so many parts that each has about `per_part`."""
+    hot = hot.select("key", F.ceil(F.col("n") / per_part).alias("parts"))
+    few = hot.count() <= most_hot
+    listed = hot.orderBy("key").toPandas() if few else None
+    known = (listed["key"].to_numpy(np.int64), listed["parts"].to_numpy(np.int64)) if few else (np.zeros(0, np.int64),) * 2
+    shared = docs.sparkSession.sparkContext.broadcast((bits, *known))
+    found = docs.select("uid", "uid2", "text").mapInArrow(lambda it: _emit_spans(*shared.value, it), _SPANS)
+    if not few:
+        part = F.coalesce(F.pmod("salt", "parts"), F.lit(0).cast("long"))
+        found = found.drop("part", "hot").join(hot, "key", "left").select("key", part.alias("part"), F.col("parts").isNotNull().alias("hot"), "cells", "occ")
+    return found.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "hot", "cells", "occ")
 
 
 class LevelFamily:
@@ -150,14 +177,14 @@ class LevelFamily:
         self.used += len(raw)
         return at
 
-    def _fingerprints(self, at: int, n: int) -> np.ndarray:
+    def _fingerprints(self, at: int, n: int, base: int = _BASE) -> np.ndarray:
         """Of the LENGTH bytes from each of the store positions at .. at + n - LENGTH."""
-        power = np.full(n, _BASE, np.uint64)
+        power = np.full(n, base, np.uint64)
         power[0] = 1
         power = np.cumprod(power)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.store[at : at + n].astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        back = np.full(n - LENGTH + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+        back = np.full(n - LENGTH + 1, pow(base, -1, 1 << 64), np.uint64)
         back[0] = 1
         return avalanche((total[LENGTH:] - total[: n - LENGTH + 1]) * np.cumprod(back))
 
@@ -201,15 +228,15 @@ class LevelFamily:
         return at
 
 
-_FOUND = "uid long, start long, stop long, block long, cells binary"
+_FOUND = "uid long, uid2 long, start long, stop long, block long, cells binary"
 
 
-def _found(uid, start, stop, block=None, cells=None) -> pa.RecordBatch:
-    n, m = len(uid), len(cells or [])
-    null = lambda k: pa.nulls(k, pa.int64())
-    both = lambda x: pa.chunked_array([pa.array(np.asarray(x, np.int64)), null(m)]).combine_chunks() if m else pa.array(np.asarray(x, np.int64))
-    tail = [pa.array([None] * n + list(block or []), pa.int64()), pa.array([None] * n + list(cells or []), pa.binary())]
-    return pa.record_batch([both(uid), both(start), both(stop), *tail], names=["uid", "start", "stop", "block", "cells"])
+def _found(uid=(), uid2=(), start=(), stop=(), block=(), cells=()) -> pa.RecordBatch:
+    """Hit intervals, then packed windows of hot keys."""
+    n, m = len(uid), len(block)
+    column = lambda x, kind, before, after: pa.array([None] * before + list(x) + [None] * after, kind)
+    numbers = [pa.concat_arrays([pa.array(np.asarray(x, np.int64)), pa.nulls(m, pa.int64())]) for x in (uid, uid2, start, stop)]
+    return pa.record_batch([*numbers, column(block, pa.int64(), n, 0), column(cells, pa.binary(), n, 0)], names=["uid", "uid2", "start", "stop", "block", "cells"])
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,86 +244,98 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _indexed(blocks: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feed a task's spans to a level family; emit hit intervals and the windows of hot keys."""
-    family = LevelFamily()
-    known: dict[bytes, int] = {}  # digest of a span: its number
-    place: list[int] = []  # store position, length and occurrences of each span
-    size: list[int] = []
-    occs: list[list[bytes]] = []
-    is_hot: list[bool] = []
-    for b in batches:
-        fresh, length = [], 0
-        hots, cells, occ = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+class _Task:
+    """The spans of some keys, each key complete, in one level family."""
 
-        def index() -> None:
-            at = np.cumsum([0, *map(len, fresh)])
+    def __init__(self) -> None:
+        self.family = LevelFamily()
+        self.known: dict[bytes, int] = {}  # digest of a span: its number
+        self.place: list[int] = []  # store position, length and occurrences of each span
+        self.size: list[int] = []
+        self.occs: list[list[bytes]] = []
+        self.is_hot: list[bool] = []
+        self.fresh: list[bytes] = []
+        self.waiting = 0
+
+    def index(self) -> None:
+        if self.fresh:
+            at = np.cumsum([0, *map(len, self.fresh)])
             windows = np.concatenate([np.arange(a, z - LENGTH + 1) for a, z in zip(at[:-1], at[1:], strict=True)])
-            base = family.add(b"".join(fresh), windows)
-            place.extend((base + at[:-1]).tolist())  # noqa: B023
-
-        for h, c, o in zip(hots, cells, occ, strict=True):
-            digest = xxhash.xxh3_128_digest(c)
-            k = known.get(digest)
-            if k is None:
-                known[digest] = len(size)
-                size.append(len(c))
-                occs.append([o])
-                is_hot.append(h)
-                fresh.append(c)
-                length += len(c)
-                if length >= 1 << 20:
-                    index()
-                    fresh, length = [], 0
-            else:
-                occs[k].append(o)
-        if fresh:
-            index()
-    uid, start, stop = [], [], []
-    hot_refs = []
-    for k, (at, n) in enumerate(zip(place, size, strict=True)):
-        o = np.frombuffer(b"".join(occs[k]), OCCURRENCE)
-        flags = family.hit[at : at + n - LENGTH + 1]
-        if len(o) > 1:
-            flags[:] = True
-        a, z = _runs(flags)
-        for s, e in zip(a.tolist(), z.tolist(), strict=True):
-            uid.append(o["uid"])
-            start.append(o["start"] + s)
-            stop.append(o["start"] + e - 1 + LENGTH)
-        if is_hot[k]:
-            ref = np.zeros(len(flags), WINDOW_REF)
-            ref["fp"] = family._fingerprints(at, n)
-            ref["uid"], ref["start"] = o["uid"][0], np.where(flags, -1, o["start"][0] + np.arange(len(flags)))
-            hot_refs.append(ref)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    yield _found(cat(uid), cat(start), cat(stop))
-    if hot_refs:
-        ref = np.concatenate(hot_refs)
-        order = np.lexsort((ref["start"] < 0, ref["fp"]))  # one reference a window and part is enough
-        ref = ref[order]
-        ref = ref[np.r_[True, ref["fp"][1:] != ref["fp"][:-1]]]
-        block = (ref["fp"] % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        ref, block = ref[order], block[order]
-        cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(ref)]
-        yield _found([], [], [], block[cut[:-1]].tolist(), [ref[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+            base = self.family.add(b"".join(self.fresh), windows)
+            self.place.extend((base + at[:-1]).tolist())
+            self.fresh, self.waiting = [], 0
+
+    def add(self, hot: bool, cells: bytes, occ: bytes) -> None:
+        k = self.known.setdefault(xxhash.xxh3_128_digest(cells), len(self.size))
+        if k < len(self.size):
+            self.occs[k].append(occ)
+            return
+        self.size.append(len(cells))
+        self.occs.append([occ])
+        self.is_hot.append(hot)
+        self.fresh.append(cells)
+        self.waiting += len(cells)
+        if self.waiting >= 1 << 20:
+            self.index()
+
+    def found(self, blocks: int) -> Iterator[pa.RecordBatch]:
+        """Hit intervals and, of hot keys, the windows that other parts may have too."""
+        self.index()
+        hits: list[list] = [[], [], [], []]
+        refs = []
+        for k, (at, n) in enumerate(zip(self.place, self.size, strict=True)):
+            o = np.frombuffer(b"".join(self.occs[k]), OCCURRENCE)
+            flags = self.family.hit[at : at + n - LENGTH + 1]
+            if len(o) > 1:
+                flags[:] = True
+            for s, e in zip(*(x.tolist() for x in _runs(flags)), strict=True):
+                for into, x in zip(hits, (o["uid"], o["uid2"], o["start"] + s, o["start"] + e - 1 + LENGTH), strict=True):
+                    into.append(x)
+            if self.is_hot[k]:
+                ref = np.zeros(len(flags), WINDOW_REF)
+                ref["fp"], ref["fp2"] = self.family._fingerprints(at, n), self.family._fingerprints(at, n, _BASE2)
+                ref["uid"], ref["uid2"], ref["start"] = o["uid"][0], o["uid2"][0], np.where(flags, -1, o["start"][0] + np.arange(len(flags)))
+                refs.append(ref)
+        if hits[0]:
+            yield _found(*(np.concatenate(x) for x in hits))
+        if refs:
+            ref = np.concatenate(refs)
+            ref = ref[np.lexsort((ref["start"] < 0, ref["fp2"], ref["fp"]))]  # one reference a window and part is enough
+            ref = ref[np.r_[True, (ref["fp"][1:] != ref["fp"][:-1]) | (ref["fp2"][1:] != ref["fp2"][:-1])]]
+            block = (ref["fp"] % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            ref, block = ref[order], block[order]
+            cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(ref)]
+            yield _found(block=block[cut[:-1]].tolist(), cells=[ref[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+
+
+def _indexed(blocks: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feed a task's spans, sorted by key, to level families."""
+    task, last = _Task(), None
+    for b in batches:
+        for key, h, c, o in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if key != last and task.family.used + task.waiting >= most:
+                yield from task.found(blocks)
+                task = _Task()
+            last = key
+            task.add(h, c, o)
+    yield from task.found(blocks)
 
 
 def _meet(t: pa.Table) -> pa.Table:
     """Windows of hot keys that more than one part holds: intervals of those not yet hit."""
     ref = np.frombuffer(b"".join(t["cells"].to_pylist()), WINDOW_REF)
-    ref = ref[np.argsort(ref["fp"], kind="stable")]
-    same = ref["fp"][1:] == ref["fp"][:-1]
+    ref = ref[np.lexsort((ref["fp2"], ref["fp"]))]
+    same = (ref["fp"][1:] == ref["fp"][:-1]) & (ref["fp2"][1:] == ref["fp2"][:-1])
     hit = ref[(np.r_[same, False] | np.r_[False, same]) & (ref["start"] >= 0)]
-    hit = hit[np.lexsort((hit["start"], hit["uid"]))]
-    cut = np.flatnonzero((np.diff(hit["start"]) != 1) | (np.diff(hit["uid"]) != 0)) + 1
+    hit = hit[np.lexsort((hit["start"], hit["uid2"], hit["uid"]))]
+    cut = np.flatnonzero((np.diff(hit["start"]) != 1) | (np.diff(hit["uid"]) != 0) | (np.diff(hit["uid2"]) != 0)) + 1
     first, last = (np.r_[0, cut], np.r_[cut - 1, len(hit) - 1]) if len(hit) else (np.zeros(0, int),) * 2
-    return pa.Table.from_arrays([pa.array(hit["uid"][first]), pa.array(hit["start"][first]), pa.array(hit["start"][last] + LENGTH)], names=["uid", "start", "stop"])
+    return pa.Table.from_arrays([pa.array(hit["uid"][first]), pa.array(hit["uid2"][first]), pa.array(hit["start"][first]), pa.array(hit["start"][last] + LENGTH)], names=["uid", "uid2", "start", "stop"])
 
 
-def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """(uid, start, stop) byte intervals covered by repeated strings; `docs` has uid and text."""
+def repeated_intervals(docs: DataFrame, hot: int = HOT, most_hot: int = MOST_HOT, family: int = FAMILY) -> DataFrame:
+    """(uid, uid2, start, stop) byte intervals covered by repeated strings; `docs` has uid, uid2 and text."""
     spark = docs.sparkSession
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = docs.select("text").mapInArrow(_key_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -305,15 +344,11 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     words = counts.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas()
     bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.filter(F.col("n") >= max(HOT, total // 4096)).orderBy("key").toPandas()  # at most 4096 keys
-    shared = spark.sparkContext.broadcast((bits.view(np.uint64), hot["key"].to_numpy(), -(-hot["n"].to_numpy() // HOT)))
-    found = docs.select("uid", "text").mapInArrow(lambda it: _emit_spans(*shared.value, it), "key long, part long, hot boolean, cells binary, occ binary")
-    dealt = found.repartition("key", "part").select("hot", "cells", "occ")
-    out = stash(dealt.mapInArrow(lambda it: _indexed(blocks, it), _FOUND), "suffix-found")
-    met = out.filter("block is not null").groupBy("block").applyInArrow(_meet, "uid long, start long, stop long")
+    dealt = _dealt(docs, bits.view(np.uint64), counts.filter(F.col("n") >= hot), hot, most_hot)
+    out = stash(dealt.mapInArrow(lambda it: _indexed(blocks, family, it), _FOUND), "suffix-found")
+    met = out.filter("block is not null").groupBy("block").applyInArrow(_meet, "uid long, uid2 long, start long, stop long")
     drop_stash(counts)
-    return out.filter("block is null").select("uid", "start", "stop").unionByName(met)
+    return out.filter("block is null").select("uid", "uid2", "start", "stop").unionByName(met)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,10 +377,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, most_hot: int = MOST_HOT, family: int = FAMILY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
     ids = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
-    found = repeated_intervals(docs).groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
-    with_found = docs.join(found, "uid", "left").select("doc_id", "text", "found")
-    return with_found.mapInArrow(_cut, f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), F.xxhash64(F.lit(1), "doc_id", "text").alias("uid2"))
+    found = repeated_intervals(docs, hot, most_hot, family).groupBy("uid", "uid2").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    found = stash(found, "suffix-intervals")
+    has = may_be_in(F.xxhash64("uid", "uid2"), found.select(F.xxhash64("uid", "uid2")))
+    none = F.lit(None).cast(found.schema["found"].dataType)
+    cut = docs.filter(has).join(found, ["uid", "uid2"], "left").select("doc_id", "text", "found")
+    return cut.unionByName(docs.filter(~has).select("doc_id", "text", none.alias("found"))).mapInArrow(_cut, f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

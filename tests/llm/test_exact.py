@@ -27,10 +27,10 @@ def all_texts(docs):
     return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_substrings(docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix_levels, "HOT", hot)
-    got, n = table(suffix_levels.remove_repeats(docs)), suffix_levels.LENGTH
+@pytest.mark.parametrize(("hot", "most_hot", "family"), [(1000, 100_000, 8 << 20), (2, 100_000, 1), (2, 3, 500)])
+def test_substrings(docs, hot, most_hot, family):
+    """Without hot keys, with them, and with more than are broadcast; families that end with every key."""
+    got, n = table(suffix_levels.remove_repeats(docs, hot, most_hot, family)), suffix_levels.LENGTH
     raw = [(k, t.encode()) for k, t in all_texts(docs)]
     seen = Counter(b[i : i + n] for _, b in raw for i in range(len(b) - n + 1))
     for k, b in raw:
@@ -50,6 +50,14 @@ def test_level_family_merges_geometrically():
     assert len(family.levels) <= 5 and not family.hit.any()
 
 
+def test_a_passage_in_very_many_documents(spark):
+    """One key of 100,000 occurrences: parts meet, and nothing is compared with everything."""
+    passage = "".join(chr(97 + k * k % 23) for k in range(230))
+    docs = spark.range(100_000).selectExpr("id as doc_id", f"concat('own ', id, '{passage}', md5(cast(id as string))) as text")
+    got = suffix_levels.remove_repeats(docs).selectExpr("n_removed >= 230 as passage", "n_spans = 1 as once").groupBy("passage", "once").count().collect()
+    assert [tuple(r) for r in got] == [(True, True, 100_000)]
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
