@@ -7,7 +7,9 @@ Only DataFrame and SQL functions are used.
    written so that the JVM's matcher runs in linear time and constant stack, and
    run only on texts that hold a character without which they cannot match.
    Seeds of a fifth kind, secret, are runs of at least ``SECRET_LENGTH`` ASCII
-   letters and digits with four of each: keys, tokens and digests.
+   letters and digits with ``SECRET_MARKS`` of each, so that neither words nor
+   numbers are among them: keys, tokens and digests.  Weaker strings are secrets
+   only where the graph accepts them.
 2. *Instances.*  Every other run of letters and digits with a digit in it, digit
    group, and string with an at-sign or colons is an instance of no kind yet.
 3. *Patterns.*  What stands around a seed or instance, lower-cased and without
@@ -20,7 +22,8 @@ Only DataFrame and SQL functions are used.
    that believe as much are accepted with all their occurrences, and so induce
    patterns in the next of ``ROUNDS`` rounds.
 5. Secrets and accepted instances are added; base spans stay, and additions never
-   overlap them.
+   overlap them.  Of two kinds that an instance believes equally, the later in the
+   alphabet counts.
 
 The numbers of patterns, instances and values grow with the corpus, so all are
 met by shuffle joins on counted edges, dealt by a salt where a key may be frequent.
@@ -41,7 +44,8 @@ MIN_SUPPORT = 3
 SALTS = 16
 CONFIDENCE = 0.6
 ROUNDS = 3
-SECRET_LENGTH = 16
+SECRET_LENGTH = 24
+SECRET_MARKS = 12
 CONTEXT = 64  # characters on either side in which a pattern must lie
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "secret"
@@ -135,7 +139,7 @@ def _spans(found: DataFrame, kind: str) -> DataFrame:
 
 def _secret(value: str) -> Column:
     count = lambda marks: F.length(F.regexp_replace(value, f"[^{marks}]", ""))
-    return F.col(value).rlike(f"^[A-Za-z0-9]{{{SECRET_LENGTH},}}$") & (count("0-9") >= 4) & (count("A-Za-z") >= 4)
+    return F.col(value).rlike(f"^[A-Za-z0-9]{{{SECRET_LENGTH},}}$") & (count("0-9") >= SECRET_MARKS) & (count("A-Za-z") >= SECRET_MARKS)
 
 
 def _dealt(rows: DataFrame, few: DataFrame, on: list[str], by: list[str]) -> DataFrame:
@@ -170,7 +174,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
 
 
 def discover(found: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Spans (row, kind, start, stop) that secrets and accepted instances add to the base seeds."""
+    """Spans (row, kind, start, stop, induced) that secrets and, induced, accepted instances add to the base seeds."""
     base = seeds.select("row", F.col("start").alias("a"), F.col("stop").alias("z"))
     other = _spans(found, "other")
     free = other.join(base, (other["row"] == base["row"]) & (F.col("start") < F.col("z")) & (F.col("a") < F.col("stop")), "left_anti")
@@ -179,7 +183,7 @@ def discover(found: DataFrame, seeds: DataFrame) -> DataFrame:
     _, accepted = score_graph(edges)
     columns = ["row", "kind", "start", "stop"]
     named = _dealt(free.filter("kind IS NULL").drop("kind"), accepted.select("value", "kind"), ["value"], ["row", "start"])
-    return free.filter("kind IS NOT NULL").select(*columns).unionByName(named.select(*columns))
+    return free.filter("kind IS NOT NULL").select(*columns, F.lit(False).alias("induced")).unionByName(named.select(*columns, F.lit(True).alias("induced")))
 
 
 def _span_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +195,7 @@ def _span_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = stash(seeds, "pii-seeds")
     columns = ["row", "kind", "start", "stop"]
     added = discover(found, seeds)
-    return found, seeds.select(*columns, F.lit(True).alias("base")).unionByName(added.select(*columns, F.lit(False).alias("base")))
+    return found, seeds.select(*columns, F.lit(True).alias("base"), F.lit(False).alias("induced")).unionByName(added.select(*columns, F.lit(False).alias("base"), "induced"))
 
 
 def _listed(spans: Column) -> Column:
@@ -200,16 +204,16 @@ def _listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row; kinds that are added (secret) come after the listed ones."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_induced of every row; kinds that are added (secret) come after the listed ones, n_induced of the added spans come from the graph."""
     found, spans = _span_lists(docs)
     rank = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in _RANK.items()]).alias("rank")
     span = F.struct(rank, "start", "stop", "kind")
     counts = [F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in KINDS]
-    per_row = spans.groupBy("row").agg(*counts, F.collect_list(span).alias("all"), F.collect_list(F.when(F.col("base"), span)).alias("base_spans"), F.count_if(~F.col("base")).alias("n_added"))
+    per_row = spans.groupBy("row").agg(*counts, F.collect_list(span).alias("all"), F.collect_list(F.when(F.col("base"), span)).alias("base_spans"), F.count_if(~F.col("base")).alias("n_added"), F.count_if("induced").alias("n_induced"))
     rows = found.select("row", "doc_id").join(per_row, "row", "left")
     zero = F.lit(0).cast("long")
     listed = lambda c: F.coalesce(_listed(F.col(c)), F.lit(""))
-    return rows.select("doc_id", *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS], F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("all").alias("spans"), F.coalesce("n_added", zero).alias("n_added"))
+    return rows.select("doc_id", *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS], F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("all").alias("spans"), F.coalesce("n_added", zero).alias("n_added"), F.coalesce("n_induced", zero).alias("n_induced"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

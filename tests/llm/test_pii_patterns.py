@@ -72,9 +72,14 @@ def test_graph_against_plain_python(spark):
 
 
 def test_secrets_and_labels(spark):
-    texts = [f"login password={k}e3621ce1642afe0{k} ok" for k in range(4)] + ["login password=tiger7 ok", "the year 2024 was 12 ok", 'x token = "ab12cd34ef56ab12cd34" y']
-    got = spans(spark, texts)
-    assert got[0] == "secret:15:32" and got[4] == "secret:15:21" and got[5] == "" and got[6] == "secret:11:31"
+    """Strong strings are seeds; weaker ones and short passwords are found by what stands before the seeds."""
+    strong = [f"login password=ab12cd34ef56ab12cd34ef5{k} ok" for k in range(4)]
+    texts = [*strong, "login password=tiger7 ok", "the year 2024 was 12 ok", 'x token = "ab12cd34ef56ab12cd34ef56" y', "login password=12345678901234567890abcd12345 ok", "a serial 12345678901234567890abcd12345 alone"]
+    rows = pii_bootstrap.report(spark.createDataFrame(list(enumerate(texts[:-1])), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.spans, r.n_added, r.n_induced) for r in rows}
+    assert got[0] == ("secret:15:39", 1, 0) and got[4] == ("secret:15:21", 1, 1) and got[5] == ("", 0, 0)
+    assert got[6] == ("secret:11:35", 1, 0) and got[7] == ("secret:15:44", 1, 1)
+    assert spans(spark, texts[:3] + texts[-1:])[3] == ""  # without a cue a weak string stays
 
 
 def test_edges(spark):
