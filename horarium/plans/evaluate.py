@@ -56,12 +56,20 @@ def evaluate(source: DataFrame, document: DataFrame, layout: DataFrame, session:
     of_doc = stored(layout.join(keyed.select("source_id", "doc"), "source_id").drop("source_id"), "evaluated-layouts")
     cell = extract(cells, of_doc, "doc", today, keyed.select("doc", "year", "month"))
     cell = cell.withColumn("source_id", F.col("doc.source_id")).withColumn("seq", F.struct(F.col("doc.idx").alias("idx"), "seq")).drop("doc")
-    media = F.col("shape").isin(*MEDIA)
     rows = stored(materialize(cell, session, rule, today, days), "evaluated-rows")
     text = document.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "html"))), lambda d: d["html"]), "\n").alias("text"), F.count("*").alias("documents"))
+    return rows, stored(gate(source, rows, text, today, days), "verdicts")
+
+
+def gate(source: DataFrame, rows: DataFrame, text: DataFrame, today: str, days: int) -> DataFrame:
+    """(source_id, lane, confidence, reason, flags, status) of materialised rows.
+
+    `text` has source_id, documents (how many) and text, or the values of its
+    clock times.
+    """
+    media = F.col("shape").isin(*MEDIA)
     gated = lanes(source.filter(~media), rows, text, F.col("slot") == "jumuah").join(text.select("source_id", "documents"), "source_id", "left")
     expected = F.size(horizon_months(F.lit(today).cast("date"), days))
-    none = F.col("documents").isNull()
     had = F.col("documents").isNotNull()
     part = F.when(F.col("documents") < expected, F.array(F.lit("partial_horizon"))).otherwise(F.array())
     gated = gated.select(
@@ -72,8 +80,7 @@ def evaluate(source: DataFrame, document: DataFrame, layout: DataFrame, session:
     good = F.coalesce("ordered", F.lit(True))
     later = source.filter(media).join(week, "source_id", "left").select("source_id", F.when(good, "deferred").otherwise("reject").alias("lane"), F.lit(0.0).alias("confidence"), F.when(~good, "jumuah").alias("reason"), F.array().cast("array<string>").alias("flags"))
     states = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
-    verdicts = gated.unionByName(later).withColumn("status", F.coalesce(states[F.col("lane")], F.lit("needs_reauthor")))
-    return rows, stored(verdicts, "verdicts")
+    return gated.unionByName(later).withColumn("status", F.coalesce(states[F.col("lane")], F.lit("needs_reauthor")))
 
 
 def persist(occurrence: DataFrame, source: DataFrame, rows: DataFrame, verdict: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -94,8 +94,10 @@ def lanes(source: DataFrame, row: DataFrame, text: DataFrame, exempt: Column | N
 
     `source` has source_id and, optionally, problems (from `lint`).  The rows are
     grouped by source and day, and these by source; times that must stand in the
-    text are a set of at most 1,440 a source.
+    text are a set of at most 1,440 a source.  `text` has source_id and text, or
+    `values`, the clock times of it.
     """
+    values = F.col("values") if "values" in text.columns else time_values(F.col("text"))
     if "problems" not in source.columns:
         source = source.withColumn("problems", F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
@@ -119,7 +121,7 @@ def lanes(source: DataFrame, row: DataFrame, text: DataFrame, exempt: Column | N
         F.bool_and(ordered).alias("ordered"), F.array_distinct(F.flatten(F.collect_set("lack"))).alias("missing"), F.array_distinct(F.flatten(F.collect_set("claimed"))).alias("claimed"),
         (reduce(lambda a, b: a & b, constant) & (F.sum("begins") == 0) & (F.count_if("known_day") >= 7)).alias("constant"),
     )
-    both = source.select("source_id", "problems").join(made, "source_id", "left").join(text.select("source_id", time_values(F.col("text")).alias("values")), "source_id", "left")
+    both = source.select("source_id", "problems").join(made, "source_id", "left").join(text.select("source_id", values.alias("values")), "source_id", "left")
     lied = F.size(F.array_except(F.coalesce("claimed", none), F.coalesce("values", none))) > 0
     rules = [
         (F.size("problems") > 0, "reject", 0.0, "lint"), (F.col("rows").isNull(), "reject", 0.0, "no occurrences produced"),
