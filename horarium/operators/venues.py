@@ -118,6 +118,22 @@ def snapshot(venue: DataFrame, occurrence: DataFrame, today: str, days: int = 45
     return venue.join(grouped, "venue_id", "left").withColumn("times", F.coalesce("times", empty)).withColumn("has_times", F.size("times") > 0)
 
 
+def snapshot_tag(rows: DataFrame, key: str) -> DataFrame:
+    """(tag, rows): a quoted name of the content of `rows`, one of each key; equal rows have equal tags, however they lie.
+
+    The canonical JSON of every row is digested where the row is, the digests of a
+    range of keys in the order of the keys' digests, and these in order: two
+    levels, the upper one of at most 4,096 digests.
+    """
+    line = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    name = F.sha2(F.col(key).cast("string").cast("binary"), 256)
+    each = rows.select(F.left(name, F.lit(3)).alias("range"), F.struct(name.alias("name"), F.sha2(line.cast("binary"), 256).alias("digest")).alias("d"))
+    joined = lambda pairs: F.array_join(F.transform(F.array_sort(pairs), lambda x: x["digest"]), "")
+    part = each.groupBy("range").agg(F.sha2(joined(F.collect_list("d")).cast("binary"), 256).alias("digest"), F.count("*").alias("rows"))
+    top = part.agg(F.sha2(joined(F.collect_list(F.struct("range", "digest"))).cast("binary"), 256).alias("digest"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    return top.select(F.concat(F.lit('"'), F.left("digest", F.lit(16)), F.lit('"')).alias("tag"), "rows")
+
+
 def by_city_size(venue: DataFrame) -> DataFrame:
     """Venues with the size of their city's group, for work order (largest first, then id); null is a city."""
     return venue.withColumn("city_size", F.count("*").over(Window.partitionBy("city")))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import time_values
-from ..operators import evidence, grids, schema
+from ..functions.scalars import none_match, time_values
+from ..operators import evidence, grids, schema, venues
 from ..plans import candidates, extract, providers
-from ..sources import html
-from ..sources.scratch import stored
-from .core import ORACLE_SQL, QUERIES, query
+from ..sources import adapters as A
+from ..sources import html, versions
+from ..sources.scratch import shared_dir, stored
+from .core import OCC, ORACLE_SQL, QUERIES, VENUE, query
 from .elements import GRID, NAMES, TODAY, _day_times, _days
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -117,3 +120,26 @@ def calendar_page_cells(spark, d):
     pages = stored(_days(spark, d).select("venue_id").distinct().select(F.col("venue_id").alias("source_id"), body.alias("html")), "calendar-pages")
     found = extract.calendar_cells(providers.calendar_payloads(pages), "source_id", 2024, 1)
     return found.select(F.col("source_id").alias("venue_id"), "day", "slot", "kind", "time", "offset")
+
+
+@query(f"""WITH {VENUE}, {OCC}, s AS (SELECT venue_id, count(time) AS n, coalesce(string_agg(day || ' ' || slot || ' ' || time, ',' ORDER BY day, slot, session, time), '') AS times FROM venue LEFT JOIN (SELECT * FROM occ WHERE day BETWEEN DATE '2024-01-03' AND DATE '2024-01-03' + 45) o USING (venue_id) GROUP BY 1),
+  d AS (SELECT sha256(CAST(venue_id AS VARCHAR)) AS name, sha256(printf('{{"n":%d,"times":"%s","venue_id":%d}}', n, times, venue_id)) AS digest FROM s), r AS (SELECT left(name, 3) AS range, sha256(string_agg(digest, '' ORDER BY name)) AS digest, count(*) AS n FROM d GROUP BY 1)
+  SELECT '"' || left(sha256(string_agg(digest, '' ORDER BY range)), 16) || '"' AS tag, CAST(sum(n) AS BIGINT) AS rows, true AS unchanged, false AS other FROM r""")
+def snapshot_tag(spark, d):
+    """The tag of the snapshot, and whether a client that has it, or another, is up to date."""
+    s = venues.snapshot(A.venue(spark, d), A.occurrence(spark, d), "2024-01-03")
+    joined = F.array_join(F.transform("times", lambda t: F.concat_ws(" ", t["day"].cast("string"), t["slot"], t["time"])), ",")
+    tag = venues.snapshot_tag(s.select("venue_id", F.size("times").cast("long").alias("n"), joined.alias("times")), "venue_id")
+    return tag.select("tag", "rows", none_match(F.col("tag"), F.concat(F.lit('"x", '), "tag")).alias("unchanged"), none_match(F.col("tag"), F.lit('"x", "y"')).alias("other"))
+
+
+@query(f"WITH {OCC} SELECT venue_id AS source_id, day, slot, CASE WHEN venue_id % 3 = 0 THEN '12:34' ELSE time END AS time FROM occ WHERE venue_id % 3 > 0 OR slot = 'asr'")
+def versioned_rows(spark, d):
+    """A table after two batches, the second repeated: sources that it names have its rows only."""
+    root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    rows = A.occurrence(spark, d).select(F.col("venue_id").alias("source_id"), "day", "slot", "time")
+    versions.replace_sources(rows, rows, root, "query", 0)
+    third = rows.filter("source_id % 3 = 0")
+    for _ in range(2):
+        versions.replace_sources(third.filter("slot = 'asr'").withColumn("time", F.lit("12:34")), third, root, "query", 1)
+    return versions.load(spark, root)

@@ -1,7 +1,8 @@
 """An extension: refresh occurrences from a stream of captured documents.
 
 Each micro-batch is evaluated like a daily run and replaces the rows of the
-sources that it accepts; a source that fails keeps its last good rows.
+sources that it accepts in a table of versions; a source that fails keeps its last
+good rows, and a batch that is repeated changes nothing.
 """
 
 from __future__ import annotations
@@ -9,20 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import drift_guard
+from ..sources import versions
 
 
-def refresh(captures: DataFrame, evaluate: Callable[[DataFrame], tuple[DataFrame, DataFrame]], load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """`evaluate` gives rows and verdicts of a batch; `load` and `save` are the occurrence table.
+def refresh(captures: DataFrame, evaluate: Callable[[DataFrame], tuple[DataFrame, DataFrame]], root: str, checkpoint: str, writer: str = "refresh") -> StreamingQuery:
+    """`evaluate` gives rows and verdicts (source_id, lane) of a batch; `root` is the table, `writer` names this stream in it."""
 
-    `save` must write a new version and switch to it, so that a repeated batch
-    gives the same table.
-    """
-
-    def batch(docs: DataFrame, _: int) -> None:
+    def batch(docs: DataFrame, number: int) -> None:
         rows, verdicts = evaluate(docs)
-        save(drift_guard(load(), rows, verdicts))
+        accepted = verdicts.filter(F.col("lane") == "auto_accept").select("source_id")
+        versions.replace_sources(rows.join(accepted, "source_id", "left_semi"), accepted, root, writer, number)
 
     return captures.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from horarium.operators import venues
 from horarium.plans import candidates, providers
-from horarium.sources import html
+from horarium.sources import html, versions
 
 
 def test_the_best_candidate(spark):
@@ -51,3 +52,43 @@ def test_calendar_payloads(spark):
     texts = ['<b>{</b>confData = {"a": "}", "b": {}} tail {"c": 1}', "mawaqit.net", "confData = {'a': 1}", None, "confData = {"]
     page = spark.createDataFrame(list(enumerate(texts)), "source_id int, html string")
     assert [tuple(r) for r in providers.calendar_payloads(page).collect()] == [(0, '{"a": "}", "b": {}}')]
+
+
+def test_versions(spark, tmp_path, monkeypatch):
+    """Two writes, a repeated one, a killed one and one that comes too late: the last good version stays."""
+    root, schema = str(tmp_path), "source_id int, v string"
+    now = lambda: sorted(map(tuple, versions.load(spark, root).collect()))
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    with pytest.raises(FileNotFoundError):
+        versions.load(spark, root)
+    first = frame((1, "a"), (1, "b"), (2, "a"), (3, "a"))
+    assert versions.replace_sources(first, first, root, "w", 0, buckets=2)
+    assert versions.replace_sources(frame((1, "c")), frame((1, ""), (3, "")), root, "w", 1)
+    assert now() == [(1, "c"), (2, "a")]
+    assert not versions.replace_sources(frame((1, "d")), frame((1, "")), root, "w", 1) and now() == [(1, "c"), (2, "a")]
+    switch = versions._switch
+
+    def killed(*_):
+        raise OSError("killed")
+
+    monkeypatch.setattr(versions, "_switch", killed)
+    with pytest.raises(OSError, match="killed"):
+        versions.replace_sources(frame((2, "x")), frame((2, "")), root, "w", 2)
+    assert now() == [(1, "c"), (2, "a")]
+    stale = versions.manifest(spark, root)
+    monkeypatch.setattr(versions, "_switch", switch)
+    assert versions.replace_sources(frame((2, "y")), frame((2, "")), root, "w", 2) and now() == [(1, "c"), (2, "y")]
+    with pytest.raises(versions.VersionConflict):
+        versions._switch(spark, root, stale | {"number": stale["number"] + 1})
+    assert versions.replace_sources(frame(), frame((1, ""), (2, "")), root, "other", 0) and now() == []
+    assert [r.v for r in versions.load(spark, root).collect()] == []
+
+
+def test_snapshot_tag(spark):
+    """The same for any partitioning and order, another after one change."""
+    rows = spark.range(5000).selectExpr("id as venue_id", "id % 7 as n", "if(id % 3 = 0, null, 'x') as note")
+    tag = lambda df: venues.snapshot_tag(df, "venue_id").first()
+    base = tag(rows)
+    assert base == tag(rows.repartition(7, "n").select("note", "n", "venue_id")) and base.rows == 5000 and len(base.tag) == 18
+    assert tag(rows.withColumn("n", F.expr("if(venue_id = 4321, 99, n)"))).tag != base.tag != tag(rows.filter("venue_id < 4999")).tag
+    assert tag(rows.limit(0)).rows == 0

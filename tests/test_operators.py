@@ -67,14 +67,18 @@ def test_weekly_and_empty_tables(spark):
 def test_stream_refresh(spark, tmp_path):
     from horarium.streaming.refresh import refresh
 
+    from horarium.sources import versions
+
+    root, schema = str(tmp_path / "table"), "source_id string, v int"
     (tmp_path / "in").mkdir()
-    spark.createDataFrame([("a", 2), ("b", 2)], "source_id string, v int").write.mode("append").json(str(tmp_path / "in"))
-    table = {"now": spark.createDataFrame([("a", 1), ("b", 1)], "source_id string, v int")}
+    both = spark.createDataFrame([("a", 1), ("b", 1)], schema)
+    versions.replace_sources(both, both, root, "daily", 0)
+    spark.createDataFrame([("a", 2), ("b", 2)], schema).write.mode("append").json(str(tmp_path / "in"))
     verdict = lambda docs: docs.select("source_id").withColumn("lane", F.expr("if(source_id = 'a', 'auto_accept', 'review')"))
-    save = lambda df: table.update(now=spark.createDataFrame(df.collect(), df.schema))
-    stream = spark.readStream.schema("source_id string, v int").json(str(tmp_path / "in"))
-    refresh(stream, lambda docs: (docs, verdict(docs)), lambda: table["now"], save, str(tmp_path / "ck")).awaitTermination(60)
-    assert rows(table["now"]) == [("a", 2), ("b", 1)]
+    for k in range(2):  # a new checkpoint repeats the first batch
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        refresh(stream, lambda docs: (docs, verdict(docs)), root, str(tmp_path / f"ck{k}")).awaitTermination(60)
+        assert rows(versions.load(spark, root)) == [("a", 2), ("b", 1)] and versions.manifest(spark, root)["number"] == 2
 
 
 def test_entry_without_the_corpus_package(monkeypatch):
