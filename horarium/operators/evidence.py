@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pyudfs import absolute_url, names_of, normalise_token, resolve_tokens
+from ..functions.pyudfs import absolute_url, normalise_token, resolve_tokens, with_slots
 from ..functions.scalars import PROVIDERS, keyword_score, media_kind, media_score, month_from_text, provider_hint
 from ..sources.html import cells_of, page_items
 from ..sources.scratch import stored
@@ -65,7 +65,7 @@ def slots_in_text(texts: DataFrame, key: str) -> DataFrame:
 def empty_grids(items: DataFrame, key: str) -> DataFrame:
     """(key, table_no) of tables whose first row names two slots and whose body has one row at most."""
     cells = cells_of(items, key)
-    first = cells.filter("row_no = 0").withColumn("n", names_of("text")).filter(F.col("n.slot").isNotNull() & ~F.col("n.fuzzy")).groupBy(key, "table_no").agg(F.count("*").alias("slots"))
+    first = with_slots(cells.filter("row_no = 0"), "text").filter("slot is not null").groupBy(key, "table_no").agg(F.count("*").alias("slots"))
     data = items.filter("kind = 'row' AND col > 0").groupBy(key, F.col("n").alias("table_no")).agg(F.count_if(~F.col("flag")).alias("data"))
     return first.filter("slots >= 2").join(data.filter("data <= 1"), [key, "table_no"]).select(key, "table_no")
 
@@ -147,13 +147,15 @@ def page_evidence(pages: DataFrame, key: str, year: int, items: DataFrame | None
     navs = month_navigation(items, key).groupBy(key).agg(F.count("*").alias("navs"))
     grids = empty_grids(items, key).groupBy(key).agg(F.count("*").alias("empty_grids"))
     named = slots_in_text(flat.select(key, "text"), key).withColumnRenamed("slots", "slots_in_text")
-    out = pages.select(key, "url", F.lower("html").alias("low"))
+    # the page's source is read here and stays here: only counts go on
+    low = F.coalesce(F.lower("html"), F.lit(""))
+    out = pages.select(key, "url", F.size(phrases_in(low, JS_MARKS)).alias("js_marks"), _any(low, APP_MARKS).cast("int").alias("apps"))
     for part in (flat, tables, media, widgets, navs, grids, named):
         out = out.join(part, key, "left")
     counts = ["tables", "iframes", "prayer_links", "scripts", "named_tables", "timed_tables", "table_times", "media", "timetable_media", "pdfs", "widgets", "navs", "empty_grids", "slots_in_text"]
-    out = out.fillna(0, counts).fillna("", ["text", "url", "low"])
-    out = out.withColumn("clocks", F.regexp_count("text", F.lit(CLOCK))).withColumn("js_marks", F.size(phrases_in(F.col("low"), JS_MARKS)) + F.least("empty_grids", F.lit(1)))
-    out = out.withColumn("apps", F.col("scripts") + _any(F.col("low"), APP_MARKS).cast("int")).withColumn("score", keyword_score(F.col("text"))).drop("low")
+    out = out.fillna(0, counts).fillna("", ["text", "url"])
+    out = out.withColumn("clocks", F.regexp_count("text", F.lit(CLOCK))).withColumn("js_marks", F.col("js_marks") + F.least("empty_grids", F.lit(1)))
+    out = out.withColumn("apps", F.col("scripts") + F.col("apps")).withColumn("score", keyword_score(F.col("text")))
     return classify(out.withColumn("needs_render", needs_render()))
 
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pyudfs import names_of
-from ..functions.scalars import DAILY, bind, parse_date, parse_offset, parse_time
+from ..functions.pyudfs import names_of, with_slots
+from ..functions.scalars import DAILY, parse_date, parse_offset, parse_time
 from ..sources.scratch import stored
 from .grids import combined_header, leading_run, transpose
 
@@ -40,9 +40,9 @@ def _named(header: DataFrame) -> DataFrame:
     return header.withColumn("__n", names_of("header")).select("*", "__n.slot", "__n.fuzzy", F.col("__n.kind").alias("kind_name"), "__n.plain").drop("__n")
 
 
-def _daily(text: str) -> Column:
-    """The daily slot that a text names exactly, else null."""
-    return bind(names_of(text), lambda x: F.when(x["slot"].isin(*DAILY) & ~x["fuzzy"], x["slot"]))
+def _daily(cells: DataFrame) -> DataFrame:
+    """`cells` with daily, the daily slot that their text names exactly, else null."""
+    return with_slots(cells, "text").withColumn("daily", F.when(F.col("slot").isin(*DAILY), F.col("slot"))).drop("slot")
 
 
 def _offset(kind: Column) -> Column:
@@ -85,7 +85,7 @@ def _grid(header: DataFrame, body: DataFrame, key: str, today: str) -> DataFrame
 
 def detect_labels(header: DataFrame, body: DataFrame, key: str) -> DataFrame:
     """(key, table_no, label_col, columns) of tables with the slots down one column and kinds in the others."""
-    cells = body.withColumn("daily", _daily("text"))
+    cells = _daily(body)
     best = cells.filter(F.col("row_no") < SAMPLE).groupBy(key, "table_no", "col_no").agg(F.count_distinct("daily").alias("slots"))
     best = best.groupBy(key, "table_no").agg(F.max(F.struct("slots", (-F.col("col_no")).alias("at"))).alias("m")).filter(F.col("m.slots") >= SLOTS).select(key, "table_no", (-F.col("m.at")).alias("label_col"))
     labelled = cells.join(best, [key, "table_no"]).filter("col_no = label_col and daily is not null").select(key, "table_no", "row_no", "label_col")
@@ -147,7 +147,7 @@ def section_layouts(sections: DataFrame, key: str, today: str) -> DataFrame:
 def table_evidence(cells: DataFrame, depth: DataFrame, key: str, year: int) -> DataFrame:
     """(key, table_no, prayers, times, date_columns): distinct slots named in first-seen order, clock times in the body, columns of which half are dates."""
     spot = F.when(F.col("row_no") < F.col("depth"), 0).otherwise(1)
-    named = cells.join(depth, [key, "table_no"]).withColumn("timed", F.when(spot == 1, parse_time(F.col("text")))).withColumn("name", bind(names_of("text"), lambda x: F.when(~x["fuzzy"], x["slot"])))
+    named = with_slots(cells, "text").withColumnRenamed("slot", "name").join(depth, [key, "table_no"]).withColumn("timed", F.when(spot == 1, parse_time(F.col("text"))))
     # the header is read column by column, the body row by row
     order = F.when(spot == 0, F.struct(spot.alias("p"), F.col("col_no").alias("x"), F.col("row_no").alias("y"))).otherwise(F.struct(spot.alias("p"), F.col("row_no").alias("x"), F.col("col_no").alias("y")))
     per_slot = named.filter("name is not null").groupBy(key, "table_no", "name").agg(F.min(order).alias("seen"))

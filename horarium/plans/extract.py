@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pyudfs import names_of
+from ..functions.pyudfs import with_slots
 from ..functions.scalars import DAILY, day_of, given, parse_date, parse_offset, parse_time, parse_times, year_for_month
 from ..operators.grids import transpose
 from ..operators.schema import LABELLED, MULTIDAY, SINGLE_DAY, TRANSPOSED
@@ -69,7 +69,7 @@ def single_day(cells: DataFrame, layout: DataFrame, key: str, today: str) -> Dat
 def labelled(cells: DataFrame, layout: DataFrame, key: str, today: str) -> DataFrame:
     """Slots down a label column, kinds in the others, on the day of the run."""
     label = cells.join(layout.select(key, "table_no", "label_col"), [key, "table_no"]).filter("col_no = label_col")
-    slot = label.withColumn("n", names_of("text")).filter(F.col("n.slot").isin(*DAILY) & ~F.col("n.fuzzy")).select(key, "table_no", "row_no", "n.slot")
+    slot = with_slots(label, "text").filter(F.col("slot").isin(*DAILY)).select(key, "table_no", "row_no", "slot")
     both = cells.join(slot, [key, "table_no", "row_no"]).join(_columns(layout, key), [key, "table_no", "col_no"])
     return _made(both.withColumn("day", F.lit(today).cast("date")), key)
 

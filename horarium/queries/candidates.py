@@ -14,7 +14,7 @@ from ..sources import adapters as A
 from ..sources import html, versions
 from ..sources.scratch import shared_dir, stored
 from .core import OCC, ORACLE_SQL, QUERIES, VENUE, query
-from .elements import GRID, NAMES, TODAY, _day_times, _days
+from .elements import GRID, NAMES, TODAY, _day_times, _days  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
