@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship_code
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, spread
 
 BLOCK_BYTES = 4 << 20
 _PAD = 16
@@ -28,7 +28,8 @@ _S32, _S29 = np.uint64(32), np.uint64(29)
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_code(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(scan) if table == "documents" else scan
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -44,11 +44,10 @@ from .word_encoder import word_encoder
 
 MAGIC = b"HTOK1\0\0\0"
 HEADER = struct.Struct("<8s16sI4x")
-FOOTER = struct.Struct("<QQ")
+FOOTER = struct.Struct("<QQQ")
 END_ID = 2
 SHARD_BYTES = 32 << 20
 LEVEL = 3
-_NULL_ID = -(1 << 63)
 
 
 def dictionary_hash(dictionary: bytes) -> bytes:
@@ -77,21 +76,22 @@ class ShardWriter:
         self.frames: list[bytes] = []
         self.doc_ids: list[int] = []
         self.counts: list[int] = []
-        self.size = 0
+        self.size = self.nulls = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        """`ids`: little-endian unsigned 32-bit."""
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """`ids`: little-endian unsigned 32-bit; documents without an id come first."""
+        self.nulls += doc_id is None
         wide = np.frombuffer(ids, "<u4")
         frame = self.packer.compress(wide.astype(f"<u{self.width}").tobytes())
         self.frames.append(frame)
-        self.doc_ids.append(doc_id)
+        self.doc_ids.append(0 if doc_id is None else doc_id)
         self.counts.append(len(wide))
         self.size += len(frame)
 
     def finish(self, uri: str) -> None:
         ends = np.cumsum([len(f) for f in self.frames])
         index = np.stack([np.array(self.doc_ids, "<i8"), ends.astype("<i8"), np.array(self.counts, "<i8")])
-        write_file(uri, b"".join([self.head, *self.frames, index.tobytes(), FOOTER.pack(len(self.frames), HEADER.size + self.size)]))
+        write_file(uri, b"".join([self.head, *self.frames, index.tobytes(), FOOTER.pack(len(self.frames), HEADER.size + self.size, self.nulls)]))
 
 
 class ShardReader:
@@ -102,7 +102,7 @@ class ShardReader:
         magic, mark, self.width = HEADER.unpack(self.file.read_at(HEADER.size, 0))
         if magic != MAGIC or mark != dictionary_hash(dictionary):
             raise ValueError(f"{uri}: not a shard of this dictionary")
-        n, place = FOOTER.unpack(self.file.read_at(FOOTER.size, self.file.size() - FOOTER.size))
+        n, place, self.nulls = FOOTER.unpack(self.file.read_at(FOOTER.size, self.file.size() - FOOTER.size))
         self.doc_ids, ends, self.counts = np.frombuffer(self.file.read_at(24 * n, place), "<i8").reshape(3, n)
         self.ends = np.concatenate([[0], ends]) + HEADER.size
         self.unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
@@ -120,7 +120,7 @@ class ShardReader:
 def read_document(uri: str, dictionary: bytes, doc_id: int) -> np.ndarray | None:
     """Ids of one document of a shard, or None."""
     shard = ShardReader(uri, dictionary)
-    k = int(np.searchsorted(shard.doc_ids, doc_id))
+    k = shard.nulls + int(np.searchsorted(shard.doc_ids[shard.nulls :], doc_id))
     return shard.ids(k) if k < len(shard) and shard.doc_ids[k] == doc_id else None
 
 
@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sam
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard.add(_NULL_ID if doc_id is None else doc_id, enc.encode(text.as_py()) + end)
+                shard.add(doc_id, enc.encode(text.as_py()) + end)
                 if shard.size >= SHARD_BYTES:
                     close()
                     shard = ShardWriter(shared.value, width)
@@ -179,7 +179,7 @@ def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
                 shard = ShardReader(uri, shared.value)
                 starts = start + np.concatenate([[0], np.cumsum(shard.counts)[:-1]]).astype(np.int64)
                 crc = [zlib.crc32(shard.ids(k).tobytes()) for k in range(len(shard))]
-                ids = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == _NULL_ID)
+                ids = pa.array(shard.doc_ids, pa.int64(), mask=np.arange(len(shard)) < shard.nulls)
                 yield pa.record_batch([ids, pa.array(starts), pa.array(shard.counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.repartition("uri").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

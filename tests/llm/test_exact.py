@@ -259,6 +259,15 @@ def test_token_files(docs):
         token_files.ShardReader(uri, dictionary + b"x")
 
 
+def test_token_files_keep_null_and_least_ids(spark):
+    rows = [(None, "a"), (-(1 << 63), "b c"), (None, None), (0, "d")]
+    manifest, dictionary = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORD)
+    got = [r.doc_id for r in token_files.read_token_files(manifest, dictionary).orderBy("start").collect()]
+    assert got == [None, None, -(1 << 63), 0]
+    uris = [r.uri for r in manifest.collect()]
+    assert any(token_files.read_document(u, dictionary, -(1 << 63)) is not None for u in uris) and all(token_files.read_document(u, dictionary, 5) is None for u in uris)
+
+
 @pytest.mark.parametrize("block", [5, 1000])
 def test_token_counts(docs, block):
     library = Tokenizer.from_file(BYTE)
