@@ -10,6 +10,7 @@ from ..operators.ranking import last_wins
 from ..plans import gates, materialize
 from ..sources import adapters as A
 from ..sources import html
+from ..sources.scratch import spread
 from ..sources.seeds import read_hosts
 from .core import MIN, OCC, ORACLE_SQL, ORDER, QUERIES, SLOTS, SRC, VENUE, query
 
@@ -28,7 +29,7 @@ def _rows(spark, d):
 
 @query(f"SELECT event_id, {HM.format('hour(ts)', 'minute(ts)')} AS plain, {HM.format('hour(ts)', 'minute(ts)')} AS marked, {HM.format('CASE WHEN hour(ts) BETWEEN 1 AND 11 THEN hour(ts) + 12 ELSE hour(ts) END', 'minute(ts)')} AS evening FROM events")
 def parse_time(spark, d):
-    e = A.table(spark, d, "events")
+    e = spread(A.table(spark, d, "events"))
     return e.select("event_id", S.parse_time(F.date_format("ts", "H.mm")).alias("plain"), S.parse_time(F.date_format("ts", "h:mm a")).alias("marked"), S.parse_time(F.date_format("ts", "'at 'H : mm"), F.lit(True)).alias("evening"))
 
 
@@ -47,7 +48,7 @@ def parse_offset(spark, d):
 
 @query("SELECT event_id, CAST(ts AS DATE) AS iso, CAST(ts AS DATE) AS slashed, make_date(2025, month(ts), least(day(ts), 28)) AS worded, make_date(2025, 3, least(day(ts), 28)) AS bare FROM events")
 def parse_date(spark, d):
-    e = A.table(spark, d, "events").withColumn("k", F.least(F.dayofmonth("ts"), F.lit(28)))
+    e = spread(A.table(spark, d, "events")).withColumn("k", F.least(F.dayofmonth("ts"), F.lit(28)))
     year = F.lit(2025)
     worded = F.concat_ws(" ", F.col("k").cast("string"), F.date_format("ts", "MMMM"))
     return e.select("event_id", S.parse_date(F.date_format("ts", "yyyy-MM-dd"), year).alias("iso"), S.parse_date(F.date_format("ts", "d/M/yyyy"), year).alias("slashed"), S.parse_date(worded, year).alias("worded"), S.parse_date(F.concat_ws(" ", F.lit("Mon"), F.col("k").cast("string")), year, F.lit(3)).alias("bare"))
