@@ -103,31 +103,34 @@ def lanes(source: DataFrame, row: DataFrame, text: DataFrame, exempt: Column | N
     none = F.array().cast("array<string>")
     daily, weekly = F.col("slot").isin(*DAILY), F.col("slot") == "jumuah"
     free = F.col("derived") | (exempt if exempt is not None else F.lit(False))
-    rising = lambda c, strict: F.forall(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda k: F.coalesce(F.get(c, k)["m"] > F.get(c, k - 1)["m"] if strict else F.get(c, k)["m"] >= F.get(c, k - 1)["m"], F.lit(True)))
-    place = lambda key: F.struct(key.cast("int").alias("k"), minutes(F.col("time")).alias("m"))
-    low, high = WINDOWS["jumuah"]
+    bit = F.lit(0)
+    for i, s in enumerate(DAILY):
+        bit = F.when(F.col("slot") == s, 1 << i).otherwise(bit)
+    # HH:MM compares as text, so a slot's range of a day is two aggregates and the order of the day five comparisons
     per_day = in_window(row).groupBy("source_id", "day").agg(
         F.count("*").alias("rows"), F.bool_and("plausible").alias("plausible"), F.count_if(~weekly).alias("daily"), F.count_if(weekly).alias("weekly"), F.count_if(daily & F.col("begin").isNotNull()).alias("begins"),
-        F.array_sort(F.collect_list(F.when(daily, place(slot_order(F.col("slot")))))).alias("of_day"), F.array_sort(F.collect_list(F.when(weekly, place(F.col("session"))))).alias("of_week"),
-        F.collect_set(F.when(~weekly, F.col("slot"))).alias("have"), F.collect_set(F.when(~free, F.col("time"))).alias("claimed"),
-        *[f("time").alias(f"{n}_{s}") for s in DAILY for n, f in (("least", lambda c, s=s: F.min(F.when(F.col("slot") == s, F.col(c)))), ("most", lambda c, s=s: F.max(F.when(F.col("slot") == s, F.col(c)))))],
+        F.bit_or(bit).alias("have"), F.collect_set(F.when(~free, F.col("time"))).alias("claimed"),
+        *[f(F.when(F.col("slot") == s, F.col("time"))).alias(f"{n}_{s}") for s in DAILY for n, f in (("least", F.min), ("most", F.max))],
     )
-    has = F.col("daily") > 0
-    per_day = per_day.withColumn("lack", F.when(has, F.array_except(F.array(*map(F.lit, DAILY)), "have"))).withColumn("known_day", F.size("of_day") > 0)
-    ordered = rising(F.col("of_week"), True) & F.forall("of_week", lambda x: x["m"].between(low, high)) & (F.size("of_week") <= 4)
+    rising, before = F.lit(True), F.lit("")
+    for s in DAILY:
+        rising &= F.coalesce(F.col(f"least_{s}") >= before, F.lit(True))
+        before = F.greatest(before, F.col(f"most_{s}"))
+    every = (1 << len(DAILY)) - 1
     constant = [F.coalesce(F.min(f"least_{s}") == F.max(f"most_{s}"), F.lit(False)) for s in DAILY]
-    made = per_day.groupBy("source_id").agg(
-        F.sum("rows").alias("rows"), F.bool_and("plausible").alias("plausible"), F.sum("daily").alias("daily"), F.sum("weekly").alias("weekly"), F.bool_and(rising(F.col("of_day"), False)).alias("monotonic"),
-        F.bool_and(ordered).alias("ordered"), F.array_distinct(F.flatten(F.collect_set("lack"))).alias("missing"), F.array_distinct(F.flatten(F.collect_set("claimed"))).alias("claimed"),
-        (reduce(lambda a, b: a & b, constant) & (F.sum("begins") == 0) & (F.count_if("known_day") >= 7)).alias("constant"),
+    made = per_day.withColumn("rising", rising).groupBy("source_id").agg(
+        F.sum("rows").alias("rows"), F.bool_and("plausible").alias("plausible"), F.sum("daily").alias("daily"), F.sum("weekly").alias("weekly"), F.bool_and("rising").alias("monotonic"),
+        (F.bit_and(F.when(F.col("daily") > 0, F.col("have"))) != every).alias("incomplete"), F.array_distinct(F.flatten(F.collect_set("claimed"))).alias("claimed"),
+        (reduce(lambda a, b: a & b, constant) & (F.sum("begins") == 0) & (F.count_if(F.col("have") > 0) >= 7)).alias("constant"),
     )
+    made = made.join(sessions(row).groupBy("source_id").agg(F.bool_and("ordered").alias("ordered")), "source_id", "left").withColumn("ordered", F.coalesce("ordered", F.lit(True)))
     both = source.select("source_id", "problems").join(made, "source_id", "left").join(text.select("source_id", values.alias("values")), "source_id", "left")
     lied = F.size(F.array_except(F.coalesce("claimed", none), F.coalesce("values", none))) > 0
     rules = [
         (F.size("problems") > 0, "reject", 0.0, "lint"), (F.col("rows").isNull(), "reject", 0.0, "no occurrences produced"),
         (~F.col("plausible") | ~F.col("monotonic"), "reject", 0.0, "implausible"), (lied, "reject", 0.0, "self-match failed"),
         (~F.col("ordered"), "reject", 0.0, "jumuah"), (F.col("daily") == 0, "review", 0.5, "only jumuah"),
-        (F.size(F.coalesce("missing", none)) > 0, "review", 0.7, "incomplete"), (F.coalesce("constant", F.lit(False)), "review", 0.7, "constant"),
+        (F.coalesce("incomplete", F.lit(False)), "review", 0.7, "incomplete"), (F.coalesce("constant", F.lit(False)), "review", 0.7, "constant"),
     ]
     lane = F.array(*[F.when(c, F.struct(F.lit(x).alias("lane"), F.lit(y).alias("confidence"), F.lit(w).alias("reason"))) for c, x, y, w in rules])
     fine = F.struct(F.lit("auto_accept").alias("lane"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("reason"))
