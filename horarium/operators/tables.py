@@ -1,28 +1,8 @@
-"""From long-form table cells to slot cells."""
+"""Wide records as rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions.scalars import parse_date, parse_offset, parse_time, parse_times
-
-
-def grid_cells(cells: DataFrame, columns: DataFrame, key: str, date_index: int, year: int, month: int | None = None) -> DataFrame:
-    """Slot cells of tables with one day a row.
-
-    `columns` has key, col_no, slot, kind, value_kind and time_index (from 0);
-    a row without a date in its date column gives nothing.
-    """
-    when = parse_date(F.col("text"), F.lit(year), None if month is None else F.lit(month))
-    day = cells.filter(F.col("col_no") == date_index).select(key, "table_no", "row_no", when.alias("day")).filter("day is not null")
-    both = cells.join(day, [key, "table_no", "row_no"]).join(columns, [key, "col_no"])
-    pm = F.col("slot") != "fajr"
-    time = F.when(F.col("time_index").isNotNull(), F.get(parse_times(F.col("text"), pm), F.col("time_index"))).otherwise(parse_time(F.col("text"), pm))
-    offset = F.when(F.col("value_kind") == "offset", parse_offset(F.col("text")))
-    seq = F.struct("table_no", "row_no", "col_no")
-    out = both.select(key, seq.alias("seq"), "day", "slot", "kind", F.when(F.col("value_kind").eqNullSafe("offset"), F.lit(None)).otherwise(time).alias("time"), offset.alias("offset"), F.col("slot").alias("base_slot"))
-    return out.filter("time is not null or offset is not null")
 
 
 def wide_to_long(record: DataFrame, slots: tuple[str, ...]) -> DataFrame:

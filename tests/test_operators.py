@@ -5,8 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from horarium.operators import state, tables, venues
-from horarium.plans import gates, materialize
+from horarium.operators import state, venues
+from horarium.plans import extract, gates, materialize
 from horarium.sources import html, seeds
 
 
@@ -18,8 +18,9 @@ def test_page_to_occurrences(spark):
     page = "<script>var x = '9:99'</script><table><tr><th>Date<th>Begins<th>Asr</tr>" + "".join(f"<tr><td>{d}/6/2026<td>4:0{d}<td>+15</tr>" for d in (1, 2)) + "</table>"
     pages = spark.createDataFrame([("s", page), ("t", None)], "source_id string, html string")
     cells = html.table_cells(pages, "source_id")
-    columns = spark.createDataFrame([("s", 1, "asr", "begin", None, None), ("s", 2, "asr", "jamaah", "offset", None)], "source_id string, col_no int, slot string, kind string, value_kind string, time_index int")
-    cell = tables.grid_cells(cells, columns, "source_id", 0, 2026)
+    column = "array<struct<col_no:int,slot:string,kind:string,value_kind:string,header:string>>"
+    layout = spark.createDataFrame([("s", 0, "horizontal_multiday", 0, None, [(1, "asr", "begin", None, ""), (2, "asr", "jamaah", "offset", "")])], f"source_id string, table_no int, layout string, date_col int, label_col int, columns {column}")
+    cell = extract.multiday(cells, layout, "source_id", "2026-06-01")
     made = materialize.grid_rows(cell, "2026-06-01", 20)
     assert rows(made.select("day", "time", "begin", "derived")) == [(datetime.date(2026, 6, d), f"16:{15 + d}", f"16:0{d}", True) for d in (1, 2)]
     assert html.visible_text(pages, "source_id").filter("source_id = 's'").first().text.startswith("Date Begins Asr")
