@@ -88,10 +88,3 @@ def website_triage(venue: DataFrame, probe: DataFrame) -> DataFrame:
     outcome = F.when(F.col("website").isNull(), "none").when(~F.coalesce(alive, F.lit(False)), "dead").when(F.col("final_url") != F.col("website"), "repaired").otherwise("unchanged")
     out = both.withColumn("outcome", outcome)
     return out.withColumn("website", F.when(F.col("outcome") == "repaired", F.col("final_url")).when(F.col("outcome") != "dead", F.col("website"))).select(*venue.columns, "outcome")
-
-
-def review_decision(source: DataFrame, decision: DataFrame) -> DataFrame:
-    """approve → authored, reject → excluded; `decision` has source_id and decision."""
-    both = source.join(decision, "source_id", "left")
-    status = F.when(F.col("decision") == "approve", "authored").when(F.col("decision") == "reject", "excluded").otherwise(F.col("status"))
-    return both.withColumn("status", status).drop("decision")

@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import table_confidence
 from ..operators.evidence import MEDIA_SCORE, capped
+from ..operators.lookups import GENERIC, LANES
 from ..operators.schema import LABELLED, MULTIDAY, SINGLE_DAY, TRANSPOSED
 from ..sources.scratch import stored
 from .evaluate import MEDIA, gate
 from .extract import extract
 from .materialize import grid_rows
 
-# How many tables and media links of a page are tried, and the order of the lanes.
+# How many tables and media links of a page are tried.
 MOST_TABLES, MOST_MEDIA = 6, 4
-LANES = {"auto_accept": 2, "review": 1, "deferred": 0}
-GENERIC = ("generic_table", "dom_grid", "dom_records")
 _NAMES = {MULTIDAY: "table_horizontal_multiday", TRANSPOSED: "table_transpose_multiday", SINGLE_DAY: "table_horizontal_single_day", LABELLED: "table_vertical_single_day"}
 
 

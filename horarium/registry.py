@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries.evidence import ORACLE_SQL, QUERIES
+from .queries.lookups import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_times_near"
 

@@ -22,13 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}  # by application: paths that were handed out
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `clear` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table of this session: results that were read from them must have been written."""
+    for name in _made.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a table in the shared folder and read it back.
 
     Cuts the plan and the lineage: what is read several times is computed once,
     and a stage that loses an executor rereads the table.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

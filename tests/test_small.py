@@ -1,9 +1,12 @@
 """Small operators that no query shows alone."""
 
 import datetime
+import os
 
-from horarium.operators import evidence, schema, state
-from horarium.sources import html, stores
+import pytest
+
+from horarium.operators import evidence, lookups, schema
+from horarium.sources import html, scratch, stores
 
 
 def test_route(spark):
@@ -20,12 +23,6 @@ def test_usable_fetches(spark):
     assert sorted(r.k for r in got.collect()) == ["moved", "ok"]
 
 
-def test_review_decisions(spark):
-    source = spark.createDataFrame([(1, "review"), (2, "review"), (3, "review"), (4, "authored")], "source_id int, status string")
-    decision = spark.createDataFrame([(1, "approve"), (2, "reject"), (9, "approve")], "source_id int, decision string")
-    assert sorted(map(tuple, state.review_decision(source, decision).collect())) == [(1, "authored"), (2, "excluded"), (3, "review"), (4, "authored")]
-
-
 def test_bundles_round_trip(spark, tmp_path):
     """A second save replaces what was there; null lists come back empty."""
     path = f"{tmp_path}/bundles"
@@ -58,3 +55,26 @@ def test_overlapping_days_keep_the_greater_rank(spark):
     rows = [(1, datetime.date(2026, 6, 1), 3), (1, datetime.date(2026, 6, 1), 5)]
     ranked = evidence.capped(spark.createDataFrame(rows, "s int, day date, v int"), ["s"], ["v"], 1)
     assert [r.v for r in ranked.collect()] == [3]
+
+
+def test_request_values():
+    assert lookups.box_of(None) is None and lookups.box_of("-1,2, 3.5,4") == (-1.0, 2.0, 3.5, 4.0) and lookups.spot_of("52,-1") == (52.0, -1.0)
+    for bad in ("1,2,3", "1,2,3,4,5", "a,b,c,d", ""):
+        with pytest.raises(ValueError, match="min_lng"):
+            lookups.box_of(bad)
+    with pytest.raises(ValueError, match="lat,lng"):
+        lookups.spot_of("1")
+
+
+def test_a_point_lookup_reaches_the_scan(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/t")
+    found = lookups.lookup(spark.read.parquet(f"{tmp_path}/t"), "id", 7)
+    assert "EqualTo(id,7)" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
+
+
+def test_intermediate_tables_are_cleared(spark):
+    kept = scratch.stored(spark.range(5), "kept")
+    folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert kept.count() == 5 and os.path.isdir(folder)
+    scratch.clear(spark)
+    assert not os.path.exists(folder)
