@@ -7,7 +7,6 @@ megabytes, so that a task's memory does not depend on the batch size.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship_code
-from ..sources.scratch import shared_dir, spread
+from ..sources.scratch import scratch_path, spread
+from ..sources.scratch import stored as stash
+
+__all__ = ["avalanche", "bitmap", "byte_view", "drop_stash", "held_out", "integer_ids", "load", "may_be_in", "pick", "row_blocks", "scratch_path", "span_hashes", "stash", "word_spans"]
 
 BLOCK_BYTES = 4 << 20
 _PAD = 16
@@ -32,21 +34,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(scan) if table == "documents" else scan
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to a table in the shared folder and read it back.
-
-    Cuts the lineage: a later stage that loses an executor rereads the table
-    instead of recomputing the Python stage before it.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_stash(df: DataFrame) -> None:
     """Delete the files of a stash that nothing will read again."""
     spark = df.sparkSession
@@ -85,17 +72,26 @@ def bitmap(marks: DataFrame, least: int = 20, most: int = 27) -> tuple[np.ndarra
     return table.view(np.uint64), bits
 
 
+def bits_set(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Which bits of a bitmap are set."""
+    b = bit.astype(np.uint64)
+    return (table[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)) == 1
+
+
 def may_be_in(column: Column, marks: DataFrame) -> Column:
     """Whether a long column is among `marks`; true for a few others too (see `bitmap`)."""
     table, bits = bitmap(marks)
-    shared = marks.sparkSession.sparkContext.broadcast(table)
+    return in_bitmap(F.pmod(column, F.lit(1 << bits)), marks.sparkSession.sparkContext.broadcast(table))
+
+
+def in_bitmap(bit: Column, shared) -> Column:
+    """Whether a bit of a broadcast bitmap is set."""
 
     @F.pandas_udf("boolean")
-    def wanted(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy().astype(np.uint64)
-        return pd.Series((shared.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)) == 1)
+    def wanted(b: pd.Series) -> pd.Series:
+        return pd.Series(bits_set(shared.value, b.to_numpy()))
 
-    return wanted(F.pmod(column, F.lit(1 << bits)))
+    return wanted(bit)
 
 
 def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
