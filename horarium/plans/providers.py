@@ -14,19 +14,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pyudfs import absolute_url, json_object_after, resolve_tokens
+from ..functions.pyudfs import absolute_url, json_object_after, resolve_tokens, with_slots
 from ..functions.scalars import DAILY, minutes, ordinal_label, parse_time, url_host
-from ..operators.grids import header_depth
-from ..operators.records import dom_matrix
+from ..operators.grids import body, header_depth, month_sections
+from ..operators.records import dom_matrix, dom_records
 from ..operators.regions import WORD, month_controls
-from ..operators.schema import MULTIDAY, table_layouts
+from ..operators.schema import MULTIDAY, section_layouts, table_layouts
 from ..sources.elements import inside, page_elements
 from ..sources.html import cells_of, page_items
 from ..sources.scratch import stored
 
 COLUMNS = "array<struct<col_no:int,selector:string,slot:string,kind:string>>"
 MATCH = (
-    f"source_id {{}}, platform string, shape string, url string, requires_js boolean, template string, table_no int, date_col int, row_selector string, date_selector string, columns {COLUMNS}, sessions array<struct<label:string,time:string>>"
+    f"source_id {{}}, platform string, shape string, url string, requires_js boolean, template string, nav string, table_no int, layout string, date_col int, label_col int, row_selector string, date_selector string, columns {COLUMNS}, sessions array<struct<label:string,time:string>>"
 )
 # Marks and addresses of the providers, and what their pages are read by.
 FRAME_DOMAIN, FRAME_ROW, FRAME_DATE = "masjidbox.com", "div.prayer-day", ".d"
@@ -120,7 +120,7 @@ def plugin_tables(pages: Pages) -> DataFrame:
     column = F.struct("col_no", F.lit(None).cast("string").alias("selector"), F.col("name").alias("slot"), F.lit("jamaah").alias("kind"))
     per = first.groupBy("source_id").agg(F.array_sort(F.collect_list(column)).alias("columns")).filter(F.size("columns") >= LEAST_SLOTS)
     both = per.join(table.select("source_id", "table_no"), "source_id").join(pages.page.select("source_id", "url"), "source_id")
-    return match(both, "wp_prayer", "html_table", url=F.col("url"), table_no=F.col("table_no"), date_col=F.lit(0), columns=F.col("columns"))
+    return match(both, "wp_prayer", "html_table", url=F.col("url"), table_no=F.col("table_no"), layout=F.lit(MULTIDAY), date_col=F.lit(0), columns=F.col("columns"))
 
 
 def _template(address: Column, action: Column, display: str = "&display=table") -> Column:
@@ -167,7 +167,7 @@ def plugin_months(pages: Pages) -> DataFrame:
     found = sample_layouts(made, pages.fetched, pages.today, PLUGIN_TABLE)
     text = pages.items.filter("kind = 'text'").select("source_id", fixed_sessions(F.col("text")).alias("sessions"))
     both = found.join(text, "source_id", "left")
-    return match(both, "wp_dpt", "html_table", url=F.col("url"), template=F.col("template"), table_no=F.col("table_no"), date_col=F.col("date_col"), columns=F.col("columns"), sessions=F.when(F.size("sessions") > 0, F.col("sessions")))
+    return match(both, "wp_dpt", "html_table", url=F.col("url"), template=F.col("template"), table_no=F.col("table_no"), layout=F.lit(MULTIDAY), date_col=F.col("date_col"), columns=F.col("columns"), sessions=F.when(F.size("sessions") > 0, F.col("sessions")))
 
 
 def _related(pages: Pages) -> DataFrame:
@@ -195,44 +195,72 @@ def endpoint_months(pages: Pages) -> DataFrame:
     tried = tried.withColumn("template", F.concat(_template(F.col("address"), F.col("action"), ""), "display.text")).withColumn("asked", F.replace("template", F.lit("{month}"), F.lit("1")))
     found = sample_layouts(tried.withColumn("key", F.struct("source_id", "order", "display.d")).drop("display", "address"), pages.fetched, pages.today)
     first = found.groupBy("source_id").agg(F.min_by(F.struct("url", "template", "table_no", "date_col", "columns"), "key").alias("f")).select("source_id", "f.*")
-    derived = match(first, "endpoint_month", "html_table", **{c: F.col(c) for c in ("url", "template", "table_no", "date_col", "columns")})
+    derived = match(first, "endpoint_month", "html_table", layout=F.lit(MULTIDAY), **{c: F.col(c) for c in ("url", "template", "table_no", "date_col", "columns")})
     return derived.unionByName(_by_select(pages).join(derived.select("source_id"), "source_id", "left_anti"))
 
 
-def _table_matches(pages: Pages, cells: DataFrame, platform: str, shape: str, only: DataFrame | None = None) -> DataFrame:
-    """Matches of the first table with days down its side of each page."""
-    cells = stored(cells if only is None else cells.join(only, "source_id", "left_semi"), "provider-cells")
-    heads = pages.items.filter("kind = 'table'").select("source_id", F.col("n").alias("table_no"), F.col("row").alias("thead_rows"))
-    rows = pages.items.filter("kind = 'row'").select("source_id", F.col("n").alias("table_no"), F.col("row").alias("row_no"), F.col("flag").alias("heading"))
-    if shape == "dom_grid":
-        heads = cells.groupBy("source_id", "table_no").agg(F.lit(0).alias("thead_rows"))
-        rows = cells.select("source_id", "table_no", "row_no").distinct().withColumn("heading", F.lit(False))
-    found = table_layouts(cells, stored(header_depth(heads, rows, cells, "source_id"), "provider-headers"), "source_id", pages.today).filter(F.col("layout") == MULTIDAY)
-    first = found.groupBy("source_id").agg(F.min_by(F.struct("table_no", "date_col", "columns"), "table_no").alias("f")).select("source_id", "f.*").join(pages.page.select("source_id", "url"), "source_id")
+def _table_matches(pages: Pages, cells: DataFrame, depth: DataFrame, platform: str, shape: str, only: str | None = None) -> DataFrame:
+    """Matches of the first table of each page that a layout (or only this one) fits."""
+    found = table_layouts(cells, depth, "source_id", pages.today)
+    found = found if only is None else found.filter(F.col("layout") == only)
+    fields = ("table_no", "layout", "date_col", "label_col", "columns")
+    first = found.groupBy("source_id").agg(F.min_by(F.struct(*fields), "table_no").alias("f")).select("source_id", "f.*").join(pages.page.select("source_id", "url"), "source_id")
     columns = F.transform("columns", lambda c: F.struct(c["col_no"].alias("col_no"), F.lit(None).cast("string").alias("selector"), c["slot"].alias("slot"), c["kind"].alias("kind")))
-    return match(first, platform, shape, url=F.col("url"), table_no=F.col("table_no"), date_col=F.col("date_col"), columns=columns)
+    return match(first, platform, shape, **{c: F.col(c) for c in ("url", *fields[:-1])}, columns=columns)
+
+
+def _page_tables(pages: Pages, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, depth) of the tables of pages."""
+    items = pages.items if only is None else pages.items.join(only, "source_id", "left_semi")
+    cells = stored(cells_of(items, "source_id"), "provider-cells")
+    heads = items.filter("kind = 'table'").select("source_id", F.col("n").alias("table_no"), F.col("row").alias("thead_rows"))
+    rows = items.filter("kind = 'row'").select("source_id", F.col("n").alias("table_no"), F.col("row").alias("row_no"), F.col("flag").alias("heading"))
+    return cells, stored(header_depth(heads, rows, cells, "source_id"), "provider-headers")
 
 
 def _by_select(pages: Pages) -> DataFrame:
     """Pages of one month with a select of months and a table of days: read by going through the select."""
-    steered = month_controls(pages.elements, "source_id").filter("kind = 'select'")
-    found = _table_matches(pages, cells_of(pages.items, "source_id"), "endpoint_month", "html_table", steered.select("source_id"))
-    return found.withColumn("requires_js", F.lit(True))
+    steered = stored(month_controls(pages.elements, "source_id").filter("kind = 'select'").select("source_id", F.col("selector").alias("nav")), "provider-selects")
+    found = _table_matches(pages, *_page_tables(pages, steered), "endpoint_month", "html_table", MULTIDAY)
+    return found.drop("nav").join(steered, "source_id").withColumn("requires_js", F.lit(True)).select(found.columns)
 
 
 def generic_tables(pages: Pages) -> DataFrame:
-    """Any table with days down its side."""
-    return _table_matches(pages, cells_of(pages.items, "source_id"), "generic_table", "html_table")
+    """Day rows below several months' names, else the first table that a layout fits."""
+    cells, depth = _page_tables(pages)
+    captions = pages.items.filter("kind = 'table'").select("source_id", F.col("n").alias("table_no"), F.col("text").alias("caption"))
+    sections = stored(month_sections(cells, captions, "source_id"), "provider-sections")
+    by_month = section_layouts(sections, "source_id", pages.today).join(pages.page.select("source_id", "url"), "source_id")
+    columns = F.transform("columns", lambda c: F.struct(c["col_no"].alias("col_no"), F.lit(None).cast("string").alias("selector"), c["slot"].alias("slot"), c["kind"].alias("kind")))
+    monthly = match(by_month, "generic_table", "html_table", url=F.col("url"), layout=F.lit("month_sections"), date_col=F.col("date_col"), columns=columns)
+    rest = _table_matches(pages, cells, depth, "generic_table", "html_table")
+    return monthly.unionByName(rest.join(monthly.select("source_id"), "source_id", "left_anti"))
 
 
 def generic_grids(pages: Pages) -> DataFrame:
-    """A grid of other elements with days down its side."""
-    return _table_matches(pages, dom_matrix(pages.elements, "source_id"), "dom_grid", "dom_grid")
+    """A grid of other elements that a layout fits; one whose body names slots in several columns is a stream of cards."""
+    cells = stored(dom_matrix(pages.elements, "source_id"), "provider-grids")
+    heads = cells.select("source_id", "table_no").distinct().withColumn("thead_rows", F.lit(0))
+    rows = cells.select("source_id", "table_no", "row_no").distinct().withColumn("heading", F.lit(False))
+    depth = stored(header_depth(heads, rows, cells, "source_id"), "provider-grid-headers")
+    named = with_slots(body(cells, depth, "source_id"), "text").filter(F.col("slot").isin(*DAILY)).groupBy("source_id").agg(F.count_distinct("col_no").alias("n")).filter("n > 1")
+    found = _table_matches(pages, cells, depth, "dom_grid", "dom_grid").join(named, "source_id", "left_anti")
+    return found.withColumn("requires_js", F.lit(True))
+
+
+def generic_streams(pages: Pages) -> DataFrame:
+    """A stream of records of three daily slots; pages of several days also say how to reach other months."""
+    day = F.lit(pages.today).cast("date")
+    cell = dom_records(pages.elements, pages.page.select("source_id", F.year(day).alias("year"), F.month(day).alias("month")), "source_id", pages.today)
+    per = cell.groupBy("source_id").agg(F.count_distinct(F.when(F.col("kind") == "jamaah", F.col("slot"))).alias("slots"), F.count_distinct("day").alias("days")).filter(F.col("slots") >= LEAST_SLOTS)
+    steered = month_controls(pages.elements, "source_id").select("source_id", "selector")
+    both = per.join(steered, "source_id", "left").join(pages.page.select("source_id", "url"), "source_id")
+    return match(both, "dom_records", "dom_records", url=F.col("url"), requires_js=F.lit(True), nav=F.when(F.col("days") >= 2, F.col("selector")))
 
 
 PlugIn = Callable[[Pages], DataFrame]
 #: In the order of their right to a page.
-REGISTRY: list[PlugIn] = [frames, calendars, screens, plugin_tables, plugin_months, endpoint_months, generic_tables, generic_grids]
+REGISTRY: list[PlugIn] = [frames, calendars, screens, plugin_tables, plugin_months, endpoint_months, generic_tables, generic_grids, generic_streams]
 
 
 def detect(page: DataFrame, fetched: DataFrame, today: str, registry: list[PlugIn] | None = None) -> DataFrame:

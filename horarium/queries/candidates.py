@@ -68,12 +68,14 @@ _MONTH = int(TODAY[5:7])
 
 
 def _provided(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(page, fetched): pages of eight kinds, and what their plug-ins would fetch."""
-    v, times = F.col("venue_id") % 9, _day_times()
+    """(page, fetched): pages of eleven kinds and of none, and what their plug-ins would fetch."""
+    v, times = F.col("venue_id") % 12, _day_times()
     cells = lambda first: F.concat(F.lit("<tr><td>"), first, *[x for t in times for x in (F.lit("<td>"), t)])
-    days = _days(spark, d).select("venue_id", "k", cells(F.date_format("day", "d")).alias("bare"), cells(F.date_format("day", "yyyy-MM-dd")).alias("dated"))
+    across = lambda first: F.concat(F.lit("<div role=row><b role=cell>"), first, *[x for t in times for x in (F.lit("</b><b role=cell>"), t)], F.lit("</b></div>"))
+    record = F.concat(F.lit("<div><p>"), F.date_format("day", "d MMMM yyyy"), F.lit("</p>"), *[x for n, t in zip(_NAMES, times, strict=True) for x in (F.lit(f"<b>{n}</b><i>"), t, F.lit("</i>"))], F.lit("</div>"))
+    days = _days(spark, d).select("venue_id", "k", cells(F.date_format("day", "d")).alias("bare"), cells(F.date_format("day", "yyyy-MM-dd")).alias("dated"), across(F.date_format("day", "yyyy-MM-dd")).alias("grid"), record.alias("stream"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), "").alias(c)
-    lists = days.groupBy("venue_id").agg(joined("bare"), joined("dated"))
+    lists = days.groupBy("venue_id").agg(*[joined(c) for c in ("bare", "dated", "grid", "stream")])
     head = "<tr><th>Date<th>" + "<th>".join(_NAMES)
     table = lambda attr, rows: F.concat(F.lit(f"<table {attr}>{head}"), rows, F.lit("</table>"))
     frame = "<iframe src='//www.masjidbox.com/w/1'></iframe>"
@@ -83,7 +85,8 @@ def _provided(spark, d) -> tuple[DataFrame, DataFrame]:
     page = (
         F.when(v == 0, F.concat(F.lit(frame), table("class='x dpt_table'", "bare"))).when(v == 1, F.lit(calendar)).when(v == 2, F.lit("<a href='https://my-masjid.com/screen/g-1'>x</a>"))
         .when(v == 3, F.concat(F.lit("<table><tr><td>x</table>"), table("class='x dpt_table'", "bare"))).when(v == 4, F.lit(plugin)).when(v == 5, F.lit(endpoint)).when(v == 6, F.lit("<p>nothing</p>"))
-        .when(v == 7, table("id=t", "dated")).otherwise(F.concat(F.lit("<script>confData = {'calendar': oops}</script>"), table("", "dated")))
+        .when(v == 7, table("id=t", "dated")).when(v == 9, F.concat(F.lit("<div role=row>" + "".join(f"<b role=cell>{n}</b>" for n in ("Date", *_NAMES)) + "</div>"), "grid")).when(v == 10, F.concat(F.lit("<body><h2>January 2024</h2><a>›</a>"), "stream", F.lit("</body>")))
+        .when(v == 11, "<table><tr><th>" + "<th>".join(_NAMES) + "<tr><td>5:00<td>13:00<td>17:00<td>20:00<td>22:00</table>").otherwise(F.concat(F.lit("<script>confData = {'calendar': oops}</script>"), table("", "dated")))
     )
     site = F.concat(F.lit("https://v"), "venue_id", F.lit(".example/x/"))
     address = {4: f"https://a.example/ajax.php?action=get_monthly_timetable&month={_MONTH}&display=table", 5: "https://b.example/wp-admin/admin-ajax.php?action=month_view&month=1"}
@@ -93,18 +96,19 @@ def _provided(spark, d) -> tuple[DataFrame, DataFrame]:
     return stored(lists.select(F.col("venue_id").alias("source_id"), site.alias("url"), page.alias("html")), "provider-pages"), stored(fetched, "provider-fetched")
 
 
-@query(f"""WITH {GRID}, v AS (SELECT venue_id, venue_id % 9 AS v, count(*) AS n FROM days GROUP BY 1)
-  SELECT venue_id, ['masjidbox', 'mawaqit', 'mylocalmasjid', 'wp_prayer', 'wp_dpt', 'endpoint_month', NULL, 'generic_table', 'generic_table'][v + 1] AS platform, CASE WHEN v = 0 THEN 'html_repeated' WHEN v IN (1, 2) THEN 'widget' ELSE 'html_table' END AS shape, v = 0 AS requires_js,
+@query(f"""WITH {GRID}, v AS (SELECT venue_id, venue_id % 12 AS v, count(*) AS n FROM days GROUP BY 1)
+  SELECT venue_id, ['masjidbox', 'mawaqit', 'mylocalmasjid', 'wp_prayer', 'wp_dpt', 'endpoint_month', NULL, 'generic_table', 'generic_table', 'dom_grid', 'dom_records', 'generic_table'][v + 1] AS platform, CASE WHEN v = 0 THEN 'html_repeated' WHEN v IN (1, 2) THEN 'widget' WHEN v = 9 THEN 'dom_grid' WHEN v = 10 THEN 'dom_records' ELSE 'html_table' END AS shape, v IN (0, 9, 10) AS requires_js,
+  CASE WHEN v IN (0, 1, 2, 10) THEN NULL WHEN v = 11 THEN 'horizontal_single_day' ELSE 'horizontal_multiday' END AS layout, CASE WHEN v = 10 AND n > 1 THEN 'text=›' END AS nav,
   CASE v WHEN 0 THEN 'https://www.masjidbox.com/w/1' WHEN 2 THEN 'https://time.my-masjid.com/api/TimingsInfoScreen/GetMasjidTimings?GuidId=g-1' ELSE 'https://v' || venue_id || '.example/x/' END AS url,
   CASE v WHEN 4 THEN 'https://a.example/ajax.php?action=get_monthly_timetable&month={{month}}&display=table' WHEN 5 THEN 'https://b.example/wp-admin/admin-ajax.php?action=month_view&month={{month}}' END AS template,
-  CASE v WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 0 WHEN 7 THEN 0 WHEN 8 THEN 0 END AS table_no, CASE WHEN v IN (1, 2) THEN NULL WHEN v = 0 THEN ':fajr,:dhuhr,:asr,:maghrib,:isha' ELSE '1:fajr,2:dhuhr,3:asr,4:maghrib,5:isha' END AS columns,
+  CASE v WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 0 WHEN 7 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN 0 WHEN 11 THEN 0 END AS table_no, CASE WHEN v IN (1, 2, 10) THEN NULL WHEN v = 11 THEN '0:fajr,1:dhuhr,2:asr,3:maghrib,4:isha' WHEN v = 0 THEN ':fajr,:dhuhr,:asr,:maghrib,:isha' ELSE '1:fajr,2:dhuhr,3:asr,4:maghrib,5:isha' END AS columns,
   CASE WHEN v = 4 THEN '1st Jumu''ah 12:45|1st Jumu''ah 13:30' END AS sessions FROM v WHERE v <> 6""")
 def providers_of(spark, d):
     """Which plug-in knows each page, and how it is read; a broken calendar leaves its page to the next."""
     found = providers.detect(*_provided(spark, d), TODAY)
     columns = F.array_join(F.transform("columns", lambda c: F.concat_ws(":", F.coalesce(c["col_no"].cast("string"), F.lit("")), c["slot"])), ",")
     sessions = F.array_join(F.transform("sessions", lambda s: F.concat_ws(" ", s["label"], s["time"])), "|")
-    return found.select(F.col("source_id").alias("venue_id"), "platform", "shape", "requires_js", "url", "template", "table_no", columns.alias("columns"), sessions.alias("sessions"))
+    return found.select(F.col("source_id").alias("venue_id"), "platform", "shape", "requires_js", "url", "template", "nav", "layout", "table_no", columns.alias("columns"), sessions.alias("sessions"))
 
 
 @query(f"""WITH {GRID}, v AS (SELECT DISTINCT venue_id FROM days), t(i, slot, time) AS (VALUES (0, 'fajr', '05:0'), (1, 'dhuhr', '13:0'), (2, 'asr', '17:0'), (3, 'maghrib', '20:0'), (4, 'isha', '22:0'))
