@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import avalanche, drop_stash, may_be_in, row_blocks, stash
+from .common import avalanche, bitmap, bits_set, drop_stash, in_bitmap, row_blocks, stash
 
 LENGTH = 200
 GRAM = 32
@@ -49,7 +49,7 @@ BITMAP_BITS = 26
 HOT = 1000
 MOST_HOT = 100_000
 FAMILY = 8 << 20
-PIECE = 4 << 20
+PIECE = 1 << 20
 _REACH = LENGTH - GRAM + 1  # positions of a gram within a window
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _BASE = 0x5851F42D4C957F2D
@@ -383,7 +383,15 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, most_hot: int = MOST_HOT, fa
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), F.xxhash64(F.lit(1), "doc_id", "text").alias("uid2"))
     found = repeated_intervals(docs, hot, most_hot, family).groupBy("uid", "uid2").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
     found = stash(found, "suffix-intervals")
-    has = may_be_in(F.xxhash64("uid", "uid2"), found.select(F.xxhash64("uid", "uid2")))
-    none = F.lit(None).cast(found.schema["found"].dataType)
-    cut = docs.filter(has).join(found, ["uid", "uid2"], "left").select("doc_id", "text", "found")
-    return cut.unionByName(docs.filter(~has).select("doc_id", "text", none.alias("found"))).mapInArrow(_cut, f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    table, bits = bitmap(found.select(F.xxhash64("uid", "uid2")))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    bit = F.pmod(F.xxhash64("uid", "uid2"), F.lit(1 << bits))
+    out = f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose bit is not set; one Python worker a task does both."""
+        return _cut(b.filter(pa.array(~bits_set(shared.value, b.column(3).to_numpy()))) for b in batches)
+
+    none = F.lit(None).cast(found.schema["found"].dataType).alias("found")
+    hit = docs.filter(in_bitmap(bit, shared)).join(found, ["uid", "uid2"], "left").select("doc_id", "text", "found").mapInArrow(_cut, out)
+    return hit.unionByName(docs.select("doc_id", "text", none, bit.alias("bit")).mapInArrow(untouched, out))
