@@ -13,7 +13,7 @@ from ..operators import records, regions, schema
 from ..plans import extract
 from ..sources import elements as E
 from ..sources import html
-from ..sources.scratch import stored
+from ..sources.scratch import spread, stored
 from .core import ORACLE_SQL, QUERIES, query
 from .pages import GRID, NAMES, TODAY, _day_times, _days, _depth
 
@@ -24,7 +24,7 @@ def _pages(days: DataFrame, before: Column, of_day: Column, after: Column) -> Da
     """(venue_id, html): what stands before, the days in order, and what stands after."""
     line = days.select("venue_id", "k", of_day.alias("day"))
     body = line.groupBy("venue_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "day"))), lambda x: x["day"]), "").alias("body"))
-    return stored(body.select("venue_id", F.concat(before, "body", after).alias("html")), "laid-out-pages")
+    return spread(stored(body.select("venue_id", F.concat(before, "body", after).alias("html")), "laid-out-pages"))
 
 
 def _documents(pages: DataFrame) -> DataFrame:

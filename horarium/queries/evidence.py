@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bundle, evidence
 from ..sources import elements as E
 from ..sources import html
-from ..sources.scratch import stored
+from ..sources.scratch import spread, stored
 from .candidates import GRID, NAMES, ORACLE_SQL, QUERIES, _day_times, _days, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -27,7 +27,7 @@ def _kinds(spark, d) -> DataFrame:
         .when(v == 2, f"{_FILL}<a href='/prayer-times-2024.pdf'>Prayer times</a><a href='/prayer-times-2024.pdf'>again</a><img src=logo.png>").when(v == 3, "<div id=\"root\"></div><p>Fajr and Isha</p>")
         .when(v == 4, "Coming soon: our new web site, please come back later").when(v == 5, "<p>hi</p>").when(v == 6, f"{_FILL}<h2>June 2024</h2><a href=#>›</a>").otherwise(_FILL)
     )
-    return stored(lines.select("venue_id", F.concat(F.lit("https://v"), "venue_id", F.lit(".example/a/")).alias("url"), page.alias("html")), "evidence-pages")
+    return spread(stored(lines.select("venue_id", F.concat(F.lit("https://v"), "venue_id", F.lit(".example/a/")).alias("url"), page.alias("html")), "evidence-pages"))
 
 
 @query(f"""WITH {GRID}, v AS (SELECT venue_id, venue_id % 8 AS v, count(*) AS n FROM days GROUP BY 1),

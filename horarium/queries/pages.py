@@ -14,7 +14,7 @@ from ..operators import evidence, grids, schema
 from ..plans import evaluate, extract
 from ..sources import adapters as A
 from ..sources import html
-from ..sources.scratch import stored
+from ..sources.scratch import spread, stored
 from .core import OCC, ORACLE_SQL, QUERIES, query
 from .timetable import HM
 
@@ -52,7 +52,7 @@ def _day_times() -> list[F.Column]:
 
 def _put(days: DataFrame, *cells: F.Column) -> DataFrame:
     """Long cells of one table a venue, from arrays of cells of each day; kept, as layouts read them many times."""
-    return stored(days.select("venue_id", F.lit(0).alias("table_no"), F.explode(F.concat(*cells)).alias("c")).select("venue_id", "table_no", "c.*"), "timetables")
+    return spread(stored(days.select("venue_id", F.lit(0).alias("table_no"), F.explode(F.concat(*cells)).alias("c")).select("venue_id", "table_no", "c.*"), "timetables"))
 
 
 def _timetables(spark, d) -> DataFrame:
@@ -273,7 +273,7 @@ def evaluate_sources(spark, d):
     head = "<table><tr><th>Date" + "".join(f"<th>{n}" for n, _ in NAMES)
     page = row.groupBy("venue_id").agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "tr"))), lambda x: x["tr"]), ""), F.lit("</table>")).alias("html"))
     start = F.lit(TODAY).cast("date")
-    page = stored(page, "venue-pages")
+    page = spread(stored(page, "venue-pages"))
     docs = page.select(F.col("venue_id").alias("source_id"), F.lit(0).alias("idx"), F.year(start).alias("year"), F.month(start).alias("month"), "html")
     source = page.select(F.col("venue_id").alias("source_id"), F.lit("html_table").alias("shape"))
     items = stored(html.page_items(page, "venue_id"), "venue-items")

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html import _SKIP, _VOID, BATCH_ITEMS
+from .scratch import stored
 
 LONGEST = 1000
 ELEMENT = (
@@ -209,7 +210,10 @@ def select(elements: DataFrame, selectors: DataFrame, key: str) -> DataFrame:
         raise ValueError(f"a selector of {depth} steps; {MOST_STEPS} at most")
     columns = [c for c in elements.columns if c != key]
     step = asked.select(key, "name", F.size("steps").alias("__n"), F.posexplode("steps").alias("__step", "step"))
-    hit = elements.join(step, key).filter(_fits("step"))
+    # compounds with a name meet the elements of that name only; the rest of a compound is tested on these
+    named = elements.join(step.filter("step.tag is not null").withColumn("tag", F.col("step.tag")), [key, "tag"]).select(*elements.columns, "name", "__n", "__step", "step")
+    hit = named.unionByName(elements.join(step.filter("step.tag is null"), key).select(named.columns)).filter(_fits("step")).select(key, "el", "path", "name", "__n", "__step", "step")
+    hit = stored(hit, "selector-hits")
     so_far = hit.filter("__step = 0").select(key, "name", "__n", F.col("el").alias("at"), F.lit(0).alias("__step"))
     for k in range(1, depth):
         inner = hit.filter(F.col("__step") == k).select(key, "name", "__n", "el", F.explode(F.when(F.col("step.child"), F.slice("path", -1, 1)).otherwise(F.col("path"))).alias("at"))
