@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship_code
+from ..sources.scratch import kept as stash
 from ..sources.scratch import scratch_path, spread
-from ..sources.scratch import stored as stash
 
 __all__ = ["avalanche", "bitmap", "byte_view", "drop_stash", "held_out", "integer_ids", "load", "may_be_in", "pick", "row_blocks", "scratch_path", "span_hashes", "stash", "word_spans"]
 

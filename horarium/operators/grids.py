@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.readings import readings, with_readings
 from ..functions.scalars import month_from_text, parse_time
 
 
 def timed_rows(cells: DataFrame, key: str) -> DataFrame:
     """(key, table_no, row_no, timed): whether any cell of a row is a clock time."""
-    return cells.groupBy(key, "table_no", "row_no").agg(F.bool_or(parse_time(F.col("text")).isNotNull()).alias("timed"))
+    read = with_readings(cells, readings(cells, __time=parse_time(F.col("text"))))
+    return read.groupBy(key, "table_no", "row_no").agg(F.bool_or(F.col("__time").isNotNull()).alias("timed"))
 
 
 def leading_run(cells: DataFrame, key: str) -> DataFrame:

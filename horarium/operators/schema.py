@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pyudfs import names_of, with_slots
+from ..functions.readings import readings, with_readings
 from ..functions.scalars import DAILY, parse_date, parse_offset, parse_time
 from ..sources.scratch import stored
 from .grids import combined_header, leading_run, transpose
@@ -26,13 +27,16 @@ def _share(hit: Column) -> Column:
     return F.avg(hit.isNotNull().cast("double"))
 
 
-def profile(body: DataFrame, key: str, today: str) -> DataFrame:
-    """(key, table_no, col_no, times, offsets, dates): shares among the first SAMPLE cells of each column."""
-    day = F.lit(today).cast("date")
-    head = body.filter(F.col("row_no") < SAMPLE)
-    return head.groupBy(key, "table_no", "col_no").agg(
-        _share(parse_time(F.col("text"))).alias("times"), _share(parse_offset(F.col("text"))).alias("offsets"), _share(parse_date(F.col("text"), F.year(day), F.month(day))).alias("dates")
-    )
+def read_cells(cells: DataFrame, today: str) -> DataFrame:
+    """What the distinct texts of cells say: __time, __offset, __date."""
+    day, text = F.lit(today).cast("date"), F.col("text")
+    return readings(cells, __time=parse_time(text), __offset=parse_offset(text), __date=parse_date(text, F.year(day), F.month(day)))
+
+
+def profile(body: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """(key, table_no, col_no, times, offsets, dates): shares among the first SAMPLE cells of each column; `known` as `read_cells` gives it."""
+    head = with_readings(body.filter(F.col("row_no") < SAMPLE), known)
+    return head.groupBy(key, "table_no", "col_no").agg(_share(F.col("__time")).alias("times"), _share(F.col("__offset")).alias("offsets"), _share(F.col("__date")).alias("dates"))
 
 
 def _named(header: DataFrame) -> DataFrame:
@@ -66,13 +70,13 @@ def detect_columns(named: DataFrame, key: str) -> DataFrame:
     return both.withColumn("slot_column", F.coalesce(F.col("fit") & (F.col("col_no") == first), F.lit(False))).withColumn("value_kind", F.when(F.col("is_offset"), "offset"))
 
 
-def _grid(header: DataFrame, body: DataFrame, key: str, today: str) -> DataFrame:
+def _grid(header: DataFrame, body: DataFrame, key: str, known: DataFrame) -> DataFrame:
     """(key, table_no, columns, date_col) of tables with at least SLOTS slot columns.
 
     The date column is the free one with the largest share of dates, at least
     half, else the first whose header says so.
     """
-    named = _named(header).join(profile(body, key, today), [key, "table_no", "col_no"], "left").fillna(0.0, ["times", "offsets", "dates"])
+    named = _named(header).join(profile(body, key, known), [key, "table_no", "col_no"], "left").fillna(0.0, ["times", "offsets", "dates"])
     found = detect_columns(named, key)
     column = F.struct("col_no", "slot", "kind", "value_kind", "header").cast(COLUMN)
     free = ~F.col("slot_column")
@@ -83,14 +87,15 @@ def _grid(header: DataFrame, body: DataFrame, key: str, today: str) -> DataFrame
     return per.select(key, "table_no", "columns", F.when(F.col("m.dates") >= SHARE, -F.col("m.at")).otherwise(F.col("said")).alias("date_col"))
 
 
-def detect_labels(header: DataFrame, body: DataFrame, key: str) -> DataFrame:
+def detect_labels(header: DataFrame, body: DataFrame, key: str, known: DataFrame) -> DataFrame:
     """(key, table_no, label_col, columns) of tables with the slots down one column and kinds in the others."""
     cells = _daily(body)
     best = cells.filter(F.col("row_no") < SAMPLE).groupBy(key, "table_no", "col_no").agg(F.count_distinct("daily").alias("slots"))
     best = best.groupBy(key, "table_no").agg(F.max(F.struct("slots", (-F.col("col_no")).alias("at"))).alias("m")).filter(F.col("m.slots") >= SLOTS).select(key, "table_no", (-F.col("m.at")).alias("label_col"))
     labelled = cells.join(best, [key, "table_no"]).filter("col_no = label_col and daily is not null").select(key, "table_no", "row_no", "label_col")
     labelled = labelled.withColumn("k", F.row_number().over(Window.partitionBy(key, "table_no").orderBy("row_no"))).filter(F.col("k") <= SAMPLE)
-    per = body.join(labelled, [key, "table_no", "row_no"]).filter("col_no <> label_col").groupBy(key, "table_no", "label_col", "col_no").agg(_share(parse_time(F.col("text"))).alias("times"), _share(parse_offset(F.col("text"))).alias("offsets"))
+    beside = with_readings(body.join(labelled, [key, "table_no", "row_no"]).filter("col_no <> label_col"), known)
+    per = beside.groupBy(key, "table_no", "label_col", "col_no").agg(_share(F.col("__time")).alias("times"), _share(F.col("__offset")).alias("offsets"))
     per = per.filter(F.greatest("times", "offsets") >= SHARE)
     named = per.join(_named(header).select(key, "table_no", "col_no", "header", "kind_name"), [key, "table_no", "col_no"], "left").withColumn("kind", F.coalesce("kind_name", F.lit("jamaah")))
     column = F.struct("col_no", F.lit(None).cast("string").alias("slot"), "kind", F.when(_offset(F.col("kind")), "offset").alias("value_kind"), F.nullif("header", F.lit("")).alias("header")).cast(COLUMN)
@@ -105,17 +110,17 @@ def table_layouts(cells: DataFrame, depth: DataFrame, key: str, today: str) -> D
     """
     from .grids import body as body_of
 
-    header, body = stored(combined_header(cells, depth, key), "layout-headers"), stored(body_of(cells, depth, key), "layout-bodies")
+    header, body, known = stored(combined_header(cells, depth, key), "layout-headers"), stored(body_of(cells, depth, key), "layout-bodies"), read_cells(cells, today)
     # a table and its transpose, headed by its first column, are judged together
     flat = cells.groupBy(key, "table_no").agg(F.max("row_no").alias("r"), F.max("col_no").alias("c")).filter("r >= 1 and c >= 1").select(key, "table_no", F.lit(1).alias("depth"))
     flipped = transpose(cells)
     as_seen = lambda df, turned: df.withColumn("table_no", F.struct("table_no", F.lit(turned).alias("turned")))
-    both = _grid(as_seen(header, False).unionByName(as_seen(combined_header(flipped, flat, key), True)), as_seen(body, False).unionByName(as_seen(body_of(flipped, flat, key), True)), key, today)
+    both = _grid(as_seen(header, False).unionByName(as_seen(combined_header(flipped, flat, key), True)), as_seen(body, False).unionByName(as_seen(body_of(flipped, flat, key), True)), key, known)
     both = stored(both.select(key, "table_no.table_no", "table_no.turned", "columns", "date_col"), "layout-grids")
     across, down = both.filter("not turned"), both.filter("turned and date_col is not null")
     used = across.filter("date_col is null").select(key, "table_no", F.explode("columns").alias("c")).select(key, "table_no", F.col("c.col_no").alias("col_no"))
-    timed = body.join(used, [key, "table_no", "col_no"]).filter(parse_time(F.col("text")).isNotNull()).groupBy(key, "table_no").agg(F.count_distinct("row_no").alias("timed"))
-    labels = detect_labels(header, body, key)
+    timed = with_readings(body, known).filter("__time is not null").join(used, [key, "table_no", "col_no"]).groupBy(key, "table_no").agg(F.count_distinct("row_no").alias("timed"))
+    labels = detect_labels(header, body, key, known)
     null = F.lit(None).cast("int")
     fit = lambda df, rank, name, date, label: df.select(key, "table_no", F.lit(rank).alias("rank"), F.lit(name).alias("layout"), date.alias("date_col"), label.alias("label_col"), "columns")
     found = fit(across.filter("date_col is not null"), 1, MULTIDAY, F.col("date_col").cast("int"), null)
@@ -140,20 +145,20 @@ def section_layouts(sections: DataFrame, key: str, today: str) -> DataFrame:
     depth = leading_run(cells, key).filter("timeless > 0 and timeless < rows").select(key, "table_no", F.col("timeless").alias("depth"))
     from .grids import body as body_of
 
-    grids = _grid(combined_header(cells, depth, key), body_of(cells, depth, key), key, today).filter("date_col is not null")
+    grids = _grid(combined_header(cells, depth, key), body_of(cells, depth, key), key, read_cells(base, today)).filter("date_col is not null")
     return grids.groupBy(key).agg(F.min_by(F.struct("date_col", "columns"), "table_no").alias("g")).select(key, "g.*")
 
 
 def table_evidence(cells: DataFrame, depth: DataFrame, key: str, year: int) -> DataFrame:
     """(key, table_no, prayers, times, date_columns): distinct slots named in first-seen order, clock times in the body, columns of which half are dates."""
     spot = F.when(F.col("row_no") < F.col("depth"), 0).otherwise(1)
-    named = with_slots(cells, "text").withColumnRenamed("slot", "name").join(depth, [key, "table_no"]).withColumn("timed", F.when(spot == 1, parse_time(F.col("text"))))
+    known = readings(cells, __time=parse_time(F.col("text")), __date=parse_date(F.col("text"), F.lit(year), F.lit(1)))
+    named = with_readings(with_slots(cells, "text"), known).withColumnRenamed("slot", "name").join(depth, [key, "table_no"]).withColumn("timed", F.when(spot == 1, F.col("__time")))
     # the header is read column by column, the body row by row
     order = F.when(spot == 0, F.struct(spot.alias("p"), F.col("col_no").alias("x"), F.col("row_no").alias("y"))).otherwise(F.struct(spot.alias("p"), F.col("row_no").alias("x"), F.col("col_no").alias("y")))
     per_slot = named.filter("name is not null").groupBy(key, "table_no", "name").agg(F.min(order).alias("seen"))
     prayers = per_slot.groupBy(key, "table_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "name"))), lambda x: x["name"]).alias("prayers"))
-    when = parse_date(F.col("text"), F.lit(year), F.lit(1))
-    columns = named.filter(spot == 1).filter(F.trim("text") != "").groupBy(key, "table_no", "col_no").agg((F.count(when) * 2 >= F.count("*")).alias("dates"))
+    columns = named.filter(spot == 1).filter(F.trim("text") != "").groupBy(key, "table_no", "col_no").agg((F.count("__date") * 2 >= F.count("*")).alias("dates"))
     dates = columns.filter("dates").groupBy(key, "table_no").agg(F.array_sort(F.collect_list("col_no")).alias("date_columns"))
     times = named.groupBy(key, "table_no").agg(F.count("timed").alias("times"))
     none = F.array().cast("array<string>")

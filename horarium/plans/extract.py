@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pyudfs import with_slots
+from ..functions.readings import date_readings, readings, with_dates, with_readings
 from ..functions.scalars import DAILY, day_of, given, parse_date, parse_offset, parse_time, parse_times, year_for_month
 from ..operators.grids import transpose
 from ..operators.schema import LABELLED, MULTIDAY, SINGLE_DAY, TRANSPOSED
@@ -29,49 +30,64 @@ def _columns(layout: DataFrame, key: str) -> DataFrame:
     return layout.withColumn("c", F.explode("columns")).select(key, *rest, c["col_no"].alias("col_no"), c["slot"].alias("of_slot"), c["kind"].alias("kind"), c["value_kind"].alias("value_kind"), index.alias("time_index"))
 
 
-def with_values(cells: DataFrame) -> DataFrame:
-    """`cells` (text, slot, value_kind, time_index) with time and offset; those without either are left out."""
-    pm = F.col("slot") != "fajr"
+def read_values(cells: DataFrame) -> DataFrame:
+    """What the distinct texts of cells say: the first time in the morning and after it, all of them in both, and an offset."""
+    text, half = F.col("text"), {"early": F.lit(False), "late": F.lit(True)}
+    one, all_ = {f"__{n}": parse_time(text, pm) for n, pm in half.items()}, {f"__all_{n}": F.nullif(parse_times(text, pm), F.array().cast("array<string>")) for n, pm in half.items()}
+    return readings(cells, **one, **all_, __offset=parse_offset(text))
+
+
+def with_values(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """`cells` (text, slot, value_kind, time_index) with time and offset; those without either are left out. `known` is `read_values` of these or more cells."""
+    read = with_readings(cells, read_values(cells) if known is None else known)
+    of = lambda name: F.when(F.col("slot") == "fajr", F.col(f"{name}early")).otherwise(F.col(f"{name}late"))
     offset = F.col("value_kind").eqNullSafe("offset")
-    time = F.when(F.col("time_index").isNotNull(), F.get(parse_times(F.col("text"), pm), F.col("time_index"))).otherwise(parse_time(F.col("text"), pm))
-    value = F.struct(F.when(~offset, time).alias("time"), F.when(offset, parse_offset(F.col("text"))).alias("offset"))
-    return cells.select("*", F.explode(F.filter(F.array(value), lambda v: v["time"].isNotNull() | v["offset"].isNotNull())).alias("__v")).select(*cells.columns, "__v.*")
+    time = F.when(F.col("time_index").isNotNull(), F.get(of("__all_"), F.col("time_index"))).otherwise(of("__"))
+    read = read.select(*cells.columns, F.when(~offset, time).alias("time"), F.when(offset, F.col("__offset")).alias("offset"))
+    return read.filter("time is not null or offset is not null")
 
 
-def _made(cells: DataFrame, key: str, *more: str) -> DataFrame:
+def _made(cells: DataFrame, key: str, known: DataFrame | None) -> DataFrame:
     seq = F.struct("table_no", "row_no", "col_no").alias("seq")
-    return with_values(cells).withColumn("seq", seq).withColumn("base_slot", F.col("slot")).select(key, *_OUT, *more)
+    return with_values(cells, known).withColumn("seq", seq).withColumn("base_slot", F.col("slot")).select(key, *_OUT)
 
 
-def _dated(cells: DataFrame, layout: DataFrame, key: str, year: Column, month: Column | None, documents: DataFrame | None) -> DataFrame:
+def read_dates(cells: DataFrame, today: str, documents: DataFrame | None) -> DataFrame:
+    """The days that the distinct texts of cells are, by month of `documents`; without these in the year of `today`, as `date`."""
+    if documents is not None:
+        return date_readings(cells, documents)
+    return readings(cells, date=parse_date(F.col("text"), F.year(F.lit(today).cast("date"))))
+
+
+def _dated(cells: DataFrame, layout: DataFrame, key: str, documents: DataFrame | None, known: DataFrame, dates: DataFrame) -> DataFrame:
     """A day a row: rows whose date cell is no date give nothing."""
     day = cells.join(layout.select(key, "table_no", "date_col"), [key, "table_no"]).filter("col_no = date_col")
-    if documents is not None:
-        day, year, month = day.join(documents.select(key, "year", "month"), key), F.col("year"), F.col("month")
-    day = day.select(key, "table_no", "row_no", given(parse_date(F.col("text"), year, month)).alias("day"))
+    day = with_readings(day, dates) if documents is None else with_dates(day.join(documents.select(key, "year", "month"), key), dates)
+    day = day.filter("date is not null").select(key, "table_no", "row_no", F.col("date").alias("day"))
     both = cells.join(day, [key, "table_no", "row_no"]).join(_columns(layout, key), [key, "table_no", "col_no"])
-    return _made(both.filter("of_slot is not null").withColumn("slot", F.col("of_slot")), key)
+    return _made(both.filter("of_slot is not null").withColumn("slot", F.col("of_slot")), key, known)
 
 
-def multiday(cells: DataFrame, layout: DataFrame, key: str, today: str, documents: DataFrame | None = None) -> DataFrame:
+def multiday(cells: DataFrame, layout: DataFrame, key: str, today: str, documents: DataFrame | None = None, known: DataFrame | None = None, dates: DataFrame | None = None) -> DataFrame:
     """Days down the side; `documents` (key, year, month) say what a bare day belongs to, else it is today's year and no month."""
-    return _dated(cells, layout, key, F.year(F.lit(today).cast("date")), None, documents)
+    known, dates = read_values(cells) if known is None else known, read_dates(cells, today, documents) if dates is None else dates
+    return _dated(cells, layout, key, documents, known, dates)
 
 
-def single_day(cells: DataFrame, layout: DataFrame, key: str, today: str) -> DataFrame:
+def single_day(cells: DataFrame, layout: DataFrame, key: str, today: str, known: DataFrame | None = None) -> DataFrame:
     """No dates: the first row that gives anything, on the day of the run."""
     both = cells.join(_columns(layout, key), [key, "table_no", "col_no"]).filter("of_slot is not null")
-    made = _made(both.withColumn("slot", F.col("of_slot")).withColumn("day", F.lit(today).cast("date")), key)
+    made = _made(both.withColumn("slot", F.col("of_slot")).withColumn("day", F.lit(today).cast("date")), key, known)
     first = F.min(F.col("seq.row_no")).over(Window.partitionBy(key, "seq.table_no"))
     return made.withColumn("first", first).filter("seq.row_no = first").drop("first")
 
 
-def labelled(cells: DataFrame, layout: DataFrame, key: str, today: str) -> DataFrame:
+def labelled(cells: DataFrame, layout: DataFrame, key: str, today: str, known: DataFrame | None = None) -> DataFrame:
     """Slots down a label column, kinds in the others, on the day of the run."""
     label = cells.join(layout.select(key, "table_no", "label_col"), [key, "table_no"]).filter("col_no = label_col")
     slot = with_slots(label, "text").filter(F.col("slot").isin(*DAILY)).select(key, "table_no", "row_no", "slot")
     both = cells.join(slot, [key, "table_no", "row_no"]).join(_columns(layout, key), [key, "table_no", "col_no"])
-    return _made(both.withColumn("day", F.lit(today).cast("date")), key)
+    return _made(both.withColumn("day", F.lit(today).cast("date")), key, known)
 
 
 def month_sections(sections: DataFrame, layout: DataFrame, key: str, today: str) -> DataFrame:
@@ -80,7 +96,7 @@ def month_sections(sections: DataFrame, layout: DataFrame, key: str, today: str)
     year = year_for_month(F.col("month"), F.lit(today).cast("date"))
     day = day.select(key, "table_no", "row_no", given(parse_date(F.col("text"), year, F.col("month"))).alias("day"))
     both = sections.join(day, [key, "table_no", "row_no"]).join(_columns(layout, key), [key, "col_no"])
-    return _made(both.filter("of_slot is not null").withColumn("slot", F.col("of_slot")), key)
+    return _made(both.filter("of_slot is not null").withColumn("slot", F.col("of_slot")), key, read_values(sections))
 
 
 def extract(cells: DataFrame, layout: DataFrame, key: str, today: str, documents: DataFrame | None = None) -> DataFrame:
@@ -88,9 +104,10 @@ def extract(cells: DataFrame, layout: DataFrame, key: str, today: str, documents
     known = F.when(F.col("layout").isin(*LAYOUTS), F.col("layout")).otherwise(F.raise_error(F.format_string("unknown layout: %s", "layout")))
     layout = layout.withColumn("layout", known)
     of = lambda name: layout.filter(F.col("layout") == name)
-    out = multiday(cells, of(MULTIDAY), key, today, documents)
-    flipped = multiday(transpose(cells), of(TRANSPOSED), key, today, documents)
-    return out.unionByName(flipped).unionByName(single_day(cells, of(SINGLE_DAY), key, today)).unionByName(labelled(cells, of(LABELLED), key, today))
+    known, dates = read_values(cells), read_dates(cells, today, documents)
+    out = multiday(cells, of(MULTIDAY), key, today, documents, known, dates)
+    flipped = multiday(transpose(cells), of(TRANSPOSED), key, today, documents, known, dates)
+    return out.unionByName(flipped).unionByName(single_day(cells, of(SINGLE_DAY), key, today, known)).unionByName(labelled(cells, of(LABELLED), key, today, known))
 
 
 # Fields of two providers' calendars. The first lists a day's times, with or without sunrise second.

@@ -12,7 +12,7 @@ from ..operators import evidence, grids, schema, venues
 from ..plans import candidates, extract, providers
 from ..sources import adapters as A
 from ..sources import html, versions
-from ..sources.scratch import shared_dir, spread, stored
+from ..sources.scratch import kept, shared_dir, spread, stored
 from .core import OCC, ORACLE_SQL, QUERIES, VENUE, query
 from .elements import GRID, NAMES, TODAY, _day_times, _days  # noqa: F401
 
@@ -93,7 +93,7 @@ def _provided(spark, d) -> tuple[DataFrame, DataFrame]:
     one = lambda k, attr: F.concat(F.lit("<table></table>"), table(attr, "dated"))
     got = lists.filter(v.isin(*address)).groupBy(v.alias("v")).agg(F.min("venue_id").alias("venue_id")).drop("v").join(lists, "venue_id")
     fetched = got.select(F.when(v == 4, address[4]).otherwise(address[5]).alias("url"), F.when(v == 4, one(4, "class='dptTimetable y'")).otherwise(table("", "dated")).alias("html"))
-    return spread(stored(lists.select(F.col("venue_id").alias("source_id"), site.alias("url"), page.alias("html")), "provider-pages")), stored(fetched, "provider-fetched")
+    return spread(stored(lists.select(F.col("venue_id").alias("source_id"), site.alias("url"), page.alias("html")), "provider-pages")), kept(fetched, "provider-fetched")
 
 
 @query(f"""WITH {GRID}, v AS (SELECT venue_id, venue_id % 12 AS v, count(*) AS n FROM days GROUP BY 1)

@@ -39,7 +39,7 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a table in the shared folder and read it back.
 
     Cuts the plan and the lineage: what is read several times is computed once,
@@ -50,6 +50,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`kept`, and joined by sorting, never by broadcast.
+
+    Spark takes the size of a table's files for that of its rows.  Cells and
+    elements repeat so much that files are a hundredth of their rows, and what
+    looks small enough to broadcast fills the driver.
+    """
+    return kept(df, name).hint("merge")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan of fewer splits than there are cores, dealt to all of them: parsing costs more than moving a small table.
 

@@ -4,6 +4,7 @@ import datetime
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from horarium.operators import evidence, lookups, schema
 from horarium.sources import html, scratch, stores
@@ -78,3 +79,10 @@ def test_intermediate_tables_are_cleared(spark):
     assert kept.count() == 5 and os.path.isdir(folder)
     scratch.clear(spark)
     assert not os.path.exists(folder)
+
+
+def test_stored_tables_are_not_broadcast(spark):
+    a, b = (scratch.stored(spark.range(50).withColumn("text", F.lit("x")), n) for n in "ab")
+    joined = a.filter("id > 3").join(b.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("c")), "id")
+    assert joined.count() == 92
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
