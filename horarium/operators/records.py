@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pyudfs import normalise_token, resolve_tokens
-from ..functions.scalars import DAILY, WEEKDAYS, parse_date, parse_time
+from ..functions.pyudfs import few, normalise_token, resolve_tokens
+from ..functions.readings import readings, with_readings
+from ..functions.scalars import DAILY, WEEKDAYS, given, minutes, parse_date, parse_time
 from ..sources.elements import first_inside, inside, leaves, select
+from ..sources.scratch import stored
 
 # Roles of cells, and the least rows, columns and clock times of a grid.
 CELL_ROLES = ("cell", "gridcell", "columnheader", "rowheader")
@@ -31,14 +33,31 @@ def _named(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(known, F.col(column) == F.col("__text"), "left").drop("__text")
 
 
-def date_leaves(leaf: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """`leaf` (key, el, text) with `date`, the day that a leaf is: no weekday, no clock time and no slot is one.
+def date_texts(texts: DataFrame) -> DataFrame:
+    """(__text, maybe) of the distinct `texts` (text) that are a day in some month: no weekday, no clock time and no slot is one."""
+    some = readings(texts, __day=F.when(~_timed(F.col("text")), parse_date(F.col("text"), F.lit(2024), F.lit(1)))).select(F.col("__text").alias("text"))
+    named = _named(some, "text").filter(F.col("name").isNull() & ~F.coalesce(F.col("plain").isin(*WEEKDAYS), F.lit(False)))
+    return few(named.select(F.col("text").alias("__text"), F.lit(True).alias("maybe")))
+
+
+def date_leaves(leaf: DataFrame, maybe: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """(key, el, path, date) of the leaves (key, el, path, text) that are a day; `maybe` as `date_texts` gives it.
 
     `documents` (key, year, month) say what a bare day belongs to.
     """
-    dated = leaf.join(documents.select(key, "year", "month"), key).withColumn("date", parse_date(F.col("text"), F.col("year"), F.col("month"))).drop("year", "month")
-    some = _named(dated.filter(F.col("date").isNotNull() & ~_timed(F.col("text"))), "text")
-    return some.filter(F.col("name").isNull() & ~F.coalesce(F.col("plain").isin(*WEEKDAYS), F.lit(False))).select(key, "el", "path", "date")
+    dated = with_readings(leaf, maybe).filter("maybe").join(documents.select(key, "year", "month"), key)
+    return dated.select(key, "el", "path", given(parse_date(F.col("text"), F.col("year"), F.col("month"))).alias("date"))
+
+
+def word_kinds(texts: DataFrame) -> DataFrame:
+    """(__text, label, late, early) of the distinct words of `texts` that are a slot (its number of the day, from 1) or a time (minutes, after noon and before)."""
+    words = texts.select(F.explode(F.filter(F.split("text", " "), lambda w: w != "")).alias("text")).distinct()
+    timed = readings(words, late=minutes(parse_time(F.col("text"), F.lit(True))), early=minutes(parse_time(F.col("text"), F.lit(False))))
+    named = _named(with_readings(words, timed).filter("late is null").select("text"), "text")
+    slot = F.when(F.col("name").isin(*DAILY) & ~F.col("fuzzy") & ~F.col("plain").isin(*WEEKDAYS), F.array_position(F.array(*map(F.lit, DAILY)), F.col("name")).cast("int"))
+    none = F.lit(None).cast("int")
+    slots = named.select(F.col("text").alias("__text"), slot.alias("label"), none.alias("late"), none.alias("early")).filter("label is not null")
+    return few(slots.unionByName(timed.select("__text", none.alias("label"), "late", "early")))
 
 
 def common_ancestor(chosen: DataFrame, key: str) -> DataFrame:
@@ -49,29 +68,28 @@ def common_ancestor(chosen: DataFrame, key: str) -> DataFrame:
 
 
 def record_tokens(elements: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """(key, el, word, kind, date, slot, text): the typed tokens of the region of each page, in order.
+    """(key, el, word, date, label, late, early): the typed tokens of the region of each page, in order.
 
     The region is the innermost element around all dates, if there are two, else
-    the body.  A leaf that is a date is one token; of others every word is a time,
-    a slot or another label.
+    the body.  A leaf that is a date is one token; of others every word is a time
+    (late and early, its minutes after noon and before), a slot (label, its number
+    from 1) or another label (0).  Texts and words are read once each.
     """
     leaf = leaves(elements).filter("text is not null").select(key, "el", "path", "tag", "text")
-    dates = date_leaves(leaf, documents, key)
+    texts = stored(leaf.select("text").distinct(), "record-texts")
+    maybe, known = date_texts(texts), word_kinds(texts)
+    dates = stored(date_leaves(leaf, maybe, documents, key), "record-dates")
     several = dates.groupBy(key).agg(F.count("*").alias("dates")).filter("dates >= 2").select(key)
     region = common_ancestor(dates.join(several, key, "left_semi"), key)
     body = elements.filter("tag = 'body'").groupBy(key).agg(F.min("el").alias("body"))
-    scope = documents.select(key).join(region, key, "left").join(body, key, "left").select(key, F.coalesce("el", "body").alias("scope"))
-    inner = leaf.join(scope, key).filter(F.col("scope").isNull() & (F.col("tag") != "title") | F.array_contains("path", F.col("scope")))
-    whole = inner.join(dates.select(key, "el", "date"), [key, "el"], "left").select(key, "el", "date", "text")
-    none = F.lit(None).cast("string")
-    day = whole.filter("date is not null").select(key, "el", F.lit(0).alias("word"), F.lit("date").alias("kind"), "date", none.alias("slot"), "text")
-    words = whole.filter("date is null").select(key, "el", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("word", "text"))
-    timed = words.filter(_timed(F.col("text"))).select(key, "el", "word", F.lit("time").alias("kind"), "text").withColumn("slot", none)
-    named = _named(words.filter(~_timed(F.col("text"))), "text")
-    slot = F.when(F.col("name").isin(*DAILY) & ~F.col("fuzzy") & ~F.col("plain").isin(*WEEKDAYS), F.col("name"))
-    label = named.withColumn("slot", slot).select(key, "el", "word", F.when(F.col("slot").isNotNull(), "slot").otherwise("other").alias("kind"), "text", "slot")
-    rest = timed.unionByName(label).withColumn("date", F.lit(None).cast("date"))
-    return day.unionByName(rest.select(day.columns))
+    scope = documents.select(key, "year", "month").join(region, key, "left").join(body, key, "left").select(key, "year", "month", F.coalesce("el", "body").alias("scope"))
+    inner = with_readings(leaf, maybe).join(scope, key).filter(F.col("scope").isNull() & (F.col("tag") != "title") | F.array_contains("path", F.col("scope")))
+    whole = inner.select(key, "el", F.when(F.col("maybe"), parse_date(F.col("text"), F.col("year"), F.col("month"))).alias("date"), "text")
+    parts = F.when(F.col("date").isNotNull(), F.array("text")).otherwise(F.filter(F.split("text", " "), lambda w: w != ""))
+    words = with_readings(whole.select(key, "el", "date", F.posexplode(parts).alias("word", "text")), known)
+    none = F.col("date").isNotNull()
+    label = F.when(~none & F.col("late").isNull(), F.coalesce("label", F.lit(0)))
+    return words.select(key, "el", "word", "date", label.alias("label"), F.when(~none, F.col("late")).alias("late"), F.when(~none, F.col("early")).alias("early"))
 
 
 def record_cells(tokens: DataFrame, key: str, today: str) -> DataFrame:
@@ -83,17 +101,17 @@ def record_cells(tokens: DataFrame, key: str, today: str) -> DataFrame:
     takes its times with it.
     """
     so_far = Window.partitionBy(key).orderBy("el", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = tokens.withColumn("block", F.count("date").over(so_far)).withColumn("dated", F.last("date", ignorenulls=True).over(so_far)).withColumn("some", F.count("date").over(Window.partitionBy(key)))
-    cut = cut.filter("kind <> 'date' and (block > 0 or some = 0)").withColumn("day", F.coalesce("dated", F.lit(today).cast("date")))
-    label = F.col("kind") != "time"
-    within = Window.partitionBy(key, "block").orderBy("el", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grouped = cut.withColumn("part", F.count(F.when(label, 1)).over(within)).filter("part > 0")
-    group = grouped.groupBy(key, "block", "day", "part").agg(F.max("slot").alias("slot"), F.collect_set(F.when(~label, F.col("text"))).alias("texts")).filter("slot is not null")
-    times = F.array_sort(F.array_distinct(F.array_compact(F.transform("texts", lambda t: parse_time(t, F.col("slot") != "fajr")))))
-    timed = group.withColumn("times", times).filter("size(times) > 0")
-    both = F.array(F.struct(F.lit("jamaah").alias("kind"), F.element_at("times", -1).alias("time")), F.struct(F.lit("begin").alias("kind"), F.when(F.size("times") > 1, F.get("times", 0)).alias("time")))
-    cell = timed.select(key, "day", "slot", "block", "part", F.posexplode(both).alias("i", "c")).filter("c.time is not null")
-    return _as_cells(cell.select(key, F.struct("block", "part", "i").alias("seq"), "day", "slot", "c.kind", "c.time"), key)
+    cut = tokens.withColumn("block", F.count("date").over(so_far)).withColumn("dated", F.last("date", ignorenulls=True).over(so_far)).withColumn("part", F.count("label").over(so_far)).withColumn("some", F.count("date").over(Window.partitionBy(key)))
+    cut = cut.filter("date is null and (block > 0 or some = 0)").withColumn("day", F.coalesce("dated", F.lit(today).cast("date")))
+    # a part that began in another block has no label in this one
+    group = cut.groupBy(key, "block", "day", "part").agg(F.max("label").alias("label"), *[f(c).alias(f"{n}_{c}") for c in ("late", "early") for n, f in (("first", F.min), ("last", F.max))]).filter("label > 0")
+    slot = F.get(F.array(*map(F.lit, DAILY)), F.col("label") - 1)
+    of = lambda n: F.when(F.col("label") == 1, F.col(f"{n}_early")).otherwise(F.col(f"{n}_late"))  # noqa: E731  the first slot of the day is before noon
+    timed = group.select(key, "block", "part", "day", slot.alias("slot"), of("first").alias("first"), of("last").alias("last")).filter("last is not null")
+    both = F.array(F.struct(F.lit("jamaah").alias("kind"), F.col("last").alias("at")), F.struct(F.lit("begin").alias("kind"), F.when(F.col("first") < F.col("last"), F.col("first")).alias("at")))
+    cell = timed.select(key, "day", "slot", "block", "part", F.posexplode(both).alias("i", "c")).filter("c.at is not null")
+    time = F.format_string("%02d:%02d", F.floor(F.col("c.at") / 60), F.col("c.at") % 60)
+    return _as_cells(cell.select(key, F.struct("block", "part", "i").alias("seq"), "day", "slot", "c.kind", time.alias("time")), key)
 
 
 def _as_cells(cell: DataFrame, key: str) -> DataFrame:
@@ -151,7 +169,8 @@ def sibling_cells(elements: DataFrame, key: str) -> DataFrame:
     least; the first of equals.
     """
     pair = elements.filter("stop > start").select(key, F.col("parent").alias("row"), "el", "text")
-    width = pair.groupBy(key, "row").agg(F.count("*").alias("width"), F.count_if(_timed(F.col("text"))).alias("times"))
+    timed = readings(pair, timed=F.when(_timed(F.col("text")), True))
+    width = with_readings(pair, timed).groupBy(key, "row").agg(F.count("*").alias("width"), F.count("timed").alias("times"))
     children = elements.filter("parent >= 0").select(key, "parent", F.col("el").alias("row")).join(width, [key, "row"], "left")
     shape = children.groupBy(key, "parent").agg(F.count("*").alias("rows"), F.min(F.coalesce("width", F.lit(0))).alias("least"), F.max(F.coalesce("width", F.lit(0))).alias("most"), F.sum("times").alias("times"))
     fit = shape.filter((F.col("rows") >= LEAST_CHILDREN) & (F.col("least") >= LEAST_COLUMNS) & (F.col("least") == F.col("most")) & (F.col("times") >= LEAST_TIMES))

@@ -18,7 +18,10 @@ leave out are supplied; an end tag without an open element is ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 from itertools import accumulate
 
@@ -114,14 +117,119 @@ class _Tree(HTMLParser):
             self.words += data.split()
 
 
+# a tag without surprises: its values hold no bracket, and no slash ends it
+_PLAIN_TAG = re.compile(r"""(</[a-zA-Z][a-zA-Z0-9]*>|<[a-zA-Z][a-zA-Z0-9]*(?:[ \t\n]+[a-zA-Z][a-zA-Z0-9_:.-]*(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`]+))?)*[ \t\n]*>)""")
+_RAW = _SKIP | {"textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext", "svg", "math"}
+
+
+class _OneTag(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.seen: list[tuple] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.seen.append((tag, attrs, self.get_starttag_text()))
+
+    handle_startendtag = handle_starttag
+
+    def handle_data(self, data):
+        self.seen.append(())
+
+
+@lru_cache(maxsize=8192)
+def _plain(text: str) -> tuple | None:
+    """Name, attributes, classes and what it ends of a start tag that the parser reads as one; null for others."""
+    one = _OneTag()
+    one.feed(text)
+    one.close()
+    if len(one.seen) != 1 or len(one.seen[0]) != 3 or one.seen[0][2] != text or one.seen[0][0] in _RAW - {"title"}:
+        return None
+    tag, attrs, _ = one.seen[0]
+    names = {k: "" if v is None else v for k, v in dict(reversed(attrs)).items()}
+    return tag, list(names.items()), names.get("class", "").split(), tag in _VOID, *_ENDS.get(tag, (None, None))
+
+
+def _quick(source: str) -> tuple[list[str], list[tuple]] | None:
+    """(words, rows) as `_Tree` has them, of a page of plain tags only; null for others."""
+    parts = _PLAIN_TAG.split(source)
+    if source.count("<") != len(parts) // 2:
+        return None
+    words: list[str] = []
+    open_: list[list] = []  # number, parent, path, path of what is inside, name, attributes, classes, children, first word, begin
+    done: list[tuple] = []
+    count, here, titled = 0, 0, False
+    for k, part in enumerate(parts):
+        if not k % 2:
+            if part:
+                if titled and "&" in part:
+                    return None
+                words += (unescape(part) if "&" in part else part).split()
+                here += len(part)
+            continue
+        if part[1] == "/":
+            tag = part[2:-1].lower()
+            if titled and tag != "title":
+                return None
+            titled = False
+            at = len(open_) - 1
+            while at >= 0 and open_[at][4] != tag:
+                at -= 1
+            if at >= 0:
+                after, last, stop = here + len(part), count - 1, len(words)
+                while len(open_) > at:
+                    e = open_.pop()
+                    done.append((e[0], e[1], last, e[2], e[4], e[5], e[6], e[7], e[8], stop, e[9], after if len(open_) == at else here))
+            here += len(part)
+            continue
+        read = _plain(part)
+        if read is None or titled:
+            return None
+        tag, attrs, classes, void, ends, beyond = read
+        titled = tag == "title"
+        if ends:
+            for j in range(len(open_) - 1, -1, -1):
+                if open_[j][4] in beyond:
+                    break
+                if open_[j][4] in ends:
+                    while len(open_) > j:
+                        e = open_.pop()
+                        done.append((e[0], e[1], count - 1, e[2], e[4], e[5], e[6], e[7], e[8], len(words), e[9], here))
+                    break
+        if open_:
+            around = open_[-1]
+            around[7] += 1
+            parent, path = around[0], around[3]
+        else:
+            parent, path = -1, []
+        if void:
+            done.append((count, parent, count, path, tag, attrs, classes, 0, len(words), len(words), here, here + len(part)))
+        else:
+            open_.append([count, parent, path, [*path, count], tag, attrs, classes, 0, len(words), here])
+        count += 1
+        here += len(part)
+    if titled:
+        return None
+    while open_:
+        e = open_.pop()
+        done.append((e[0], e[1], count - 1, e[2], e[4], e[5], e[6], e[7], e[8], len(words), e[9], len(source)))
+    return words, done
+
+
 def elements_of(html: str | None) -> Iterator[tuple]:
-    """The rows (ELEMENT) of one page, in the order in which elements end."""
-    tree = _Tree(html or "")
-    tree.read()
-    sizes = [0, *accumulate(len(w) + 1 for w in tree.words)]
-    for *first, start, stop, begin, end in tree.done:
+    """The rows (ELEMENT) of one page, in the order in which elements end; pages of plain tags need no parser."""
+    quick = _quick(html or "")
+    if quick is None:
+        tree = _Tree(html or "")
+        tree.read()
+        quick = tree.words, tree.done
+    return _with_texts(*quick)
+
+
+def _with_texts(words: list[str], done: list[tuple]) -> Iterator[tuple]:
+    sizes = [0, *accumulate(len(w) + 1 for w in words)]
+    for *first, start, stop, begin, end in done:
         short = sizes[stop] - sizes[start] <= LONGEST + 1
-        yield *first, start, stop, " ".join(tree.words[start:stop]) if short else None, begin, end
+        yield *first, start, stop, " ".join(words[start:stop]) if short else None, begin, end
 
 
 def page_elements(pages: DataFrame, key: str, html: str = "html") -> DataFrame:

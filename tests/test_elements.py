@@ -112,3 +112,13 @@ def test_richest_region(spark):
     found = regions.richest_region(E.page_elements(pages, "k"), html.visible_text(pages, "k"), "k")
     got = {r.k: r.region for r in E.region(pages, found, "k").collect()}
     assert got == {0: text[text.index("<table><tr><td>Fajr Asr") : -len("</body>")], 1: "<body>none</body>", 2: "<table><tr><td>x</table>", 3: "<p>a</p>"}
+
+
+def test_plain_pages_are_read_like_all_others():
+    plain = ["<title>a</title><ul id=a><li>one<li class='x y'>two &amp; three<br></ul></i>tail", "<p a=1 a=2>x<div data-q><img src=/a/b></div>\n<td>1<th>2", "", "no tags"]
+    for text in plain:
+        tree_ = E._Tree(text)
+        tree_.read()
+        words, rows = E._quick(text)
+        assert words == tree_.words and [tuple(r) for r in rows] == [tuple(r) for r in tree_.done]
+    assert all(E._quick(text) is None for text in ("<script>a<b</script>", "<!-- x --><p>", "a < b", "<p a='>'>", "<title>a<b>c</title>", "<br/>"))
