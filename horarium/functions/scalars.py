@@ -163,7 +163,7 @@ def minutes(hhmm: Column) -> Column:
 def apply_offset(hhmm: Column, offset: Column) -> Column:
     """HH:MM moved by minutes; null outside the day."""
     m = minutes(hhmm) + offset
-    return F.when(m.between(0, 1439), F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int")))
+    return F.when(m.between(0, 1439), F.concat(F.lpad(F.floor(m / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("int").cast("string"), 2, "0")))
 
 
 def horizon_months(today: Column, days: int) -> Column:

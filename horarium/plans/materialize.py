@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.readings import readings
 from ..functions.scalars import apply_offset, given, horizon_days, is_friday, parse_time, season
 
 ROW = ("source_id", "day", "slot", "session", "time", "begin", "label", "derived")
@@ -47,14 +48,31 @@ def weekly_rows(session: DataFrame, today: str, days: int) -> DataFrame:
     return row
 
 
+def _by_day(begins: DataFrame) -> DataFrame:
+    """(source_id, slot, __begins): the begins of each day of a slot, at most a horizon's."""
+    per = begins.groupBy("source_id", "slot").agg(F.collect_list(F.struct("day", "begin")).alias("l"))
+    day = F.array_distinct(F.transform("l", lambda x: x["day"]))
+    once = F.transform("l", lambda x: F.struct(x["day"].alias("day"), F.array(x["begin"]).alias("begins")))
+    several = F.transform(day, lambda d: F.struct(d.alias("day"), F.transform(F.filter("l", lambda x: x["day"] == d), lambda x: x["begin"]).alias("begins")))
+    return per.select("source_id", "slot", F.map_from_entries(F.when(F.size(day) == F.size("l"), once).otherwise(several)).alias("__begins"))
+
+
 def rule_rows(rule: DataFrame, today: str, days: int, begins: DataFrame | None = None) -> DataFrame:
     """Every day of the horizon with each rule: a fixed time, or an offset from the slot's begin.
 
     `rule` has source_id, slot, fixed, offset; `begins` has source_id, day, slot, begin.
     """
-    out = rule.withColumn("day", F.explode(horizon_days(F.lit(today).cast("date"), days)))
-    out = out.join(begins, ["source_id", "day", "slot"], "left") if begins is not None else out.withColumn("begin", F.lit(None).cast("string"))
-    time = F.coalesce(parse_time(F.col("fixed"), F.col("slot") != "fajr"), apply_offset(F.col("begin"), F.col("offset")))
+    start = F.lit(today).cast("date")
+    text = F.col("text")
+    known = readings(rule.select(F.col("fixed").alias("text")), __early=parse_time(text, F.lit(False)), __late=parse_time(text, F.lit(True)), __plain=parse_time(text))
+    out = rule.join(known, F.col("fixed") == F.col("__text"), "left").withColumn("__fixed", F.when(F.col("slot") == "fajr", F.col("__early")).when(F.col("slot") != "fajr", F.col("__late")).otherwise(F.col("__plain")))
+    if begins is None:
+        out = out.withColumn("day", F.explode(horizon_days(start, days))).withColumn("begin", F.lit(None).cast("string"))
+    else:
+        # rules meet the begins of their slot before they are repeated for every day
+        out = out.join(_by_day(begins.filter(F.col("day").between(start, F.date_add(start, days)))), ["source_id", "slot"], "left")
+        out = out.withColumn("day", F.explode(horizon_days(start, days))).withColumn("begin", F.explode_outer(F.try_element_at("__begins", F.col("day"))))
+    time = F.coalesce("__fixed", apply_offset(F.col("begin"), F.col("offset")))
     return out.select("source_id", "day", "slot", F.lit(0).alias("session"), given(time).alias("time"), "begin", F.lit(None).cast("string").alias("label"), F.lit(True).alias("derived"))
 
 
