@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pyudfs import absolute_url, normalise_token, resolve_tokens, with_slots
+from ..functions.pyudfs import absolute_url, few, normalise_token, once, with_slots
 from ..functions.scalars import PROVIDERS, keyword_score, media_kind, media_score, month_from_text, provider_hint
 from ..sources.html import cells_of, page_items
 from ..sources.scratch import stored
@@ -58,8 +58,7 @@ def phrases_in(text: Column, phrases: tuple[str, ...]) -> Column:
 def slots_in_text(texts: DataFrame, key: str) -> DataFrame:
     """(key, slots): how many distinct slots the words of `text` name exactly."""
     words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-zÀ-ɏ']+"), F.lit(0)))).alias("word"))
-    named = resolve_tokens(words, "word").filter(F.col("name").isNotNull() & ~F.col("fuzzy"))
-    return named.groupBy(key).agg(F.count_distinct("name").alias("slots"))
+    return with_slots(words, "word").filter("slot is not null").groupBy(key).agg(F.count_distinct("slot").alias("slots"))
 
 
 def empty_grids(items: DataFrame, key: str) -> DataFrame:
@@ -75,7 +74,9 @@ def month_navigation(items: DataFrame, key: str) -> DataFrame:
     leaf = items.filter("kind = 'leaf'")
     captions = leaf.filter(month_from_text(F.col("text")).isNotNull()).select(key).distinct()
     selects = items.filter("kind = 'option'").groupBy(key, "n").agg(F.count(month_from_text(F.col("text"))).alias("months")).filter(F.col("months") >= SELECT_MONTHS).select(key, F.lit(1).alias("rank"), F.lit("select").alias("nav"))
-    forward = leaf.filter(F.col("text").isin(*NEXT) | normalise_token("text").isin(*NEXT)).select(key, F.lit(2).alias("rank"), F.lit("next").alias("nav"))
+    # distinct texts go through Python once
+    named = few(once(leaf.select(F.col("text").alias("__text")), normalise_token("__text"), lambda n: F.col("__text").isin(*NEXT) | n.isin(*NEXT), "plain"))
+    forward = leaf.join(named, F.col("text") == F.col("__text"), "left_semi").select(key, F.lit(2).alias("rank"), F.lit("next").alias("nav"))
     return selects.unionByName(forward).join(captions, key, "left_semi").groupBy(key).agg(F.min_by("nav", "rank").alias("nav"))
 
 
@@ -92,9 +93,8 @@ def widget_hints(items: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """(key, provider, url, confidence): the strongest sign of each provider; a frame, a link, a mark in the page."""
     linked = items.filter("kind in ('iframe', 'anchor')").join(pages.select(key, F.col("url").alias("base")), key).withColumn("target", absolute_url("base", "link"))
     linked = linked.select(key, provider_hint(F.col("target")).alias("provider"), F.col("target").alias("url"), F.when(F.col("kind") == "iframe", 0.9).otherwise(0.8).alias("confidence"), F.col("n").alias("at"))
-    low = F.lower("html")
-    marks = F.array_compact(F.array(*[F.when(_any(low, m), name) for name, m in PROVIDERS]))
-    bare = pages.select(key, F.explode(marks).alias("provider"), F.lit(None).cast("string").alias("url"), F.lit(0.5).alias("confidence"), F.lit(0).alias("at"))
+    marks = F.array_compact(F.array(*[F.when(_any(F.col("low"), m), name) for name, m in PROVIDERS]))
+    bare = pages.select(key, F.lower("html").alias("low")).select(key, F.explode(marks).alias("provider"), F.lit(None).cast("string").alias("url"), F.lit(0.5).alias("confidence"), F.lit(0).alias("at"))
     both = linked.filter("provider is not null").unionByName(bare)
     return both.groupBy(key, "provider").agg(F.max_by(F.struct("url", "confidence"), F.struct("confidence", -F.col("at"))).alias("b")).select(key, "provider", "b.*")
 
@@ -108,7 +108,8 @@ def needs_render() -> Column:
 def classify(page: DataFrame) -> DataFrame:
     """`page` (SIGNALS) with page_class and terminal_hints: signs of a timetable first; an end only where there is no sign at all."""
     page = page.select("*", *[F.lit(v).alias(c) for c, v in SIGNALS.items() if c not in page.columns])
-    low, c = F.lower("text"), F.col
+    # a column of its own: it is read for every phrase
+    page, low, c = page.withColumn("__low", F.lower("text")), F.col("__low"), F.col
     prayers = (c("named_tables") > 0) | (c("slots_in_text") >= 2)
     times = (c("table_times") > 0) | (c("clocks") >= 1)
     construction, parked, business = (phrases_in(low, p) for p in (CONSTRUCTION, PARKED, BUSINESS))
@@ -122,7 +123,7 @@ def classify(page: DataFrame) -> DataFrame:
     )
     page = page.withColumn("page_class", kind)
     hints = F.when(c("page_class") == "under_construction", construction).when(c("page_class") == "parked_or_spam", parked).when(c("page_class") == "irrelevant", business).otherwise(F.array().cast("array<string>"))
-    return page.withColumn("terminal_hints", hints)
+    return page.withColumn("terminal_hints", hints).drop("__low")
 
 
 def page_evidence(pages: DataFrame, key: str, year: int, items: DataFrame | None = None) -> DataFrame:
@@ -138,18 +139,21 @@ def page_evidence(pages: DataFrame, key: str, year: int, items: DataFrame | None
     tables = table_evidence(cells, depth, key, year).groupBy(key).agg(F.count_if(F.size("prayers") > 0).alias("named_tables"), F.count_if((F.size("prayers") > 0) & (F.col("times") > 0)).alias("timed_tables"), F.sum("times").alias("table_times"))
     blob = F.lower(F.concat_ws(" ", "link", "text"))
     kind = lambda k: F.col("kind") == k
-    flat = items.groupBy(key).agg(
-        F.max(F.when(kind("text"), F.col("text"))).alias("text"), F.min_by("text", F.when(kind("title"), F.col("n"))).alias("title"), F.count_if(kind("table")).alias("tables"), F.count_if(kind("iframe")).alias("iframes"),
+    # every page has a text; only texts and titles are sorted, the rest is counted
+    told = items.filter("kind in ('text', 'title')").groupBy(key).agg(F.max(F.when(kind("text"), F.col("text"))).alias("text"), F.min_by("text", F.when(kind("title"), F.col("n"))).alias("title"))
+    counted = items.groupBy(key).agg(
+        F.count_if(kind("table")).alias("tables"), F.count_if(kind("iframe")).alias("iframes"),
         F.count_if(kind("anchor") & _any(blob, LINK_HINTS)).alias("prayer_links"), F.count_if(kind("script")).alias("scripts"),
     )
+    flat = stored(told.join(counted, key), "page-counts")
     media = media_links(items, pages, key).groupBy(key).agg(F.count("*").alias("media"), F.count_if(F.col("score") >= MEDIA_SCORE).alias("timetable_media"), F.count_if(F.col("media") == "pdf").alias("pdfs"))
     widgets = widget_hints(items, pages, key).groupBy(key).agg(F.count("*").alias("widgets"))
     navs = month_navigation(items, key).groupBy(key).agg(F.count("*").alias("navs"))
     grids = empty_grids(items, key).groupBy(key).agg(F.count("*").alias("empty_grids"))
     named = slots_in_text(flat.select(key, "text"), key).withColumnRenamed("slots", "slots_in_text")
     # the page's source is read here and stays here: only counts go on
-    low = F.coalesce(F.lower("html"), F.lit(""))
-    out = pages.select(key, "url", F.size(phrases_in(low, JS_MARKS)).alias("js_marks"), _any(low, APP_MARKS).cast("int").alias("apps"))
+    low = F.col("__low")
+    out = pages.select(key, "url", F.coalesce(F.lower("html"), F.lit("")).alias("__low")).select(key, "url", F.size(phrases_in(low, JS_MARKS)).alias("js_marks"), _any(low, APP_MARKS).cast("int").alias("apps"))
     for part in (flat, tables, media, widgets, navs, grids, named):
         out = out.join(part, key, "left")
     counts = ["tables", "iframes", "prayer_links", "scripts", "named_tables", "timed_tables", "table_times", "media", "timetable_media", "pdfs", "widgets", "navs", "empty_grids", "slots_in_text"]
