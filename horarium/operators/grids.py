@@ -9,15 +9,10 @@ from ..functions.readings import readings, with_readings
 from ..functions.scalars import month_from_text, parse_time
 
 
-def timed_rows(cells: DataFrame, key: str) -> DataFrame:
-    """(key, table_no, row_no, timed): whether any cell of a row is a clock time."""
-    read = with_readings(cells, readings(cells, __time=parse_time(F.col("text"))))
-    return read.groupBy(key, "table_no", "row_no").agg(F.bool_or(F.col("__time").isNotNull()).alias("timed"))
-
-
 def leading_run(cells: DataFrame, key: str) -> DataFrame:
     """(key, table_no, rows, timeless): a table's rows and how many of them lead without a clock time (all, if none has one)."""
-    per = timed_rows(cells, key).groupBy(key, "table_no").agg((F.max("row_no") + 1).alias("rows"), F.min(F.when(F.col("timed"), F.col("row_no"))).alias("first"))
+    read = with_readings(cells, readings(cells, __time=parse_time(F.col("text"))))
+    per = read.groupBy(key, "table_no").agg((F.max("row_no") + 1).alias("rows"), F.min(F.when(F.col("__time").isNotNull(), F.col("row_no"))).alias("first"))
     return per.select(key, "table_no", "rows", F.coalesce("first", "rows").alias("timeless"))
 
 
@@ -34,7 +29,12 @@ def header_depth(tables: DataFrame, rows: DataFrame, cells: DataFrame, key: str)
 
 def combined_header(cells: DataFrame, depth: DataFrame, key: str) -> DataFrame:
     """(key, table_no, col_no, header) of every column: the texts of its header rows, equal neighbours once."""
-    top = cells.join(depth, [key, "table_no"]).filter(F.col("row_no") < F.col("depth"))
+    return placed_header(cells.join(depth, [key, "table_no"]), key)
+
+
+def placed_header(cells: DataFrame, key: str) -> DataFrame:
+    """`combined_header` of cells that have the depth of their table."""
+    top = cells.filter(F.col("row_no") < F.col("depth"))
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("row_no", "text")))), lambda p: p["text"])
     per = top.groupBy(key, "table_no", "col_no").agg(parts.alias("parts"))
     kept = F.expr("transform(filter(transform(parts, (x, k) -> struct(x, k)), p -> p.k = 0 or p.x <> parts[p.k - 1]), p -> p.x)")
@@ -43,7 +43,12 @@ def combined_header(cells: DataFrame, depth: DataFrame, key: str) -> DataFrame:
 
 def body(cells: DataFrame, depth: DataFrame, key: str) -> DataFrame:
     """The cells below the header, their rows counted from 0."""
-    return cells.join(depth, [key, "table_no"]).filter(F.col("row_no") >= F.col("depth")).withColumn("row_no", F.col("row_no") - F.col("depth")).select(cells.columns)
+    return placed_body(cells.join(depth, [key, "table_no"])).select(cells.columns)
+
+
+def placed_body(cells: DataFrame) -> DataFrame:
+    """`body` of cells that have the depth of their table."""
+    return cells.filter(F.col("row_no") >= F.col("depth")).withColumn("row_no", F.col("row_no") - F.col("depth"))
 
 
 def with_bare_headers(cells: DataFrame, bare: DataFrame, depth: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

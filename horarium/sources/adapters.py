@@ -29,6 +29,12 @@ def occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(rows, ["venue_id", "day", "slot"], "ts", "event_id").drop("ts", "event_id")
 
 
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """venue_id, day: the days of `occurrence`; every event is of one, so that the last of each need not be found."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null and ts is not null")
+    return e.select(F.col("user_id").alias("venue_id"), F.col("ts").cast("date").alias("day")).distinct()
+
+
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, venue_id, status, url, flags: orders."""
     status = F.expr("case o_orderstatus when 'F' then 'authored' when 'O' then 'candidate' else 'review' end")
