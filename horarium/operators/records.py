@@ -169,14 +169,16 @@ def sibling_cells(elements: DataFrame, key: str) -> DataFrame:
     least; the first of equals.
     """
     pair = elements.filter("stop > start").select(key, F.col("parent").alias("row"), "el", "text")
-    timed = readings(pair, timed=F.when(_timed(F.col("text")), True))
-    width = with_readings(pair, timed).groupBy(key, "row").agg(F.count("*").alias("width"), F.count("timed").alias("times"))
+    width = pair.groupBy(key, "row").agg(F.count("*").alias("width"))
     children = elements.filter("parent >= 0").select(key, "parent", F.col("el").alias("row")).join(width, [key, "row"], "left")
-    shape = children.groupBy(key, "parent").agg(F.count("*").alias("rows"), F.min(F.coalesce("width", F.lit(0))).alias("least"), F.max(F.coalesce("width", F.lit(0))).alias("most"), F.sum("times").alias("times"))
-    fit = shape.filter((F.col("rows") >= LEAST_CHILDREN) & (F.col("least") >= LEAST_COLUMNS) & (F.col("least") == F.col("most")) & (F.col("times") >= LEAST_TIMES))
-    best = fit.groupBy(key).agg(F.max_by("parent", F.struct("times", -F.col("parent"))).alias("parent"))
-    rows = children.join(best, [key, "parent"], "left_semi").select(key, "row")
-    return _numbered(pair.join(rows, [key, "row"], "left_semi"), key)
+    shape = children.groupBy(key, "parent").agg(F.count("*").alias("rows"), F.min(F.coalesce("width", F.lit(0))).alias("least"), F.max(F.coalesce("width", F.lit(0))).alias("most"))
+    fit = shape.filter((F.col("rows") >= LEAST_CHILDREN) & (F.col("least") >= LEAST_COLUMNS) & (F.col("least") == F.col("most"))).select(key, "parent")
+    # texts are read only where the shape fits: those of whole rows and pages are long, and no two are alike
+    rows = children.join(fit, [key, "parent"]).select(key, "parent", "row")
+    cells = stored(pair.join(rows, [key, "row"]), "sibling-cells")
+    times = with_readings(cells, readings(cells, timed=F.when(_timed(F.col("text")), True))).groupBy(key, "parent").agg(F.count("timed").alias("times")).filter(F.col("times") >= LEAST_TIMES)
+    best = times.groupBy(key).agg(F.max_by("parent", F.struct("times", -F.col("parent"))).alias("parent"))
+    return _numbered(cells.join(best, [key, "parent"], "left_semi").select(key, "row", "el", "text"), key)
 
 
 def dom_matrix(elements: DataFrame, key: str) -> DataFrame:
