@@ -60,7 +60,7 @@ def verify(candidates: DataFrame, cells: DataFrame, layouts: DataFrame, values:
     """(rows, verdicts) of all candidates at once, keyed by source_id and place.
 
     `cells` (source_id, table_no, row_no, col_no, text) and `layouts` are the pages'
-    tables; only the table that a candidate reads is repeated for it.  `values`
+    tables, stored; cells are joined to the candidates that read their table.  `values`
     (source_id, values) are the clock times of the pages' texts, found once a
     page; `documents` (source_id, year, month) say what a bare day belongs to;
     `provided` (source_id, seq, day, slot, kind, time, offset, base_slot) are the
@@ -68,10 +68,8 @@ def verify(candidates: DataFrame, cells: DataFrame, layouts: DataFrame, values:
     """
     candidates = candidates.withColumn("key", F.struct("source_id", "place"))
     tables = candidates.filter("table_no is not null").select("source_id", "table_no", "key")
-    own = cells.join(tables, ["source_id", "table_no"]).drop("source_id")
-    layout = layouts.join(tables, ["source_id", "table_no"]).drop("source_id")
-    dated = documents.join(tables.select("source_id", "key"), "source_id").drop("source_id")
-    cell = extract(stored(own, "candidate-cells"), stored(layout, "candidate-layouts"), "key", today, dated)
+    layout = stored(layouts.join(tables, ["source_id", "table_no"]), "candidate-layouts")
+    cell = extract(cells, layout, "source_id", today, documents, ("key",)).drop("source_id")
     rows = grid_rows(cell.withColumnRenamed("key", "source_id"), today, days)
     if provided is not None:
         made = provided.join(candidates.filter("place.kind = 2").select("source_id", "key"), "source_id").drop("source_id")

@@ -41,7 +41,7 @@ def materialize(cell: DataFrame, session: DataFrame, rule: DataFrame | None, tod
     return rows if rule is None else rows.unionByName(rule_rows(rule, today, days).select(*ROW))
 
 
-def evaluate(source: DataFrame, document: DataFrame, layout: DataFrame, session: DataFrame, today: str, days: int = 60, rule: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def evaluate(source: DataFrame, document: DataFrame, layout: DataFrame, session: DataFrame, today: str, days: int = 60, rule: DataFrame | None = None, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, verdicts): verdicts have source_id, lane, status, confidence, reason and flags.
 
     `source` has source_id, shape and optionally problems; `layout` source_id and
@@ -49,10 +49,12 @@ def evaluate(source: DataFrame, document: DataFrame, layout: DataFrame, session:
     fewer documents than the horizon has months is flagged; one that is read
     later (an image) needs plausible weekly sessions only.  What is read more
     than once is stored in the shared folder; the tables of record are not touched.
+    `cells` (doc, a struct of source_id and idx; table_no, row_no, col_no, text) are the
+    stored cells of the documents, where the caller has parsed them.
     """
     document = stored(document, "evaluated-documents")
     keyed = document.withColumn("doc", F.struct("source_id", "idx"))
-    cells = stored(cells_of(page_items(keyed, "doc"), "doc"), "evaluated-cells")
+    cells = stored(cells_of(page_items(keyed, "doc"), "doc"), "evaluated-cells") if cells is None else cells
     of_doc = stored(layout.join(keyed.select("source_id", "doc"), "source_id").drop("source_id"), "evaluated-layouts")
     cell = extract(cells, of_doc, "doc", today, keyed.select("doc", "year", "month"))
     cell = cell.withColumn("source_id", F.col("doc.source_id")).withColumn("seq", F.struct(F.col("doc.idx").alias("idx"), "seq")).drop("doc")

@@ -2,8 +2,8 @@
 
 A layout table (from `operators.schema`, or written by hand) has key, table_no,
 layout, date_col, label_col and columns (array of col_no, slot, kind,
-value_kind, header and, optionally, time_index).  Each layout is one join of the
-long cells with its columns; the dispatch is their union.
+value_kind, header and, optionally, time_index).  The long cells are joined to
+the layouts of their tables once, and rows get their day or slot in one window.
 """
 
 from __future__ import annotations
@@ -14,20 +14,16 @@ from pyspark.sql import functions as F
 from ..functions.pyudfs import with_slots
 from ..functions.readings import date_readings, readings, with_dates, with_readings
 from ..functions.scalars import DAILY, day_of, given, parse_date, parse_offset, parse_time, parse_times, year_for_month
-from ..operators.grids import transpose
 from ..operators.schema import LABELLED, MULTIDAY, SINGLE_DAY, TRANSPOSED
 
 LAYOUTS = (MULTIDAY, TRANSPOSED, SINGLE_DAY, LABELLED)
 _OUT = ["seq", "day", "slot", "kind", "time", "offset", "base_slot"]
 
 
-def _columns(layout: DataFrame, key: str) -> DataFrame:
-    """One row a configured column."""
+def _columns(layout: DataFrame) -> Column:
+    """The configured columns, with the same fields for every layout."""
     has_index = "time_index" in layout.schema["columns"].dataType.elementType.names
-    c = F.col("c")
-    index = c["time_index"] if has_index else F.lit(None).cast("int")
-    rest = [x for x in layout.columns if x not in (key, "columns")]
-    return layout.withColumn("c", F.explode("columns")).select(key, *rest, c["col_no"].alias("col_no"), c["slot"].alias("of_slot"), c["kind"].alias("kind"), c["value_kind"].alias("value_kind"), index.alias("time_index"))
+    return F.transform("columns", lambda c: F.struct(c["col_no"].cast("int").alias("col_no"), c["slot"].alias("slot"), c["kind"].alias("kind"), c["value_kind"].alias("value_kind"), (c["time_index"] if has_index else F.lit(None)).cast("int").alias("time_index")))
 
 
 def read_values(cells: DataFrame) -> DataFrame:
@@ -48,8 +44,11 @@ def with_values(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _made(cells: DataFrame, key: str, known: DataFrame | None) -> DataFrame:
-    seq = F.struct("table_no", "row_no", "col_no").alias("seq")
-    return with_values(cells, known).withColumn("seq", seq).withColumn("base_slot", F.col("slot")).select(key, *_OUT)
+    return _shaped(with_values(cells, known), key)
+
+
+def _shaped(cells: DataFrame, key: str, of: tuple[str, ...] = ()) -> DataFrame:
+    return cells.withColumn("seq", F.struct("table_no", "row_no", "col_no")).withColumn("base_slot", F.col("slot")).select(key, *of, *_OUT)
 
 
 def read_dates(cells: DataFrame, today: str, documents: DataFrame | None) -> DataFrame:
@@ -59,35 +58,69 @@ def read_dates(cells: DataFrame, today: str, documents: DataFrame | None) -> Dat
     return readings(cells, date=parse_date(F.col("text"), F.year(F.lit(today).cast("date"))))
 
 
-def _dated(cells: DataFrame, layout: DataFrame, key: str, documents: DataFrame | None, known: DataFrame, dates: DataFrame) -> DataFrame:
-    """A day a row: rows whose date cell is no date give nothing."""
-    day = cells.join(layout.select(key, "table_no", "date_col"), [key, "table_no"]).filter("col_no = date_col")
-    day = with_readings(day, dates) if documents is None else with_dates(day.join(documents.select(key, "year", "month"), key), dates)
-    day = day.filter("date is not null").select(key, "table_no", "row_no", F.col("date").alias("day"))
-    both = cells.join(day, [key, "table_no", "row_no"]).join(_columns(layout, key), [key, "table_no", "col_no"])
-    return _made(both.filter("of_slot is not null").withColumn("slot", F.col("of_slot")), key, known)
+_ANCHOR = {MULTIDAY: "date_col", TRANSPOSED: "date_col", LABELLED: "label_col"}
+
+
+def _placed(cells: DataFrame, layout: DataFrame, key: str, documents: DataFrame | None, of: list[str]) -> DataFrame:
+    """The cells that layouts read, each with the layout of its table: columns (those that it is in) and anchor (whether it gives its row a day or a slot).
+
+    Cells meet their tables once, whatever the layout; those of a transposed
+    table change rows for columns.  The configured columns stay on the side of
+    the tables: only what a cell is in goes on.
+    """
+    anchor = F.coalesce(*[F.when(F.col("layout") == name, F.col(column).cast("int")) for name, column in _ANCHOR.items() if column in layout.columns], F.lit(None).cast("int"))
+    tables = layout.select(key, "table_no", *of, "layout", anchor.alias("__anchor"), _columns(layout).alias("columns"))
+    if documents is not None:
+        tables = tables.join(documents.select(key, "year", "month", F.lit(True).alias("__known")), key, "left")
+        tables = tables.filter(F.col("__known") | ~F.col("layout").isin(MULTIDAY, TRANSPOSED)).drop("__known")
+    both, turned = cells.join(tables, [key, "table_no"]), F.col("layout") == TRANSPOSED
+    row, col = F.when(turned, F.col("col_no")).otherwise(F.col("row_no")), F.when(turned, F.col("row_no")).otherwise(F.col("col_no"))
+    both = both.withColumns({"row_no": row, "col_no": col})
+    both = both.withColumns({"columns": F.filter("columns", lambda c: c["col_no"] == F.col("col_no")), "anchor": F.coalesce(F.col("col_no") == F.col("__anchor"), F.lit(False))})
+    return both.filter(F.col("anchor") | (F.size("columns") > 0))
+
+
+def _read(cells: DataFrame, layout: DataFrame, key: str, today: str, documents: DataFrame | None, known: DataFrame | None, dates: DataFrame | None, which: tuple[str, ...], of: tuple[str, ...] = ()) -> DataFrame:
+    """Slot cells of the tables of `layout`, all of which are of the layouts `which`."""
+    known = read_values(cells) if known is None else known
+    at = _placed(cells, layout, key, documents, list(of))
+    dated, kind = F.col("layout").isin(MULTIDAY, TRANSPOSED), F.col("layout")
+    row = Window.partitionBy(key, "table_no", *of, "layout", "__anchor", "row_no")
+    at = at.withColumns({"__date": F.lit(None).cast("date"), "__slot": F.lit(None).cast("string")})
+    if MULTIDAY in which or TRANSPOSED in which:
+        dates = read_dates(cells, today, documents) if dates is None else dates
+        read = (with_readings(at, dates) if documents is None else with_dates(at, dates)).drop("__date")
+        at = read.withColumnRenamed("date", "__date")
+    if LABELLED in which:
+        at = with_slots(at.drop("__slot"), "text").withColumnRenamed("slot", "__slot")
+    # a row has the day of its date cell and the slot of its label
+    at = at.withColumn("row_date", F.max(F.when(F.col("anchor") & dated, F.col("__date"))).over(row)).withColumn("row_slot", F.max(F.when(F.col("anchor") & (kind == LABELLED) & F.col("__slot").isin(*DAILY), F.col("__slot"))).over(row))
+    day = F.when(dated, F.col("row_date")).otherwise(F.lit(today).cast("date"))
+    each = at.select(key, "table_no", *of, "layout", "row_no", "col_no", "text", day.alias("day"), "row_slot", F.explode("columns").alias("c"))
+    slot = F.when(kind == LABELLED, F.col("row_slot")).otherwise(F.col("c.slot"))
+    each = each.select(key, "table_no", *of, "layout", "row_no", "col_no", "text", "day", slot.alias("slot"), "c.kind", "c.value_kind", "c.time_index").filter("slot is not null and day is not null")
+    if SINGLE_DAY not in which:
+        return _made(each, key, known)  # of one layout, without further columns
+    # a table of a single day gives its first row that has anything
+    made = with_values(each, known)
+    first = F.min("row_no").over(Window.partitionBy(key, "table_no", *of, "layout"))
+    made = made.withColumn("first", first).filter((kind != SINGLE_DAY) | (F.col("row_no") == F.col("first")))
+    return _shaped(made, key, of)
 
 
 def multiday(cells: DataFrame, layout: DataFrame, key: str, today: str, documents: DataFrame | None = None, known: DataFrame | None = None, dates: DataFrame | None = None) -> DataFrame:
     """Days down the side; `documents` (key, year, month) say what a bare day belongs to, else it is today's year and no month."""
-    known, dates = read_values(cells) if known is None else known, read_dates(cells, today, documents) if dates is None else dates
-    return _dated(cells, layout, key, documents, known, dates)
+    return _read(cells, layout.withColumn("layout", F.lit(MULTIDAY)), key, today, documents, known, dates, (MULTIDAY,))
 
 
 def single_day(cells: DataFrame, layout: DataFrame, key: str, today: str, known: DataFrame | None = None) -> DataFrame:
     """No dates: the first row that gives anything, on the day of the run."""
-    both = cells.join(_columns(layout, key), [key, "table_no", "col_no"]).filter("of_slot is not null")
-    made = _made(both.withColumn("slot", F.col("of_slot")).withColumn("day", F.lit(today).cast("date")), key, known)
-    first = F.min(F.col("seq.row_no")).over(Window.partitionBy(key, "seq.table_no"))
-    return made.withColumn("first", first).filter("seq.row_no = first").drop("first")
+    return _read(cells, layout.withColumn("layout", F.lit(SINGLE_DAY)), key, today, None, known, None, (SINGLE_DAY,))
 
 
 def labelled(cells: DataFrame, layout: DataFrame, key: str, today: str, known: DataFrame | None = None) -> DataFrame:
     """Slots down a label column, kinds in the others, on the day of the run."""
-    label = cells.join(layout.select(key, "table_no", "label_col"), [key, "table_no"]).filter("col_no = label_col")
-    slot = with_slots(label, "text").filter(F.col("slot").isin(*DAILY)).select(key, "table_no", "row_no", "slot")
-    both = cells.join(slot, [key, "table_no", "row_no"]).join(_columns(layout, key), [key, "table_no", "col_no"])
-    return _made(both.withColumn("day", F.lit(today).cast("date")), key, known)
+    return _read(cells, layout.withColumn("layout", F.lit(LABELLED)), key, today, None, known, None, (LABELLED,))
 
 
 def month_sections(sections: DataFrame, layout: DataFrame, key: str, today: str) -> DataFrame:
@@ -95,19 +128,15 @@ def month_sections(sections: DataFrame, layout: DataFrame, key: str, today: str)
     day = sections.join(layout.select(key, "date_col"), key).filter("col_no = date_col")
     year = year_for_month(F.col("month"), F.lit(today).cast("date"))
     day = day.select(key, "table_no", "row_no", given(parse_date(F.col("text"), year, F.col("month"))).alias("day"))
-    both = sections.join(day, [key, "table_no", "row_no"]).join(_columns(layout, key), [key, "col_no"])
-    return _made(both.filter("of_slot is not null").withColumn("slot", F.col("of_slot")), key, read_values(sections))
+    column = layout.select(key, F.explode(_columns(layout)).alias("c")).select(key, "c.*")
+    return _made(sections.join(day, [key, "table_no", "row_no"]).join(column, [key, "col_no"]).filter("slot is not null"), key, read_values(sections))
 
 
-def extract(cells: DataFrame, layout: DataFrame, key: str, today: str, documents: DataFrame | None = None) -> DataFrame:
-    """Every table by its layout; an unknown layout is an error."""
+def extract(cells: DataFrame, layout: DataFrame, key: str, today: str, documents: DataFrame | None = None, of: tuple[str, ...] = ()) -> DataFrame:
+    """Every table by its layout; an unknown layout is an error. `of` names columns of `layout` that its cells keep: a table may have several layouts that differ in these."""
     known = F.when(F.col("layout").isin(*LAYOUTS), F.col("layout")).otherwise(F.raise_error(F.format_string("unknown layout: %s", "layout")))
     layout = layout.withColumn("layout", known)
-    of = lambda name: layout.filter(F.col("layout") == name)
-    known, dates = read_values(cells), read_dates(cells, today, documents)
-    out = multiday(cells, of(MULTIDAY), key, today, documents, known, dates)
-    flipped = multiday(transpose(cells), of(TRANSPOSED), key, today, documents, known, dates)
-    return out.unionByName(flipped).unionByName(single_day(cells, of(SINGLE_DAY), key, today, known)).unionByName(labelled(cells, of(LABELLED), key, today, known))
+    return _read(cells, layout, key, today, documents, None, None, LAYOUTS, of)
 
 
 # Fields of two providers' calendars. The first lists a day's times, with or without sunrise second.

@@ -6,7 +6,7 @@ document order, by which the last value wins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.readings import readings
@@ -26,12 +26,14 @@ def grid_rows(cell: DataFrame, today: str, days: int) -> DataFrame:
     start = F.lit(today).cast("date")
     cell = cell.filter(F.col("day").between(start, F.date_add(start, days)))
     main = F.col("kind") == "jamaah"
-    slots = cell.groupBy("source_id", "day", "slot").agg(
+    # a day's cells stay together: its slots are grouped, and find each other's begins, after one shuffle
+    slots = cell.repartition("source_id", "day").groupBy("source_id", "day", "slot").agg(
         last_value("time", F.col("kind") == "begin").alias("begin"), last_value("time", main).alias("time"),
         last_value("offset", main).alias("offset"), last_value("base_slot", main & F.col("offset").isNotNull()).alias("base_slot"),
     )
-    base = slots.select("source_id", "day", F.col("slot").alias("base_slot"), F.col("begin").alias("base_begin"))
-    both = slots.withColumn("base_slot", F.coalesce("base_slot", "slot")).join(base, ["source_id", "day", "base_slot"], "left")
+    begins = F.collect_list(F.struct("slot", "begin")).over(Window.partitionBy("source_id", "day"))
+    both = slots.withColumn("base_slot", F.coalesce("base_slot", "slot")).withColumn("__begins", begins)
+    both = both.withColumn("base_begin", F.get(F.filter("__begins", lambda b: b["slot"] == F.col("base_slot")), F.lit(0))["begin"])
     time = F.coalesce("time", apply_offset(F.col("base_begin"), F.col("offset")))
     out = both.select("source_id", "day", "slot", F.lit(0).alias("session"), given(time).alias("__time"), "begin", F.lit(None).cast("string").alias("label"), F.col("time").isNull().alias("derived"))
     return out.withColumnRenamed("__time", "time").select(*ROW)

@@ -28,8 +28,7 @@ GRID = f"""{OCC}, slots(i, name, h) AS (VALUES {', '.join(f"({k}, '{n}', {h})" f
 
 
 def _days(spark, d) -> DataFrame:
-    days = A.occurrence(spark, d).select("venue_id", "day").distinct()
-    return days.withColumn("k", F.row_number().over(Window.partitionBy("venue_id").orderBy("day")))
+    return A.days(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("venue_id").orderBy("day")))
 
 
 def _grid(days: DataFrame) -> DataFrame:
@@ -267,9 +266,7 @@ def page_evidence(spark, d):
 @query(f"WITH {GRID} SELECT venue_id AS source_id, 'auto_accept' AS lane, 'authored' AS status, 'jumuah_missing,partial_horizon' AS flags, count(*) AS rows FROM grid WHERE day BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 60 GROUP BY 1")
 def evaluate_sources(spark, d):
     """From a page of each venue, a table of its days, to rows and a verdict."""
-    days = _days(spark, d)
-    line = _grid(days).groupBy("venue_id", "k", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "time"))), lambda x: F.concat(F.lit("<td>"), x["time"])).alias("c"))
-    row = line.select("venue_id", "k", F.concat(F.lit("<tr><td>"), F.date_format("day", "d MMMM"), F.array_join("c", "")).alias("tr"))
+    row = _days(spark, d).select("venue_id", "k", F.concat(F.lit("<tr><td>"), F.date_format("day", "d MMMM"), *[x for t in _day_times() for x in (F.lit("<td>"), t)]).alias("tr"))
     head = "<table><tr><th>Date" + "".join(f"<th>{n}" for n, _ in NAMES)
     page = row.groupBy("venue_id").agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "tr"))), lambda x: x["tr"]), ""), F.lit("</table>")).alias("html"))
     start = F.lit(TODAY).cast("date")
@@ -283,6 +280,7 @@ def evaluate_sources(spark, d):
     depth = stored(grids.header_depth(tables, rows, cells, "venue_id"), "venue-headers")
     layout = schema.table_layouts(cells, depth, "venue_id", TODAY).withColumnRenamed("venue_id", "source_id")
     session = spark.createDataFrame([], f"source_id {source.schema['source_id'].dataType.simpleString()}, idx int, label string, text string, season string")
-    made, verdicts = evaluate.evaluate(source, docs, layout, session, TODAY, 60)
+    of_doc = cells.withColumn("doc", F.struct(F.col("venue_id").alias("source_id"), F.lit(0).alias("idx"))).drop("venue_id")
+    made, verdicts = evaluate.evaluate(source, docs, layout, session, TODAY, 60, cells=of_doc)
     counts = made.groupBy("source_id").agg(F.count("*").alias("rows"))
     return verdicts.join(counts, "source_id").select("source_id", "lane", "status", F.array_join("flags", ",").alias("flags"), "rows")
