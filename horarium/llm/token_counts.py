@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .bpe_tree import encoder
 from .common import scratch_path, stash
 from .shards import open_in, write_file
@@ -37,7 +38,8 @@ def write_flat_files(docs: DataFrame, tokenizer: str, eod: int, width: int = 2)
     """Write every document's ids and `eod` to flat files; returns (uri, ordinal, doc_id), one row a document.
 
     Special-token strings in a text are plain text here, so that `eod` only
-    stands after documents.
+    stands after documents.  The names are joined by sorting: the files of the
+    lengths are so much smaller than their rows that Spark would broadcast them.
     """
     if max(eod, encoder(tokenizer, specials=False).library.get_vocab_size(with_added_tokens=True) - 1) >> (8 * width):
         raise ValueError(f"ids of this vocabulary do not fit {width} bytes")
@@ -66,7 +68,7 @@ def write_flat_files(docs: DataFrame, tokenizer: str, eod: int, width: int = 2)
         if n:
             yield close()
 
-    return stash(docs.select("doc_id", "text").mapInArrow(write, f"uri string, ordinal long, doc_id {kind}"), "flat-names")
+    return stored(docs.select("doc_id", "text").mapInArrow(write, f"uri string, ordinal long, doc_id {kind}"), "flat-names")
 
 
 def count_tokens(files: DataFrame, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

@@ -278,6 +278,14 @@ def test_token_counts(docs, block):
     assert {k: r.n_tokens for k, r in got.items()} == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in all_texts(docs)}
 
 
+def test_counts_are_never_broadcast(docs):
+    """Files of lengths are a two-hundredth of their rows; what looks small filled the driver."""
+    counts = token_counts.document_counts(docs, BYTE, 50256)
+    assert counts.count() == docs.count()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_ids_must_fit(docs):
     with pytest.raises(ValueError):
         token_counts.write_flat_files(docs, BYTE, 50256, width=1)
